@@ -76,6 +76,8 @@ def sketch_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     begin, owner = at[:-1][full], np.repeat(np.arange(len(full)), sizes[full])
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     keys = np.zeros((len(full), BANDS), np.uint64)
+    if not len(full):
+        return keys
     salts = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
     for band in range(BANDS):
         for row in range(ROWS):

@@ -54,7 +54,7 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     begin = np.unique(np.concatenate([words.text_at[:-1], breaks + 1]))
     begin = begin[begin < len(words.data)]
     end = np.minimum(np.append(begin[1:], len(words.data)), len(words.data))
-    end = end - ((end > begin) & (words.data[np.maximum(end - 1, 0)] == 10))
+    end[np.isin(end - 1, breaks)] -= 1  # without the newline
     full = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
     begin, end = begin[full], end[full]
     line_owner = np.searchsorted(words.text_at, begin, side="right") - 1
