@@ -12,8 +12,10 @@ of lengths a and b must reach M / (a + b - M) >= 0.8.  The labelled shingles of
 a text are distinct, so that M is a longest increasing run of match positions.
 
 Equal texts become one node first.  In a group of nodes with an equal key, all
-are compared with one leader; nodes that are still in different components
-afterwards are compared with each other, so that no link of the group is lost.
+are compared with one leader.  Nodes of groups that still hold different
+components afterwards are compared where they share a rare shingle: by the
+prefix filter, which loses no link, two texts that are near share one of the
+rarest 20% of their shingles.
 
 Defined results: null texts count as empty; all texts without words and equal
 bytes are copies; texts of one to four words have one shingle of all words;
@@ -29,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.llm.components import connected_components
-from pagetrail.llm.shared import cut, mapped, slices
+from pagetrail.llm.shared import cut, mapped, shared_folder, slices
 from pagetrail.llm.words import Words, keyed, mix64, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -141,7 +143,16 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     return mapped(rows, work, f"k {rows.schema['k'].dataType.simpleString()}, node long, n int, keys array<long>")
 
 
-def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """node and text t of the wanted nodes, from the row of each whose key is rep; written to the shared folder."""
+    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    texts = texts.withColumn("node", F.xxhash64(F.md5(F.col("t").cast("binary"))))
+    path = f"{shared_folder(docs.sparkSession)}/texts"
+    texts.join(wanted.select("rep", "node"), ["rep", "node"]).select("node", "t").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """pairs: node, lead. Returns those that reach the threshold as a, b, similarity.
 
     A leader's text goes once to each group of up to ``_GROUP`` members, not to each member.
@@ -149,10 +160,8 @@ def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, tex
     sizes = cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / _GROUP).cast("long").alias("groups")))
     members = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("node"), "groups").alias("part"), F.lit(1).alias("role"), "node")
     leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("lead").alias("node"))
-    wanted = cut(members.unionByName(leaders).join(nodes.select("node", "rep"), "node"))
-    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    texts = texts.withColumn("node", F.xxhash64(F.md5(F.col("t").cast("binary"))))
-    dealt = wanted.join(texts, ["rep", "node"]).select("lead", "part", "role", "node", "t")
+    wanted = cut(members.unionByName(leaders))
+    dealt = wanted.join(texts, "node").select("lead", "part", "role", "node", "t")
     dealt = dealt.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +188,30 @@ def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, tex
     return mapped(dealt, work, "a long, b long, similarity double")
 
 
+def _prefixes(texts: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
+    """left: node, component. Returns shingle, node, component, n for the prefix of each node's shingles.
+
+    Shingles are ordered by how many of the nodes hold them.  A near pair shares 80% of the shingles of either text,
+    so that it shares one within the first 20% (and one) of each; shingles of one node alone take their place
+    there, but match nothing.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, "t")):
+            shingles, at = labelled_shingles(batch.column("t"))
+            size = np.diff(at)
+            pick = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), batch.column("node").take(pick), batch.column("component").take(pick), pa.array(np.repeat(size, size), pa.int32())], ["shingle", "node", "component", "n"])
+
+    held = texts.join(left, "node").select("node", "component", "t")
+    listed = cut(mapped(held, work, "shingle long, node long, component long, n int"))
+    often = cut(listed.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("c > 1"))
+    own = Window.partitionBy("node").orderBy("c", "shingle")
+    ranked = listed.join(often, "shingle").withColumn("place", F.row_number().over(own)).withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
+    return ranked.where((F.col("n") - F.col("shared") + F.col("place") <= length) & (F.col("x") != F.col("y"))).select("shingle", "node", "component", "n")
+
+
 def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: key, class_id, class_size (documents), n_links (of its text to other texts that were
     verified), representative (its id is the class id)."""
@@ -190,18 +223,20 @@ def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str =
     leaders = cut(rows.groupBy("band").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), F.count("*").alias("c")).where("c > 1").drop("c"))
     shared = cut(rows.join(leaders, "band"))
     near_size = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
+    texts = _texts_of(docs, cut(shared.select("node").distinct().join(nodes, "node")), key, text)
     pairs = cut(shared.where((F.col("node") != F.col("lead")) & near_size(F.col("n"), F.col("lead_n"))).select("node", "lead").distinct())
-    links = cut(_compared(docs, nodes, pairs, key, text, threshold))
+    links = cut(_compared(texts, pairs, threshold))
     components = cut(connected_components(links))
-    # what one leader didn't join: compare across the components of a group
-    placed = cut(shared.select("band", "node", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # what one leader didn't join: nodes of groups that hold several components
+    placed = cut(shared.select("band", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_bands = cut(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"))
-    left = cut(placed.join(open_bands, "band", "left_semi"))
-    other = left.select("band", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-    more = left.join(other, "band").where((F.col("node") > F.col("lead")) & (F.col("component") != F.col("lead_component")) & near_size(F.col("n"), F.col("lead_n"))).select("node", "lead").distinct()
-    more = cut(more.join(pairs, ["node", "lead"], "left_anti"))
-    if not more.isEmpty():
-        extra = cut(_compared(docs, nodes, more, key, text, threshold))
+    left = cut(placed.join(open_bands, "band", "left_semi").select("node", "component").distinct())
+    if not left.isEmpty():
+        prefixes = cut(_prefixes(texts, left, threshold))
+        other = prefixes.select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
+        apart = (F.col("node") > F.col("lead")) & (F.col("component") != F.col("lead_component")) & near_size(F.col("n"), F.col("lead_n"))
+        more = prefixes.join(other, "shingle").where(apart).select("node", "lead").distinct()
+        extra = cut(_compared(texts, cut(more.join(pairs, ["node", "lead"], "left_anti")), threshold))
         if not extra.isEmpty():
             links = links.unionByName(extra)
             components = cut(connected_components(links))
