@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.llm.components import connected_components
-from pagetrail.llm.shared import cut, mapped, shared_folder, slices
+from pagetrail.llm.shared import cut, mapped, slices
 from pagetrail.llm.words import Words, keyed, mix64, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -144,12 +144,10 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node and text t of the wanted nodes, from the row of each whose key is rep; written to the shared folder."""
+    """node and text t of the wanted nodes, from the row of each whose key is rep."""
     texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts = texts.withColumn("node", F.xxhash64(F.md5(F.col("t").cast("binary"))))
-    path = f"{shared_folder(docs.sparkSession)}/texts"
-    texts.join(wanted.select("rep", "node"), ["rep", "node"]).select("node", "t").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return cut(texts.join(wanted.select("rep", "node"), ["rep", "node"]).select("node", "t"))
 
 
 def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
