@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table, by least labels with pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,29 +8,26 @@ from pyspark.sql import functions as F
 from pagetrail.llm.shared import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """links: columns a, b (long). Returns node, component (the least node of its component), for linked nodes.
 
-    Self links are ignored; repeated links do no harm; no links give no rows.  Every step joins each link with the
-    least neighbour of its end, so that no list of neighbours is gathered, and writes its links to the checkpoint
-    folder.
+    Each round gives a node the least of its own label, the labels of its neighbours, and the label of its label, so
+    that the rounds grow with the logarithm of the longest path.  No list of neighbours is gathered; the labels of a
+    round are written to the checkpoint folder.  Self links are ignored, repeated links do no harm, no links give no
+    rows.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        edges = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
-        lower = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        after = _state(edges)
+    some = links.where("a <> b")
+    both = cut(some.select("a", "b").unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), small=True)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), small=True)
+    weight = F.sum(F.col("label").cast("decimal(20,0)"))
+    before = labels.agg(weight).first()[0]
+    while before is not None:
+        of_neighbour = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        of_label = labels.select(F.col("node").alias("l_node"), F.col("label").alias("far"))
+        joined = labels.join(of_label, F.col("label") == F.col("l_node")).select("node", "label", "far").join(of_neighbour, "node")
+        labels = cut(joined.select("node", F.least("label", "far", "near").alias("label")), small=True)
+        after = labels.agg(weight).first()[0]
         if after == before:
             break
         before = after
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return labels.select("node", F.col("label").alias("component"))

@@ -155,11 +155,10 @@ def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 
     A leader's text goes once to each group of up to ``_GROUP`` members, not to each member.
     """
-    sizes = cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / _GROUP).cast("long").alias("groups")))
+    sizes = cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / _GROUP).cast("long").alias("groups")), small=True)
     members = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("node"), "groups").alias("part"), F.lit(1).alias("role"), "node")
     leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("lead").alias("node"))
-    wanted = cut(members.unionByName(leaders))
-    dealt = wanted.join(texts, "node").select("lead", "part", "role", "node", "t")
+    dealt = members.unionByName(leaders).join(texts, "node").select("lead", "part", "role", "node", "t")
     dealt = dealt.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +186,7 @@ def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 
 
 def _prefixes(texts: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
-    """left: node, component. Returns shingle, node, component, n for the prefix of each node's shingles.
+    """left: node, component. Returns shingle, node, component, n, place for the prefix of each node's shingles.
 
     Shingles are ordered by how many of the nodes hold them.  A near pair shares 80% of the shingles of either text,
     so that it shares one within the first 20% (and one) of each; shingles of one node alone take their place
@@ -205,43 +204,50 @@ def _prefixes(texts: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
     listed = cut(mapped(held, work, "shingle long, node long, component long, n int"))
     often = cut(listed.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("c > 1"))
     own = Window.partitionBy("node").orderBy("c", "shingle")
-    ranked = listed.join(often, "shingle").withColumn("place", F.row_number().over(own)).withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    ranked = listed.join(often, "shingle").withColumn("at", F.row_number().over(own)).withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    ranked = ranked.withColumn("place", F.col("n") - F.col("shared") + F.col("at"))
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-    return ranked.where((F.col("n") - F.col("shared") + F.col("place") <= length) & (F.col("x") != F.col("y"))).select("shingle", "node", "component", "n")
+    return ranked.where((F.col("place") <= length) & (F.col("x") != F.col("y"))).select("shingle", "node", "component", "n", "place")
 
 
 def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: key, class_id, class_size (documents), n_links (of its text to other texts that were
     verified), representative (its id is the class id)."""
     base = cut(_sketched(docs, key, text))
-    nodes = cut(base.groupBy("node").agg(F.min("k").alias("rep"), F.count("*").alias("copies")))
+    nodes = cut(base.groupBy("node").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), small=True)
     # keys are those of the least row of each text; equal texts have equal keys
     distinct = base.groupBy("node").agg(F.min(F.struct("n", "keys")).alias("s")).select("node", "s.n", F.explode("s.keys").alias("band"))
     rows = cut(distinct)
-    leaders = cut(rows.groupBy("band").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    shared = cut(rows.join(leaders, "band"))
+    groups = cut(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), small=True)
+    shared = cut(rows.join(groups, "band"))
+    # the leader of a group is the text that meets most others over all groups, as it stands nearest to the middle
+    led = shared.join(shared.groupBy("node").agg(F.sum("c").alias("met")), "node")
+    leaders = led.groupBy("band").agg(F.max(F.struct("met", "node", "n")).alias("x")).select("band", F.col("x.node").alias("lead"), F.col("x.n").alias("lead_n"))
+    shared = cut(shared.join(cut(leaders, small=True), "band"))
     near_size = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    texts = _texts_of(docs, cut(shared.select("node").distinct().join(nodes, "node")), key, text)
-    pairs = cut(shared.where((F.col("node") != F.col("lead")) & near_size(F.col("n"), F.col("lead_n"))).select("node", "lead").distinct())
+    texts = _texts_of(docs, cut(shared.select("node").distinct().join(nodes, "node"), small=True), key, text)
+    pairs = cut(shared.where((F.col("node") != F.col("lead")) & near_size(F.col("n"), F.col("lead_n"))).select("node", "lead").distinct(), small=True)
     links = cut(_compared(texts, pairs, threshold))
-    components = cut(connected_components(links))
+    components = connected_components(links)
     # what one leader didn't join: nodes of groups that hold several components
-    placed = cut(shared.select("band", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_bands = cut(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"))
-    left = cut(placed.join(open_bands, "band", "left_semi").select("node", "component").distinct())
+    placed = cut(shared.select("band", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), small=True)
+    open_bands = cut(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"), small=True)
+    left = cut(placed.join(open_bands, "band", "left_semi").select("node", "component").distinct(), small=True)
     if not left.isEmpty():
         prefixes = cut(_prefixes(texts, left, threshold))
-        other = prefixes.select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-        apart = (F.col("node") > F.col("lead")) & (F.col("component") != F.col("lead_component")) & near_size(F.col("n"), F.col("lead_n"))
+        other = prefixes.select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("component").alias("lead_component"))
+        # from the first shingle that a pair shares on, enough must be left in both
+        enough = 1 + F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) >= F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("lead_n")) - 1e-9)
+        apart = (F.col("node") > F.col("lead")) & (F.col("component") != F.col("lead_component")) & enough
         more = prefixes.join(other, "shingle").where(apart).select("node", "lead").distinct()
-        extra = cut(_compared(texts, cut(more.join(pairs, ["node", "lead"], "left_anti")), threshold))
+        extra = cut(_compared(texts, cut(more.join(pairs, ["node", "lead"], "left_anti"), small=True), threshold))
         if not extra.isEmpty():
             links = links.unionByName(extra)
-            components = cut(connected_components(links))
+            components = connected_components(links)
     placed = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    totals = cut(placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")))
-    classes = cut(placed.join(totals, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    totals = cut(placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), small=True)
+    classes = cut(placed.join(totals, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), small=True)
     out = base.select("k", "node").join(classes, "node")
     return out.select(F.col("k").alias(key), "class_id", "class_size", "n_links", F.col("k").eqNullSafe(F.col("class_id")).alias("representative"))
 
@@ -249,7 +255,7 @@ def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str =
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, that with the least key, with the columns of docs."""
     kept = near_duplicate_classes(docs, key=key, text=text).where("representative").groupBy(key).agg(F.count("*").alias("n_rows"))
-    kept = cut(kept)
+    kept = cut(kept, small=True)
     out = docs.join(kept, docs[key].eqNullSafe(kept[key]) if kept.where(F.col(key).isNull()).limit(1).count() else docs[key] == kept[key], "left_semi").select(*docs.columns)
     if kept.where("n_rows > 1").limit(1).count():  # repeated rows of one key
         out = out.dropDuplicates([key])

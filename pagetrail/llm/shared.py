@@ -26,9 +26,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared checkpoint folder, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, *, small: bool = False) -> DataFrame:
+    """Cut the lineage into the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    small: of tables that hold a few numbers per row; they are written in two files per core, not in one for each
+    shuffle partition.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if small:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
