@@ -15,6 +15,7 @@ Whole texts are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -28,30 +29,42 @@ from pagetrail.llm.words import Words, mix64
 
 SAMPLES = 128
 _EMPTY = np.zeros(SAMPLES, np.uint16)
-_TERMS_AT_ONCE = 4096
+_SLICE = 2 << 20
+_TERMS_AT_ONCE = 1024  # keeps the working arrays in cache
+_SALTS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+_24 = np.uint64(0xFFFFFF)
 
 
-def _draws(terms: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) for terms by samples."""
-    salts = mix64(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(salt * SAMPLES + 1))
-    bits = mix64(terms[:, None] ^ salts[None, :])
-    return ((bits >> np.uint64(41)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 24 bits."""
+    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
 
 
 def _sampling_values(terms: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logarithm of each term's sampling value, and the 16 bits that the draw would leave."""
+    """The logarithm of each term's sampling value, and the 16 bits that the draw would leave.
+
+    Five uniform numbers of 24 bits come from two hashes of the term and the sample.
+    """
     value = np.empty((len(terms), SAMPLES), np.float32)
     code = np.empty((len(terms), SAMPLES), np.uint16)
-    salts = mix64(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(9 << 40))
+    log_weight = np.log(weight).astype(np.float32)
     for k in range(0, len(terms), _TERMS_AT_ONCE):
-        t, log_w = terms[k : k + _TERMS_AT_ONCE], np.log(weight[k : k + _TERMS_AT_ONCE]).astype(np.float32)[:, None]
-        r = -np.log(_draws(t, 1) * _draws(t, 2))
-        c = -np.log(_draws(t, 3) * _draws(t, 4))
-        shift = _draws(t, 5)
-        cell = np.floor(log_w / r + shift)
-        value[k : k + _TERMS_AT_ONCE] = np.log(c) - r * (cell - shift) - r
-        name = mix64(t[:, None] ^ salts[None, :] ^ (cell.astype(np.int64).view(np.uint64) << np.uint64(1)))
-        code[k : k + _TERMS_AT_ONCE] = (name >> np.uint64(48)).astype(np.uint16)
+        part = slice(k, k + _TERMS_AT_ONCE)
+        one = terms[part, None] ^ _SALTS
+        one *= np.uint64(0xD6E8FEB86659FD93)
+        one ^= one >> np.uint64(32)
+        one *= np.uint64(0x9E3779B97F4A7C15)
+        one ^= one >> np.uint64(29)
+        two = one * np.uint64(0xC2B2AE3D27D4EB4F)
+        two ^= two >> np.uint64(31)
+        r = -np.log(_uniform(one >> np.uint64(40)) * _uniform((one >> np.uint64(16)) & _24))
+        c = -np.log(_uniform(two >> np.uint64(40)) * _uniform((two >> np.uint64(16)) & _24))
+        shift = _uniform((((one & np.uint64(0xFFFF)) << np.uint64(8)) | (two & np.uint64(0xFF))))
+        cell = np.floor(log_weight[part, None] / r + shift)
+        value[part] = np.log(c) - r * (cell - shift) - r
+        two += cell.astype(np.int64).view(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        two *= np.uint64(0xD6E8FEB86659FD93)
+        code[part] = two >> np.uint64(48)
     return value, code
 
 
@@ -84,18 +97,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1)
 
 
-def _hex(prints: np.ndarray) -> list[str]:
-    flat = prints.astype(">u2").tobytes().hex()
-    width = 4 * SAMPLES
-    return [flat[i : i + width] for i in range(0, len(flat), width)]
+def _written(prints: np.ndarray) -> list[str]:
+    """Each fingerprint as base64 of its big-endian draws."""
+    return [base64.b64encode(row.tobytes()).decode() for row in prints.astype(">u2")]
 
 
 def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the fingerprint of every row; no shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "t")):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(_hex(fingerprints(batch.column("t"))), pa.string())], ["k", "fingerprint"])
+        for batch in (s for b in batches for s in slices(b, "t", _SLICE)):
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(_written(fingerprints(batch.column("t"))), pa.string())], ["k", "fingerprint"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return mapped(rows, work, f"k {rows.schema['k'].dataType.simpleString()}, fingerprint string").withColumnRenamed("k", key)
@@ -138,15 +150,15 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
             texts = [r[3] for r in ready]
             following = [*texts[1:], after[3] if after else texts[0]]
             edits = [_edited(a, b) for a, b in zip(texts, following, strict=True)]
-            own = fingerprints(pa.array([*texts, following[-1]], pa.string()))
-            changed = fingerprints(pa.array(edits, pa.string()))
+            every = fingerprints(pa.array([*texts, following[-1], *edits], pa.string()))  # they share most terms
+            own, changed = every[: len(texts) + 1], every[len(texts) + 1 :]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[2] for r in ready], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
-                    pa.array(_hex(own[:-1]), pa.string()),
-                    pa.array(_hex(changed), pa.string()),
+                    pa.array(_written(own[:-1]), pa.string()),
+                    pa.array(_written(changed), pa.string()),
                     pa.array(likeness(own[:-1], changed), pa.float64()),
                     pa.array(likeness(own[:-1], own[1:]), pa.float64()),
                 ],
@@ -167,7 +179,7 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
                 if held and row[0] != held[-1][0]:
                     yield from closed(held)
                     held, size = [], 0
-                if row[1] == 0 and size > 1 << 20:
+                if row[1] == 0 and size > _SLICE:
                     yield done(held, row)
                     held, size = [], 0
                 if row[1] == 0 or not held or held[-1][1] != row[1]:
