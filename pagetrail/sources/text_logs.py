@@ -63,11 +63,16 @@ def eviction_latencies(spark: SparkSession, path: str, most: int = 10_000) -> Da
 _NUMBER = r"(\d+\.?\d*)"
 
 
+def _number(found: Column) -> Column:
+    """A double, or null for what a pattern didn't find."""
+    return found.try_cast("double")
+
+
 def parse_reports(texts: DataFrame, text: str = "value") -> DataFrame:
     """Adds precision, recall, f1, support and auc. Both report forms are read: the averaged table, and lines of
     ``name: value``. Without averages a row is left out; without an AUC it is null."""
     averages = rf"weighted avg\s+{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}\s+(\d+)"
-    number = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("double")
+    number = lambda pattern, k: _number(F.regexp_extract(text, pattern, k))
     names = {"precision": (1, rf"(?im)^\s*precision:\s*{_NUMBER}"), "recall": (2, rf"(?im)^\s*recall:\s*{_NUMBER}"), "f1": (3, rf"(?im)^\s*f1:\s*{_NUMBER}"), "support": (4, r"(?im)^\s*(?:support|rows):\s*(\d+)")}
     out = texts.withColumns({n: F.coalesce(number(averages, k), number(line, 1)) for n, (k, line) in names.items()})
     auc = F.coalesce(number(rf"Pairwise Test AUC:\s*{_NUMBER}", 1), number(rf"(?im)^\s*(?:roc )?auc:\s*{_NUMBER}", 1))
@@ -76,5 +81,5 @@ def parse_reports(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The reports of all models of a folder, best AUC first; the model is the name of its folder."""
-    texts = spark.read.option("wholetext", True).text(f"{folder}/*/eval_report.txt").withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/eval_report\.txt$", 1))
+    texts = spark.read.text(f"{folder}/*/eval_report.txt", wholetext=True).withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/eval_report\.txt$", 1))
     return parse_reports(texts).select("model", "precision", "recall", "f1", "support", "auc").orderBy(F.desc_nulls_last("auc"), "model")
