@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
 Every word has a hashed vector and so has each of its byte n-grams; a word is
-the mean of these, a document the mean of its words, and a softmax layer gives
-the class.  Vectors and layer are trained by stochastic gradient descent in
+the mean of these.  Pairs of neighbouring words have hashed vectors, too.  A
+document is the mean of its words and pairs, and a softmax layer gives the
+class.  Vectors and layer are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows.  Once trained, vectors times layer
 is one table of class scores per bucket, which is what tasks receive.
 
@@ -22,11 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.llm.shared import mapped, slices, uniform
-from pagetrail.llm.words import Words, mix64
+from pagetrail.llm.words import Words, mix64, windows
 
 NGRAMS = (3, 4, 5)
 
 
+def pair_buckets(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket of each pair of neighbouring words, its text, and text boundaries in pairs."""
+    pairs, owner, at = windows(words.hashes(), words.word_at, 2)
+    return (pairs % np.uint64(buckets)).astype(np.int64), owner, at
+
+
 def word_features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words: the index of each word of the texts, and for the distinct words the flat
     (word, bucket) features with the number of features of each distinct word."""
@@ -60,17 +67,18 @@ class QualityModel:
         total = np.zeros((n, k))
         if len(words.start):
             index, owner, bucket, size = word_features(words, len(self.table))
-            counts = words.counts
+            pair, pair_owner, pair_at = pair_buckets(words, len(self.table))
+            counts = words.counts + np.diff(pair_at)
             for c in range(k):
                 word_score = np.bincount(owner, self.table[bucket, c], len(size)) / size
-                total[:, c] = np.bincount(words.owner, word_score[index], n)
+                total[:, c] = np.bincount(words.owner, word_score[index], n) + np.bincount(pair_owner, self.table[pair, c], n)
             total /= np.maximum(counts, 1)[:, None]
         total += self.bias
         total = np.exp(total - total.max(1, keepdims=True))
         return total / total.sum(1, keepdims=True)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, priors: dict[int, float], *, buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> QualityModel:
+def fit(texts: list[str | None], labels: np.ndarray, priors: dict[int, float], *, buckets: int = 1 << 19, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> QualityModel:
     """priors: the share of each class among all labelled rows; the sample may be balanced otherwise."""
     classes = sorted(priors)
     share = np.array([priors[c] for c in classes])
@@ -84,6 +92,7 @@ def fit(texts: list[str | None], labels: np.ndarray, priors: dict[int, float], *
     index, owner, bucket, size = word_features(words, buckets)
     order = np.argsort(owner, kind="stable")
     bucket, first = bucket[order], np.concatenate([[0], np.cumsum(size)])
+    pair, _, pair_at = pair_buckets(words, buckets)
     docs = []
     for i in range(len(texts)):
         own, n = np.unique(index[words.word_at[i] : words.word_at[i + 1]], return_counts=True)
@@ -91,7 +100,10 @@ def fit(texts: list[str | None], labels: np.ndarray, priors: dict[int, float], *
             continue
         reps = size[own]
         at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[own], reps)
-        docs.append((bucket[at].astype(np.int32), np.repeat(n / n.sum() / reps, reps).astype(np.float32), target[i]))
+        two, times = np.unique(pair[pair_at[i] : pair_at[i + 1]], return_counts=True)
+        total = n.sum() + times.sum()
+        weight = np.concatenate([np.repeat(n / total / reps, reps), times / total]).astype(np.float32)
+        docs.append((np.concatenate([bucket[at], two]).astype(np.int32), weight, target[i]))
     steps, done = epochs * max(len(docs), 1), 0
     for _ in range(epochs):
         for d in rng.permutation(len(docs)):
