@@ -115,16 +115,16 @@ def mix_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
 
 def mixed_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself, with the columns of docs: whole copies, and the cut copy of the document where a budget ends."""
-    mixed = mix_documents(docs, key=key, text=text, source=source, **options).where("taken > 0").select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "taken")
+    mixed = mix_documents(docs, key=key, text=text, source=source, **options).where("taken > 0")
     # repeated rows of a key have equal shares up to the cut one; the largest counts for each
-    mixed = cut(mixed.groupBy("m_id", "m_size").agg(F.max("taken").alias("taken")))
-    body = F.col(text)
-    whole = F.floor(F.col("taken") / F.col("m_size")).cast("int")
-    rest = (F.col("taken") - whole * F.col("m_size")).cast("int")
-    sized = docs.withColumn("m_words", word_count(body))
-    both = sized.join(mixed, (F.col(key) == F.col("m_id")) & (F.col("m_words") == F.col("m_size")))
+    mixed = cut(mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max("taken").alias("_mix_taken")))
+    body, size, taken = F.col(text), F.col("_mix_size"), F.col("_mix_taken")
+    whole = F.floor(taken / size).cast("int")
+    rest = (taken - whole * size).cast("int")
+    sized = docs.withColumn("_mix_words", word_count(body))
+    both = sized.join(mixed, F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == size))
     head = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(0))), " ")
     copies = F.concat(F.array_repeat(body, whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("m_text", F.explode(copies))
-    columns = [F.col("m_text").alias(c) if c == text else F.length("m_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    out = both.withColumn("_mix_text", F.explode(copies))
+    columns = [F.col("_mix_text").alias(c) if c == text else F.length("_mix_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)

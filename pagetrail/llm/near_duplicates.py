@@ -145,9 +145,9 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """node and text t of the wanted nodes, from the row of each whose key is rep."""
-    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    texts = texts.withColumn("node", F.xxhash64(F.md5(F.col("t").cast("binary"))))
-    return cut(texts.join(wanted.select("rep", "node"), ["rep", "node"]).select("node", "t"))
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    texts = texts.withColumn("own", F.xxhash64(F.md5(F.col("t").cast("binary"))))
+    return cut(texts.join(wanted.select("rep", "node"), F.col("k").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("node"))).select("node", "t"))
 
 
 def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:

@@ -450,7 +450,7 @@ def test_packing_edges(edge, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", [" " * 5000, "a" * 3000, "\n \n\t x", "<|endoftext|> hi", "ñ€\U0001f600" * 50, "it's we'll I'd", "\x00\x01 \x85\xa0  q"])
+@pytest.mark.parametrize("text", [" " * 5000, " " * 1_000_000, "a" * 3000, "\n \n\t x", "<|endoftext|> hi", "ñ€\U0001f600" * 50, "it's we'll I'd", "\x00\x01 \x85\xa0  q"])
 def test_fast_and_exact_tokens_agree(text):
     assert packing.encode([text], packing.default_tokenizer())[0].tolist() == plain_encode(text)
 
@@ -473,6 +473,19 @@ def test_mixing_edges(edge, empty):
     assert text.columns == edge.columns and text.count() > 0
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s", 7, "x"), (None, "e f", "t", 8, None)], "doc_id long, text string, source string, taken int, size string")
+    out = mixing.mixed_texts(docs)
+    assert out.columns == docs.columns and {(r["taken"], r["size"]) for r in rows(out)} <= {(7, "x"), (8, None)}
+
+
+def test_near_duplicates_without_ids(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, base), (None, base + " x"), (3, base + " y")], "doc_id long, text string")
+    assert {r["class_id"] for r in rows(near_duplicates.near_duplicate_classes(docs))} == {3}
+    assert near_duplicates.drop_near_duplicates(docs).count() == 1
+
+
 def test_mixing_budgets(spark):
     for bins in (50, 20_000):
         docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(1.0).alias("weight"))
