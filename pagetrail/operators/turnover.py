@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pagetrail.operators.ranking import bucketed
 
 
-def insertion_gaps(insertion: DataFrame) -> DataFrame:
+def insertion_gaps(insertion: DataFrame, *, rows_per_bucket: int = 100_000) -> DataFrame:
     """The gap of each insertion to the one before it in its trial.
 
     Rows are ordered inside buckets of time; the first row of a bucket looks back to the last of the one before.
     """
-    placed = bucketed(insertion.select("trial_id", "ts"), "ts")
+    placed = bucketed(insertion.select("trial_id", "ts"), "ts", rows_per_bucket=rows_per_bucket)
     ends = placed.groupBy("trial_id", "bucket").agg(F.max("ts").alias("last"))
     ends = ends.select("trial_id", "bucket", F.lag("last").over(Window.partitionBy("trial_id").orderBy("bucket")).alias("earlier"))
     own = F.lag("ts").over(Window.partitionBy("trial_id", "bucket").orderBy("ts"))
