@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.functions import student
 from pagetrail.operators.ranking import prefix_sums, row_numbers
+from pagetrail.shipping import ensure_shipped
 
 
 def histogram(rows: DataFrame, value: str, bins: int, by: list[str], *, density: bool = False) -> DataFrame:
@@ -39,6 +41,17 @@ def qq_points(rows: DataFrame, value: str, by: list[str], ties: list[str]) -> Da
     return row_numbers(rows, by, value, ties).withColumn("position", (F.col("rn") - 0.5) / F.col("n_rows"))
 
 
+def normal_scores(points: DataFrame) -> DataFrame:
+    """Adds theoretical, the standard normal quantile of each plotting position."""
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        return p.map(student.normal_quantile)
+
+    ensure_shipped(points.sparkSession)
+    return points.withColumn("theoretical", quantile("position"))
+
+
 def describe(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """nobs, min, max, mean, sample variance, population skewness and excess kurtosis."""
     v = F.col(value)
@@ -112,6 +125,16 @@ def independent_test(rows: DataFrame, value: str, policy: str, first: str, secon
     return out.select("n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", F.sqrt("pop_a").alias("std_a"), F.sqrt("pop_b").alias("std_b"), t.alias("t"), (F.col("n_a") + F.col("n_b") - 2).alias("df"), (100 * (F.col("mean_a") - F.col("mean_b")) / F.col("mean_b")).alias("relative_percent"), d.alias("cohens_d"))
 
 
+def independent_verdict(test_row: dict, alpha: float = 0.05) -> dict:
+    """p, effect class and power, from the row of :func:`independent_test`.
+
+    The power is that of a one-sample test with the size of the first sample, as the comparison reports it.
+    """
+    p = student.t_two_sided(test_row["t"], test_row["df"])
+    d = test_row["cohens_d"]
+    return test_row | {"p": p, "significant": p < alpha, "effect_class": student.effect_class(d), "power": student.t_test_power(d, test_row["n_a"], alpha)}
+
+
 def linear_fit(rows: DataFrame, y: str, x: Column) -> DataFrame:
     """One row: slope, intercept, r and r squared of y on x."""
     y_, x_ = F.col(y), x

@@ -43,6 +43,11 @@ def qq_positions(spark, d):
     return rows.select("c_custkey", F.round("position", 9).alias("position"))
 
 
+@query()
+def qq_points(spark, d):
+    return statistics.normal_scores(statistics.qq_points(table(spark, d, "customer").withColumn("all", F.lit(0)), "c_acctbal", ["all"], ["c_custkey"])).select("c_custkey", "c_acctbal", "theoretical")
+
+
 @query(
     """WITH m AS (SELECT l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1),
 c AS (SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS a, max(l_extendedprice) AS b, any_value(m) AS m, avg((l_extendedprice - m) ** 2) AS m2, avg((l_extendedprice - m) ** 3) AS m3, avg((l_extendedprice - m) ** 4) AS m4 FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1)
@@ -132,6 +137,12 @@ def independent_ttest(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("mean_a", "mean_b", "median_a", "median_b", "std_a", "std_b")} | {c: F.round(c, 6) for c in ("t", "relative_percent", "cohens_d")})
 
 
+@query()
+def independent_verdict(spark, d):
+    row = statistics.independent_test(table(spark, d, "orders"), "o_totalprice", "o_orderpriority", "1-URGENT", "5-LOW").first().asDict()
+    return spark.createDataFrame([statistics.independent_verdict(row)])
+
+
 # A supplier is a model; its support is its number of line items
 
 _MODELS_SQL = "m AS (SELECT l_suppkey AS model, count(*) AS support, avg(l_discount) AS auc FROM lineitem GROUP BY 1)"
@@ -409,3 +420,27 @@ def pairwise_ranker(spark, d):
 
     model, figures = ranker(spark, table(spark, d, "lineitem").withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), ["l_quantity", "l_discount"], "l_extendedprice", order=["row_key"], multiplier=1)
     return features.weight_table(spark, model).withColumns({k: F.lit(v) for k, v in figures.items()})
+
+
+def _lines(spark, d):
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, d, "lineitem").withColumn("row_key", key)
+
+
+@query()
+def reuse_class_model(spark, d):
+    """Five classes of a target by quantiles, predicted by a multinomial model."""
+    from pagetrail.plans.training import class_model, class_of_reuse
+
+    found = class_model(class_of_reuse(_lines(spark, d), "l_extendedprice"), ["l_quantity", "l_discount"], "reuse_class", key=["row_key"])
+    return statistics.class_report(found, "label", "predicted")
+
+
+@query()
+def median_split_model(spark, d):
+    """Two classes of a target by its median."""
+    from pagetrail.operators.reuse import median_split
+    from pagetrail.plans.training import class_model
+
+    rows = median_split(_lines(spark, d).withColumn("trial_id", F.lit(0)).withColumn("y", F.col("l_extendedprice")))
+    return statistics.class_report(class_model(rows, ["l_quantity", "l_discount"], "label", key=["row_key"]), "label", "predicted")

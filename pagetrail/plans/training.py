@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.operators import features as feats
 from pagetrail.operators.candidates import candidate_bands, temporal_split, valid_evictions
-from pagetrail.operators.sampling import choose, random_pairs, random_split, sample_candidates
+from pagetrail.operators.sampling import choose, random_pairs, random_split, sample_candidates, stratified_split
 from pagetrail.operators.statistics import confusion, roc_auc
 from pagetrail.operators.turnover import auto_horizon, checked, turnover_estimate
 from pagetrail.sources.artifacts import edges_table, eval_report, write_json
@@ -96,8 +96,9 @@ def collect_sample(access: DataFrame, eviction: DataFrame, options: Options) ->
     return WorkloadSample(train, evaluation, disc, n_pos, n_neg, weights)
 
 
-def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Options, class_weights: dict[int, float] | None = None) -> feats.LinearModel:
-    """Logistic regression over one-hot bins, to convergence; features of one bin get weight 0."""
+def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Options, class_weights: dict[int, float] | None = None, save_to: str | Path | None = None) -> feats.LinearModel:
+    """Logistic regression over one-hot bins, to convergence; features of one bin get weight 0. save_to: a folder for
+    the fitted Spark ML model."""
     n_bins = feats.n_bins_of(edges)
     rows = feats.with_vectors(binned, n_bins)
     if class_weights:
@@ -106,6 +107,8 @@ def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Op
     if class_weights:
         lr = lr.setWeightCol("w")
     model = lr.fit(rows)
+    if save_to:
+        model.write().overwrite().save(str(save_to))
     flat, at, weights = model.coefficients.toArray().tolist(), 0, {}
     for f, n in n_bins.items():
         weights[f] = flat[at : at + n] if n > 1 else [0.0]
@@ -141,7 +144,7 @@ def train_workload(spark: SparkSession, name: str, iters: list[Path], output: st
     features = [*options.features, TSA]
     edges = feats.quantile_edges(sample.discretizer, features, options.n_bins)
     binned = feats.discretise(sample.train, edges)
-    model = fit_classifier(binned, edges, options, None if options.balanced else sample.class_weights)
+    model = fit_classifier(binned, edges, options, None if options.balanced else sample.class_weights, save_to=out / "model")
     metrics = evaluate(sample.evaluation, model, options.threshold) if sample.evaluation is not None and not sample.evaluation.isEmpty() else None
     document = feats.export_document(model, weight_scale=options.weight_scale, threshold=options.threshold)
     facts |= {"horizon": horizon, "residency_cap": cap, "n_pos": sample.n_pos, "n_neg": sample.n_neg, "true_positive_rate": sample.true_positive_rate, "holdout": metrics}
@@ -198,3 +201,15 @@ def class_of_reuse(rows: DataFrame, target: str, n_classes: int = 5) -> DataFram
     edges = feats.quantile_edges(rows, [target], n_classes)[target]
     return rows.withColumn("reuse_class", feats.bin_index(F.col(target), edges))
 
+
+
+def class_model(rows: DataFrame, features: list[str], label: str, *, n_bins: int = 5, key: list[str], seed: int = 42) -> DataFrame:
+    """A linear model of any number of classes over one-hot bins: the test rows (a fifth of each class) with their
+    ``predicted`` class. Edges come from the training rows."""
+    split = stratified_split(rows.where(F.col(label).isNotNull()), 0.2, label, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    learn, test = split.where("NOT is_test"), split.where("is_test")
+    edges = feats.quantile_edges(learn, features, n_bins, method="averaged_inverted_cdf")
+    n = feats.n_bins_of(edges)
+    encode = lambda part: feats.with_vectors(feats.discretise(part, edges), n)
+    model = LogisticRegression(labelCol=label, regParam=1e-6, standardization=False).fit(encode(learn))
+    return model.transform(encode(test)).select(*key, F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))

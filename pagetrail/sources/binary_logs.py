@@ -163,3 +163,9 @@ def trial_logs(spark: SparkSession, iters: list[Path], kind: str, prefix: str =
     if kind in PAGE_FIELDS:
         out = out.withColumn("page", F.struct(*(F.col(f"`{c}`").alias(a) for c, a in zip(PAGE_FIELDS[kind], ("dm", "dn", "inode", "index"), strict=True))))
     return out
+
+
+def first_trial(spark: SparkSession, base: str | Path, workload: str, prefix: str = "mglru_lc") -> dict[str, DataFrame]:
+    """All three logs of a workload's first trial, as trial 0. First is meant by name, so that iter_10 stands before iter_2."""
+    folder = min(discover(base, [workload])[workload], key=lambda p: p.name)
+    return {kind: trial_logs(spark, [folder], kind, prefix) for kind in LAYOUTS}

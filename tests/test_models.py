@@ -104,6 +104,14 @@ def test_student():
     assert student.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
 
 
+def test_independent_verdict(spark):
+    rows = spark.createDataFrame([("a", float(x)) for x in range(10)] + [("b", float(x) + 3) for x in range(10)], "policy string, v double")
+    row = statistics.independent_verdict(statistics.independent_test(rows, "v", "policy", "a", "b").first().asDict())
+    assert row["t"] == pytest.approx(-2.215647, abs=1e-5) and row["p"] == pytest.approx(0.039883, abs=1e-4) and row["effect_class"] == "large"
+    scored = statistics.normal_scores(statistics.qq_points(rows.where("policy = 'a'"), "v", ["policy"], [])).orderBy("v").collect()
+    assert scored[0]["theoretical"] == pytest.approx(-1.644854, abs=1e-5) and scored[9]["theoretical"] == pytest.approx(1.644854, abs=1e-5)
+
+
 def test_auc_of_one_class(spark):
     rows = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
     assert statistics.roc_auc(rows, "y", "s").first()["auc"] is None
@@ -133,6 +141,12 @@ def test_training_end_to_end(spark, tmp_path):
     out = tmp_path / "out" / "w"
     doc = json.loads((out / "model_weights.json").read_text())
     assert doc["feature_names"] == list(features.FEATURE_ORDER) and (out / "eval_report.txt").exists() and (out / "bin_edges").exists()
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    assert len(LogisticRegressionModel.load(str(out / "model")).coefficients) == sum(f["n_bins"] for f in doc["features"] if f["n_bins"] > 1)
+    from pagetrail.sources.binary_logs import first_trial
+
+    assert {k: v.count() for k, v in first_trial(spark, tmp_path / "data", "w").items()} == {"access": 120, "eviction": 80, "insertion": 0}
     assert result["residency_cap"] == 5 and result["horizon_source"] == "manual" and result["n_pos"] > 0 and result["n_neg"] > 0
     assert training.summary(spark, {"w": result}).count() == 1
 
