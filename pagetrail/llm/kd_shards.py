@@ -4,9 +4,9 @@ The tree splits all documents recursively at a weighted median along the
 dimension in which a node is widest, until each leaf is one shard.  Weights
 are bytes; a node that shall give s shards is split in the proportion of
 floor(s / 2) to the rest.  Medians are distributed: each round counts bytes in
-``BINS`` bins per node over a 62-bit key (31 bits of the scaled dimension, then
-31 bits of a hash that breaks ties), and goes on inside the bin that holds the
-median.  Only these bounded histograms reach the driver.  DataFrame functions
+1024 bins per node over a 62-bit key (31 bits of the scaled dimension, then 31
+bits of a hash that breaks ties), and goes on between the least and the largest
+key of the bin that holds the median.  Only these bounded histograms reach the driver.  DataFrame functions
 only.
 
 Defined results: a null text has no bytes; null metadata sorts first; rows with
@@ -76,35 +76,34 @@ def _split_all(rows: DataFrame, root: Node, open_leaves: list[Node], dimensions:
         leaf.low, width = r[f"{leaf.dimension}_low"], r[f"{leaf.dimension}_high"] - r[f"{leaf.dimension}_low"]
         leaf.scale = ((1 << _HALF) - 1) / width if width > 0 else 0.0
         goal = r["weight"] * (leaf.count // 2) / leaf.count
-        state[leaf.first] = {"leaf": leaf, "from": 0, "bits": 2 * _HALF, "before": 0, "goal": goal, "near": r["weight"] / leaf.count / 1000}
+        state[leaf.first] = {"leaf": leaf, "low": 0, "width": 1 << (2 * _HALF - BINS_BITS), "before": 0, "goal": goal, "near": r["weight"] / leaf.count / 1000}
     while state:
         hist = (
             rows.select("weight", root.choose(lambda n: _bin(state.get(n.first))).alias("at"))
             .where("at IS NOT NULL")
             .groupBy("at.leaf", "at.bin")
-            .agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+            .agg(F.sum("weight").alias("weight"), F.min("at.key").alias("low"), F.max("at.key").alias("high"))
             .collect()
         )
         by_leaf: dict[int, list] = {}
         for h in hist:
-            by_leaf.setdefault(h["leaf"], []).append((h["bin"], h["weight"], h["n"]))
+            by_leaf.setdefault(h["leaf"], []).append((h["low"], h["high"], h["weight"]))
         for first in list(state):
             s = state[first]
-            step = max(s["bits"] - BINS_BITS, 0)
             total = s["before"]
-            for b, weight, n in sorted(by_leaf.get(first, [])):
+            for low, high, weight in sorted(by_leaf.get(first, [])):
                 if total + weight < s["goal"]:
                     total += weight
-                    continue
-                if step and n > 1 and weight > s["near"]:
-                    s |= {"from": s["from"] + (b << step), "bits": step, "before": total}
+                elif high > low and weight > s["near"]:  # go on inside the keys that the bin really holds
+                    s |= {"low": low, "width": -(-(high - low + 1) >> BINS_BITS), "before": total}
+                    break
                 else:  # the bin goes to the nearer side
                     inside = total + weight - s["goal"] < s["goal"] - total
-                    s["leaf"].split = s["from"] + ((b + inside) << step)
+                    s["leaf"].split = high + 1 if inside else low
                     del state[first]
-                break
+                    break
             else:
-                s["leaf"].split = s["from"] + (1 << s["bits"])
+                s["leaf"].split = 1 << (2 * _HALF)
                 del state[first]
     for leaf in open_leaves:
         half = leaf.count // 2
@@ -112,12 +111,14 @@ def _split_all(rows: DataFrame, root: Node, open_leaves: list[Node], dimensions:
 
 
 def _bin(s: dict | None) -> Column:
-    kind = "struct<leaf:int,bin:long>"
+    kind = "struct<leaf:int,bin:long,key:long>"
     if s is None:
         return F.lit(None).cast(kind)
-    offset = s["leaf"].key() - F.lit(s["from"])
-    value = F.struct(F.lit(s["leaf"].first).alias("leaf"), F.shiftright(offset, max(s["bits"] - BINS_BITS, 0)).alias("bin")).cast(kind)
-    return F.when((offset >= 0) & (offset < F.lit(1 << s["bits"])), value)
+    key = s["leaf"].key()
+    bin_ = F.floor((key - F.lit(s["low"])) / F.lit(s["width"])).cast("long")
+    value = F.struct(F.lit(s["leaf"].first).alias("leaf"), bin_.alias("bin"), key.alias("key")).cast(kind)
+    last = s["low"] + (s["width"] << BINS_BITS)
+    return F.when((key >= F.lit(s["low"])) & (key < F.lit(min(last, (1 << 63) - 1))), value)
 
 
 def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column, *, shards: int | None = None, target: int | None = None) -> DataFrame:
