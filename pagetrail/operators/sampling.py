@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrail.operators.candidates import candidate_bands
-from pagetrail.operators.ranking import prefix_sums, row_numbers
+from pagetrail.operators.ranking import row_numbers
 
 
 def hashed(*cols: Column | str, seed: int) -> Column:
@@ -14,7 +14,7 @@ def hashed(*cols: Column | str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) * F.lit(2.0**-53)
 
 
-def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0) -> DataFrame:
+def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0, parts: int = 256) -> DataFrame:
     """n pairs per trial, with replacement, uniform over all pairs (record, position in [start, stop)).
 
     Returns trial_id, draw, key and e_idx.  Records are ranges on the line of all pairs; a draw is a point on it and
@@ -24,7 +24,13 @@ def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int
     width = F.greatest(F.col(stop) - F.col(start), F.lit(0))
     ranges = bands.select("trial_id", key, F.col(start).alias("start"), width.alias("n_pairs")).where("n_pairs > 0")
     totals = ranges.groupBy("trial_id").agg(F.sum("n_pairs").alias("total"))
-    placed = prefix_sums(ranges, ["trial_id"], key, "n_pairs", [])
+    # any order of the records will do: they are dealt by hash, and only those of one part are ordered
+    ranges = ranges.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    sums = ranges.groupBy("trial_id", "part").agg(F.sum("n_pairs").alias("amount"))
+    behind = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("trial_id", "part", F.coalesce(F.sum("amount").over(behind.partitionBy("trial_id").orderBy("part")), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("n_pairs").over(behind.partitionBy("trial_id", "part").orderBy(key)), F.lit(0))
+    placed = ranges.withColumn("inside", inside).join(sums, ["trial_id", "part"]).withColumn("before", F.col("offset") + F.col("inside"))
     spark = bands.sparkSession
     draws = totals.crossJoin(spark.range(n).withColumnRenamed("id", "draw"))  # one total per trial
     at = F.pmod(F.xxhash64(F.lit(seed), F.lit(stream), "trial_id", "draw"), "total")
