@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrail.operators.quantiles import quantiles
+
 #: Order among equal times: a probe that counts events before it, the event, a probe that counts events up to it.
 BEFORE, EVENT, UP_TO = 0, 1, 2
 
@@ -29,7 +31,7 @@ def valid_evictions(access: DataFrame, eviction: DataFrame, horizon: int) -> Dat
 
 def temporal_split(eviction: DataFrame, holdout: float) -> DataFrame:
     """Adds is_eval: the trial's evictions from the (1 - holdout) quantile on; never with holdout 0 or under two events."""
-    cut = eviction.groupBy("trial_id").agg(F.percentile("ts", F.lit(1.0 - holdout)).alias("cut"), F.count("*").alias("n"))
+    cut = quantiles(eviction, ["trial_id"], "ts", {"cut": 1.0 - holdout}).join(eviction.groupBy("trial_id").agg(F.count("*").alias("n")), "trial_id")
     enough = (F.lit(holdout) > 0) & (F.col("n") >= 2)
     return eviction.join(cut, "trial_id").withColumn("is_eval", enough & (F.col("ts") >= F.col("cut"))).drop("cut", "n")
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions.scalars import keep_or_evict, sigmoid
+from pagetrail.operators.quantiles import METHODS, quantiles
 
 #: The features of the deployed classifier, in the order that its consumer expects.
 FEATURE_ORDER = ("pd", "sz", "fq", "sd", "p2", "id", "i2", "ie", "time_since_last_access_at_eviction")
 MERGE_BELOW = 1e-8
-METHODS = ("linear", "averaged_inverted_cdf")
 
 
 def quantile_edges(rows: DataFrame, features: list[str], n_bins: int = 10, *, method: str = "linear", strategy: str = "quantile") -> dict[str, list[float]]:
@@ -23,29 +23,18 @@ def quantile_edges(rows: DataFrame, features: list[str], n_bins: int = 10, *, me
     if not 2 <= n_bins <= 127:
         raise ValueError("n_bins must be 2 to 127, so that a bin index fits a signed byte")
     shares = [i / n_bins for i in range(n_bins + 1)]
-    wanted = []
-    for f in features:
-        v = F.col(f).cast("double")
-        if strategy == "uniform":
-            low, high = F.min(v), F.max(v)
-            wanted.append(F.array(*(low + (high - low) * s for s in shares)).alias(f))
-        elif strategy != "quantile":
-            raise ValueError(f"unknown strategy {strategy}")
-        elif method == "linear":
-            wanted.append(F.percentile(v, F.array(*map(F.lit, shares))).alias(f))
-        elif method == "averaged_inverted_cdf":
-            wanted.append(F.array(*(inverted_cdf_average(f, s) for s in shares)).alias(f))
-        else:
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("x.*")
+    if strategy == "uniform":
+        spans = {r["feature"]: r for r in long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+        found = {f: [r["low"] + (r["high"] - r["low"]) * s for s in shares] for f, r in spans.items() if r["low"] is not None}
+    elif strategy == "quantile":
+        if method not in METHODS:
             raise ValueError(f"unknown quantile method {method}")
-    found = rows.agg(*wanted).first()
-    return {f: merged(list(found[f] or [])) for f in features}
-
-
-def inverted_cdf_average(feature: str, share: float) -> Column:
-    """The quantile that averages the two neighbours where the share falls between two values."""
-    up = F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY CAST({feature} AS DOUBLE))")
-    down = F.expr(f"percentile_disc({round(1 - share, 12)!r}D) WITHIN GROUP (ORDER BY CAST({feature} AS DOUBLE) DESC)")
-    return (up + down) / 2
+        names = {f"q{i}": s for i, s in enumerate(shares)}
+        found = {r["feature"]: [r[n] for n in names] for r in quantiles(long, ["feature"], "v", names, method=method).collect()}
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    return {f: merged(found.get(f, [])) for f in features}
 
 
 def merged(edges: list[float]) -> list[float]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.operators.asof import KEYS
+from pagetrail.operators.quantiles import quantiles
 
 PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -13,14 +14,15 @@ PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 def delta_summary(deltas: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, least, median and largest of the values that are known."""
     known = deltas.where(F.col(value).isNotNull())
-    return known.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("largest"))
+    spread = known.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    return spread.join(quantiles(known, by, value, {"median": 0.5}), by).select(*by, "n", "least", "median", "largest")
 
 
 def delta_percentiles(deltas: DataFrame, value: str, by: list[str], percents: tuple[int, ...] = PERCENTS) -> DataFrame:
     """One row per percent, by linear interpolation."""
-    known = deltas.where(F.col(value).isNotNull())
-    listed = known.groupBy(*by).agg(F.percentile(value, F.array(*(F.lit(p / 100) for p in percents))).alias("found"))
-    return listed.select(*by, F.posexplode("found").alias("at", "value")).select(*by, F.element_at(F.array(*map(F.lit, percents)), F.col("at") + 1).alias("percent"), "value")
+    found = quantiles(deltas, by, value, {f"p{p}": p / 100 for p in percents})
+    listed = F.explode(F.array(*(F.struct(F.lit(p).alias("percent"), F.col(f"p{p}").alias("value")) for p in percents)))
+    return found.select(*by, listed.alias("x")).select(*by, "x.percent", "x.value")
 
 
 def by_time_bin(insertions: DataFrame, delta: str, bins: int, spans: DataFrame) -> DataFrame:
@@ -28,7 +30,8 @@ def by_time_bin(insertions: DataFrame, delta: str, bins: int, spans: DataFrame)
     median and mean delta (null in a bin without any). Bins are half open, so that a row at the very end has none."""
     placed = insertions.join(spans, "trial_id").withColumn("bin", F.expr(f"((ts - start) * {bins}) div nullif(stop - start, 0)"))
     placed = placed.where(F.col("bin").between(0, bins - 1))
-    found = placed.groupBy("trial_id", "bin").agg(F.count("*").alias("n"), F.count(delta).alias("n_with"), F.percentile(delta, F.lit(0.5)).alias("median"), F.avg(delta).alias("mean"))
+    found = placed.groupBy("trial_id", "bin").agg(F.count("*").alias("n"), F.count(delta).alias("n_with"), F.avg(delta).alias("mean"))
+    found = found.join(quantiles(placed, ["trial_id", "bin"], delta, {"median": 0.5}), ["trial_id", "bin"], "left")
     every = spans.select("trial_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     share = F.coalesce(F.round(F.col("n_with") / F.col("n"), 9), F.lit(0.0))
     return every.join(found, ["trial_id", "bin"], "left").select("trial_id", "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_with", F.lit(0)).alias("n_with"), share.alias("share"), F.round("median", 3).alias("median"), F.round("mean", 3).alias("mean"))
@@ -37,11 +40,10 @@ def by_time_bin(insertions: DataFrame, delta: str, bins: int, spans: DataFrame)
 def before_insertion(found: DataFrame, thresholds: dict[str, int]) -> DataFrame:
     """found: insertions with before_ts. Count, spread and threshold shares of the time since the latest access."""
     gap = found.where("before_ts IS NOT NULL").withColumn("gap", F.col("ts") - F.col("before_ts"))
-    at = lambda p: F.round(F.percentile("gap", F.lit(p)), 3)
-    return gap.groupBy("trial_id").agg(
-        F.count("*").alias("n"), F.min("gap").alias("least"), at(0.01).alias("p1"), at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("gap").alias("largest"),
-        *(F.round(F.avg((F.col("gap") < limit).cast("int")), 9).alias(f"share_under_{name}") for name, limit in thresholds.items()),
-    )
+    shares = [F.round(F.avg((F.col("gap") < limit).cast("int")), 9).alias(f"share_under_{name}") for name, limit in thresholds.items()]
+    spread = gap.groupBy("trial_id").agg(F.count("*").alias("n"), F.min("gap").alias("least"), F.max("gap").alias("largest"), *shares)
+    at = quantiles(gap, ["trial_id"], "gap", {"p1": 0.01, "p10": 0.1, "median": 0.5, "p90": 0.9})
+    return spread.join(at.select("trial_id", *(F.round(c, 3).alias(c) for c in ("p1", "p10", "median", "p90"))), "trial_id")
 
 
 def ordering_anomalies(found: DataFrame, ordinals: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrail.operators.quantiles import quantiles
 from pagetrail.operators.ranking import position_bin, row_numbers
 
 PAGE = ["trial_id", "page"]
@@ -42,7 +43,7 @@ def reuse_label_coverage(labelled: DataFrame) -> DataFrame:
 def median_split(labelled: DataFrame, fill: float = 1e15) -> DataFrame:
     """Adds label: whether y, unknown ones filled, reaches the median of its trial."""
     filled = labelled.withColumn("y", F.coalesce(F.col("y").cast("double"), F.lit(fill)))
-    middle = filled.groupBy("trial_id").agg(F.percentile("y", F.lit(0.5)).alias("middle"))
+    middle = quantiles(filled, ["trial_id"], "y", {"middle": 0.5})
     return filled.join(middle, "trial_id").withColumn("label", (F.col("y") >= F.col("middle")).cast("int"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.functions import student
+from pagetrail.operators.quantiles import quantiles
 from pagetrail.operators.ranking import prefix_sums, row_numbers
 from pagetrail.shipping import ensure_shipped
 
@@ -61,12 +62,13 @@ def describe(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 def describe_table(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, mean, sample deviation and exact quartiles."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), *(F.percentile(v, F.lit(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)), F.max(v).alias("largest"))
+    moments = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("largest"))
+    return moments.join(quantiles(rows, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), by)
 
 
 def box_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, the whiskers (the last values within 1.5 quartile ranges) and the number of outliers."""
-    quart = rows.groupBy(*by).agg(*(F.percentile(value, F.lit(p)).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    quart = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.join(quart, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low_whisker"), F.max(F.when(inside, F.col(value))).alias("high_whisker"), F.count_if(~inside).alias("n_outliers"))
@@ -117,8 +119,10 @@ def independent_test(rows: DataFrame, value: str, policy: str, first: str, secon
     is_first, is_second = F.col(policy) == first, F.col(policy) == second
     pick = lambda f, c: f(F.when(c, v))
     out = rows.agg(
-        *(e.alias(f"{n}_{k}") for k, c in (("a", is_first), ("b", is_second)) for n, e in (("n", pick(F.count, c)), ("mean", pick(F.avg, c)), ("var", pick(F.var_samp, c)), ("pop", pick(F.var_pop, c)), ("median", F.percentile(F.when(c, v), F.lit(0.5)))))
+        *(e.alias(f"{n}_{k}") for k, c in (("a", is_first), ("b", is_second)) for n, e in (("n", pick(F.count, c)), ("mean", pick(F.avg, c)), ("var", pick(F.var_samp, c)), ("pop", pick(F.var_pop, c)))),
     )
+    middle = quantiles(rows.where(is_first | is_second), [policy], value, {"m": 0.5})
+    out = out.crossJoin(F.broadcast(middle.agg(F.max(F.when(is_first, F.col("m"))).alias("median_a"), F.max(F.when(is_second, F.col("m"))).alias("median_b"))))  # one row each
     pooled = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2)
     t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1 / F.col("n_a") + 1 / F.col("n_b")))
     d = (F.col("mean_a") - F.col("mean_b")) / F.sqrt((F.col("pop_a") + F.col("pop_b")) / 2)

@@ -53,7 +53,7 @@ def test_edges_and_bins(spark):
     for n in (7, 100):
         x = np.round(rng.normal(size=n), 1)
         rows = spark.createDataFrame([(float(v), 3.0) for v in x], "x double, constant double")
-        for method in features.METHODS:
+        for method in ("linear", "averaged_inverted_cdf"):
             got = features.quantile_edges(rows, ["x", "constant"], 5, method=method)
             want = features.merged(np.quantile(x, [i / 5 for i in range(6)], method=method).tolist())
             assert got["x"] == pytest.approx(want) and got["constant"] == [3.0]
