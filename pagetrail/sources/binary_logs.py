@@ -154,7 +154,7 @@ def discover(base: str | Path, workloads: list[str] | None = None) -> dict[str,
 PAGE_FIELDS = {"access": ("dm", "dn", "in", "of"), "insertion": ("dm", "dn", "in", "ix")}
 
 
-def trial_logs(spark: SparkSession, iters: list[Path], kind: str, prefix: str = "mglru_lc") -> DataFrame:
+def trial_logs(spark: SparkSession, iters: list[Path], kind: str, prefix: str = "*") -> DataFrame:
     """The logs of all trials in one table with trial_id, the position in the list; page keys become a struct ``page``."""
     out = None
     for trial, folder in enumerate(iters):
@@ -165,7 +165,7 @@ def trial_logs(spark: SparkSession, iters: list[Path], kind: str, prefix: str =
     return out
 
 
-def first_trial(spark: SparkSession, base: str | Path, workload: str, prefix: str = "mglru_lc") -> dict[str, DataFrame]:
+def first_trial(spark: SparkSession, base: str | Path, workload: str, prefix: str = "*") -> dict[str, DataFrame]:
     """All three logs of a workload's first trial, as trial 0. First is meant by name, so that iter_10 stands before iter_2."""
     folder = min(discover(base, [workload])[workload], key=lambda p: p.name)
     return {kind: trial_logs(spark, [folder], kind, prefix) for kind in LAYOUTS}

@@ -129,9 +129,9 @@ def trial(folder, spark, insertions=()):
         evictions.append({"ts": at + 1})
         if i < 40:
             access.append({"ts": at + 2, "in": i, "dm": 8, **own})
-    write(folder / "mglru_lc_access_x.bin", "access", access)
-    write(folder / "mglru_lc_eviction_x.bin", "eviction", evictions)
-    write(folder / "mglru_lc_insertion_x.bin", "insertion", [{"ts": t} for t in insertions])
+    write(folder / "trace_access_x.bin", "access", access)
+    write(folder / "trace_eviction_x.bin", "eviction", evictions)
+    write(folder / "trace_insertion_x.bin", "insertion", [{"ts": t} for t in insertions])
 
 
 def test_training_end_to_end(spark, tmp_path):
