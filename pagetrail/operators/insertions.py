@@ -34,7 +34,7 @@ def by_time_bin(insertions: DataFrame, delta: str, bins: int, spans: DataFrame)
     found = found.join(quantiles(placed, ["trial_id", "bin"], delta, {"median": 0.5}), ["trial_id", "bin"], "left")
     every = spans.select("trial_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     share = F.coalesce(F.round(F.col("n_with") / F.col("n"), 9), F.lit(0.0))
-    return every.join(found, ["trial_id", "bin"], "left").select("trial_id", "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_with", F.lit(0)).alias("n_with"), share.alias("share"), F.round("median", 3).alias("median"), F.round("mean", 3).alias("mean"))
+    return every.join(found, ["trial_id", "bin"], "left").select("trial_id", "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_with", F.lit(0)).alias("n_with"), share.alias("share"), F.round("median", 3).alias("median"), F.round("mean", 0).alias("mean"))
 
 
 def before_insertion(found: DataFrame, thresholds: dict[str, int]) -> DataFrame:

@@ -34,7 +34,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
         known = known.withColumn("_all", F.lit(0))
     counts = known.groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    placed = prefix_sums(counts, groups, "_v", "_n", []).join(totals, groups)
+    placed = prefix_sums(counts, groups, "_v", "_n", [], span_of=known).join(totals, groups)
     covers = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("_n"))
     wanted, found, mixed = F.lit(False), [], []
     for name, share in shares.items():

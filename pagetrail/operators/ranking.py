@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucketed(rows: DataFrame, value: str, *, rows_per_bucket: int = 100_000) -> DataFrame:
-    """Adds ``bucket``: equal ranges of the value, as many as give rows_per_bucket on average."""
-    seen = rows.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.count(value).alias("n")).first()
+def bucketed(rows: DataFrame, value: str, *, rows_per_bucket: int = 100_000, span_of: DataFrame | None = None) -> DataFrame:
+    """Adds ``bucket``: equal ranges of the value, as many as give rows_per_bucket on average.
+
+    span_of: a cheaper table with the same least and largest value, from which they are read.
+    """
+    seen = (rows if span_of is None else span_of).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.count(value).alias("n")).first()
     buckets = max(1, -(-seen["n"] // rows_per_bucket))
     width = ((seen["high"] or 0.0) - (seen["low"] or 0.0)) / buckets or 1.0
     return rows.withColumn("bucket", F.floor((F.col(value).cast("double") - F.lit(seen["low"] or 0.0)) / F.lit(width)))
@@ -32,9 +35,9 @@ def row_numbers(rows: DataFrame, group: list[str], value: str, ties: list[str],
     return numbered.join(_offsets(placed, group, F.lit(1)), [*group, "bucket"]).join(sizes, group).withColumn("rn", (F.col("offset") + F.col("inside")).cast("long")).drop("bucket", "offset", "inside")
 
 
-def prefix_sums(rows: DataFrame, group: list[str], value: str, amount: str, ties: list[str], *, rows_per_bucket: int = 100_000) -> DataFrame:
+def prefix_sums(rows: DataFrame, group: list[str], value: str, amount: str, ties: list[str], *, rows_per_bucket: int = 100_000, span_of: DataFrame | None = None) -> DataFrame:
     """Adds ``before``: the sum of the amount over the rows of the group that stand ahead."""
-    placed = bucketed(rows, value, rows_per_bucket=rows_per_bucket)
+    placed = bucketed(rows, value, rows_per_bucket=rows_per_bucket, span_of=span_of)
     own = Window.partitionBy(*group, "bucket").orderBy(value, *ties).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("inside", F.coalesce(F.sum(amount).over(own), F.lit(0)))
     return summed.join(_offsets(placed, group, F.col(amount)), [*group, "bucket"]).withColumn("before", F.col("offset") + F.col("inside")).drop("bucket", "offset", "inside")

@@ -164,7 +164,7 @@ def confusion(scored: DataFrame, label: Column, predicted: Column) -> DataFrame:
 def roc_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row: n_pos, n_neg and the exact area by average ranks; null with one class only."""
     values = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos")).withColumn("all", F.lit(0))
-    ranked = prefix_sums(values, ["all"], "s", "n", [])
+    ranked = prefix_sums(values, ["all"], "s", "n", [], span_of=scored.select(F.col(score).alias("s")))
     rank = F.col("before") + (F.col("n") + 1) / 2
     out = ranked.agg(F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"), F.sum(F.col("pos") * rank).alias("ranks"))
     area = (F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))

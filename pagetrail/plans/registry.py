@@ -331,7 +331,7 @@ def _time_bins_sql(source: str, delta: str, bins: int) -> str:
 pl AS (SELECT f.trial_id, CAST(floor((f.ts - start) * {bins} / (stop - start)) AS BIGINT) AS bin, {delta} AS delta FROM f JOIN sp USING (trial_id)),
 fo AS (SELECT trial_id, bin, count(*) AS n, count(delta) AS n_with, quantile_cont(delta, 0.5) AS median, avg(delta) AS mean FROM pl GROUP BY ALL),
 ev2 AS (SELECT trial_id, unnest(range({bins})) AS bin FROM sp)
-SELECT trial_id, bin, coalesce(n, 0) AS n, coalesce(n_with, 0) AS n_with, coalesce(round(n_with / n, 9), 0) AS share, round(median, 3) AS median, round(mean, 3) AS mean FROM ev2 LEFT JOIN fo USING (trial_id, bin)"""
+SELECT trial_id, bin, coalesce(n, 0) AS n, coalesce(n_with, 0) AS n_with, coalesce(round(n_with / n, 9), 0) AS share, round(median, 3) AS median, round(mean, 0) AS mean FROM ev2 LEFT JOIN fo USING (trial_id, bin)"""
 
 
 @query(_time_bins_sql(_AFTER, "first_ts - ts", 100), EVENTS_SQL)
