@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.llm.components import connected_components
@@ -128,6 +128,11 @@ def aligned_similarity(a: np.ndarray, b_sorted: np.ndarray, b_order: np.ndarray,
     return common / (n + m - common)
 
 
+def _node(text: str) -> Column:
+    """What names a text: a hash of its bytes, of none if it is null."""
+    return F.xxhash64(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, node (of the text's bytes), n (shingles), keys."""
 
@@ -139,14 +144,14 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("node"), pa.array(np.diff(at), pa.int32()), listed], ["k", "node", "n", "keys"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("node"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), _node(text).alias("node"))
     return mapped(rows, work, f"k {rows.schema['k'].dataType.simpleString()}, node long, n int, keys array<long>")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """node and text t of the wanted nodes, from the row of each whose key is rep."""
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    texts = texts.withColumn("own", F.xxhash64(F.md5(F.col("t").cast("binary"))))
+    texts = texts.withColumn("own", _node("t"))
     return cut(texts.join(wanted.select("rep", "node"), F.col("k").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("node"))).select("node", "t"))
 
 
@@ -210,9 +215,8 @@ def _prefixes(texts: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
     return ranked.where((F.col("place") <= length) & (F.col("x") != F.col("y"))).select("shingle", "node", "component", "n", "place")
 
 
-def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: key, class_id, class_size (documents), n_links (of its text to other texts that were
-    verified), representative (its id is the class id)."""
+def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (k, node) and one row per node: node, class_id, class_size, n_links, first (the node that stands for the class)."""
     base = cut(_sketched(docs, key, text))
     nodes = cut(base.groupBy("node").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), small=True)
     # keys are those of the least row of each text; equal texts have equal keys
@@ -246,17 +250,31 @@ def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str =
             components = connected_components(links)
     placed = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    totals = cut(placed.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), small=True)
-    classes = cut(placed.join(totals, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), small=True)
-    out = base.select("k", "node").join(classes, "node")
+    # the text with the least key stands for its class, one without a key only where no text of the class has one
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
+    totals = placed.groupBy("component").agg(least, F.sum("copies").alias("class_size"))
+    totals = cut(totals.select("component", F.col("least.rep").alias("class_id"), F.col("least.node").alias("first"), "class_size"), small=True)
+    classes = placed.join(totals, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node") == F.col("first")).alias("first"))
+    return base.select("k", "node"), cut(classes, small=True)
+
+
+def near_duplicate_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: key, class_id, class_size (documents), n_links (of its text to other texts that were
+    verified), representative (its id is the class id)."""
+    base, classes = _classes(docs, key, text, threshold)
+    out = base.join(classes, "node")
     return out.select(F.col("k").alias(key), "class_id", "class_size", "n_links", F.col("k").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the least key, with the columns of docs."""
-    kept = near_duplicate_classes(docs, key=key, text=text).where("representative").groupBy(key).agg(F.count("*").alias("n_rows"))
-    kept = cut(kept, small=True)
-    out = docs.join(kept, docs[key].eqNullSafe(kept[key]) if kept.where(F.col(key).isNull()).limit(1).count() else docs[key] == kept[key], "left_semi").select(*docs.columns)
-    if kept.where("n_rows > 1").limit(1).count():  # repeated rows of one key
-        out = out.dropDuplicates([key])
-    return out
+    """One document of each class, that with the least key, with the columns of docs.
+
+    Documents are found again by key and text, as keys may be null or stand at different texts."""
+    base, classes = _classes(docs, key, text, THRESHOLD)
+    kept = base.join(classes.where("first").select("node", "class_id"), "node").where(F.col("k").eqNullSafe(F.col("class_id")))
+    kept = cut(kept.groupBy(F.col("k").alias("_kept_key"), F.col("node").alias("_kept_node")).agg(F.count("*").alias("_n_rows")), small=True)
+    own = docs.withColumn("_node", _node(text))
+    out = own.join(kept, own[key].eqNullSafe(kept["_kept_key"]) & (own["_node"] == kept["_kept_node"]), "left_semi")
+    if kept.where("_n_rows > 1").limit(1).count():  # repeated rows of one key and text
+        out = out.dropDuplicates([key, "_node"])
+    return out.select(*docs.columns)

@@ -486,6 +486,22 @@ def test_near_duplicates_without_ids(spark):
     assert near_duplicates.drop_near_duplicates(docs).count() == 1
 
 
+def test_near_duplicates_keep_different_texts_of_one_key(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b.replace("b59", "x")
+
+    def kept(rows):
+        out = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    without = kept([(None, a), (None, b), (None, near), (None, c), (None, c)])
+    assert len(without) == 3 and {a, c} < {t for _, t in without}
+    assert kept([(1, a), (1, b), (1, b)]) == [(1, a), (1, b)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(None, a), (4, a), (None, b)]) == [(4, a), (None, b)]
+    assert len(kept([(2, b), (2, near)])) == 1
+
+
 def test_mixing_budgets(spark):
     for bins in (50, 20_000):
         docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(1.0).alias("weight"))
