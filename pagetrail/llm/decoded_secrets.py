@@ -7,21 +7,27 @@ seen before are not entered again, which also ends cycles of self-reproducing
 archives.  Every character of a layer knows the span of the text that it came
 from, so that a finding deep inside maps back to the text.
 
-Defined results: a null text counts as empty; an empty text has no spans; a
-layer that would inflate beyond ``MAX_LAYER_BYTES`` is not entered (a bomb
-guard, the enclosing layers are still scanned whole).  Positions are code
-points, ends are exclusive.  Repeated rows give repeated results.
+Bytes of base64 and compressed layers stand for the characters of their codes,
+whatever they are: all that is looked for is ASCII, which every encoding but the
+wide ones has in place.  A layer with NULs is also read without them, for UTF-16
+and UTF-32.
+
+Defined results: a null text counts as empty; an empty text has no spans; what
+inflates beyond ``CHUNK_BYTES`` is read in chunks that overlap, each a layer of
+its own.  Positions are code points, ends are exclusive.  Repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +38,8 @@ from pyspark.sql import functions as F
 from pagetrail.llm.shared import mapped
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 22
+_OVERLAP, _PIECE, _FED = 1 << 16, 1 << 20, 256
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _NAMES = ("passw", "secret", "token", "api")
@@ -40,7 +47,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+_ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: What starts compressed data: gzip, bz2, xz, lzma, and zlib with a full window.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x5d\x00\x00|\x78[\x01\x5e\x9c\xda]")
 
 
 class Span(NamedTuple):
@@ -118,82 +128,195 @@ def _from_unicode(m: re.Match) -> Iterator[tuple[str, int]]:
     yield chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", len(m[0])
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """Of gzip or zlib data; None if it is neither, or is too large."""
-    if not (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        return None
+def _opened(head: bytes):
+    """A decompressor for data that starts so, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0" or head[:3] == b"\x5d\0\0":
+        return lzma.LZMADecompressor()
+    if len(head) > 2 and head[0] & 15 == 8 and head[0] < 128 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    return None
+
+
+def _inflated(pieces: Iterator[bytes], at: list[int] | None = None) -> Iterator[bytes]:
+    """What compressed data holds, in pieces, over all members that follow each other; of broken data what comes before.
+
+    at: its item is set to where the last whole member ends."""
+    worker, data, read = None, b"", 0
+    more = iter(pieces)
+    ended = False
+    while True:
+        if worker is None:
+            while not ended and len(data) < 8:
+                piece = next(more, None)
+                ended = piece is None
+                data += piece or b""
+            if read and data[:1] == b"\0":  # padding between members
+                short = data.lstrip(b"\0")
+                read += len(data) - len(short)
+                data = short
+                continue
+            if (worker := _opened(data[:8])) is None:
+                return
+            is_zlib = not hasattr(worker, "needs_input")
+        fed, data = data[:_FED], data[_FED:]
+        read += len(fed)
+        try:
+            out = worker.decompress(fed, _PIECE)
+            while out or (is_zlib and worker.unconsumed_tail):
+                if out:
+                    yield out
+                if worker.eof or len(out) < _PIECE and not (is_zlib and worker.unconsumed_tail):
+                    break
+                out = worker.decompress(worker.unconsumed_tail if is_zlib else b"", _PIECE)
+        except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+            return
+        if worker.eof:
+            read -= len(worker.unused_data)
+            data, worker = worker.unused_data + data, None
+            if at is not None:
+                at[0] = read
+        elif not data:
+            data = next(more, b"")
+            if not data:
+                return
+
+
+def _chunks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces put together. A chunk goes on from where the base64 run at the end of the last one starts, and further back."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        if len(held) >= CHUNK_BYTES:
+            yield bytes(held)
+            run = len(held) - len(held.rstrip(_ALPHABET + b" \t\r\n"))
+            del held[: -min(run + _OVERLAP, CHUNK_BYTES // 2)]
+    if held:
+        yield bytes(held)
+
+
+def _compressed(raw: bytes, place: Callable[[int, int], tuple[int, int]], via: tuple[str, ...]) -> Iterator[Layer]:
+    """The layers of all compressed data in raw. place: the span of the text for a range of raw."""
+    starts = [0] if _opened(raw[:8]) else []
+    starts += [m.start() for m in _MAGIC.finditer(raw) if m.start()]
+    done = 0
+    for start in starts:
+        if start < done:
+            continue
+        at = [0]
+        if not any([bool(piece) for piece in _inflated(_fed(raw, start), at)]):
+            continue
+        done = start + at[0]
+        begin, end = place(start, done if at[0] else len(raw))
+        inner, heads = via, set()
+        while len(inner) < 64:  # compressed data may be compressed again
+            inner = (*inner, "compressed")
+            head = None
+            for chunk in _chunks(_nested(raw, start, len(inner) - len(via))):
+                head = chunk if head is None else head
+                yield Layer(chunk.decode("latin-1"), np.broadcast_to(begin, len(chunk)), np.broadcast_to(end, len(chunk)), inner)
+            token = None if head is None else hashlib.blake2b(head, digest_size=16).digest()
+            if head is None or token in heads or _opened(head[:8]) is None:
+                break
+            heads.add(token)
+
+
+def _fed(raw: bytes, start: int) -> Iterator[bytes]:
+    for i in range(start, len(raw), 1 << 16):
+        yield raw[i : i + (1 << 16)]
+
+
+def _nested(raw: bytes, start: int, times: int) -> Iterator[bytes]:
+    pieces = _fed(raw, start)
+    for _ in range(times):
+        pieces = _inflated(pieces)
+    return pieces
+
+
+def _leads_on(text: str) -> bool:
+    """Whether a layer has findings or layers below it."""
+    return bool("\0" in text or plain_spans(text) or _URL.search(text) or _UNICODE.search(text) or _BASE64.search(text))
+
+
+def _from_base64(layer: Layer, m: re.Match) -> Iterator[Layer | Iterator[Layer]]:
+    """The layers inside a base64 run, compressed or not."""
+    raw = _decoded(m[0].rstrip("="))
+    if raw is None:
+        return
+    at = np.arange(m.start(), m.end())
+    yield from _of_bytes(layer, raw, at, m.end())
+
+
+def _decoded(letters: str) -> bytes | None:
+    """The bytes of base64 letters in either alphabet; a last letter that completes no byte is left out."""
+    letters = letters.replace("-", "+").replace("_", "/")
+    letters = letters[: len(letters) - (len(letters) % 4 == 1)]
     try:
-        worker = zlib.decompressobj(47)
-        out = worker.decompress(raw, MAX_LAYER_BYTES)
-        return None if worker.unconsumed_tail else out
-    except zlib.error:
+        return binascii.a2b_base64(letters + "=" * (-len(letters) % 4))
+    except binascii.Error:
         return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(ch.isprintable() or ch in "\t\n\r" for ch in text) else None
+def _of_bytes(layer: Layer, raw: bytes, at: np.ndarray, end: int) -> Iterator[Layer | Iterator[Layer]]:
+    """The layers of the bytes that letters decode to. at: where the letters stand in the layer; end: where their run ends."""
+    via = (*layer.via, "base64")
+    text = raw.decode("latin-1")
+    if _leads_on(text):
+        byte = np.arange(len(raw))
+        first, last = at[byte * 8 // 6], at[(byte * 8 + 7) // 6]
+        yield Layer(text, first if layer.begin is None else layer.begin[first], last + 1 if layer.end is None else layer.end[last], via)
 
+    def place(start: int, stop: int) -> tuple[int, int]:
+        last = (stop * 8 + 5) // 6
+        return layer.span(int(at[start * 8 // 6]), end if stop == len(raw) or last >= len(at) else int(at[last - 1]) + 1)
 
-def _from_base64(layer: Layer, m: re.Match) -> Layer | None:
-    """The layer inside a base64 run, compressed or not."""
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    whole = layer.span(m.start(), m.end())
-    via = (*layer.via, "base64")
-    inflated = _inflated(raw)
-    while inflated is not None:
-        raw, via = inflated, (*via, "compressed")
-        inflated = _inflated(raw) if len(via) < 64 else None
-    text = _readable(raw)
-    if text is None:
-        return None
-    if via[-1] == "compressed":  # no character has a place of its own
-        return Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]), via)
-    width = np.fromiter((len(ch.encode()) for ch in text), np.int64, len(text))
-    last = np.cumsum(width)
-    first_char = m.start() + (last - width) * 8 // 6
-    last_char = m.start() + ((last * 8 - 1) // 6)
-    begin = first_char if layer.begin is None else layer.begin[first_char]
-    end = last_char + 1 if layer.end is None else layer.end[last_char]
-    return Layer(text, begin, end, via)
-
-
-def unwrapped(layer: Layer) -> Iterator[Layer]:
-    """The layers directly below a layer."""
+    if _opened(raw[:8]) or _MAGIC.search(raw):
+        yield _compressed(raw, place, via)
+
+
+def _without_nul(layer: Layer) -> Layer:
+    """What a layer of wide characters (UTF-16, UTF-32) says in ASCII."""
+    held = np.flatnonzero(np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    return Layer(layer.text.replace("\0", ""), held if layer.begin is None else layer.begin[held], held + 1 if layer.end is None else layer.end[held], layer.via)
+
+
+def unwrapped(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
+    """The layers directly below a layer; those of compressed data as an iterator, as they can be large."""
     text = layer.text
     if "%" in text and (found := list(_URL.finditer(text))):
         yield _rewritten(layer, found, _from_url, "url")
     if ("\\" in text or "&#" in text) and (found := list(_UNICODE.finditer(text))):
         yield _rewritten(layer, found, _from_unicode, "unicode")
+    if "\0" in text:
+        yield _without_nul(layer)
     for m in _BASE64.finditer(text):
-        if (inner := _from_base64(layer, m)) is not None:
-            yield inner
+        yield from _from_base64(layer, m)
 
 
 def scan(text: str | None) -> list[Span]:
     """All spans of a text, those of its own layer with depth 0."""
-    first = Layer(text or "", None, None, ())
-    work, seen, spans = deque([first]), set(), {}
+    work, seen, spans = deque([Layer(text or "", None, None, ())]), set(), {}
     while work:
         layer = work.popleft()
+        if not isinstance(layer, Layer):  # one chunk at a time
+            chunks, layer = layer, next(layer, None)
+            if layer is None:
+                continue
+            work.append(chunks)
+        if layer.via:
+            start = layer.begin[0] if len(layer.begin) else -1
+            token = hashlib.blake2b(f"{start}:{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if not layer.text or token in seen:
+                continue
+            seen.add(token)
         for start, end, kind in plain_spans(layer.text):
             place = (*layer.span(start, end), kind)
             if place not in spans:
                 spans[place] = Span(*place, len(layer.via), ">".join(layer.via))
-        for inner in unwrapped(layer):
-            token = hashlib.blake2b(f"{inner.begin[0] if len(inner.begin) else -1}:{inner.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if inner.text and token not in seen:
-                seen.add(token)
-                work.append(inner)
+        work.extend(unwrapped(layer))
     return sorted(spans.values(), key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -137,6 +139,33 @@ def test_secrets_inside_layers(wrap, via):
     assert "[SECRET]" in masked and not any(s.kind == "assign" for s in decoded_secrets.scan(masked))
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "é password = hunter2hunter2\u00a0\u200d\x00\x0c".encode(),
+        "é password = hunter2hunter2 ".encode("latin-1"),
+        "password = hunter2hunter2".encode("utf-16"),
+        gzip.compress(b"a first member") + gzip.compress(b"password = hunter2hunter2 "),
+        gzip.compress(b"password = hun") + gzip.compress(b"ter2hunter2 "),
+        bz2.compress(b"password = hunter2hunter2 "),
+        lzma.compress(b"\xff password = hunter2hunter2 "),
+        gzip.compress(b"0g " * (6 << 20) + b"password = hunter2hunter2"),
+    ],
+)
+def test_secrets_in_any_bytes(raw):
+    text = f"word {base64.b64encode(raw).decode()} word"
+    found = decoded_secrets.scan(text)
+    assert any(s.kind == "assign" and s.depth for s in found) and all(5 <= s.start < s.end <= len(text) - 5 for s in found)
+
+
+def test_chunks_overlap(monkeypatch):
+    monkeypatch.setattr(decoded_secrets, "CHUNK_BYTES", 4096)
+    monkeypatch.setattr(decoded_secrets, "_OVERLAP", 256)
+    for before in range(4000, 4200, 7):
+        raw = zlib.compress(b"." * before + b"password = hunter2hunter2 " + b"." * 9000)
+        assert [s.kind for s in decoded_secrets.scan(base64.b64encode(raw).decode()) if s.depth] == ["assign"]
+
+
 def test_secrets_edges(edge, empty):
     out = rows(decoded_secrets.digest(decoded_secrets.find_secrets(edge)))
     assert len(out) == len(EDGE)
