@@ -2,7 +2,8 @@
 
 A text is the first layer of a worklist.  Every layer is scanned; then its URL
 escapes, Unicode escapes and base64 runs (whose bytes may be compressed) are
-unwrapped into further layers, until no new layer appears.  Layers that were
+unwrapped into further layers, until no new layer appears.  A base64 run goes
+on over line ends and is read at all four alignments of its letters.  Layers that were
 seen before are not entered again, which also ends cycles of self-reproducing
 archives.  Every character of a layer knows the span of the text that it came
 from, so that a finding deep inside maps back to the text.
@@ -47,7 +48,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: A line end inside a base64 run, also a written one, with quotes, indents and comment signs around it.
+_BREAK = r"""["'\x20\t]*(?:\\?\r*\n|\\?\r|(?:\\r)?\\n)["'\x20\t>\#*|]*"""
+_BREAKS = re.compile(_BREAK)
+#: A run with its further lines, or a run within a line. 16 letters hold the shortest secret.
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{{16,}}+)={{0,2}}")
+_RUN_LETTERS = 16
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: What starts compressed data: gzip, bz2, xz, lzma, and zlib with a full window.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x5d\x00\x00|\x78[\x01\x5e\x9c\xda]")
@@ -242,12 +248,17 @@ def _leads_on(text: str) -> bool:
 
 
 def _from_base64(layer: Layer, m: re.Match) -> Iterator[Layer | Iterator[Layer]]:
-    """The layers inside a base64 run, compressed or not."""
-    raw = _decoded(m[0].rstrip("="))
-    if raw is None:
+    """The layers inside a base64 run, compressed or not, at each of the four alignments, as other letters may stand before it."""
+    run = m[0].rstrip("=")
+    breaks = [(0, 0), *(x.span() for x in _BREAKS.finditer(run)), (len(run), len(run))]
+    lines = [(a, b) for (_, a), (b, _) in zip(breaks, breaks[1:], strict=False)]
+    letters = "".join(run[a:b] for a, b in lines)
+    if len(letters) < _RUN_LETTERS:
         return
-    at = np.arange(m.start(), m.end())
-    yield from _of_bytes(layer, raw, at, m.end())
+    at = m.start() + np.concatenate([np.arange(a, b) for a, b in lines])
+    for skip in range(min(4, len(letters) - _RUN_LETTERS + 1)):
+        if (raw := _decoded(letters[skip:])) is not None:
+            yield from _of_bytes(layer, raw, at[skip:], m.end())
 
 
 def _decoded(letters: str) -> bytes | None:

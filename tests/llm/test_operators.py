@@ -158,6 +158,27 @@ def test_secrets_in_any_bytes(raw):
     assert any(s.kind == "assign" and s.depth for s in found) and all(5 <= s.start < s.end <= len(text) - 5 for s in found)
 
 
+@pytest.mark.parametrize("width", [19, 64, 76])
+@pytest.mark.parametrize("between", ["\n", "\r\n", "\n    ", "\n> ", '" \\\n "', "\\n"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_secrets_in_wrapped_base64(width, between, pack):
+    inner = pack("é plain words ".encode() * 3 + b"password = hunter2hunter2 " + bytes(range(256)))
+    code = base64.b64encode(inner).decode()
+    text = "word " + between.join(code[i : i + width] for i in range(0, len(code), width)) + " word"
+    found = [s for s in decoded_secrets.scan(text) if s.kind == "assign" and s.depth]
+    assert found and all(5 <= s.start < s.end <= len(text) - 5 for s in found)
+
+
+@pytest.mark.parametrize("before", ["path/", "key_", "name-", "a", "ab", "abc", "a line\nwith "])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_secrets_in_glued_base64(before, pack):
+    code = base64.b64encode(pack(b"password = hunter2hunter2 ")).decode().rstrip("=")
+    for after in ("", "x", "xy", "\nword"):
+        text = f"{before}{code}{after} word"
+        found = [s for s in decoded_secrets.scan(text) if s.kind == "assign" and s.depth]
+        assert found and all(len(before) <= s.start < s.end <= len(before + code) for s in found)
+
+
 def test_chunks_overlap(monkeypatch):
     monkeypatch.setattr(decoded_secrets, "CHUNK_BYTES", 4096)
     monkeypatch.setattr(decoded_secrets, "_OVERLAP", 256)
