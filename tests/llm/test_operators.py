@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import lzma
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -324,6 +325,27 @@ def test_license_edges(spark, edge, empty):
     assert out[2]["license"] == "MIT-grant" and 0.9 < out[2]["dice"] < 1
 
 
+def test_wrapped_licenses(spark):
+    filler = "\n".join(f"line {i} of some other words about nothing at all" for i in range(40))
+    names = ["MIT-grant", "BSD-grant", "ISC-grant", "GPL-3.0-header", "MPL-2.0-header", "Apache-2.0-header"]
+    data = []
+    for n, name in enumerate(names):
+        for m, mark in enumerate(("", "# ")):
+            notice = "\n".join(mark + x for x in textwrap.wrap(license_match.TEMPLATES[name], 76))
+            data.append((2 * n + m, f"{filler}\n{notice}\n\n{filler}", "en", "s", 1))
+    texts = [*license_match.FULL_TEXTS]
+    data += [(100 + i, f"Title\n\nCopyright (c) 2020 Some One\n\n{textwrap.fill(license_match.FULL_TEXTS[name], 78)}\n", "en", "s", 1) for i, name in enumerate(texts)]
+    data.append((200, data[0][1] + "\n" + data[0][1] + "\nReleased under the\nMIT License\nReleased under the MIT License", "en", "s", 1))
+    out = {r["doc_id"]: r for r in rows(license_match.document_licenses(spark.createDataFrame(data, SCHEMA)))}
+    for n, name in enumerate(names):
+        for m in range(2):
+            assert name in out[2 * n + m]["licenses"].split(",") and out[2 * n + m]["dice"] > 0.95
+    for i, name in enumerate(texts):
+        assert name in out[100 + i]["licenses"].split(",")
+    found = Counter(r["license"] for r in rows(license_match.license_lines(spark.createDataFrame(data[-1:], SCHEMA))))
+    assert found["MIT-grant"] == 2 and found["MIT"] == 2
+
+
 # 6 fingerprints
 
 
