@@ -9,7 +9,8 @@ from pagetrail.llm.shared import cut
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links: columns a, b (long). Returns node, component (the least node of its component), for linked nodes.
+    """links: columns a, b of one type that can be ordered. Returns node, component (the least node of its component),
+    for linked nodes.
 
     Each round gives a node the least of its own label, the labels of its neighbours, and the label of its label, so
     that the rounds grow with the logarithm of the longest path.  No list of neighbours is gathered; the labels of a
@@ -18,16 +19,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     some = links.where("a <> b")
     both = cut(some.select("a", "b").unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), small=True)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), small=True)
-    weight = F.sum(F.col("label").cast("decimal(20,0)"))
-    before = labels.agg(weight).first()[0]
-    while before is not None:
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    while True:
+        labels = labels.select("node", "label")
         of_neighbour = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         of_label = labels.select(F.col("node").alias("l_node"), F.col("label").alias("far"))
         joined = labels.join(of_label, F.col("label") == F.col("l_node")).select("node", "label", "far").join(of_neighbour, "node")
-        labels = cut(joined.select("node", F.least("label", "far", "near").alias("label")), small=True)
-        after = labels.agg(weight).first()[0]
-        if after == before:
-            break
-        before = after
-    return labels.select("node", F.col("label").alias("component"))
+        least = F.least("label", "far", "near")
+        labels = cut(joined.select("node", least.alias("label"), (least != F.col("label")).alias("changed")), small=True)
+        if labels.where("changed").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))

@@ -11,16 +11,22 @@ band that the threshold leaves: the longest common subsequence M of sequences
 of lengths a and b must reach M / (a + b - M) >= 0.8.  The labelled shingles of
 a text are distinct, so that M is a longest increasing run of match positions.
 
-Equal texts become one node first.  In a group of nodes with an equal key, all
-are compared with one leader.  Nodes of groups that still hold different
-components afterwards are compared where they share a rare shingle: by the
-prefix filter, which loses no link, two texts that are near share one of the
-rarest 20% of their shingles.
+Equal texts become one node first, named by the MD5 of their bytes.  In a group
+of nodes with an equal key, all are compared with one leader.  Nodes of groups
+that still hold different components afterwards are compared where they share a
+rare shingle: by the prefix filter, which loses no link, two texts that are near
+share one of the rarest 20% of their shingles.  The lists of nodes by rare
+shingle are worked off in rounds: a round compares a few members of each list
+(4, then 12, 48, ... as long as a list has more) with those behind them, then
+components are formed anew and lists that lie within one component are left out.
+So all pairs of a list are compared only where its texts are not near each other.
 
 Defined results: null texts count as empty; all texts without words and equal
 bytes are copies; texts of one to four words have one shingle of all words;
-repeated rows are copies of each other; class ids are the least doc_id of the
-class; an empty table gives no rows.
+repeated rows are copies of each other; ties of leaders go to the greater node;
+class ids are the least doc_id of the class, null only where none of its rows has
+one; keys may be of any type that can be ordered; whole texts are compared,
+however long; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,16 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.llm.components import connected_components
-from pagetrail.llm.shared import cut, mapped, slices
+from pagetrail.llm.shared import by_position, cut, mapped, slices, uniform
 from pagetrail.llm.words import Words, keyed, mix64, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 2
 _GROUP = 64  # members that one copy of a leader's text serves
+_SLOTS = 1 << 18  # counters by which shingles are ordered; their number bounds what the driver gets
+_LEADERS = 4  # members of a list that the first round compares with the others; each round takes so many times more
 
 
 def labelled_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +137,12 @@ def aligned_similarity(a: np.ndarray, b_sorted: np.ndarray, b_order: np.ndarray,
 
 
 def _node(text: str) -> Column:
-    """What names a text: a hash of its bytes, of none if it is null."""
-    return F.xxhash64(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    """What names a text: the MD5 of its bytes, of none if it is null."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, node (of the text's bytes), n (shingles), keys."""
+    """k, node (of the text's bytes), n (shingles), keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "t")):
@@ -145,14 +153,15 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("node"), pa.array(np.diff(at), pa.int32()), listed], ["k", "node", "n", "keys"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), _node(text).alias("node"))
-    return mapped(rows, work, f"k {rows.schema['k'].dataType.simpleString()}, node long, n int, keys array<long>")
+    return mapped(rows, work, f"k {rows.schema['k'].dataType.simpleString()}, node binary, n int, keys array<long>")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node and text t of the wanted nodes, from the row of each whose key is rep."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
+    """node and text t of the wanted nodes, from the row of each whose key is rep. repeated: several rows may be that row."""
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts = texts.withColumn("own", _node("t"))
-    return cut(texts.join(wanted.select("rep", "node"), F.col("k").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("node"))).select("node", "t"))
+    found = texts.join(wanted.select("rep", "node"), F.col("k").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("node"))).select("node", "t")
+    return cut(found.dropDuplicates(["node"]) if repeated else found)
 
 
 def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -160,14 +169,14 @@ def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 
     A leader's text goes once to each group of up to ``_GROUP`` members, not to each member.
     """
-    sizes = cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / _GROUP).cast("long").alias("groups")), small=True)
+    sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / _GROUP).cast("long").alias("groups"))
     members = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("node"), "groups").alias("part"), F.lit(1).alias("role"), "node")
     leaders = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("lead").alias("node"))
     dealt = members.unionByName(leaders).join(texts, "node").select("lead", "part", "role", "node", "t")
     dealt = dealt.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lead_sorted, lead_order, last = None, None, None, None
+        now, lead_sorted, lead_order = None, None, None
         for batch in (s for b in batches for s in slices(b, "t")):
             shingles, at = labelled_shingles(batch.column("t"))
             a, b, sim = [], [], []
@@ -175,85 +184,125 @@ def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
             for i, (lead, part, role, node) in enumerate(heads):
                 own = shingles[at[i] : at[i + 1]]
                 if role == 0:
-                    if now != (lead, part):
-                        order = np.argsort(own)
-                        now, lead_sorted, lead_order, last = (lead, part), own[order], order, None
-                elif node != last:  # repeated rows
-                    last = node
-                    if now == (lead, part) and (s := aligned_similarity(own, lead_sorted, lead_order, threshold)) >= threshold:
-                        a.append(node)
-                        b.append(lead)
-                        sim.append(s)
+                    order = np.argsort(own)
+                    now, lead_sorted, lead_order = (lead, part), own[order], order
+                elif now == (lead, part) and (s := aligned_similarity(own, lead_sorted, lead_order, threshold)) >= threshold:
+                    a.append(node)
+                    b.append(lead)
+                    sim.append(s)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    return mapped(dealt, work, "a long, b long, similarity double")
+    return mapped(dealt, work, "a binary, b binary, similarity double")
 
 
-def _prefixes(texts: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
-    """left: node, component. Returns shingle, node, component, n, place for the prefix of each node's shingles.
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - _SLOTS.bit_length() + 1)).astype(np.int64)
 
-    Shingles are ordered by how many of the nodes hold them.  A near pair shares 80% of the shingles of either text,
-    so that it shares one within the first 20% (and one) of each; shingles of one node alone take their place
-    there, but match nothing.
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """About how often each shingle occurs: a counter for each of ``_SLOTS`` ranges of hashes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SLOTS, np.int64)
+        for batch in (s for b in batches for s in slices(b, "t")):
+            total += np.bincount(_slot(labelled_shingles(batch.column("t"))[0]), minlength=_SLOTS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], ["slot", "n"])
+
+    found = mapped(texts.select("t"), work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a row per slot at most
+    out = np.zeros(_SLOTS, np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """shingle, node, n, place for the prefix of each text's shingles.
+
+    Any one order of all shingles will do for the prefix filter; rare ones come first here, as far as counters tell,
+    since their lists are short.  A near pair shares 80% of the shingles of either text, so that it shares one within
+    the first 20% (and one) of each.  A text is ordered inside its task; no exchange gathers shingles by text.
     """
+    often = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))  # _SLOTS numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "t")):
             shingles, at = labelled_shingles(batch.column("t"))
             size = np.diff(at)
-            pick = pa.array(np.repeat(np.arange(batch.num_rows), size))
-            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), batch.column("node").take(pick), batch.column("component").take(pick), pa.array(np.repeat(size, size), pa.int32())], ["shingle", "node", "component", "n"])
-
-    held = texts.join(left, "node").select("node", "component", "t")
-    listed = cut(mapped(held, work, "shingle long, node long, component long, n int"))
-    often = cut(listed.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("c > 1"))
-    own = Window.partitionBy("node").orderBy("c", "shingle")
-    ranked = listed.join(often, "shingle").withColumn("at", F.row_number().over(own)).withColumn("shared", F.count("*").over(Window.partitionBy("node")))
-    ranked = ranked.withColumn("place", F.col("n") - F.col("shared") + F.col("at"))
-    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-    return ranked.where((F.col("place") <= length) & (F.col("x") != F.col("y"))).select("shingle", "node", "component", "n", "place")
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((shingles, often.value[_slot(shingles)], owner))
+            place = np.arange(len(owner)) - at[owner] + 1
+            length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            kept = place <= length[owner]
+            owner, place, shingles = owner[kept], place[kept], shingles[order][kept]
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), batch.column("node").take(pa.array(owner)), pa.array(size[owner], pa.int32()), pa.array(place, pa.int32())], ["shingle", "node", "n", "place"])
+
+    return mapped(texts.select("node", "t"), work, "shingle long, node binary, n int, place int")
+
+
+def _with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """A node without links is a component of its own."""
+    return rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _rest_compared(texts: DataFrame, pairs: DataFrame, links: DataFrame, components: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """texts: of the nodes that leaders left open; pairs: compared already. Returns links and components with those
+    that texts with a common rare shingle add."""
+    prefixes = cut(_prefixes(texts, threshold))
+    lists = prefixes.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(prefixes.join(lists, "shingle").withColumn("u", uniform("shingle", "node") * F.col("c")))
+    low, high = 0, _LEADERS
+    while True:
+        placed = _with_components(shared.where(F.col("c") > low), components)
+        apart = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+        work = cut(placed.join(apart, "shingle", "left_semi"), small=True)
+        if work.isEmpty():
+            return links, components
+        lead = work.where(F.col("u").between(low, high) & (F.col("u") < high)).select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("component").alias("lead_component"), F.col("u").alias("lead_u"))
+        # from the first shingle that a pair shares on, enough must be left in both
+        enough = 1 + F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) >= F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("lead_n")) - 1e-9)
+        behind = F.struct("u", "node") > F.struct("lead_u", "lead")
+        more = work.join(lead, "shingle").where(behind & (F.col("component") != F.col("lead_component")) & enough).select("node", "lead").distinct()
+        either = pairs.unionByName(pairs.select(F.col("lead").alias("node"), F.col("node").alias("lead")))
+        more = cut(more.join(either, ["node", "lead"], "left_anti"), small=True)
+        extra = cut(_compared(texts, more, threshold), small=True)
+        if not extra.isEmpty():
+            links = links.unionByName(extra)
+            components = connected_components(links)
+        pairs = pairs.unionByName(more)
+        low, high = high, high * _LEADERS
 
 
 def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Rows (k, node) and one row per node: node, class_id, class_size, n_links, first (the node that stands for the class)."""
     base = cut(_sketched(docs, key, text))
-    nodes = cut(base.groupBy("node").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), small=True)
-    # keys are those of the least row of each text; equal texts have equal keys
-    distinct = base.groupBy("node").agg(F.min(F.struct("n", "keys")).alias("s")).select("node", "s.n", F.explode("s.keys").alias("band"))
-    rows = cut(distinct)
-    groups = cut(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), small=True)
-    shared = cut(rows.join(groups, "band"))
+    repeated = not base.groupBy("k", "node").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    # equal texts have equal keys
+    nodes = cut(base.groupBy("node").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    bands = nodes.select("node", "n", F.explode("keys").alias("band"))
+    groups = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(bands.join(groups, "band"))
     # the leader of a group is the text that meets most others over all groups, as it stands nearest to the middle
     led = shared.join(shared.groupBy("node").agg(F.sum("c").alias("met")), "node")
     leaders = led.groupBy("band").agg(F.max(F.struct("met", "node", "n")).alias("x")).select("band", F.col("x.node").alias("lead"), F.col("x.n").alias("lead_n"))
-    shared = cut(shared.join(cut(leaders, small=True), "band"))
-    near_size = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    texts = _texts_of(docs, cut(shared.select("node").distinct().join(nodes, "node"), small=True), key, text)
-    pairs = cut(shared.where((F.col("node") != F.col("lead")) & near_size(F.col("n"), F.col("lead_n"))).select("node", "lead").distinct(), small=True)
+    near_size = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
+    pairs = cut(shared.join(leaders, "band").where((F.col("node") != F.col("lead")) & near_size).select("node", "lead").distinct(), small=True)
+    grouped = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    texts = _texts_of(docs, grouped, key, text, repeated)
     links = cut(_compared(texts, pairs, threshold))
     components = connected_components(links)
     # what one leader didn't join: nodes of groups that hold several components
-    placed = cut(shared.select("band", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), small=True)
-    open_bands = cut(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"), small=True)
-    left = cut(placed.join(open_bands, "band", "left_semi").select("node", "component").distinct(), small=True)
+    placed = _with_components(shared.select("band", "node"), components)
+    open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    left = cut(placed.join(open_bands, "band", "left_semi").select("node").distinct(), small=True)
     if not left.isEmpty():
-        prefixes = cut(_prefixes(texts, left, threshold))
-        other = prefixes.select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("component").alias("lead_component"))
-        # from the first shingle that a pair shares on, enough must be left in both
-        enough = 1 + F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) >= F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("lead_n")) - 1e-9)
-        apart = (F.col("node") > F.col("lead")) & (F.col("component") != F.col("lead_component")) & enough
-        more = prefixes.join(other, "shingle").where(apart).select("node", "lead").distinct()
-        extra = cut(_compared(texts, cut(more.join(pairs, ["node", "lead"], "left_anti"), small=True), threshold))
-        if not extra.isEmpty():
-            links = links.unionByName(extra)
-            components = connected_components(links)
-    placed = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links, components = _rest_compared(cut(texts.join(left, "node")), pairs, links, components, threshold)
+    placed = _with_components(nodes.select("node", "rep", "copies"), components)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     # the text with the least key stands for its class, one without a key only where no text of the class has one
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
     totals = placed.groupBy("component").agg(least, F.sum("copies").alias("class_size"))
-    totals = cut(totals.select("component", F.col("least.rep").alias("class_id"), F.col("least.node").alias("first"), "class_size"), small=True)
+    totals = totals.select("component", F.col("least.rep").alias("class_id"), F.col("least.node").alias("first"), "class_size")
     classes = placed.join(totals, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node") == F.col("first")).alias("first"))
     return base.select("k", "node"), cut(classes, small=True)
 
@@ -272,9 +321,10 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     Documents are found again by key and text, as keys may be null or stand at different texts."""
     base, classes = _classes(docs, key, text, THRESHOLD)
     kept = base.join(classes.where("first").select("node", "class_id"), "node").where(F.col("k").eqNullSafe(F.col("class_id")))
-    kept = cut(kept.groupBy(F.col("k").alias("_kept_key"), F.col("node").alias("_kept_node")).agg(F.count("*").alias("_n_rows")), small=True)
-    own = docs.withColumn("_node", _node(text))
-    out = own.join(kept, own[key].eqNullSafe(kept["_kept_key"]) & (own["_node"] == kept["_kept_node"]), "left_semi")
-    if kept.where("_n_rows > 1").limit(1).count():  # repeated rows of one key and text
-        out = out.dropDuplicates([key, "_node"])
-    return out.select(*docs.columns)
+    kept = cut(kept.groupBy("k", "node").agg(F.count("*").alias("n_rows")), small=True)
+    rows, k, t = by_position(docs, key, text)
+    own = rows.withColumn("own", _node(t))
+    out = own.join(kept, own[k].eqNullSafe(kept["k"]) & (own["own"] == kept["node"]), "left_semi")
+    if not kept.where("n_rows > 1").isEmpty():  # repeated rows of one key and text
+        out = out.dropDuplicates([k, "own"])
+    return out.drop("own").toDF(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,11 +19,14 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a session without one (tests) gets a local folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local session without one (tests) gets a folder of its own; on
+    a cluster its absence is an error, as executors don't share local folders."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -54,6 +58,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def by_position(docs: DataFrame, *columns: str) -> tuple:
+    """The rows with columns named c0, c1, ... by position, so that added ones clash with none; and the new names of columns."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), *(f"c{docs.columns.index(c)}" for c in columns)
+
+
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
     """A reproducible number in [0, 1) from the values of columns; independent of partitioning."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) * F.lit(2.0**-53)).cast("double")
