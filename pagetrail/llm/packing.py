@@ -2,16 +2,25 @@
 
 Documents are tokenised and end with token 0.  Whole windows of a document
 become sequences of their own; its rest is packed with the rests of lexically
-near documents: documents are dealt into shards, each shard holds a BM25
-inverted index over token ids (their document frequencies are those of the
-whole corpus), a seed document asks it for its nearest unused neighbours, and
-these fill the seed's window greedily.  The last neighbour is cut so that the
-window is full; what is left of it waits as a document of its own.
+near documents: a BM25 inverted index over the token ids of whole documents is
+cut into shards of near documents, a seed document asks its shard for its
+nearest unused neighbours, and these fill the seed's window greedily.  The last
+neighbour is cut so that the window is full; what is left of it waits as a
+document of its own.
+
+Shards are lexical.  A document has ``PROBES`` keys, minimum hashes of its runs of
+``RUN`` tokens, and is put beside those that share one of them: of its keys it
+takes the one that most documents hold, as long as these fit into a shard, else
+the rarest.  A document that shares no key is put beside those with the same
+heaviest BM25 terms.  All are range partitioned in that order and cut into shards
+of ``rows_per_shard``; a hash divides larger groups, so that no key or group of
+copies meets in one task.  Document frequencies are those of all whole documents.
 
 Defined results: a null text counts as empty, which leaves token 0 alone;
 repeated rows are packed as often as they stand there; ties go to the document
-that stands first in its shard (by key, then by the text's hash); one partial
-sequence per shard may need padding; an empty table gives no rows.
+that stands first in its shard (by shard key, then by a hash); one partial
+sequence per shard may need padding; very long texts are read whole; keys may be
+of any type, other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +32,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.shared import cut, mapped
+from pagetrail.llm.shared import cut, mapped, slices
+from pagetrail.llm.words import mix64
 
 WINDOW, END = 1024, 0
-VOCABULARY = 50_257
+RUN, PROBES = 8, 16
+K1, B = 1.2, 0.75
+_SALTS = mix64(np.arange(1, PROBES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def default_tokenizer() -> str:
@@ -65,7 +78,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     out = []
     for text in texts:
         ids = None
-        if fast is not None and len(text) < 1 << 22:
+        if fast is not None:
             try:
                 ids = fast.encode_ordinary(text)
             except BaseException as gave_up:  # noqa: BLE001  on very long runs of spaces it panics, which is no Exception
@@ -81,70 +94,99 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-_TOKENS = "k long, h long, tokens long, crcs array<long>, rest binary"
+def vocabulary_of(path: str) -> int:
+    return _encoders(path)[0].get_vocab_size()
+
+
+def probes(ids: np.ndarray) -> np.ndarray:
+    """The minimum hashes of the runs of ``RUN`` tokens; of a shorter document, of all its tokens."""
+    run = min(RUN, len(ids))
+    code = np.zeros(len(ids) - run + 1, np.uint64)
+    for k in range(run):
+        code = code * np.uint64(0xBF58476D1CE4E5B9) + ids[k : k + len(code)] + np.uint64(1)
+    code = mix64(code)
+    return mix64(np.array([(code * salt).min() for salt in _SALTS], np.uint64) ^ _SALTS)
+
+
+def bag_of(rest: bytes, whole: bytes, width: type) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct token ids of a document and their counts: of its rest, unless whole windows stand before that."""
+    if not whole:
+        return np.unique(np.frombuffer(rest, width), return_counts=True)
+    n = len(whole) // (np.dtype(width).itemsize + 4)
+    return np.frombuffer(whole, width, n), np.frombuffer(whole, np.uint32, n, n * np.dtype(width).itemsize)
 
 
 def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Per row: key, hash of the text, number of tokens, checksums of whole windows, the ids of the rest."""
+    """Per row: key, hash of the text, number of tokens, checksums of whole windows, the ids of the rest, the ids and
+    counts of the whole document where it is longer than its rest, and its probes."""
     path = tokenizer or default_tokenizer()
-    small = VOCABULARY <= 1 << 16
+    width = np.uint16 if vocabulary_of(path) <= 1 << 16 else np.uint32
+
+    def row(text: str) -> tuple:
+        ids = np.append(encode([text], path)[0], np.uint32(END))
+        whole = len(ids) // window * window
+        crcs = [crc_of_ids(ids[k : k + window]) for k in range(0, whole, window)]
+        bag = b""
+        if whole:
+            held, n = np.unique(ids, return_counts=True)
+            bag = held.astype(width).tobytes() + n.astype(np.uint32).tobytes()
+        return len(ids), crcs, ids[whole:].astype(width).tobytes(), bag, probes(ids).view(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                total, crcs, rests = [], [], []
-                for ids in encode(batch.column("t").to_pylist(), path):
-                    ids = np.append(ids, np.uint32(END))
-                    whole = len(ids) // window * window
-                    total.append(len(ids))
-                    crcs.append([crc_of_ids(ids[k : k + window]) for k in range(0, whole, window)])
-                    rests.append(ids[whole:].astype(np.uint16 if small else np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], ["k", "h", "tokens", "crcs", "rest"])
+        for batch in (s for b in batches for s in slices(b, "t")):
+            total, crcs, rests, bags, keys = zip(*map(row, batch.column("t").to_pylist()), strict=True)
+            columns = [batch.column("k"), batch.column("h"), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(bags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "h", "tokens", "crcs", "rest", "bag", "keys"])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    return mapped(docs.select(F.col(key).cast("long").alias("k"), body.alias("t"), F.xxhash64(body).alias("h")), work, _TOKENS)
+    rows = docs.select(F.col(key).alias("k"), body.alias("t"), F.xxhash64(body).alias("h"))
+    return mapped(rows, work, f"k {rows.schema['k'].dataType.simpleString()}, h long, tokens long, crcs array<long>, rest binary, bag binary, keys array<long>")
 
 
-def document_frequencies(rests: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Over all rests: how many hold each token id, how many there are, and their mean length."""
+def document_frequencies(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
+    """Over all whole documents: how many hold each token id, how many there are, and their mean length."""
+    width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
+        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
-            for rest in batch.column("rest").to_pylist():
-                ids = np.frombuffer(rest, np.uint16)
-                if len(ids):
-                    df[np.unique(ids)] += 1
-                    n, total = n + 1, total + len(ids)
+            for rest, bag, length in zip(*(batch.column(c).to_pylist() for c in ("rest", "bag", "tokens")), strict=True):
+                df[bag_of(rest, bag, width)[0]] += 1
+                n, total = n + 1, total + length
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([held, [-1, -2]]), pa.int64()), pa.array(np.concatenate([df[held], [n, total]]), pa.int64())], ["term", "n"])
 
     # at most one row per token id
-    summed = mapped(rests.select("rest"), work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(VOCABULARY, np.int64)
+    summed = mapped(tokens.select("rest", "bag", "tokens"), work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(vocabulary, np.int64)
     term, n = summed["term"].to_numpy(np.int64), summed["n"].to_numpy(np.int64)
     df[term[term >= 0]] = n[term >= 0]
     count = int(n[term == -1].sum())
     return df, count, float(n[term == -2].sum()) / max(count, 1)
 
 
+def inverse_frequencies(df: np.ndarray, count: int) -> np.ndarray:
+    return np.log1p((count - df + 0.5) / (df + 0.5))
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
 class Index:
-    """BM25 inverted index over the rests of one shard."""
-
-    def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        lengths = np.array([len(r) for r in rests], np.int64)
-        owner = np.repeat(np.arange(len(rests)), lengths)
-        terms = np.concatenate([*rests, np.zeros(0, np.int64)]).astype(np.int64)
-        key, count = np.unique(owner * VOCABULARY + terms, return_counts=True)
-        self.doc, self.term = key // VOCABULARY, key % VOCABULARY
-        norm = k1 * (1 - b + b * lengths[self.doc] / max(mean, 1e-9))
-        weight = idf[self.term] * count * (k1 + 1) / (count + norm)
-        self.doc_at = np.searchsorted(self.doc, np.arange(len(rests) + 1))
+    """BM25 inverted index over the whole documents of one shard."""
+
+    def __init__(self, bags: list[Bag], idf: np.ndarray, mean: float):
+        sizes = np.array([len(ids) for ids, _ in bags], np.int64)
+        self.doc_at = np.concatenate([[0], np.cumsum(sizes)])
+        doc = np.repeat(np.arange(len(bags)), sizes)
+        self.term = np.concatenate([*(ids for ids, _ in bags), np.zeros(0, np.int64)]).astype(np.int64)
+        count = np.concatenate([*(n for _, n in bags), np.zeros(0, np.int64)]).astype(np.int64)
+        norm = K1 * (1 - B + B * np.bincount(doc, count, len(bags))[doc] / max(mean, 1e-9))
+        weight = idf[self.term] * count * (K1 + 1) / (count + norm)
         order = np.argsort(self.term, kind="stable")
-        self.posting_doc, self.posting_weight = self.doc[order], weight[order]
-        self.term_at = np.searchsorted(self.term[order], np.arange(VOCABULARY + 1))
-        self.n = len(rests)
+        self.posting_doc, self.posting_weight = doc[order], weight[order]
+        self.term_at = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
+        self.n = len(bags)
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents of the shard for the terms of the seed."""
@@ -154,14 +196,13 @@ class Index:
         return np.bincount(self.posting_doc[at], self.posting_weight[at], self.n)
 
 
-def pack(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start in its rest, length); the longest unused documents are seeds."""
-    size = np.array([len(r) for r in rests], np.int64)
-    start = np.zeros(len(rests), np.int64)
-    index = Index(rests, idf, mean)
+def pack(rests: list[int], bags: list[Bag], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """rests: how many tokens of each document wait. Returns sequences of (document, start in its rest, length); the
+    longest unused documents are seeds."""
+    size, start = np.array(rests, np.int64), np.zeros(len(rests), np.int64)
+    index = Index(bags, idf, mean)
     out = []
-    queue = [i for i in np.argsort(-size, kind="stable").tolist() if size[i]]
-    for seed in queue:
+    for seed in np.argsort(-size, kind="stable").tolist():
         while size[seed]:
             took = int(min(size[seed], window))
             pieces, room = [(seed, int(start[seed]), took)], window - took
@@ -183,50 +224,78 @@ def pack(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
     return out
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
+def _heaviest(tokens: DataFrame, idf, mean, width: type) -> DataFrame:
+    """row and own: the two heaviest BM25 terms of the document as one number."""
 
-def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_shard: int = 500) -> DataFrame:
-    """One row per piece of a document in a sequence."""
-    tokens = cut(tokenised(docs, key=key, text=text, tokenizer=tokenizer, window=window))
-    df, count, mean = document_frequencies(tokens)
-    idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    shipped = docs.sparkSession.sparkContext.broadcast(idf)  # one number per token id
-    shards = max(1, -(-tokens.count() // rows_per_shard))
-    # repeated rows are spread by their place in the checkpoint
-    spread = F.xxhash64("k", "h", F.shiftright(F.monotonically_increasing_id(), 4))
-    dealt = tokens.withColumn("shard", F.pmod(spread, F.lit(shards))).repartition(max(1, min(shards, 20_000)), "shard").sortWithinPartitions("shard", "k", "h")
-
-    def finished(shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out, local = [], 0
-        rests = []
-        for k, _, total, crcs, rest in rows:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rest, bag, length in zip(*(batch.column(c).to_pylist() for c in ("rest", "bag", "tokens")), strict=True):
+                ids, n = bag_of(rest, bag, width)
+                weight = idf.value[ids] * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean))
+                two = ids[np.lexsort((ids, -weight))[:2]].astype(np.int64)
+                out.append(int(two[0]) << 31 | int(two[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], ["row", "own"])
+
+    return mapped(tokens.select("row", "rest", "bag", "tokens"), work, "row long, own long")
+
+
+def shard_keys(tokens: DataFrame, rows_per_shard: int) -> DataFrame:
+    """row and shared: of the probes of a document that others hold too, the one of most documents that still fit into a
+    shard, else of the fewest."""
+    held = tokens.select("row", F.explode(F.array_distinct("keys")).alias("probe"))
+    often = held.groupBy("probe").agg(F.count("*").alias("c")).where("c > 1")
+    rank = F.when(F.col("c") <= rows_per_shard, F.col("c")).otherwise(-F.col("c"))
+    return held.join(often, "probe").groupBy("row").agg(F.max_by("probe", F.struct(rank, "probe")).alias("shared"))
+
+
+_PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_SEQUENCE_BITS, _SHARD_BITS = 24, 40  # of a sequence id: the sequence in its shard; with the shard in its partition
+
+
+def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_shard: int = 500, shards_per_task: int = 8) -> DataFrame:
+    """One row per piece of a document in a sequence. The upper bits of sequence_id name the shard."""
+    vocabulary = vocabulary_of(tokenizer or default_tokenizer())
+    width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+    tokens = tokenised(docs, key=key, text=text, tokenizer=tokenizer, window=window)
+    tokens = cut(tokens.withColumn("row", F.monotonically_increasing_id()))
+    df, count, mean = document_frequencies(tokens, vocabulary)
+    shipped = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(df, count))  # one number per token id
+    placed = _heaviest(tokens, shipped, mean, width).join(shard_keys(tokens, rows_per_shard), "row", "left")
+    tasks = max(1, -(-count // (rows_per_shard * shards_per_task)))
+    dealt = tokens.drop("keys").join(placed, "row").withColumn("salt", F.xxhash64("h", "row"))
+    dealt = dealt.repartitionByRange(tasks, "shared", "own", "salt").sortWithinPartitions("shared", "own", "salt")
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def finished(shard: int, rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        out, keys, local = [], [], 0
+        for k, total, crcs, _, _ in rows:
             for i, crc in enumerate(crcs):
-                out.append((k, i * window, window, crc, total, (shard << 32) + local, 0))
+                keys.append(k)
+                out.append((i * window, window, crc, total, (shard << _SEQUENCE_BITS) + local, 0))
                 local += 1
-            rests.append(np.frombuffer(rest, np.uint16))
-        for pieces in pack(rests, shipped.value, mean, window):
+        rests = [np.frombuffer(r[3], width) for r in rows]
+        for pieces in pack([len(r) for r in rests], [bag_of(r[3], r[4], width) for r in rows], shipped.value, mean, window):
             offset = 0
             for i, start, length in pieces:
-                k, _, total, crcs, _ = rows[i]
-                out.append((k, len(crcs) * window + start, length, crc_of_ids(rests[i][start : start + length]), total, (shard << 32) + local, offset))
+                k, total, crcs, _, _ = rows[i]
+                keys.append(k)
+                out.append((len(crcs) * window + start, length, crc_of_ids(rests[i][start : start + length]), total, (shard << _SEQUENCE_BITS) + local, offset))
                 offset += length
             local += 1
-        if out:
-            names = [c.split()[0] for c in _PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+        names = ["k", *(c.split()[0] for c in _PIECES.split(", "))]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        shard, held, kind = TaskContext.get().partitionId() << (_SHARD_BITS - _SEQUENCE_BITS), [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "k", "h", "tokens", "crcs", "rest")]
-            for shard, *row in zip(*columns, strict=True):
-                if shard != now:
-                    if held:
-                        yield from finished(now, held)
-                    now, held = shard, []
-                held.append(tuple(row))
+            kind = batch.column("k").type
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "tokens", "crcs", "rest", "bag")), strict=True):
+                held.append(row)
+                if len(held) == rows_per_shard:
+                    yield from finished(shard, held, kind)
+                    shard, held = shard + 1, []
         if held:
-            yield from finished(now, held)
+            yield from finished(shard, held, kind)
 
-    return mapped(dealt, work, _PIECES)
+    return mapped(dealt.select("k", "tokens", "crcs", "rest", "bag"), work, f"k {key_type}, {_PIECES}").withColumnRenamed("k", key)

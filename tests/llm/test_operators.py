@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import itertools
 import lzma
+import math
 import re
 import textwrap
 import zlib
@@ -522,17 +523,66 @@ def test_packing_edges(edge, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", [" " * 5000, " " * 1_000_000, "a" * 3000, "\n \n\t x", "<|endoftext|> hi", "ñ€\U0001f600" * 50, "it's we'll I'd", "\x00\x01 \x85\xa0  q"])
+@pytest.mark.parametrize("text", [" " * 5000, " " * 1_000_000, "a" * 3000, "\n \n\t x", "<|endoftext|> hi", "ñ€\U0001f600" * 50, "it's we'll I'd", "word " * 900_000, "\x00\x01 \x85\xa0  q"])
 def test_fast_and_exact_tokens_agree(text):
     assert packing.encode([text], packing.default_tokenizer())[0].tolist() == plain_encode(text)
 
 
 def test_neighbours_are_lexical():
     rests = [np.array([1, 2, 3] * 5), np.array([7, 8, 9] * 5), np.array([1, 2, 3] * 2), np.array([7, 8] * 2)]
-    groups = packing.pack(rests, np.ones(packing.VOCABULARY), 10.0, window=21)
+    bags = [np.unique(r, return_counts=True) for r in rests]
+    groups = packing.pack([len(r) for r in rests], bags, np.ones(50), 10.0, window=21)
     assert [p[0] for p in groups[0]] == [0, 2]
 
 
+def plain_bm25(bags, df, mean, seed, doc):
+    """Of one document for the distinct terms of a seed, term by term."""
+    count, total = bags[doc], sum(bags[doc].values())
+    score = 0.0
+    for term in bags[seed]:
+        if n := count.get(term):
+            idf = math.log(1 + (len(bags) - df[term] + 0.5) / (df[term] + 0.5))
+            score += idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * total / mean))
+    return score
+
+
+def test_scores_are_bm25(docs):
+    bags = [Counter(plain_encode(t or "") + [0]) for t in list(docs.values())[:60]]
+    df = Counter(term for b in bags for term in b)
+    mean = np.mean([sum(b.values()) for b in bags])
+    counted = np.array([df[i] for i in range(50_257)])
+    index = packing.Index([(np.array(sorted(b)), np.array([b[i] for i in sorted(b)])) for b in bags], packing.inverse_frequencies(counted, len(bags)), mean)
+    for seed in range(0, 60, 7):
+        assert index.scores(seed) == pytest.approx([plain_bm25(bags, df, mean, seed, d) for d in range(60)])
+
+
+def test_near_documents_share_a_shard(spark):
+    """Of seeds (ids divisible by 100) whose best neighbour by BM25 over all documents has half the seed's own score or more, nine
+    of ten find one that good in their shard. Also, the tokens of both readers are the same over these documents."""
+    folder = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r["text"] or "" for r in rows(spark.read.parquet(f"{folder}/documents.parquet"))}
+    ids = sorted(texts)
+    path = packing.default_tokenizer()
+    bags = [np.unique(np.append(e, np.uint32(0)), return_counts=True) for e in packing.encode([texts[i] for i in ids], path)]
+    df = np.bincount(np.concatenate([b[0] for b in bags]).astype(np.int64), minlength=packing.vocabulary_of(path))
+    index = packing.Index(bags, packing.inverse_frequencies(df, len(bags)), np.mean([b[1].sum() for b in bags]))
+    out = rows(queries.op9_bm25_packing(spark, folder))
+    shards = defaultdict(set)
+    for r in out:
+        shards[r["doc_id"]].add(r["sequence_id"] >> 24)
+    assert all(len(s) == 1 for s in shards.values())
+    shard = np.array([min(shards[i]) for i in ids])
+    assert np.bincount(np.unique(shard, return_inverse=True)[1]).max() <= 500
+    hit = []
+    for at in (k for k, i in enumerate(ids) if i % 100 == 0):
+        score = index.scores(at)
+        good = score >= score[at] / 2
+        good[at] = False
+        if good.any():
+            hit.append((good & (shard == shard[at])).any())
+    assert len(hit) > 5 and np.mean(hit) >= 0.9
+
+
 # 10 mixing
 
 
