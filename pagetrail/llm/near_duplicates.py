@@ -17,7 +17,7 @@ that still hold different components afterwards are compared where they share a
 rare shingle: by the prefix filter, which loses no link, two texts that are near
 share one of the rarest 20% of their shingles.  The lists of nodes by rare
 shingle are worked off in rounds: a round compares a few members of each list
-(4, then 12, 48, ... as long as a list has more) with those behind them, then
+(about 32, then 480, ... as long as a list has more) with those behind them, then
 components are formed anew and lists that lie within one component are left out.
 So all pairs of a list are compared only where its texts are not near each other.
 
@@ -48,7 +48,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 2
 _GROUP = 64  # members that one copy of a leader's text serves
 _SLOTS = 1 << 18  # counters by which shingles are ordered; their number bounds what the driver gets
-_LEADERS = 4  # members of a list that the first round compares with the others; each round takes so many times more
+_LEADERS, _FURTHER = 32, 16  # members of a list that the first round compares with the others; how many times more each round takes
 
 
 def labelled_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -240,24 +240,29 @@ def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
     return mapped(texts.select("node", "t"), work, "shingle long, node binary, n int, place int")
 
 
-def _with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """A node without links is a component of its own."""
-    return rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _with_components(rows: DataFrame, components: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """A node without links is a component of its own. merged: node, component of components that became one later."""
+    out = rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if merged is None:
+        return out
+    later = merged.select(F.col("node").alias("component"), F.col("component").alias("later"))
+    return out.join(later, "component", "left").withColumn("component", F.coalesce("later", "component")).drop("later")
 
 
-def _rest_compared(texts: DataFrame, pairs: DataFrame, links: DataFrame, components: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """texts: of the nodes that leaders left open; pairs: compared already. Returns links and components with those
-    that texts with a common rare shingle add."""
-    prefixes = cut(_prefixes(texts, threshold))
-    lists = prefixes.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(prefixes.join(lists, "shingle").withColumn("u", uniform("shingle", "node") * F.col("c")))
+def _rest_compared(texts: DataFrame, pairs: DataFrame, links: DataFrame, components: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """texts: of the nodes that leaders left open; pairs: compared already. Returns links with those that texts with a
+    common rare shingle add, and which components these join."""
+    joins = merged = None
+    work = cut(_prefixes(texts, threshold))
     low, high = 0, _LEADERS
     while True:
-        placed = _with_components(shared.where(F.col("c") > low), components)
-        apart = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-        work = cut(placed.join(apart, "shingle", "left_semi"), small=True)
+        placed = _with_components(work.select("shingle", "node", "n", "place"), components, merged)
+        apart = placed.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
+        apart = apart.where((F.col("x") != F.col("y")) & (F.col("c") > low)).select("shingle", "c")
+        # lists stay whole while they are open; the same nodes lead in all lists, so that their pairs are found once
+        work = cut(placed.join(apart, "shingle").withColumn("u", uniform("node") * F.col("c")), small=True)
         if work.isEmpty():
-            return links, components
+            return links, merged
         lead = work.where(F.col("u").between(low, high) & (F.col("u") < high)).select("shingle", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("component").alias("lead_component"), F.col("u").alias("lead_u"))
         # from the first shingle that a pair shares on, enough must be left in both
         enough = 1 + F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place")) >= F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("lead_n")) - 1e-9)
@@ -268,9 +273,12 @@ def _rest_compared(texts: DataFrame, pairs: DataFrame, links: DataFrame, compone
         extra = cut(_compared(texts, more, threshold), small=True)
         if not extra.isEmpty():
             links = links.unionByName(extra)
-            components = connected_components(links)
+            ends = _with_components(extra.select(F.col("a").alias("node"), "b"), components).select(F.col("component").alias("a"), F.col("b").alias("node"))
+            ends = _with_components(ends, components).select("a", F.col("component").alias("b"))
+            joins = ends if joins is None else joins.unionByName(ends)
+            merged = connected_components(joins)
         pairs = pairs.unionByName(more)
-        low, high = high, high * _LEADERS
+        low, high = high, high * _FURTHER
 
 
 def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -295,9 +303,10 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     placed = _with_components(shared.select("band", "node"), components)
     open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     left = cut(placed.join(open_bands, "band", "left_semi").select("node").distinct(), small=True)
+    merged = None
     if not left.isEmpty():
-        links, components = _rest_compared(cut(texts.join(left, "node")), pairs, links, components, threshold)
-    placed = _with_components(nodes.select("node", "rep", "copies"), components)
+        links, merged = _rest_compared(cut(texts.join(left, "node")), pairs, links, components, threshold)
+    placed = _with_components(nodes.select("node", "rep", "copies"), components, merged)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     # the text with the least key stands for its class, one without a key only where no text of the class has one
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")

@@ -264,16 +264,66 @@ def test_near_duplicates_edges(edge, empty):
     assert kept.columns == edge.columns and sorted(r["doc_id"] for r in rows(kept)) == [1, 3, 4, 7, 9, 10]
 
 
+def plain_classes(texts):
+    """Class ids by comparing all pairs."""
+    bags, parent = {i: shingle_bag(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        m = lcs(bags[a], bags[b])
+        if m and m / (len(bags[a]) + len(bags[b]) - m) >= 0.8:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in texts}
+
+
 def test_chain_of_near_duplicates_is_one_class(spark):
+    """Neighbours of the chain are near, its ends are not."""
     words = [f"w{i}" for i in range(200)]
     data = []
-    for k in range(12):  # each text differs a little more from the first
+    for k in range(12):
         changed = list(words)
         for j in range(k):
             changed[7 + 16 * j % 190] = f"x{j}"
         data.append((k, " ".join(changed), "en", "s", 1))
+    ends = [shingle_bag(data[k][1]) for k in (0, 11)]
+    assert lcs(*ends) / (2 * len(ends[0]) - lcs(*ends)) < 0.8
     out = rows(near_duplicates.near_duplicate_classes(spark.createDataFrame(data, SCHEMA)))
-    assert len({r["class_id"] for r in out}) <= 2
+    assert {r["class_id"] for r in out} == {0} and {r["class_size"] for r in out} == {12}
+
+
+@pytest.mark.parametrize("leaders", [1, 32])
+def test_rest_is_compared_like_brute_force(spark, monkeypatch, leaders):
+    """Texts that share passages, without any link before: the rounds alone find all classes."""
+    monkeypatch.setattr(near_duplicates, "_LEADERS", leaders)
+    monkeypatch.setattr(near_duplicates, "_FURTHER", 4)
+    rng = np.random.default_rng(8)
+    passages = [[f"p{k}_{i}" for i in range(40)] for k in range(5)]
+    texts = {}
+    for i in range(70):
+        words = sum((passages[k] for k in rng.choice(5, 3, replace=False)), [])
+        for at in rng.choice(len(words), int(rng.integers(0, 5)), replace=False):
+            words[at] = f"new{i}_{at}"
+        texts[i] = " ".join(words)
+    held = spark.createDataFrame([(bytes([i]), t) for i, t in texts.items()], "node binary, t string")
+    none = spark.createDataFrame([], "a binary, b binary, similarity double")
+    links, merged = near_duplicates._rest_compared(held, spark.createDataFrame([], "node binary, lead binary"), none, components.connected_components(none), 0.8)
+    found = {i: i for i in texts} | {r["node"][0]: r["component"][0] for r in merged.collect()}
+    assert found == plain_classes(texts) and 1 < len(set(found.values())) < 70
+    assert all(r["similarity"] >= 0.8 for r in links.collect())
+
+
+def test_near_duplicates_with_repeated_rows_and_text_ids(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    data = [("b", base, 1)] * 3 + [("a", base + " x", 1)] * 2 + [("c", "other words", 2)] * 2 + [(None, "", 3)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, node int").withColumn("own", F.lit(1)).withColumn("k", F.lit("k"))
+    out = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in rows(near_duplicates.near_duplicate_classes(docs)))
+    assert out == {("b", "a", 5): 3, ("a", "a", 5): 2, ("c", "c", 2): 2, (None, None, 1): 1}
+    kept = near_duplicates.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in rows(kept)) == ["None", "a", "c"]
 
 
 def test_components(spark):
