@@ -42,7 +42,8 @@ from pagetrail.llm.words import mix64
 WINDOW, END = 1024, 0
 RUN, PROBES = 8, 16
 K1, B = 1.2, 0.75
-_SALTS = mix64(np.arange(1, PROBES + 1, dtype=np.uint64)) | np.uint64(1)
+_RANGES = np.arange(PROBES, dtype=np.uint64) * np.uint64((1 << 64) // PROBES)
+_PROBE_BITS, _MOST = 40, (1 << 20) - 1
 
 
 def default_tokenizer() -> str:
@@ -99,13 +100,16 @@ def vocabulary_of(path: str) -> int:
 
 
 def probes(ids: np.ndarray) -> np.ndarray:
-    """The minimum hashes of the runs of ``RUN`` tokens; of a shorter document, of all its tokens."""
-    run = min(RUN, len(ids))
-    code = np.zeros(len(ids) - run + 1, np.uint64)
-    for k in range(run):
-        code = code * np.uint64(0xBF58476D1CE4E5B9) + ids[k : k + len(code)] + np.uint64(1)
-    code = mix64(code)
-    return mix64(np.array([(code * salt).min() for salt in _SALTS], np.uint64) ^ _SALTS)
+    """The least hash of the runs of ``RUN`` tokens (of a shorter document, of all its tokens) in each of ``PROBES`` equal
+    ranges of hashes; ranges without a run give none."""
+    code = ids.astype(np.uint64) + np.uint64(1)
+    step, run = 1, 1
+    while run < RUN and len(code) > step:
+        code = mix64(code[:-step]) * np.uint64(31) + code[step:]
+        step, run = step * 2, run * 2
+    code = np.sort(mix64(code))
+    at = np.searchsorted(code, _RANGES)
+    return code[at[np.diff(at, append=len(code)) > 0]]
 
 
 def bag_of(rest: bytes, whole: bytes, width: type) -> tuple[np.ndarray, np.ndarray]:
@@ -243,10 +247,11 @@ def _heaviest(tokens: DataFrame, idf, mean, width: type) -> DataFrame:
 def shard_keys(tokens: DataFrame, rows_per_shard: int) -> DataFrame:
     """row and shared: of the probes of a document that others hold too, the one of most documents that still fit into a
     shard, else of the fewest."""
-    held = tokens.select("row", F.explode(F.array_distinct("keys")).alias("probe"))
+    held = tokens.select("row", F.explode("keys").alias("probe"))
     often = held.groupBy("probe").agg(F.count("*").alias("c")).where("c > 1")
-    rank = F.when(F.col("c") <= rows_per_shard, F.col("c")).otherwise(-F.col("c"))
-    return held.join(often, "probe").groupBy("row").agg(F.max_by("probe", F.struct(rank, "probe")).alias("shared"))
+    rank = F.when(F.col("c") <= rows_per_shard, F.col("c") + _MOST + 1).otherwise(_MOST - F.least("c", F.lit(_MOST)))
+    best = F.max(F.shiftleft(rank, _PROBE_BITS).bitwiseOR(F.col("probe").bitwiseAND(F.lit((1 << _PROBE_BITS) - 1))))
+    return held.join(often, "probe").groupBy("row").agg(best.bitwiseAND(F.lit((1 << _PROBE_BITS) - 1)).alias("shared"))
 
 
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
