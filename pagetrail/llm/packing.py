@@ -237,8 +237,9 @@ def _heaviest(tokens: DataFrame, idf, mean, width: type) -> DataFrame:
             for rest, bag, length in zip(*(batch.column(c).to_pylist() for c in ("rest", "bag", "tokens")), strict=True):
                 ids, n = bag_of(rest, bag, width)
                 weight = idf.value[ids] * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean))
-                two = ids[np.lexsort((ids, -weight))[:2]].astype(np.int64)
-                out.append(int(two[0]) << 31 | int(two[-1]))
+                first = int(weight.argmax())
+                weight[first] = -1
+                out.append(int(ids[first]) << 31 | int(ids[weight.argmax()]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], ["row", "own"])
 
     return mapped(tokens.select("row", "rest", "bag", "tokens"), work, "row long, own long")
