@@ -79,10 +79,6 @@ def t_test_power(effect: float, n: int, alpha: float = 0.05) -> float:
     return 1 - noncentral_t_cdf(edge, df, shift) + noncentral_t_cdf(-edge, df, shift)
 
 
-def normal_quantile(p: float) -> float:
-    return NormalDist().inv_cdf(p)
-
-
 def effect_class(d: float) -> str:
     """The usual cut-offs at 0.2, 0.5 and 0.8."""
     size = abs(d)

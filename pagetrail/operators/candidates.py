@@ -3,8 +3,8 @@
 The interval join is never materialised.  Every access asks for three ranks
 among the sorted evictions of its trial: where its band begins (``lo``), where
 positives begin (``pos_lo``) and where it ends (``hi``).  Ranks are prefix sums:
-probes and events are put into buckets of time, buckets are summed, and only
-the rows of one bucket are ordered.
+probes and events are put into buckets of time that hold about as many rows
+each, buckets are summed, and only the rows of one bucket are ordered.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.operators.quantiles import quantiles
+from pagetrail.operators.ranking import ROWS_PER_BUCKET, bounds_of, with_bucket
 
 #: Order among equal times: a probe that counts events before it, the event, a probe that counts events up to it.
 BEFORE, EVENT, UP_TO = 0, 1, 2
@@ -36,16 +37,18 @@ def temporal_split(eviction: DataFrame, holdout: float) -> DataFrame:
     return eviction.join(cut, "trial_id").withColumn("is_eval", enough & (F.col("ts") >= F.col("cut"))).drop("cut", "n")
 
 
-def event_rank(probes: DataFrame, events: DataFrame, *, bucket_width: int) -> DataFrame:
+def event_rank(probes: DataFrame, events: DataFrame, *, rows_per_bucket: int = ROWS_PER_BUCKET, spread: DataFrame | None = None) -> DataFrame:
     """probes: trial_id, x, side and more. Adds rank: events of the trial with ts < x, or <= x where side is UP_TO.
 
-    A null x ranks behind all events.  bucket_width: so that a bucket holds what one task can sort.
+    A null x ranks behind all events.  spread: a cheaper table of trial_id and x, spread over time like the probes and
+    events, from which the bounds of buckets are taken.
     """
     extra = [c for c in probes.columns if c not in ("trial_id", "x", "side")]
     kinds = {c: probes.schema[c].dataType for c in extra}
     finite = probes.where("x IS NOT NULL").select("trial_id", "x", "side", *extra)
     marks = events.select("trial_id", F.col("ts").alias("x"), F.lit(EVENT).alias("side"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
-    both = finite.unionByName(marks).withColumn("bucket", F.floor(F.col("x") / bucket_width))
+    both = finite.unionByName(marks)
+    both = with_bucket(both, bounds_of(both if spread is None else spread, ["trial_id"], "x", rows_per_bucket=rows_per_bucket), ["trial_id"], "x")
     sizes = both.groupBy("trial_id", "bucket").agg(F.count_if(F.col("side") == EVENT).alias("n"))
     ahead = sizes.select("trial_id", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("trial_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = F.sum((F.col("side") == EVENT).cast("long")).over(Window.partitionBy("trial_id", "bucket").orderBy("x", "side"))
@@ -75,24 +78,36 @@ def _probes(access: DataFrame, horizon: int, cap: int | None, keep: list[str]) -
     return access.select("trial_id", *keep, points.alias("q")).select("trial_id", *keep, F.col("q.probe").alias("probe"), F.expr("nullif(q.p.x, 9223372036854775807L)").alias("x"), F.col("q.p.side").alias("side"))
 
 
-def candidate_totals(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, bucket_width: int) -> DataFrame:
+def _spread(access: DataFrame, eviction: DataFrame) -> DataFrame:
+    """Times of accesses and evictions, near which the three probes of an access fall."""
+    return access.select("trial_id", F.col("ts").alias("x")).unionByName(eviction.select("trial_id", F.col("ts").alias("x")))
+
+
+def candidate_totals(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None) -> DataFrame:
     """trial_id, n_pos, n_neg. Sums of ranks are enough, so that no access is put together again."""
     probes = _probes(next_access(access), horizon, cap, [])
-    ranked = event_rank(probes, eviction, bucket_width=bucket_width)
+    ranked = event_rank(probes, eviction, rows_per_bucket=ROWS_PER_BUCKET // 3, spread=_spread(access, eviction))
     total = lambda name: F.sum(F.when(F.col("probe") == name, F.col("rank")).otherwise(0))
     return ranked.groupBy("trial_id").agg((total("hi") - total("pos_lo")).alias("n_pos"), (total("pos_lo") - total("lo")).alias("n_neg"))
 
 
-def candidate_bands(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, bucket_width: int, key: str) -> DataFrame:
+def candidate_bands(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, key: str) -> DataFrame:
     """Per access, named by key: lo, pos_lo and hi, as ranks among the evictions of its trial."""
-    ranked = event_rank(_probes(next_access(access), horizon, cap, [key]), eviction, bucket_width=bucket_width)
+    ranked = event_rank(_probes(next_access(access), horizon, cap, [key]), eviction, rows_per_bucket=ROWS_PER_BUCKET // 3, spread=_spread(access, eviction))
     return ranked.groupBy("trial_id", key).agg(*(F.max(F.when(F.col("probe") == name, F.col("rank"))).alias(name) for name in ("lo", "pos_lo", "hi")))
 
 
-def candidate_pairs(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None) -> DataFrame:
-    """The join itself, for small traces: each access with each of its candidates and the label."""
-    a = next_access(access)
-    e = eviction.select(F.col("trial_id").alias("e_trial"), F.col("ts").alias("e_ts"))
+def candidate_pairs(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, slot: int) -> DataFrame:
+    """The join itself: each access with each of its candidates and the label.
+
+    A band join: an access goes to all slots of time (``slot`` long) that its band touches, and meets the evictions of
+    these only.  An access without an end is followed up to the last eviction of its trial.
+    """
+    last = eviction.groupBy("trial_id").agg(F.max("ts").alias("last_eviction"))
     end = F.coalesce(F.least("next_ts", F.col("ts") + cap) if cap is not None else F.col("next_ts"), F.lit((1 << 63) - 1))
-    pairs = a.join(e, (F.col("trial_id") == F.col("e_trial")) & (F.col("e_ts") > F.col("ts")) & (F.col("e_ts") < end)).drop("e_trial")
+    a = next_access(access).join(last, "trial_id").withColumn("band_end", F.least(end, F.col("last_eviction") + 1)).where(F.col("band_end") > F.col("ts")).drop("last_eviction")
+    a = a.withColumn("slot", F.explode(F.sequence(F.floor(F.col("ts") / slot), F.floor((F.col("band_end") - 1) / slot))))
+    e = eviction.select(F.col("trial_id").alias("e_trial"), F.col("ts").alias("e_ts"), F.floor(F.col("ts") / slot).alias("e_slot"))
+    met = (F.col("trial_id") == F.col("e_trial")) & (F.col("slot") == F.col("e_slot")) & (F.col("e_ts") > F.col("ts")) & (F.col("e_ts") < F.col("band_end"))
+    pairs = a.join(e, met).drop("e_trial", "slot", "e_slot", "band_end")
     return pairs.withColumn("label", F.coalesce((F.col("next_ts") - F.col("e_ts") < horizon).cast("int"), F.lit(0)))

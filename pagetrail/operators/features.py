@@ -13,6 +13,8 @@ from pagetrail.operators.quantiles import METHODS, quantiles
 #: The features of the deployed classifier, in the order that its consumer expects.
 FEATURE_ORDER = ("pd", "sz", "fq", "sd", "p2", "id", "i2", "ie", "time_since_last_access_at_eviction")
 MERGE_BELOW = 1e-8
+#: Fixed value: the name by which the deployment's loader knows this kind of model.
+MODEL_TYPE = "binary_reuse_classifier"
 
 
 def quantile_edges(rows: DataFrame, features: list[str], n_bins: int = 10, *, method: str = "linear", strategy: str = "quantile") -> dict[str, list[float]]:
@@ -107,7 +109,7 @@ def export_document(model: LinearModel, *, feature_names: tuple[str, ...] | None
     if len(names) != len(model.features):
         raise ValueError(f"feature_names has {len(names)} names for {len(model.features)} features")
     return {
-        "model_type": "binary_classifier", "feature_names": list(names), "n_features": len(names), "weight_scale": weight_scale,
+        "model_type": MODEL_TYPE, "feature_names": list(names), "n_features": len(names), "weight_scale": weight_scale,
         "bias": model.bias, "bias_int": round(model.bias * weight_scale), "threshold": threshold, "threshold_int": round(threshold * weight_scale),
         "features": [
             {"index": i, "name": name, "n_bins": len(model.weights[f]), "bin_edges": [_u64(e) for e in model.edges[f][1:-1]], "weights_float": model.weights[f], "weights_int": [int(w * weight_scale) for w in model.weights[f]]}

@@ -1,15 +1,15 @@
 """Exact quantiles of large groups.
 
-Values are counted first, then numbered through buckets; only the rows at the wanted positions are kept.  No group has
-to fit into one task, unlike with the built-in exact percentile.
+Values are counted first, the counts are summed by buckets of the value, and only the buckets that hold a wanted
+position are ordered.  No group has to fit into one task, unlike with the built-in exact percentile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrail.operators.ranking import prefix_sums
+from pagetrail.operators.ranking import ROWS_PER_BUCKET, bucket_sums, bucketed
 
 METHODS = ("linear", "averaged_inverted_cdf")
 
@@ -26,20 +26,22 @@ def _positions(share: float, total: Column, method: str) -> tuple[Column, Column
     raise ValueError(f"unknown quantile method {method}")
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], *, method: str = "linear") -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], *, method: str = "linear", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per group with a double for each named share. Nulls don't count; a group of nulls alone has no row."""
     groups = by or ["_all"]
     known = rows.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     if not by:
         known = known.withColumn("_all", F.lit(0))
-    counts = known.groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
-    totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    placed = prefix_sums(counts, groups, "_v", "_n", [], span_of=known).join(totals, groups)
+    counts = bucketed(known.groupBy(*groups, "_v").agg(F.count("*").alias("_n")), groups, "_v", rows_per_bucket=rows_per_bucket)
+    places = [_positions(share, F.col("total"), method) for share in shares.values()]
+    sums = bucket_sums(counts, groups, F.col("_n"))
+    ends = [p for low, high, _ in places for p in (low, high)]
+    holds = F.exists(F.array(*(p.cast("long") for p in ends)), lambda p: (F.col("offset") <= p) & (p < F.col("offset") + F.col("amount")))
+    own = Window.partitionBy(*groups, "bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(sums.where(holds).drop("amount"), [*groups, "bucket"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("_n").over(own), F.lit(0)))
     covers = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("_n"))
-    wanted, found, mixed = F.lit(False), [], []
-    for name, share in shares.items():
-        low, high, part = _positions(share, F.col("_total"), method)
-        wanted = wanted | covers(low) | covers(high)
+    found, mixed = [], []
+    for name, (low, high, part) in zip(shares, places, strict=True):
         found += [F.max(F.when(covers(low), F.col("_v"))).alias(f"{name}_low"), F.max(F.when(covers(high), F.col("_v"))).alias(f"{name}_high")]
         mixed.append((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part).alias(name))
-    return placed.where(wanted).groupBy(*groups).agg(F.max("_total").alias("_total"), *found).select(*by, *mixed)
+    return placed.groupBy(*groups).agg(F.max("total").alias("total"), *found).select(*by, *mixed)

@@ -1,6 +1,13 @@
 """Numbers and prefix sums over a whole group without sorting it in one task.
 
-Rows are put into buckets of the ordering value; buckets are counted, and only rows of one bucket are ordered.
+Rows are put into buckets of the ordering value.  The bounds between buckets are approximate quantiles of each group,
+so that its buckets hold about as many rows whatever the values are; buckets are summed, and only rows of one bucket are
+ordered.  Rows of one value share a bucket; where a single value may have very many rows, count values first, as
+:mod:`pagetrail.operators.quantiles` does.
+
+Only groups of more than ``ROWS_PER_BUCKET`` rows have bounds, one for so many rows and ``MOST_BUCKETS`` at most, so that
+N rows give N / ROWS_PER_BUCKET bounds at most.  They are found by one job while the plan is built, since a plan that holds
+its own statistics several times over grows beyond use when operators are nested.
 """
 
 from __future__ import annotations
@@ -8,39 +15,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_BUCKET = 100_000
+MOST_BUCKETS = 4096
+_CHUNK = 64
+
+
+def bounds_of(rows: DataFrame, group: list[str], value: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame | None:
+    """One row per group that needs several buckets: ``bounds``, the values at which they begin, the first one left out,
+    and ``heads``, every 64th of these; None if no group needs them. Sketches are made of such groups only."""
+    large = rows.groupBy(*group).agg(F.count(value).alias("bucket_rows")).where(F.col("bucket_rows") > rows_per_bucket)
+    shares = ",".join(str(i / MOST_BUCKETS) for i in range(1, MOST_BUCKETS))  # a text, so that plans hold one literal
+    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), cast(split('{shares}', ',') as array<double>), {4 * MOST_BUCKETS})")
+    found = rows.select(*group, value).join(F.broadcast(large), group).groupBy(*group).agg(sketch.alias("p"), F.max("bucket_rows").alias("n"))
+    every = F.ceil(MOST_BUCKETS / F.ceil(F.col("n") / rows_per_bucket))
+    bounds = F.array_distinct(F.filter("p", lambda _, i: (i + 1) % F.greatest(every, F.lit(1)) == 0))
+    out = found.select(*group, bounds.alias("bounds")).select("*", F.filter("bounds", lambda _, i: i % _CHUNK == 0).alias("heads"))
+    held = out.collect()  # one bound per rows_per_bucket rows at most
+    return rows.sparkSession.createDataFrame(held, out.schema) if held else None
+
+
+def with_bucket(rows: DataFrame, bounds: DataFrame | None, group: list[str], value: str) -> DataFrame:
+    """Adds ``bucket``: how many bounds of the group the value reaches, found in two steps."""
+    if bounds is None:
+        return rows.withColumn("bucket", F.lit(0))
+    v = F.col(value).cast("double")
+    reached = lambda array: F.size(F.filter(array, lambda b: b <= v))
+    chunk = reached(F.col("heads"))
+    inside = (chunk - 1) * _CHUNK + reached(F.slice("bounds", (chunk - 1) * _CHUNK + 1, F.lit(_CHUNK)))
+    bucket = F.when(F.col("heads").isNull() | (chunk == 0), 0).otherwise(inside)
+    return rows.join(F.broadcast(bounds), group, "left").withColumn("bucket", bucket).drop("bounds", "heads")
 
-def bucketed(rows: DataFrame, value: str, *, rows_per_bucket: int = 100_000, span_of: DataFrame | None = None) -> DataFrame:
-    """Adds ``bucket``: equal ranges of the value, as many as give rows_per_bucket on average.
 
-    span_of: a cheaper table with the same least and largest value, from which they are read.
-    """
-    seen = (rows if span_of is None else span_of).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.count(value).alias("n")).first()
-    buckets = max(1, -(-seen["n"] // rows_per_bucket))
-    width = ((seen["high"] or 0.0) - (seen["low"] or 0.0)) / buckets or 1.0
-    return rows.withColumn("bucket", F.floor((F.col(value).cast("double") - F.lit(seen["low"] or 0.0)) / F.lit(width)))
+def bucketed(rows: DataFrame, group: list[str], value: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``bucket``, which grows with the value inside each group."""
+    return with_bucket(rows, bounds_of(rows, group, value, rows_per_bucket=rows_per_bucket), group, value)
 
 
-def _offsets(rows: DataFrame, group: list[str], amount: Column) -> DataFrame:
-    """Per group and bucket, the sum of the amount in the buckets before."""
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*group, "bucket").agg(F.sum(amount).alias("amount"))
-    return sums.select(*group, "bucket", F.coalesce(F.sum("amount").over(before), F.lit(0)).alias("offset"))
+def bucket_sums(placed: DataFrame, group: list[str], amount: Column) -> DataFrame:
+    """Per group and bucket: ``amount``, ``offset`` (the amount in the buckets before) and ``total`` of the group."""
+    own = Window.partitionBy(*group)
+    before = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "bucket").agg(F.sum(amount).alias("amount"))
+    return sums.select(*group, "bucket", "amount", F.coalesce(F.sum("amount").over(before), F.lit(0)).alias("offset"), F.sum("amount").over(own).alias("total"))
 
 
-def row_numbers(rows: DataFrame, group: list[str], value: str, ties: list[str], *, rows_per_bucket: int = 100_000) -> DataFrame:
+def row_numbers(rows: DataFrame, group: list[str], value: str, ties: list[str], *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``rn``, from 1 in each group in the order of the value, then of ties, and ``n_rows`` of the group."""
-    placed = bucketed(rows, value, rows_per_bucket=rows_per_bucket)
+    placed = bucketed(rows, group, value, rows_per_bucket=rows_per_bucket)
     numbered = placed.withColumn("inside", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy(value, *ties)))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n_rows"))
-    return numbered.join(_offsets(placed, group, F.lit(1)), [*group, "bucket"]).join(sizes, group).withColumn("rn", (F.col("offset") + F.col("inside")).cast("long")).drop("bucket", "offset", "inside")
+    sums = bucket_sums(placed, group, F.lit(1)).drop("amount")
+    return numbered.join(sums, [*group, "bucket"]).withColumns({"rn": (F.col("offset") + F.col("inside")).cast("long"), "n_rows": F.col("total")}).drop("bucket", "offset", "inside", "total")
 
 
-def prefix_sums(rows: DataFrame, group: list[str], value: str, amount: str, ties: list[str], *, rows_per_bucket: int = 100_000, span_of: DataFrame | None = None) -> DataFrame:
+def prefix_sums(rows: DataFrame, group: list[str], value: str, amount: str, ties: list[str], *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``before``: the sum of the amount over the rows of the group that stand ahead."""
-    placed = bucketed(rows, value, rows_per_bucket=rows_per_bucket, span_of=span_of)
+    placed = bucketed(rows, group, value, rows_per_bucket=rows_per_bucket)
     own = Window.partitionBy(*group, "bucket").orderBy(value, *ties).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("inside", F.coalesce(F.sum(amount).over(own), F.lit(0)))
-    return summed.join(_offsets(placed, group, F.col(amount)), [*group, "bucket"]).withColumn("before", F.col("offset") + F.col("inside")).drop("bucket", "offset", "inside")
+    sums = bucket_sums(placed, group, F.col(amount)).drop("amount", "total")
+    return summed.join(sums, [*group, "bucket"]).withColumn("before", F.col("offset") + F.col("inside")).drop("bucket", "offset", "inside")
 
 
 def position_bin(bins: int) -> Column:

@@ -1,4 +1,5 @@
-"""Reproducible draws: every random choice is a hash of what is drawn and a seed, never of the partitioning."""
+"""Reproducible draws: every random choice is an MD5 of what is drawn and a seed, never of the partitioning, so that
+any engine with MD5 draws the same."""
 
 from __future__ import annotations
 
@@ -6,51 +7,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrail.operators.candidates import candidate_bands
-from pagetrail.operators.ranking import row_numbers
+from pagetrail.operators.ranking import ROWS_PER_BUCKET, bucket_sums, bucketed, row_numbers
+
+
+def random_bits(*cols: Column | str, seed: int) -> Column:
+    """A long from 0 to 2**60 - 1: the first 15 hex digits of the MD5 of ``seed:value:value...``."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in cols))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def hashed(*cols: Column | str, seed: int) -> Column:
     """A uniform number in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) * F.lit(2.0**-53)
+    return F.shiftright(random_bits(*cols, seed=seed), 8) * F.lit(2.0**-52)
 
 
-def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0, parts: int = 256) -> DataFrame:
+def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """n pairs per trial, with replacement, uniform over all pairs (record, position in [start, stop)).
 
-    Returns trial_id, draw, key and e_idx.  Records are ranges on the line of all pairs; a draw is a point on it and
-    finds its range by an as-of lookup: both are put into buckets of the line, so that no sort is global.  A trial
-    without pairs gives none.
+    Returns trial_id, draw, key and e_idx.  Records, in the order of their keys, are ranges on the line of all pairs; a
+    draw is a point on it and finds its range by an as-of lookup: first among the sums of buckets of records, of which
+    there are few, then inside one bucket.  A trial without pairs gives none.
     """
     width = F.greatest(F.col(stop) - F.col(start), F.lit(0))
     ranges = bands.select("trial_id", key, F.col(start).alias("start"), width.alias("n_pairs")).where("n_pairs > 0")
-    totals = ranges.groupBy("trial_id").agg(F.sum("n_pairs").alias("total"))
-    # any order of the records will do: they are dealt by hash, and only those of one part are ordered
-    ranges = ranges.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    sums = ranges.groupBy("trial_id", "part").agg(F.sum("n_pairs").alias("amount"))
-    behind = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("trial_id", "part", F.coalesce(F.sum("amount").over(behind.partitionBy("trial_id").orderBy("part")), F.lit(0)).alias("offset"))
-    inside = F.coalesce(F.sum("n_pairs").over(behind.partitionBy("trial_id", "part").orderBy(key)), F.lit(0))
-    placed = ranges.withColumn("inside", inside).join(sums, ["trial_id", "part"]).withColumn("before", F.col("offset") + F.col("inside"))
-    spark = bands.sparkSession
-    draws = totals.crossJoin(spark.range(n).withColumnRenamed("id", "draw"))  # one total per trial
-    at = F.pmod(F.xxhash64(F.lit(seed), F.lit(stream), "trial_id", "draw"), "total")
-    buckets = 64
-    size = F.ceil(F.col("total") / buckets).cast("long")
-    points = draws.select("trial_id", "draw", at.alias("at"), F.lit(1).alias("kind"), "total")
-    points = points.withColumn("bucket", F.floor(F.col("at") / size))
-    spans = placed.join(totals, "trial_id").select("trial_id", key, "start", F.col("before").alias("at"), F.lit(0).alias("kind"), "n_pairs", "total")
-    last = F.floor((F.col("at") + F.col("n_pairs") - 1) / size)
-    spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / size), last)))
-    left = spans.select("trial_id", "bucket", "at", "kind", F.lit(None).cast("long").alias("draw"), F.struct(key, "start", "at").alias("span"))
-    both = left.unionByName(points.select("trial_id", "bucket", "at", "kind", "draw"), allowMissingColumns=True)
-    order = Window.partitionBy("trial_id", "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("hit", F.last("span", ignorenulls=True).over(order)).where("kind = 1")
-    return found.select("trial_id", "draw", F.col(f"hit.{key}").alias(key), (F.col("hit.start") + F.col("at") - F.col("hit.at")).alias("e_idx"))
-
-
-def sample_candidates(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, n: int, balanced: bool, key: str, seed: int, bucket_width: int, features: list[str]) -> DataFrame:
-    """Sampled (access, eviction) rows per trial: label, the features of the access, and the time since it."""
-    bands = candidate_bands(access, eviction, horizon=horizon, cap=cap, bucket_width=bucket_width, key=key)
+    placed = bucketed(ranges, ["trial_id"], key, rows_per_bucket=rows_per_bucket)
+    sums = bucket_sums(placed, ["trial_id"], F.col("n_pairs"))
+    # n draws for each trial: one total per trial meets the numbers of the draws
+    totals = sums.where("offset = 0").select("trial_id", "total")
+    draws = totals.crossJoin(bands.sparkSession.range(n).withColumnRenamed("id", "draw"))
+    points = draws.select("trial_id", "draw", (random_bits(F.lit(stream), "trial_id", "draw", seed=seed) % F.col("total")).alias("at"), F.lit(1).alias("kind"))
+    marks = sums.select("trial_id", F.col("offset").alias("at"), F.lit(0).alias("kind"), "bucket", "offset")
+    order = lambda *by: Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.unionByName(points, allowMissingColumns=True)
+    found = both.select("trial_id", "draw", "at", "kind", *(F.last(c, ignorenulls=True).over(order("trial_id")).alias(c) for c in ("bucket", "offset")))
+    found = found.where("kind = 1").select("trial_id", "bucket", "draw", (F.col("at") - F.col("offset")).alias("at"), "kind")
+    own = Window.partitionBy("trial_id", "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.withColumn("at", F.coalesce(F.sum("n_pairs").over(own), F.lit(0)))
+    spans = spans.select("trial_id", "bucket", "at", F.lit(0).alias("kind"), F.struct(key, "start", "at").alias("span"))
+    hit = F.last("span", ignorenulls=True).over(order("trial_id", "bucket"))
+    out = spans.unionByName(found, allowMissingColumns=True).withColumn("hit", hit).where("kind = 1")
+    return out.select("trial_id", "draw", F.col(f"hit.{key}").alias(key), (F.col("hit.start") + F.col("at") - F.col("hit.at")).alias("e_idx"))
+
+
+def sample_candidates(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, n: int, balanced: bool, key: str, seed: int, features: list[str], bands: DataFrame | None = None) -> DataFrame:
+    """Sampled (access, eviction) rows per trial: label, the features of the access, and the time since it.
+
+    key: a number that names one access. bands: those of the accesses, where they are there already."""
+    if bands is None:
+        bands = candidate_bands(access, eviction, horizon=horizon, cap=cap, key=key)
     if balanced:
         positive = draw(bands, "pos_lo", "hi", n // 2, key=key, seed=seed, stream=1).withColumn("label", F.lit(1))
         negative = draw(bands, "lo", "pos_lo", n - n // 2, key=key, seed=seed, stream=2).withColumn("label", F.lit(0))
@@ -60,12 +64,13 @@ def sample_candidates(access: DataFrame, eviction: DataFrame, *, horizon: int, c
         drawn = drawn.withColumn("label", (F.col("e_idx") >= F.col("pos_lo")).cast("int")).drop("pos_lo")
     numbered = row_numbers(eviction.select("trial_id", "ts"), ["trial_id"], "ts", []).select("trial_id", (F.col("rn") - 1).alias("e_idx"), F.col("ts").alias("e_ts"))
     out = drawn.join(numbered, ["trial_id", "e_idx"]).join(access.select("trial_id", key, "ts", *features), ["trial_id", key])
-    return out.withColumn("time_since_last_access_at_eviction", (F.col("e_ts") - F.col("ts")).cast("float")).select("trial_id", key, "e_idx", "e_ts", "label", *features, "time_since_last_access_at_eviction")
+    return out.withColumn("time_since_last_access_at_eviction", (F.col("e_ts") - F.col("ts")).cast("float")).select("trial_id", "draw", key, "e_idx", "e_ts", "label", *features, "time_since_last_access_at_eviction")
 
 
 def choose(rows: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
-    """n rows without replacement: those with the least hashes."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """n rows without replacement: those with the least hashes, which are numbered in buckets."""
+    ranked = row_numbers(rows.withColumns({"draw_hash": hashed(*key, seed=seed), "draw_all": F.lit(0)}), ["draw_all"], "draw_hash", key)
+    return ranked.where(F.col("rn") <= n).select(*rows.columns)
 
 
 def random_split(rows: DataFrame, share: float, key: list[str], seed: int) -> DataFrame:
@@ -76,7 +81,7 @@ def random_split(rows: DataFrame, share: float, key: list[str], seed: int) -> Da
 def stratified_split(rows: DataFrame, share: float, by: str, key: list[str], seed: int) -> DataFrame:
     """Adds is_test, true for that share of each class, exactly up to rounding."""
     ranked = row_numbers(rows.withColumn("split_hash", hashed(*key, seed=seed)), [by], "split_hash", key)
-    return ranked.withColumn("is_test", F.col("rn") <= F.round(F.col("n_rows") * share)).drop("rn", "n_rows", "split_hash")
+    return ranked.withColumn("is_test", F.col("rn") <= F.floor(F.col("n_rows") * share + 0.5)).drop("rn", "n_rows", "split_hash")
 
 
 def random_pairs(spark: SparkSession, rows: DataFrame, target: str, features: list[str], n: int, *, order: list[str], seed: int) -> DataFrame:
@@ -89,7 +94,7 @@ def random_pairs(spark: SparkSession, rows: DataFrame, target: str, features: li
     total = numbered.count()
     if total < 2:
         raise ValueError("pairs need two rows at least")
-    pairs = spark.range(n).select(F.col("id").alias("pair"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("a"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(total - 1)).alias("step"))
+    pairs = spark.range(n).select(F.col("id").alias("pair"), (random_bits("id", seed=seed) % total).alias("a"), (random_bits("id", seed=seed + 1) % (total - 1)).alias("step"))
     pairs = pairs.withColumn("b", F.pmod(F.col("a") + 1 + F.col("step"), F.lit(total)))
     side = lambda s: numbered.select(F.col("i").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in (target, *features)))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col(f"{target}_a") != F.col(f"{target}_b"))

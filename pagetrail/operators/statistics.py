@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.functions import student
+from pagetrail.functions.scalars import normal_quantile
 from pagetrail.operators.quantiles import quantiles
 from pagetrail.operators.ranking import prefix_sums, row_numbers
-from pagetrail.shipping import ensure_shipped
 
 
 def histogram(rows: DataFrame, value: str, bins: int, by: list[str], *, density: bool = False) -> DataFrame:
@@ -38,19 +37,13 @@ def ecdf(rows: DataFrame, value: str, by: list[str], ties: list[str]) -> DataFra
 
 
 def qq_points(rows: DataFrame, value: str, by: list[str], ties: list[str]) -> DataFrame:
-    """ecdf with the plotting position (k - 1/2) / n, which :func:`student.normal_quantile` turns into a quantile."""
+    """ecdf with the plotting position (k - 1/2) / n, which :func:`normal_scores` turns into a quantile."""
     return row_numbers(rows, by, value, ties).withColumn("position", (F.col("rn") - 0.5) / F.col("n_rows"))
 
 
 def normal_scores(points: DataFrame) -> DataFrame:
     """Adds theoretical, the standard normal quantile of each plotting position."""
-
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return p.map(student.normal_quantile)
-
-    ensure_shipped(points.sparkSession)
-    return points.withColumn("theoretical", quantile("position"))
+    return points.withColumn("theoretical", normal_quantile(F.col("position")))
 
 
 def describe(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -164,7 +157,7 @@ def confusion(scored: DataFrame, label: Column, predicted: Column) -> DataFrame:
 def roc_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row: n_pos, n_neg and the exact area by average ranks; null with one class only."""
     values = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos")).withColumn("all", F.lit(0))
-    ranked = prefix_sums(values, ["all"], "s", "n", [], span_of=scored.select(F.col(score).alias("s")))
+    ranked = prefix_sums(values, ["all"], "s", "n", [])
     rank = F.col("before") + (F.col("n") + 1) / 2
     out = ranked.agg(F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"), F.sum(F.col("pos") * rank).alias("ranks"))
     area = (F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))

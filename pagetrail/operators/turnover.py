@@ -13,15 +13,15 @@ def insertion_gaps(insertion: DataFrame, *, rows_per_bucket: int = 100_000) -> D
 
     Rows are ordered inside buckets of time; the first row of a bucket looks back to the last of the one before.
     """
-    placed = bucketed(insertion.select("trial_id", "ts"), "ts", rows_per_bucket=rows_per_bucket)
+    placed = bucketed(insertion.select("trial_id", "ts"), ["trial_id"], "ts", rows_per_bucket=rows_per_bucket)
     ends = placed.groupBy("trial_id", "bucket").agg(F.max("ts").alias("last"))
     ends = ends.select("trial_id", "bucket", F.lag("last").over(Window.partitionBy("trial_id").orderBy("bucket")).alias("earlier"))
     own = F.lag("ts").over(Window.partitionBy("trial_id", "bucket").orderBy("ts"))
     return placed.withColumn("prev", own).join(ends, ["trial_id", "bucket"]).select("trial_id", "ts", (F.col("ts") - F.coalesce("prev", "earlier")).alias("gap"))
 
 
-def turnover_estimate(access: DataFrame, eviction: DataFrame, insertion: DataFrame, *, second: int, active_gap: float = 1.0, capacity: int | None = None) -> DataFrame:
-    """Per trial: capacity_pages, capacity_estimated, n_insertions, active_seconds, insertion_rate, turnover_seconds,
+def turnover_estimate(access: DataFrame, eviction: DataFrame, insertion: DataFrame, *, second: int, active_gap: float = 1.0, capacity: int | None = None, trials: DataFrame | None = None) -> DataFrame:
+    """Per trial, those of ``trials`` (trial_id) or else all that occur in any log: capacity_pages, capacity_estimated, n_insertions, active_seconds, insertion_rate, turnover_seconds,
     label_window (null without accesses or evictions) and problem (null, or why there is no estimate).
 
     Without a given capacity, it is the number of insertions before the first eviction.  Only gaps of up to
@@ -29,10 +29,12 @@ def turnover_estimate(access: DataFrame, eviction: DataFrame, insertion: DataFra
     """
     first = eviction.groupBy("trial_id").agg(F.min("ts").alias("first_eviction"))
     last = access.groupBy("trial_id").agg(F.max("ts").alias("last_access"))
-    filled = insertion.join(first, "trial_id", "left").groupBy("trial_id").agg(F.count("*").alias("n_insertions"), F.count_if(F.col("ts") < F.col("first_eviction")).alias("filled"), F.first("first_eviction").alias("first_eviction"))
+    every = trials.select("trial_id") if trials is not None else access.select("trial_id").unionByName(eviction.select("trial_id")).unionByName(insertion.select("trial_id"))
+    before = insertion.join(first, "trial_id", "left").groupBy("trial_id").agg(F.count("*").alias("n_insertions"), F.count_if(F.col("ts") < F.col("first_eviction")).alias("filled"))
+    filled = every.distinct().join(before, "trial_id", "left").join(first, "trial_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_insertions", "filled")})
     active = insertion_gaps(insertion).groupBy("trial_id").agg((F.coalesce(F.sum(F.when(F.col("gap") <= F.lit(int(active_gap * second)), F.col("gap"))), F.lit(0)) / second).alias("active_seconds"))
     size = F.lit(capacity).cast("long") if capacity is not None else F.when(F.col("first_eviction").isNotNull(), F.col("filled"))
-    rows = filled.join(active, "trial_id").join(last, "trial_id", "left").withColumn("capacity_pages", size)
+    rows = filled.join(active, "trial_id", "left").withColumn("active_seconds", F.coalesce("active_seconds", F.lit(0.0))).join(last, "trial_id", "left").withColumn("capacity_pages", size)
     problem = (
         F.when(F.col("n_insertions") < 2, F.lit("fewer than two insertions"))
         .when(F.col("capacity_pages").isNull(), F.lit("no eviction: the cache was never filled"))

@@ -43,9 +43,20 @@ def qq_positions(spark, d):
     return rows.select("c_custkey", F.round("position", 9).alias("position"))
 
 
-@query()
+#: The normal distribution by Simpson's rule on a grid, inverted by a step of second order from the grid point below.
+_NORMAL_SQL = """
+cells AS (SELECT i, i * 0.001 AS z, 0.3989422804014327 * exp((i * 0.001) ** 2 / -2) AS f0, 0.3989422804014327 * exp((i * 0.001 + 0.0005) ** 2 / -2) AS f1, 0.3989422804014327 * exp((i * 0.001 + 0.001) ** 2 / -2) AS f2 FROM range(0, 6000) t(i)),
+normal AS (SELECT z, f0, 0.5 + coalesce(sum((f0 + 4 * f1 + f2) / 6000) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM cells)"""
+
+
+@query(
+    f"""WITH {_NORMAL_SQL}, p AS (SELECT c_custkey, c_acctbal, (row_number() OVER (ORDER BY c_acctbal, c_custkey) - 0.5) / count(*) OVER () AS p FROM customer),
+u AS (SELECT *, greatest(p, 1 - p) AS q FROM p), d AS (SELECT u.*, n.z, (q - below) / f0 AS d FROM u ASOF JOIN normal n ON u.q >= n.below)
+SELECT c_custkey, c_acctbal, round((z + d + z * d * d / 2) * CASE WHEN p < 0.5 THEN -1 ELSE 1 END, 5) + 0.0 AS theoretical FROM d"""
+)
 def qq_points(spark, d):
-    return statistics.normal_scores(statistics.qq_points(table(spark, d, "customer").withColumn("all", F.lit(0)), "c_acctbal", ["all"], ["c_custkey"])).select("c_custkey", "c_acctbal", "theoretical")
+    scored = statistics.normal_scores(statistics.qq_points(table(spark, d, "customer").withColumn("all", F.lit(0)), "c_acctbal", ["all"], ["c_custkey"]))
+    return scored.select("c_custkey", "c_acctbal", (F.round("theoretical", 5) + 0.0).alias("theoretical"))
 
 
 @query(
@@ -364,54 +375,121 @@ def prefix_sum(spark, d):
 def event_rank(spark, d):
     t = orders_trace(spark, d)
     asked = t.access.select("trial_id", "page", F.col("ts").alias("x")).distinct().withColumn("side", F.explode(F.array(F.lit(candidates.BEFORE), F.lit(candidates.UP_TO))))
-    ranked = candidates.event_rank(asked, t.eviction, bucket_width=30 * DAY)
+    ranked = candidates.event_rank(asked, t.eviction)
     return ranked.groupBy("page", "x").agg(F.max(F.when(F.col("side") == candidates.BEFORE, F.col("rank"))).alias("n_before"), F.max(F.when(F.col("side") == candidates.UP_TO, F.col("rank"))).alias("n_up_to"))
 
 
-# R: samples; hashes have no SQL form, so that only rows are compared
+# R: samples
+
+
+def _bits(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+def _hash(*parts: str) -> str:
+    return f"({_bits(*parts)} >> 8) / 4503599627370496.0"
 
 
-def _draws(spark, d, balanced):
+_TRIAL_SQL = EVENTS_SQL.replace("0 AS trial_id", "CAST(event_id % 3 AS INTEGER) AS trial_id")
+_SAMPLE_SQL = """
+valid AS (SELECT e.* FROM eviction e JOIN (SELECT trial_id, max(ts) - 21600000000 AS last FROM access GROUP BY trial_id) USING (trial_id) WHERE ts <= last),
+halves AS (SELECT trial_id, quantile_cont(ts, 0.8) AS cut, count(*) AS n FROM valid GROUP BY trial_id),
+part AS ({part}),
+nx AS (SELECT *, lead(ts) OVER (PARTITION BY trial_id, page ORDER BY ts) AS next_ts FROM access),
+bands AS (SELECT a.trial_id, a.event_id, count(*) FILTER (e.ts <= a.ts) AS lo, count(*) FILTER (e.ts < least(a.next_ts, a.ts + 21600000000)) AS hi,
+  count(*) FILTER (e.ts < least(a.next_ts, a.ts + 21600000000) AND (a.next_ts IS NULL OR e.ts <= greatest(a.ts, a.next_ts - 21600000000))) AS pos_lo FROM nx a JOIN part e USING (trial_id) GROUP BY ALL),
+numbered AS (SELECT trial_id, ts AS e_ts, row_number() OVER (PARTITION BY trial_id ORDER BY ts) - 1 AS e_idx FROM part)"""
+
+
+def _drawn_sql(start: str, stop: str, n: int, seed: int, stream: int, label: str) -> str:
+    at = _bits(f"'{seed}'", f"'{stream}'", "trial_id", "draw")
+    return f"""SELECT trial_id, draw, event_id, {start} + pt - ahead AS e_idx, {label} AS label FROM
+  (SELECT trial_id, draw, {at} % total AS pt FROM (SELECT trial_id, sum({stop} - {start})::BIGINT AS total FROM bands GROUP BY trial_id HAVING sum({stop} - {start}) > 0), (SELECT unnest(range({n})) AS draw)) d
+  JOIN (SELECT *, sum({stop} - {start}) OVER (PARTITION BY trial_id ORDER BY event_id)::BIGINT - ({stop} - {start}) AS ahead FROM bands) b USING (trial_id) WHERE pt >= ahead AND pt < ahead + {stop} - {start}"""
+
+
+def _sample_sql(part: str, drawn: str) -> str:
+    return f"""+ {_SAMPLE_SQL.format(part=part)}, drawn AS ({drawn})
+SELECT trial_id, draw, event_id, e_idx, e_ts, CAST(label AS INTEGER) AS label, value, CAST(e_ts - a.ts AS FLOAT) AS time_since_last_access_at_eviction FROM drawn JOIN numbered USING (trial_id, e_idx) JOIN access a USING (trial_id, event_id)"""
+
+
+_EARLY_SQL = "SELECT v.* FROM valid v JOIN halves USING (trial_id) WHERE NOT (n >= 2 AND ts >= cut)"
+_LATE_SQL = "SELECT v.* FROM valid v JOIN halves USING (trial_id) WHERE n >= 2 AND ts >= cut"
+_BALANCED_SQL = _drawn_sql("pos_lo", "hi", 500, 42, 1, "1") + " UNION ALL " + _drawn_sql("lo", "pos_lo", 500, 42, 2, "0")
+
+
+def _draws(spark, d, late=False, balanced=False, seed=42):
     t = events_trace(spark, d, trials=3)
-    return sampling.sample_candidates(t.access, t.eviction, horizon=6 * HOUR, cap=6 * HOUR, n=1000, balanced=balanced, key="event_id", seed=42, bucket_width=DAY, features=["value"])
+    split = candidates.temporal_split(candidates.valid_evictions(t.access, t.eviction, 6 * HOUR), 0.2)
+    part = split.where("is_eval" if late else "NOT is_eval").select("trial_id", "ts")
+    return sampling.sample_candidates(t.access, part, horizon=6 * HOUR, cap=6 * HOUR, n=1000, balanced=balanced, key="event_id", seed=seed, features=["value"])
 
 
-@query()
+@query(_sample_sql(_EARLY_SQL, _BALANCED_SQL), _TRIAL_SQL)
 def sample_balanced(spark, d):
-    return _draws(spark, d, True)
+    return _draws(spark, d, balanced=True)
 
 
-@query()
+@query(_sample_sql(_EARLY_SQL, _drawn_sql("lo", "hi", 1000, 42, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
 def sample_natural(spark, d):
-    return _draws(spark, d, False)
+    return _draws(spark, d)
 
 
-@query()
+@query(_sample_sql(_EARLY_SQL, _drawn_sql("lo", "hi", 1000, 43, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
+def sample_discretizer(spark, d):
+    return _draws(spark, d, seed=43)
+
+
+@query(_sample_sql(_LATE_SQL, _drawn_sql("lo", "hi", 1000, 44, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
+def sample_holdout(spark, d):
+    return _draws(spark, d, late=True, seed=44)
+
+
+@query(
+    f"""WITH h AS (SELECT o_orderkey, o_orderpriority, {_hash("'42'", "o_orderkey")} AS h FROM orders)
+SELECT o_orderkey, o_orderpriority, h < 0.2 AS is_random_test, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderpriority) * 0.2::DOUBLE + 0.5) AS is_test FROM h"""
+)
 def sample_split(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return sampling.stratified_split(sampling.random_split(rows, 0.2, ["o_orderkey"], 42).withColumnRenamed("is_test", "is_random_test"), 0.2, "o_orderpriority", ["o_orderkey"], 42)
 
 
-@query()
+@query(f"""SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY {_hash("'42'", "o_orderkey")}, o_orderkey LIMIT 1000""")
 def sample_choice(spark, d):
-    return sampling.choose(table(spark, d, "orders"), 1000, ["o_orderkey"], 42)
+    return sampling.choose(table(spark, d, "orders"), 1000, ["o_orderkey"], 42).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS t, o_custkey AS c FROM orders), m AS (SELECT count(*) AS m FROM n),
+p AS (SELECT id AS pair, {_bits("'42'", "id")} % m AS a, {_bits("'43'", "id")} % (m - 1) AS step, m FROM (SELECT unnest(range(5000)) AS id), m)
+SELECT pair, a, (a + 1 + step) % m AS b, x.t AS o_totalprice_a, x.c AS o_custkey_a, y.t AS o_totalprice_b, y.c AS o_custkey_b, CAST(x.t < y.t AS INTEGER) AS label FROM p JOIN n x ON x.i = a JOIN n y ON y.i = (a + 1 + step) % m WHERE x.t <> y.t"""
+)
 def random_pairs(spark, d):
     return sampling.random_pairs(spark, table(spark, d, "orders"), "o_totalprice", ["o_custkey"], 5000, order=["o_orderkey"], seed=42)
 
 
+@query(
+    f"""WITH n AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS t FROM orders), m AS (SELECT count(*) AS m FROM n),
+p AS (SELECT {_bits("'42'", "id")} % m AS a, {_bits("'43'", "id")} % (m - 1) AS step, m FROM (SELECT unnest(range(5000)) AS id), m)
+SELECT count(*) AS n_pairs, round(avg(CAST(x.t < y.t AS INTEGER)), 9) AS balance FROM p JOIN n x ON x.i = a JOIN n y ON y.i = (a + 1 + step) % m WHERE x.t <> y.t"""
+)
+def pair_balance(spark, d):
+    from pagetrail.plans.training import pair_balance as balance
+
+    return balance(random_pairs(spark, d)).withColumn("balance", F.round("balance", 9))
+
+
 @query()
 def reuse_classifier(spark, d):
     from pagetrail.plans.training import Options, collect_sample, evaluate, fit_classifier
 
     t = events_trace(spark, d)
-    options = Options(features=("value", "event_id"), horizon=6 * HOUR, residency_cap=6 * HOUR, target_rows=20_000, disc_sample_size=5_000, eval_rows=5_000, bucket_width=DAY)
+    options = Options(features=("value", "event_id"), horizon=6 * HOUR, residency_cap=6 * HOUR, random_state=42)
     sample = collect_sample(t.access, t.eviction, options)
     edges = features.quantile_edges(sample.discretizer, ["value", "event_id", "time_since_last_access_at_eviction"], 10)
     model = fit_classifier(features.discretise(sample.train, edges), edges, options)
-    return spark.createDataFrame([evaluate(sample.evaluation, model, 0.0)])
+    figures = evaluate(sample.evaluation, model, 0.0)
+    return spark.createDataFrame([figures | figures.pop("confusion")])
 
 
 @query()

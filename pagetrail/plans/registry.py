@@ -36,8 +36,8 @@ def query(sql: str | None = None, views: str | None = None):
     return put
 
 
-#: Time from which adapter E has insertions before its first eviction.
-FILLED_FROM = "2024-01-08"
+#: Adapter E has an eviction before its first insertion, so that a capacity is given.
+CAPACITY = 500
 
 # A1-A3, A11, W1, W2, W10, P3, P9, P10, P13
 
@@ -167,7 +167,7 @@ pairs AS (
 
 def _totals(trace, horizon, cap):
     # buckets of a day hold what one task can sort
-    return candidates.candidate_totals(trace.access, trace.eviction, horizon=horizon, cap=cap, bucket_width=DAY)
+    return candidates.candidate_totals(trace.access, trace.eviction, horizon=horizon, cap=cap)
 
 
 def _totals_sql(horizon: int, cap: int | None) -> str:
@@ -200,18 +200,18 @@ FROM nx a JOIN eviction e USING (trial_id) GROUP BY ALL""",
 )
 def candidate_bands(spark, d):
     t = events_trace(spark, d)
-    return candidates.candidate_bands(t.access, t.eviction, horizon=6 * HOUR, cap=6 * HOUR, bucket_width=DAY, key="event_id")
+    return candidates.candidate_bands(t.access, t.eviction, horizon=6 * HOUR, cap=6 * HOUR, key="event_id")
 
 
 @query(
     """+ nx AS (SELECT *, lead(ts) OVER (PARTITION BY trial_id, page ORDER BY ts) AS next_ts FROM access)
-SELECT a.event_id, a.next_ts, e.ts AS e_ts, CAST(coalesce(a.next_ts - e.ts < 3600000000, false) AS INTEGER) AS label
-FROM nx a JOIN eviction e ON a.trial_id = e.trial_id AND e.ts > a.ts AND e.ts < coalesce(least(a.next_ts, a.ts + 3600000000), 9223372036854775807)""",
+SELECT a.event_id, a.next_ts, e.ts AS e_ts, CAST(coalesce(a.next_ts - e.ts < 21600000000, false) AS INTEGER) AS label
+FROM nx a JOIN eviction e ON a.trial_id = e.trial_id AND e.ts > a.ts AND e.ts < coalesce(least(a.next_ts, a.ts + 21600000000), 9223372036854775807)""",
     EVENTS_SQL,
 )
 def candidate_pairs(spark, d):
     t = events_trace(spark, d)
-    return candidates.candidate_pairs(t.access, t.eviction, horizon=HOUR, cap=HOUR).select("event_id", "next_ts", "e_ts", "label")
+    return candidates.candidate_pairs(t.access, t.eviction, horizon=6 * HOUR, cap=6 * HOUR, slot=HOUR).select("event_id", "next_ts", "e_ts", "label")
 
 
 @query(
@@ -247,32 +247,28 @@ def temporal_split(spark, d):
 # A4-A8
 
 
-def _filled(spark, d):
+def _estimate(spark, d):
     t = events_trace(spark, d)
-    start = spark.sql(f"SELECT timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp_ntz'{FILLED_FROM} 00:00:00') AS s").first()["s"]
-    return t, t.eviction.where(F.col("ts") >= start)
+    return turnover.turnover_estimate(t.access, t.eviction, t.insertion, second=SECOND, active_gap=1800, capacity=CAPACITY)
 
 
-_TURNOVER = f"""+ late AS (SELECT * FROM eviction WHERE ts >= epoch_us(TIMESTAMP '{FILLED_FROM}')),
-f AS (SELECT trial_id, min(ts) AS first_eviction FROM late GROUP BY trial_id),
+_TURNOVER = f"""+ f AS (SELECT trial_id, min(ts) AS first_eviction FROM eviction GROUP BY trial_id),
 g AS (SELECT trial_id, ts, ts - lag(ts) OVER (PARTITION BY trial_id ORDER BY ts) AS gap FROM insertion),
-s AS (SELECT g.trial_id, count(*) AS n_insertions, count(*) FILTER (g.ts < f.first_eviction) AS capacity_pages, any_value(first_eviction) AS first_eviction,
+s AS (SELECT g.trial_id, count(*) AS n_insertions, CAST({CAPACITY} AS BIGINT) AS capacity_pages, any_value(first_eviction) AS first_eviction,
              CAST(coalesce(sum(gap) FILTER (gap <= 1800000000), 0) AS DOUBLE) / 1e6 AS active_seconds FROM g JOIN f USING (trial_id) GROUP BY g.trial_id),
 t AS (SELECT s.*, (n_insertions - 1) / active_seconds AS insertion_rate, l.last_access - first_eviction AS label_window
       FROM s JOIN (SELECT trial_id, max(ts) AS last_access FROM access GROUP BY trial_id) l USING (trial_id))"""
 
 
-@query(_TURNOVER + " SELECT trial_id, capacity_pages, true AS capacity_estimated, n_insertions, round(active_seconds, 6) AS active_seconds, round(insertion_rate, 12) AS insertion_rate, round(capacity_pages / insertion_rate, 3) AS turnover_seconds, label_window, CAST(NULL AS VARCHAR) AS problem FROM t", EVENTS_SQL)
+@query(_TURNOVER + " SELECT trial_id, capacity_pages, false AS capacity_estimated, n_insertions, round(active_seconds, 6) AS active_seconds, round(insertion_rate, 12) AS insertion_rate, round(capacity_pages / insertion_rate, 3) AS turnover_seconds, label_window, CAST(NULL AS VARCHAR) AS problem FROM t", EVENTS_SQL)
 def turnover_estimate(spark, d):
-    t, late = _filled(spark, d)
-    out = turnover.turnover_estimate(t.access, late, t.insertion, second=SECOND, active_gap=1800)
+    out = _estimate(spark, d)
     return out.withColumns({"active_seconds": F.round("active_seconds", 6), "insertion_rate": F.round("insertion_rate", 12), "turnover_seconds": F.round("turnover_seconds", 3)})
 
 
 @query(_TURNOVER + " SELECT round(avg(capacity_pages / insertion_rate), 3) AS mean_turnover, min(label_window) / 1e6 AS least_window, count(*) AS n_trials, round(least(avg(capacity_pages / insertion_rate), min(label_window) / 2e6), 3) AS horizon_seconds FROM t", EVENTS_SQL)
 def auto_horizon(spark, d):
-    t, late = _filled(spark, d)
-    out = turnover.auto_horizon(turnover.turnover_estimate(t.access, late, t.insertion, second=SECOND, active_gap=1800), SECOND)
+    out = turnover.auto_horizon(_estimate(spark, d), SECOND)
     return out.withColumns({"mean_turnover": F.round("mean_turnover", 3), "horizon_seconds": F.round("horizon_seconds", 3)})
 
 

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.operators import features as feats
 from pagetrail.operators.candidates import candidate_bands, temporal_split, valid_evictions
+from pagetrail.operators.ranking import row_numbers
 from pagetrail.operators.sampling import choose, random_pairs, random_split, sample_candidates, stratified_split
 from pagetrail.operators.statistics import confusion, roc_auc
 from pagetrail.operators.turnover import auto_horizon, checked, turnover_estimate
-from pagetrail.sources.artifacts import edges_table, eval_report, write_json
+from pagetrail.sources.artifacts import edges_table, eval_report, write_json, write_text
 from pagetrail.sources.binary_logs import discover, trial_logs
 
 NS = 1_000_000_000
@@ -44,7 +45,6 @@ class Options:
     max_iterations: int = 100
     regularisation: float = 1e-6
     second: int = NS
-    bucket_width: int = 60 * NS
 
 
 @dataclass
@@ -55,6 +55,12 @@ class WorkloadSample:
     n_pos: int
     n_neg: int
     class_weights: dict[int, float] | None = field(default=None)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what was persisted for the fit."""
+        for rows in self.held:
+            rows.unpersist()
 
     @property
     def true_positive_rate(self) -> float:
@@ -69,34 +75,42 @@ def require_columns(rows: DataFrame, needed: list[str]) -> None:
 def collect_sample(access: DataFrame, eviction: DataFrame, options: Options) -> WorkloadSample:
     """Sampled rows of all trials: for training, for the holdout (later evictions), and for the bin edges.
 
-    access: trial_id, page, ts and the features; eviction: trial_id, ts.  Trials share nothing but the seed.
+    access: trial_id, page, ts, the features and access_key, a number that names a row (binary logs have the place of
+    the record in its trial); without one, rows are numbered here in the order of all their values.  eviction:
+    trial_id, ts.  Trials share nothing but the seed.
     """
     require_columns(access, ["trial_id", "page", "ts", *options.features])
     horizon, cap, seed = options.horizon, options.residency_cap, options.random_state
-    keyed = access.withColumn("access_key", F.xxhash64("trial_id", "page", "ts", *options.features))
-    split = temporal_split(valid_evictions(access, eviction, horizon), options.holdout_frac)
+    keyed = access
+    if "access_key" not in access.columns:
+        keyed = row_numbers(access, ["trial_id"], "ts", ["page", *options.features]).withColumnRenamed("rn", "access_key").drop("n_rows")
+    # read several times below; equal rows are numbered once
+    keyed = keyed.select("trial_id", "page", "ts", "access_key", *options.features).persist(StorageLevel.MEMORY_AND_DISK)
+    split = temporal_split(valid_evictions(keyed, eviction, horizon), options.holdout_frac).persist(StorageLevel.MEMORY_AND_DISK)
     early, late = split.where("NOT is_eval").select("trial_id", "ts"), split.where("is_eval").select("trial_id", "ts")
-    common = {"horizon": horizon, "cap": cap, "key": "access_key", "bucket_width": options.bucket_width}
+    common = {"horizon": horizon, "cap": cap, "key": "access_key"}
+    # read by the sums and by the samples of both kinds
     bands = candidate_bands(keyed, early, **common).persist(StorageLevel.MEMORY_AND_DISK)
     sums = bands.groupBy("trial_id").agg(F.sum(F.col("hi") - F.col("pos_lo")).alias("pos"), F.sum(F.col("pos_lo") - F.col("lo")).alias("neg"))
     per_trial = sums.agg(F.count("*").alias("trials"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     trials, n_pos, n_neg = per_trial["trials"], per_trial["pos"] or 0, per_trial["neg"] or 0
     each = -(-options.target_rows // max(trials, 1))
     common |= {"features": list(options.features)}
-    train = sample_candidates(keyed, early, n=each, balanced=options.balanced, seed=seed, **common)
+    train = sample_candidates(keyed, early, n=each, balanced=options.balanced, seed=seed, bands=bands, **common)
     if trials > 1 and trials * each > options.target_rows:
-        train = choose(train, options.target_rows, ["trial_id", "access_key", "e_idx", "label"], seed)
-    disc = sample_candidates(keyed, early, n=options.disc_sample_size, balanced=False, seed=seed + 1, **common)
+        train = choose(train, options.target_rows, ["trial_id", "label", "draw"], seed)
+    disc = sample_candidates(keyed, early, n=options.disc_sample_size, balanced=False, seed=seed + 1, bands=bands, **common)
     evaluation = sample_candidates(keyed, late, n=options.eval_rows, balanced=False, seed=seed + 2, **common) if options.holdout_frac > 0 else None
     # read several times below: by the bin edges, the fit's passes, and the figures
     train, disc = train.persist(StorageLevel.MEMORY_AND_DISK), disc.persist(StorageLevel.MEMORY_AND_DISK)
     evaluation = evaluation.persist(StorageLevel.MEMORY_AND_DISK) if evaluation is not None else None
     total = n_pos + n_neg
     weights = {0: total / (2 * n_neg), 1: total / (2 * n_pos)} if n_pos and n_neg else None
-    return WorkloadSample(train, evaluation, disc, n_pos, n_neg, weights)
+    held = [x for x in (train, disc, evaluation, bands, split, keyed) if x is not None]
+    return WorkloadSample(train, evaluation, disc, n_pos, n_neg, weights, held)
 
 
-def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Options, class_weights: dict[int, float] | None = None, save_to: str | Path | None = None) -> feats.LinearModel:
+def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Options, class_weights: dict[int, float] | None = None, save_to: str | None = None) -> feats.LinearModel:
     """Logistic regression over one-hot bins, to convergence; features of one bin get weight 0. save_to: a folder for
     the fitted Spark ML model."""
     n_bins = feats.n_bins_of(edges)
@@ -108,7 +122,7 @@ def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Op
         lr = lr.setWeightCol("w")
     model = lr.fit(rows)
     if save_to:
-        model.write().overwrite().save(str(save_to))
+        model.write().overwrite().save(save_to)
     flat, at, weights = model.coefficients.toArray().tolist(), 0, {}
     for f, n in n_bins.items():
         weights[f] = flat[at : at + n] if n > 1 else [0.0]
@@ -117,54 +131,78 @@ def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Op
 
 
 def evaluate(rows: DataFrame, model: feats.LinearModel, threshold: float) -> dict:
-    """Figures of the holdout; the area is null where only one class occurs."""
+    """Figures of the holdout, under the names of the metrics file; the area is null where only one class occurs."""
     scored = feats.float_score(rows, model).withColumn("predicted", feats.decide(F.col("probability"), threshold).cast("int"))
-    cells = confusion(scored, F.col("label"), F.col("predicted")).first().asDict()
-    area = roc_auc(scored, "label", "probability").first()
-    n = sum(cells[c] for c in ("tn", "fp", "fn", "tp"))
-    return cells | {"auc": area["auc"], "rows": n, "positive_rate": (cells["tp"] + cells["fn"]) / n if n else 0.0}
-
-
-def train_workload(spark: SparkSession, name: str, iters: list[Path], output: str | Path, options: Options) -> dict:
-    """Train, evaluate and export one workload; returns the metrics that are also written."""
-    out = Path(output) / name
-    out.mkdir(parents=True, exist_ok=True)
+    row = confusion(scored, F.col("label"), F.col("predicted")).first().asDict()
+    cells = {c: row[c] for c in ("tn", "fp", "fn", "tp")}
+    n = sum(cells.values())
+    return {
+        "auc": roc_auc(scored, "label", "probability").first()["auc"], "precision": row["precision"], "recall": row["recall"], "f1": row["f1"], "confusion": cells,
+        "n_eval": n, "positive_rate": (cells["tp"] + cells["fn"]) / n if n else 0.0, "prob_threshold": 1 / (1 + math.exp(-threshold)),
+    }
+
+
+def horizon_facts(first: Row, auto: Row, second: int) -> dict:
+    """Where an automatic horizon comes from; capacity, rate and active time are those of the first trial."""
+    turnover, horizon = auto["mean_turnover"], auto["horizon_seconds"]
+    return {
+        "horizon_source": "auto", "turnover_ns": turnover * NS, "horizon_clamped": horizon < turnover,
+        "capacity_pages": first["capacity_pages"], "capacity_estimated": first["capacity_estimated"],
+        "insertion_rate_per_s": first["insertion_rate"], "active_seconds": first["active_seconds"], "n_insertions": first["n_insertions"],
+        "label_window_ns": None if first["label_window"] is None else first["label_window"] * NS / second,
+    }
+
+
+def train_workload(spark: SparkSession, name: str, iters: list, output: str, options: Options) -> dict:
+    """Train, evaluate and export one workload; returns what the summary shows, with the metrics that are also written."""
+    out = f"{output}/{name}"
     access, eviction = trial_logs(spark, iters, "access"), trial_logs(spark, iters, "eviction")
-    facts: dict = {"workload": name, "horizon_source": "manual"}
+    metrics: dict = {"horizon_source": "manual"}
     horizon = options.horizon
     if horizon is None:
-        estimate = turnover_estimate(access, eviction, trial_logs(spark, iters, "insertion"), second=options.second, capacity=options.capacity_pages)
+        trials = spark.createDataFrame([(i,) for i in range(len(iters))], "trial_id int")
+        estimate = turnover_estimate(access, eviction, trial_logs(spark, iters, "insertion"), second=options.second, capacity=options.capacity_pages, trials=trials)
         first = checked(estimate)[0]
         auto = auto_horizon(estimate, options.second).first()
         horizon = int(auto["horizon_seconds"] * options.second)
-        facts |= {"horizon_source": "turnover", "turnover_seconds": auto["mean_turnover"], "capacity_pages": first["capacity_pages"], "capacity_estimated": first["capacity_estimated"], "insertion_rate": first["insertion_rate"], "label_window": first["label_window"]}
+        metrics = horizon_facts(first, auto, options.second)
     cap = horizon if options.residency_cap is None else options.residency_cap if options.residency_cap > 0 else None
     options = Options(**asdict(options) | {"horizon": horizon, "residency_cap": cap})
     sample = collect_sample(access, eviction, options)
-    features = [*options.features, TSA]
-    edges = feats.quantile_edges(sample.discretizer, features, options.n_bins)
-    binned = feats.discretise(sample.train, edges)
-    model = fit_classifier(binned, edges, options, None if options.balanced else sample.class_weights, save_to=out / "model")
-    metrics = evaluate(sample.evaluation, model, options.threshold) if sample.evaluation is not None and not sample.evaluation.isEmpty() else None
+    edges = feats.quantile_edges(sample.discretizer, [*options.features, TSA], options.n_bins)
+    model = fit_classifier(feats.discretise(sample.train, edges), edges, options, None if options.balanced else sample.class_weights, save_to=f"{out}/model")
+    unit = NS / options.second
+    metrics = {"horizon_ns": horizon * unit, "residency_cap_ns": None if cap is None else cap * unit} | metrics
+    if sample.evaluation is not None and not sample.evaluation.isEmpty():
+        metrics |= evaluate(sample.evaluation, model, options.threshold)
     document = feats.export_document(model, weight_scale=options.weight_scale, threshold=options.threshold)
-    facts |= {"horizon": horizon, "residency_cap": cap, "n_pos": sample.n_pos, "n_neg": sample.n_neg, "true_positive_rate": sample.true_positive_rate, "holdout": metrics}
-    write_json(out / "model_weights.json", document)
-    write_json(out / "metrics.json", facts)
-    (out / "eval_report.txt").write_text(eval_report(metrics))
-    edges_table(spark, edges).write.mode("overwrite").parquet(str(out / "bin_edges"))
-    feats.weight_table(spark, model).write.mode("overwrite").parquet(str(out / "weight_table"))
-    return facts
-
-
-def train(spark: SparkSession, data: str | Path, output: str | Path, *, workloads: list[str] | None = None, options: Options | None = None) -> dict[str, dict]:
+    write_json(spark, f"{out}/model_weights.json", document)
+    write_json(spark, f"{out}/metrics.json", metrics)
+    write_text(spark, f"{out}/eval_report.txt", eval_report(name, metrics))
+    edges_table(spark, edges).write.mode("overwrite").parquet(f"{out}/bin_edges")
+    feats.weight_table(spark, model).write.mode("overwrite").parquet(f"{out}/weight_table")
+    result = {
+        "workload": name, "output_dir": out, "n_train_rows": sample.train.count(), "n_encoded_features": sum(feats.n_bins_of(edges).values()),
+        "n_pos": sample.n_pos, "n_neg": sample.n_neg, "true_positive_rate": sample.true_positive_rate, "metrics": metrics,
+    }
+    sample.release()
+    return result
+
+
+def train(spark: SparkSession, data: str, output: str, *, workloads: list[str] | None = None, options: Options | None = None) -> dict[str, dict]:
     """Train every workload below a folder."""
-    return {name: train_workload(spark, name, iters, output, options or Options()) for name, iters in discover(data, workloads).items()}
+    return {name: train_workload(spark, name, iters, str(output), options or Options()) for name, iters in discover(spark, data, workloads).items()}
 
 
 def summary(spark: SparkSession, results: dict[str, dict]) -> DataFrame:
     """One row per workload."""
-    rows = [(n, r["horizon"] / NS, r["n_pos"], r["n_neg"], r["true_positive_rate"], (r["holdout"] or {}).get("auc"), (r["holdout"] or {}).get("f1")) for n, r in results.items()]
-    return spark.createDataFrame(rows, "workload string, horizon_seconds double, n_pos long, n_neg long, true_positive_rate double, auc double, f1 double")
+    rows = [(n, r["n_train_rows"], r["metrics"]["horizon_ns"] / NS, r["n_pos"], r["n_neg"], r["true_positive_rate"], r["metrics"].get("auc"), r["metrics"].get("f1")) for n, r in results.items()]
+    return spark.createDataFrame(rows, "workload string, n_train_rows long, horizon_seconds double, n_pos long, n_neg long, true_positive_rate double, auc double, f1 double")
+
+
+def pair_balance(pairs: DataFrame) -> DataFrame:
+    """One row: how many labelled pairs there are, and the share whose first row has the lower target."""
+    return pairs.agg(F.count("*").alias("n_pairs"), F.avg("label").alias("balance"))
 
 
 def pairwise_ranker(spark: SparkSession, rows: DataFrame, features: list[str], target: str, *, order: list[str], n_bins: int = 5, multiplier: int = 5, seed: int = 42) -> tuple[feats.LinearModel, dict]:
@@ -192,8 +230,9 @@ def pairwise_ranker(spark: SparkSession, rows: DataFrame, features: list[str], t
         at += n[f]
     scored = model.transform(test_pairs).withColumn("p", F.element_at(vector_to_array("probability"), 2))
     area = roc_auc(scored, "label", "p").first()
+    balance = {f"{name}_{k}": v for name, part in (("train", train_pairs), ("test", test_pairs)) for k, v in pair_balance(part).first().asDict().items()}
     right = scored.agg(F.avg((feats.decide_at_half(F.col("p")).cast("int") == F.col("label")).cast("int")).alias("a")).first()["a"]
-    return feats.LinearModel(tuple(features), edges, weights, 0.0), {"auc": area["auc"], "accuracy": right}
+    return feats.LinearModel(tuple(features), edges, weights, 0.0), {"auc": area["auc"], "accuracy": right} | balance
 
 
 def class_of_reuse(rows: DataFrame, target: str, n_classes: int = 5) -> DataFrame:

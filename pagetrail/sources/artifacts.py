@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagetrail.sources.files import write_small
 
-def write_json(path: str | Path, document: dict) -> None:
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, on any file system that Spark reaches."""
+    write_small(spark, str(path), text.encode())
+
+
+def write_json(spark: SparkSession, path: str, document: dict) -> None:
     """A small document as one file; NaN becomes null."""
 
     def plain(x):
@@ -19,18 +25,27 @@ def write_json(path: str | Path, document: dict) -> None:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list | tuple) else x
 
-    Path(path).write_text(json.dumps(plain(document), indent=2, allow_nan=False) + "\n")
+    write_text(spark, path, json.dumps(plain(document), indent=2, allow_nan=False) + "\n")
 
 
-def eval_report(metrics: dict | None) -> str:
+def eval_report(name: str, metrics: dict) -> str:
     """The report of a holdout, or one line that there was none."""
-    if metrics is None:
-        return "No holdout evaluation.\n"
-    lines = [f"rows: {metrics['rows']}", f"positive rate: {metrics['positive_rate']:.6f}"]
-    lines += [f"{k}: {metrics[k]:.6f}" for k in ("precision", "recall", "f1")]
-    lines += [f"auc: {metrics['auc']:.6f}" if metrics["auc"] is not None else "auc: undefined"]
-    lines += ["confusion: " + " ".join(f"{k}={metrics[k]}" for k in ("tn", "fp", "fn", "tp"))]
-    return "\n".join(lines) + "\n"
+    if "confusion" not in metrics:
+        return f"{name}: no holdout set (single eviction event or empty).\n"
+    cells = metrics["confusion"]
+    # The labels of the report's lines
+    lines = [
+        ("horizon (" + metrics["horizon_source"] + ") ", f"{metrics['horizon_ns'] / 1e9:.1f}s"),
+        ("holdout rows", f"{metrics['n_eval']:,}"),
+        ("positive rate", f"{metrics['positive_rate']:.4f}"),
+        ("AUC", "undefined" if metrics["auc"] is None else f"{metrics['auc']:.4f}"),
+        ("precision / recall", f"{metrics['precision']:.4f} / {metrics['recall']:.4f}"),
+        ("F1", f"{metrics['f1']:.4f}"),
+        ("decision prob thresh", f"{metrics['prob_threshold']:.4f}"),
+        ("confusion (tn fp fn tp)", " ".join(str(cells[c]) for c in ("tn", "fp", "fn", "tp"))),
+    ]
+    title = f"Eviction-time binary reuse classifier -- {name}"
+    return "\n".join([title, "=" * len(title), *(f"{label:<21}: {value}" for label, value in lines)]) + "\n"
 
 
 def edges_table(spark: SparkSession, edges: dict[str, list[float]]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``spark.read.format("trace_log").option("kind", "access").load(path)`` reads files of packed little-endian records.
 Files are cut into byte ranges of whole records, each read by one task into Arrow batches.  Bytes behind the last
-whole record are left out with a warning.  Paths must be readable where the tasks run.
+whole record are left out with a warning.  The data source needs paths that tasks can open; :func:`read_log` takes any
+path that Spark reaches, and reads other file systems through Hadoop's fixed-length records.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from pagetrail.shipping import ensure_shipped
+from pagetrail.sources.files import Entry, entries, is_folder, matching
 
 # The record layouts of the logs.
 LAYOUTS = {
@@ -63,8 +64,9 @@ def _unsigned_decimals(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(20, 0), len(values), [None, pa.py_buffer(wide.tobytes())])
 
 
-def _batch(records: np.ndarray, kind: str) -> pa.RecordBatch:
-    columns = []
+def _batch(records: np.ndarray, kind: str, first: int | None = None) -> pa.RecordBatch:
+    """first: the number of the first record, where numbers are wanted."""
+    columns, names = [], fields(kind)
     for name, code in LAYOUTS[kind]:
         if name.startswith("_"):
             continue
@@ -75,19 +77,25 @@ def _batch(records: np.ndarray, kind: str) -> pa.RecordBatch:
             columns.append(pa.array(values.astype(np.int64)))
         else:
             columns.append(pa.array(values.astype(np.int64)) if code == "u4" else _unsigned_decimals(values))
-    return pa.RecordBatch.from_arrays(columns, fields(kind))
+    if first is not None:
+        columns, names = [*columns, pa.array(np.arange(first, first + len(records), dtype=np.int64))], [*names, "record"]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _warn_of_rest(path: str, size: int, kind: str) -> None:
+    if rest := size % record_dtype(kind).itemsize:
+        warnings.warn(f"{path}: {rest} bytes behind the last whole {kind} record are left out", stacklevel=3)
 
 
 class LogReader(DataSourceReader):
-    def __init__(self, paths: list[str], kind: str):
-        self.paths, self.kind = paths, kind
+    def __init__(self, paths: list[str], kind: str, numbered: bool = False):
+        self.paths, self.kind, self.numbered = paths, kind, numbered
 
     def partitions(self) -> list[FileRange]:
         size, out = record_dtype(self.kind).itemsize, []
         for path in self.paths:
             held = os.path.getsize(path)
-            if held % size:
-                warnings.warn(f"{path}: {held % size} bytes behind the last whole {self.kind} record are left out", stacklevel=2)
+            _warn_of_rest(path, held, self.kind)
             step = max(1, _RANGE // size)
             out += [FileRange(path, k, min(step, held // size - k)) for k in range(0, held // size, step)]
         return out or [FileRange("", 0, 0)]
@@ -96,7 +104,8 @@ class LogReader(DataSourceReader):
         dtype = record_dtype(self.kind)
         for at in range(0, partition.count, 1 << 16):
             n = min(1 << 16, partition.count - at)
-            yield _batch(np.fromfile(partition.path, dtype, n, offset=(partition.first + at) * dtype.itemsize), self.kind)
+            records = np.fromfile(partition.path, dtype, n, offset=(partition.first + at) * dtype.itemsize)
+            yield _batch(records, self.kind, partition.first + at if self.numbered else None)
 
 
 class TraceLog(DataSource):
@@ -105,44 +114,73 @@ class TraceLog(DataSource):
         return "trace_log"
 
     def schema(self) -> str:
-        return ddl(self.options.get("kind", "access"))
+        return ddl(self.options.get("kind", "access")) + (", record bigint" if "numbered" in self.options else "")
 
     def reader(self, schema: StructType) -> LogReader:
         found = [p for part in self.options["path"].split(",") for p in (sorted(glob.glob(part)) if glob.has_magic(part) else [part])]
         if missing := [p for p in found if not os.path.exists(p)] or ([] if found else [self.options["path"]]):
             raise FileNotFoundError(f"no such log: {missing[0]}")
-        return LogReader(found, self.options.get("kind", "access"))
-
-
-def read_log(spark: SparkSession, path: str | Path, kind: str) -> DataFrame:
-    """One log, or several separated by commas. An empty file gives an empty table, a missing one FileNotFoundError."""
+        return LogReader(found, self.options.get("kind", "access"), "numbered" in self.options)
+
+
+def _by_hadoop(spark: SparkSession, files: list[Entry], kind: str) -> DataFrame:
+    """Records of files that only Spark's own readers open. Files with a rest behind the last record are read whole."""
+    dtype = record_dtype(kind)
+    whole = [f.path for f in files if f.size and f.size % dtype.itemsize == 0]
+    odd = [f.path for f in files if f.size % dtype.itemsize]
+    content = spark.createDataFrame([], "value binary")
+    if whole:
+        records = spark.sparkContext._jsc.binaryRecords(",".join(whole), dtype.itemsize).rdd()
+        found = spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
+        content = content.unionByName(DataFrame(found, spark))
+    if odd:
+        content = content.unionByName(spark.read.format("binaryFile").load(odd).select(F.col("content").alias("value")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = b"".join(v[: len(v) // dtype.itemsize * dtype.itemsize] for v in batch.column(0).to_pylist())
+            yield _batch(np.frombuffer(held, dtype), kind)
+
+    return content.mapInArrow(work, ddl(kind))
+
+
+def read_log(spark: SparkSession, path: str, kind: str, *, numbered: bool = False) -> DataFrame:
+    """One log, or several separated by commas, each a path or a pattern of names. An empty file gives an empty table, a
+    missing one FileNotFoundError. numbered: add ``record``, the place in its file, where the tasks open files themselves."""
+    files = []
     for p in str(path).split(","):
-        if not glob.has_magic(p) and not os.path.exists(p):
+        found = matching(spark, p)
+        if not found:
             raise FileNotFoundError(f"no such log: {p}")
+        files += found
     ensure_shipped(spark)
+    if not all(f.path.startswith("file:") for f in files):
+        for f in files:
+            _warn_of_rest(f.path, f.size, kind)
+        return _by_hadoop(spark, files, kind)
     spark.dataSource.register(TraceLog)
-    return spark.read.format("trace_log").option("kind", kind).load(str(path))
+    reader = spark.read.format("trace_log").option("kind", kind)
+    return (reader.option("numbered", "true") if numbered else reader).load(",".join(re.sub("^file:/*", "/", f.path) for f in files))
 
 
-def single_log(folder: str | Path, pattern: str) -> Path:
+def single_log(spark: SparkSession, folder: str, pattern: str) -> str:
     """The one file of a folder that fits the pattern."""
-    found = sorted(Path(folder).glob(pattern))
+    found = matching(spark, f"{folder}/{pattern}")
     if len(found) != 1:
         raise FileNotFoundError(f"{folder}: exactly one file {pattern} is needed, {len(found)} found")
-    return found[0]
+    return found[0].path
 
 
-def discover(base: str | Path, workloads: list[str] | None = None) -> dict[str, list[Path]]:
+def discover(spark: SparkSession, base: str, workloads: list[str] | None = None) -> dict[str, list[str]]:
     """Workload folders with their iter_<n> folders, in the order of n. Hidden folders are left out."""
-    base = Path(base)
-    if not base.is_dir():
+    if not is_folder(spark, base):
         raise FileNotFoundError(f"no such folder: {base}")
-    there = {p.name: p for p in sorted(base.iterdir()) if p.is_dir() and not p.name.startswith(".")}
+    there = {e.name: e.path for e in entries(spark, base) if e.is_folder and not e.name.startswith(".")}
     if workloads is not None and (unknown := sorted(set(workloads) - set(there))):
         raise ValueError(f"unknown workloads {', '.join(unknown)}; there are {', '.join(sorted(there)) or 'none'}")
     out = {}
     for name in workloads if workloads is not None else there:
-        iters = sorted((int(m[1]), p) for p in there[name].iterdir() if p.is_dir() and (m := re.fullmatch(r"iter_(\d+)", p.name)))
+        iters = sorted((int(m[1]), e.path) for e in entries(spark, there[name]) if e.is_folder and (m := re.fullmatch(r"iter_(\d+)", e.name)))
         if not iters:
             raise FileNotFoundError(f"workload {name} has no iter_<n> folder")
         out[name] = [p for _, p in iters]
@@ -154,18 +192,20 @@ def discover(base: str | Path, workloads: list[str] | None = None) -> dict[str,
 PAGE_FIELDS = {"access": ("dm", "dn", "in", "of"), "insertion": ("dm", "dn", "in", "ix")}
 
 
-def trial_logs(spark: SparkSession, iters: list[Path], kind: str, prefix: str = "*") -> DataFrame:
-    """The logs of all trials in one table with trial_id, the position in the list; page keys become a struct ``page``."""
+def trial_logs(spark: SparkSession, iters: list[str], kind: str, prefix: str = "*") -> DataFrame:
+    """The logs of all trials in one table with trial_id, the position in the list; page keys become a struct ``page``,
+    and accesses have ``access_key``, their place in the log, where records are numbered."""
     out = None
     for trial, folder in enumerate(iters):
-        part = read_log(spark, single_log(folder, f"{prefix}_{kind}_*.bin"), kind).withColumn("trial_id", F.lit(trial))
+        part = read_log(spark, single_log(spark, folder, f"{prefix}_{kind}_*.bin"), kind, numbered=kind == "access")
+        part = part.withColumnRenamed("record", "access_key").withColumn("trial_id", F.lit(trial))
         out = part if out is None else out.unionByName(part)
     if kind in PAGE_FIELDS:
         out = out.withColumn("page", F.struct(*(F.col(f"`{c}`").alias(a) for c, a in zip(PAGE_FIELDS[kind], ("dm", "dn", "inode", "index"), strict=True))))
     return out
 
 
-def first_trial(spark: SparkSession, base: str | Path, workload: str, prefix: str = "*") -> dict[str, DataFrame]:
+def first_trial(spark: SparkSession, base: str, workload: str, prefix: str = "*") -> dict[str, DataFrame]:
     """All three logs of a workload's first trial, as trial 0. First is meant by name, so that iter_10 stands before iter_2."""
-    folder = min(discover(base, [workload])[workload], key=lambda p: p.name)
+    folder = min(discover(spark, base, [workload])[workload], key=lambda p: p.rsplit("/", 1)[-1])
     return {kind: trial_logs(spark, [folder], kind, prefix) for kind in LAYOUTS}

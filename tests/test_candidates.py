@@ -21,7 +21,7 @@ def frames(spark, access, events):
 
 def bands(spark, access, events, horizon, cap):
     a, e = frames(spark, access, events)
-    return {r["key"]: (r["lo"], r["pos_lo"], r["hi"]) for r in candidates.candidate_bands(a, e, horizon=horizon, cap=cap, bucket_width=16, key="key").collect()}
+    return {r["key"]: (r["lo"], r["pos_lo"], r["hi"]) for r in candidates.candidate_bands(a, e, horizon=horizon, cap=cap, key="key").collect()}
 
 
 def test_bounds(spark):
@@ -39,26 +39,26 @@ def test_cap(spark, cap, n):
 @pytest.mark.parametrize(("cap", "n"), [(None, 2), (30, 1)])
 def test_stale(spark, cap, n):
     a, e = frames(spark, [("p1", 10, 0), ("p2", 200, 0)], [15, 90])
-    r = candidates.candidate_totals(a, e, horizon=5, cap=cap, bucket_width=16).first()
+    r = candidates.candidate_totals(a, e, horizon=5, cap=cap).first()
     assert (r["n_pos"], r["n_neg"]) == (0, n)
 
 
 def test_label_and_features(spark):
     a, e = frames(spark, [("p1", 10, 11), ("p1", 20, 22), ("p2", 100, 0)], [15])
     e = candidates.valid_evictions(a, e, 8)
-    rows = sampling.sample_candidates(a, e, horizon=8, cap=8, n=6, balanced=True, key="key", seed=1, bucket_width=16, features=["pd"]).collect()
+    rows = sampling.sample_candidates(a, e, horizon=8, cap=8, n=6, balanced=True, key="key", seed=1, features=["pd"]).collect()
     assert len(rows) == 3 and {(r["label"], r["time_since_last_access_at_eviction"], r["pd"]) for r in rows} == {(1, 5.0, 11.0)}
 
 
 def test_censoring(spark):
     a, e = frames(spark, [("p1", 5, 0), ("p1", 20, 0)], [8, 18])
-    r = candidates.candidate_totals(a, candidates.valid_evictions(a, e, 10), horizon=10, cap=None, bucket_width=16).first()
+    r = candidates.candidate_totals(a, candidates.valid_evictions(a, e, 10), horizon=10, cap=None).first()
     assert (r["n_pos"], r["n_neg"]) == (0, 1)
 
 
 def test_features_come_from_the_access_before(spark):
     a, e = frames(spark, [("p1", 10, 11), ("p1", 70, 1), ("p2", 1000, 0)], [60])
-    rows = sampling.sample_candidates(a, candidates.valid_evictions(a, e, 15), horizon=15, cap=None, n=4, balanced=False, key="key", seed=1, bucket_width=16, features=["pd"]).collect()
+    rows = sampling.sample_candidates(a, candidates.valid_evictions(a, e, 15), horizon=15, cap=None, n=4, balanced=False, key="key", seed=1, features=["pd"]).collect()
     assert {(r["label"], r["time_since_last_access_at_eviction"], r["pd"]) for r in rows} == {(1, 50.0, 11.0)}
 
 
@@ -89,7 +89,7 @@ def test_against_brute_force(spark):
                     inside = t < x and (after is None or x < after) and (cap is None or x < t + cap)
                     positive = inside and after is not None and after - x < horizon
                     n_pos, n_neg = n_pos + positive, n_neg + (inside and not positive)
-        one = candidates.candidate_totals(a.where(F.col("trial_id") == trial), e.where(F.col("trial_id") == trial), horizon=horizon, cap=cap, bucket_width=32).first()
+        one = candidates.candidate_totals(a.where(F.col("trial_id") == trial), e.where(F.col("trial_id") == trial), horizon=horizon, cap=cap).first()
         assert (one["n_pos"], one["n_neg"]) == (n_pos, n_neg)
 
 

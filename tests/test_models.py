@@ -13,6 +13,7 @@ from pagetrail.cli import parser
 from pagetrail.functions import scalars, student
 from pagetrail.operators import features, statistics, turnover
 from pagetrail.plans import training
+from pagetrail.sources.binary_logs import first_trial, trial_logs
 from pagetrail.streaming.active_time import active_sessions
 from tests.test_sources import write
 
@@ -101,7 +102,6 @@ def test_student():
     assert student.noncentral_t_cdf(1.3, 9, 0.0) == pytest.approx(student.t_cdf(1.3, 9), abs=1e-6)
     assert student.t_test_power(0.5, 34) == pytest.approx(0.808, abs=0.002)
     assert [student.effect_class(d) for d in (0.1, -0.3, 0.6, 2)] == ["negligible", "small", "medium", "large"]
-    assert student.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
 
 
 def test_independent_verdict(spark):
@@ -136,31 +136,59 @@ def trial(folder, spark, insertions=()):
 
 def test_training_end_to_end(spark, tmp_path):
     trial(tmp_path / "data" / "w" / "iter_0", spark)
-    options = training.Options(horizon=5, n_bins=4, target_rows=400, disc_sample_size=300, eval_rows=200, bucket_width=100)
-    result = training.train(spark, tmp_path / "data", tmp_path / "out", options=options)["w"]
+    options = training.Options(horizon=5, n_bins=4, target_rows=400, disc_sample_size=300, eval_rows=200)
+    result = training.train(spark, str(tmp_path / "data"), str(tmp_path / "out"), options=options)["w"]
     out = tmp_path / "out" / "w"
     doc = json.loads((out / "model_weights.json").read_text())
     assert doc["feature_names"] == list(features.FEATURE_ORDER) and (out / "eval_report.txt").exists() and (out / "bin_edges").exists()
     from pyspark.ml.classification import LogisticRegressionModel
 
     assert len(LogisticRegressionModel.load(str(out / "model")).coefficients) == sum(f["n_bins"] for f in doc["features"] if f["n_bins"] > 1)
-    from pagetrail.sources.binary_logs import first_trial
-
-    assert {k: v.count() for k, v in first_trial(spark, tmp_path / "data", "w").items()} == {"access": 120, "eviction": 80, "insertion": 0}
-    assert result["residency_cap"] == 5 and result["horizon_source"] == "manual" and result["n_pos"] > 0 and result["n_neg"] > 0
+    assert {k: v.count() for k, v in first_trial(spark, str(tmp_path / "data"), "w").items()} == {"access": 120, "eviction": 80, "insertion": 0}
+    assert doc["model_type"] == "binary_reuse_classifier"
+    metrics = json.loads((out / "metrics.json").read_text())
+    assert metrics == result["metrics"] and metrics["residency_cap_ns"] == metrics["horizon_ns"] == 5 and metrics["horizon_source"] == "manual"
+    assert set(metrics["confusion"]) == {"tn", "fp", "fn", "tp"} and sum(metrics["confusion"].values()) == metrics["n_eval"] and metrics["prob_threshold"] == 0.5
+    assert result["n_pos"] > 0 and result["n_neg"] > 0 and result["n_train_rows"] == 400
+    from pagetrail.sources.text_logs import read_reports
+
+    report = read_reports(spark, str(tmp_path / "out")).first()
+    assert report["model"] == "w" and report["support"] == metrics["n_eval"] and report["auc"] == pytest.approx(metrics["auc"], abs=1e-4)
     assert training.summary(spark, {"w": result}).count() == 1
 
 
 def test_automatic_horizon(spark, tmp_path):
-    start = 10 * NS
     trial(tmp_path / "data" / "w" / "iter_0", spark, insertions=[0, 1, 2, 3, 4, *range(20, 620)])
-    from pagetrail.sources.binary_logs import trial_logs
-
-    iters = [tmp_path / "data" / "w" / "iter_0"]
+    iters = [str(tmp_path / "data" / "w" / "iter_0")]
     est = turnover.turnover_estimate(*(trial_logs(spark, iters, k) for k in ("access", "eviction", "insertion")), second=NS)
-    assert est.first()["capacity_pages"] == 5 and est.first()["capacity_estimated"] and start
+    assert est.first()["capacity_pages"] == 5 and est.first()["capacity_estimated"]
     auto = turnover.auto_horizon(est, NS).first()
     assert auto["horizon_seconds"] == pytest.approx(min(est.first()["turnover_seconds"], est.first()["label_window"] / NS / 2))
+    options = training.Options(n_bins=4, target_rows=100, disc_sample_size=100, eval_rows=100)
+    metrics = training.train(spark, str(tmp_path / "data"), str(tmp_path / "out"), options=options)["w"]["metrics"]
+    assert metrics["horizon_source"] == "auto" and metrics["capacity_pages"] == 5 and metrics["capacity_estimated"] and metrics["n_insertions"] == 605
+    assert metrics["horizon_clamped"] is False and metrics["horizon_ns"] <= metrics["turnover_ns"] and metrics["insertion_rate_per_s"] > 0 and metrics["active_seconds"] > 0
+
+
+def test_trial_without_insertions_is_an_error(spark, tmp_path):
+    trial(tmp_path / "w" / "iter_0", spark, insertions=[0, 1, 2, *range(20, 90)])
+    trial(tmp_path / "w" / "iter_1", spark)
+    iters = [str(tmp_path / "w" / f"iter_{i}") for i in range(2)]
+    logs = [trial_logs(spark, iters, k) for k in ("access", "eviction", "insertion")]
+    est = turnover.turnover_estimate(*logs, second=NS)
+    assert [r["n_insertions"] for r in est.orderBy("trial_id").collect()] == [73, 0]
+    with pytest.raises(turnover.TurnoverError, match="trial 1: fewer than two insertions"):
+        turnover.checked(est)
+    with pytest.raises(turnover.TurnoverError, match="trial 0: fewer than two"):
+        training.train_workload(spark, "w", iters[1:], str(tmp_path / "out"), training.Options())
+
+
+def test_equal_accesses_keep_the_sample_whole(spark):
+    access = spark.createDataFrame([(0, "p", 10, 1.0)] * 3 + [(0, "p", 30, 2.0), (0, "q", 500, 0.0)], "trial_id int, page string, ts long, value double")
+    eviction = spark.createDataFrame([(0, t) for t in (12, 15, 25, 28)], "trial_id int, ts long")
+    sample = training.collect_sample(access, eviction, training.Options(features=("value",), horizon=5, target_rows=50, disc_sample_size=20, holdout_frac=0.0))
+    assert sample.train.count() == 50 and sample.discretizer.count() == 20
+    assert {r["label"] for r in sample.train.collect()} == {0, 1} and sample.evaluation is None
 
 
 def test_missing_columns(spark):

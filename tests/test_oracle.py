@@ -12,8 +12,6 @@ from pagetrail.plans.registry import QUERIES
 
 TINY = "/root/testdata/sf0.001"
 SQL = {k: v for k, v in __spark_entry__.oracle_sql().items() if k in QUERIES}
-#: Tables of this size leave these without a result.
-NOT_TINY = {"turnover_estimate", "auto_horizon"}
 
 
 @pytest.fixture(scope="module")

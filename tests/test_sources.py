@@ -40,6 +40,18 @@ def test_trailing_bytes_and_empty_and_missing(spark, tmp_path):
         binary_logs.read_log(spark, tmp_path / "missing.bin", "access")
 
 
+@pytest.mark.parametrize("rest", [b"", b"abc"])
+def test_log_through_hadoop(spark, tmp_path, rest):
+    """A path that only Hadoop's file systems open."""
+    path = write(tmp_path / "e.bin", "insertion", [{"ts": t, "in": 2**64 - 1 - t} for t in range(500)])
+    path.write_bytes(path.read_bytes() + rest)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.{tmp_path.name}.link./in", f"file://{tmp_path}")
+    rows = binary_logs.read_log(spark, f"viewfs://{tmp_path.name}/in/e.bin", "insertion").orderBy("ts").collect()
+    assert [(r["ts"], int(r["in"])) for r in rows] == [(t, 2**64 - 1 - t) for t in range(500)]
+    assert binary_logs.single_log(spark, f"viewfs://{tmp_path.name}/in", "*.bin").endswith("/in/e.bin")
+
+
 def test_many_ranges(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "e.bin", "eviction", [{"ts": t} for t in range(1000)])
     monkeypatch.setattr(binary_logs, "_RANGE", 800)
@@ -47,21 +59,21 @@ def test_many_ranges(spark, tmp_path, monkeypatch):
     assert len(parts) == 10 and sum(p.count for p in parts) == 1000
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     for name in ("w2/iter_10", "w2/iter_9", "w2/iter_x", "w1/iter_0", ".hidden/iter_0"):
         (tmp_path / name).mkdir(parents=True)
-    found = binary_logs.discover(tmp_path)
-    assert list(found) == ["w1", "w2"] and [p.name for p in found["w2"]] == ["iter_9", "iter_10"]
-    assert list(binary_logs.discover(tmp_path, ["w2"])) == ["w2"]
+    found = binary_logs.discover(spark, tmp_path)
+    assert list(found) == ["w1", "w2"] and [p.rsplit("/", 1)[1] for p in found["w2"]] == ["iter_9", "iter_10"]
+    assert list(binary_logs.discover(spark, tmp_path, ["w2"])) == ["w2"]
     with pytest.raises(ValueError, match="nope"):
-        binary_logs.discover(tmp_path, ["nope"])
+        binary_logs.discover(spark, tmp_path, ["nope"])
     with pytest.raises(FileNotFoundError):
-        binary_logs.discover(tmp_path / "away")
+        binary_logs.discover(spark, tmp_path / "away")
     (tmp_path / "w3").mkdir()
     with pytest.raises(FileNotFoundError, match="w3"):
-        binary_logs.discover(tmp_path)
+        binary_logs.discover(spark, tmp_path)
     with pytest.raises(FileNotFoundError, match="exactly one"):
-        binary_logs.single_log(tmp_path, "*.bin")
+        binary_logs.single_log(spark, tmp_path, "*.bin")
 
 
 def test_key_value_log(spark, tmp_path):
@@ -69,7 +81,8 @@ def test_key_value_log(spark, tmp_path):
     rows = [r.asDict() for r in text_logs.read_key_value_log(spark, str(tmp_path / "t.log"), ["t", "z", "f"]).collect()]
     assert rows == [{"t": "1", "z": "2", "f": "a=b"}, {"t": "3", "z": "4", "f": None}, {"t": "6", "z": None, "f": None}]
     assert set(text_logs.read_key_value_log(spark, str(tmp_path / "t.log")).columns) == {"t", "z", "f"}
-    text_logs.logs_to_csv(spark, str(tmp_path / "*.log"), str(tmp_path / "csv"), ["t", "z"])
+    text_logs.logs_to_csv(spark, str(tmp_path / "*.log"), str(tmp_path / "csv"))
+    assert set(spark.read.option("header", True).csv(str(tmp_path / "csv")).columns) == {"t", "z", "f", "log"}
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
 
 
@@ -96,9 +109,9 @@ def test_latencies_and_reports(spark, tmp_path):
 
 
 def test_artifacts(spark, tmp_path):
-    artifacts.write_json(tmp_path / "m.json", {"auc": float("nan"), "w": [1.5, float("nan")], "n": 2})
+    artifacts.write_json(spark, tmp_path / "m.json", {"auc": float("nan"), "w": [1.5, float("nan")], "n": 2})
     assert json.loads((tmp_path / "m.json").read_text()) == {"auc": None, "w": [1.5, None], "n": 2}
-    assert artifacts.eval_report(None).count("\n") == 1
+    assert artifacts.eval_report("w", {"horizon_source": "manual"}).count("\n") == 1
     edges = {"b": [1.0, 2.0], "a": [0.0, 5.0, 9.0]}
     assert artifacts.edges_from(artifacts.edges_table(spark, edges)) == edges
     artifacts.write_csv(spark.range(3).withColumn("x", F.lit("a")), str(tmp_path / "csv"))
