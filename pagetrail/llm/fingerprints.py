@@ -9,23 +9,29 @@ generalised Jaccard similarity sum(min) / sum(max) of their weights.  A
 fingerprint holds 16 bits of each of ``SAMPLES`` draws.
 
 Defined results: null texts count as empty; wordless texts share one constant
-fingerprint, so they are alike (1.0) among themselves and unlike all others.
-Whole texts are read.
+fingerprint, so they are alike (1.0) among themselves and unlike all others; of
+terms with an equal sampling value the first in hash order is drawn; equal texts
+and repeated rows have equal fingerprints; keys may be of any type that can be
+ordered, null keys stand first; other columns don't matter; an empty table gives
+no rows.  Whole texts are read, however long.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.shared import mapped, slices
+from pagetrail.llm.shared import mapped, slices, uniform
 from pagetrail.llm.words import Words, mix64
+from pagetrail.shipping import ensure_shipped
 
 SAMPLES = 128
 _EMPTY = np.zeros(SAMPLES, np.uint16)
@@ -118,33 +124,52 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows_per_range: int = 1000, most_ranges: int = 2000) -> DataFrame:
-    """Fingerprints of each document and of its edit with the following document in key order.
+def _bounds(rows: DataFrame, bytes_per_range: int, least_ranges: int) -> list:
+    """Keys that occur, at which ranges of about so many bytes begin, but for the first range. About ten sampled keys per
+    range reach the driver."""
+    seen = rows.agg(F.sum(F.octet_length("t") + 64).alias("bytes"), F.count("*").alias("n")).first()
+    ranges = max(least_ranges, -(-(seen["bytes"] or 0) // bytes_per_range))
+    share = min(1.0, 10 * ranges / max(seen["n"], 1))
+    held = sorted(r["k"] for r in rows.where(F.col("k").isNotNull() & (uniform("k", seed=17) < share)).select("k").collect())
+    return sorted({held[i * len(held) // ranges] for i in range(1, ranges)}) if held else []
 
-    Documents are put into ranges of the key.  Range bounds are keys that occur; the document at a bound also goes
-    to the range before it, and the first of all to the last range, so that every document meets its successor
-    without a global sort.  Of rows with equal keys the order is that of their texts.
+
+def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bytes_per_range: int = 128 << 20, least_ranges: int = 256) -> DataFrame:
+    """Fingerprints of each document and of its edit with the following document in key order, null keys first.
+
+    Documents are put into ranges of the key, by binary search among bounds, which are keys that occur; the documents at
+    a bound also go to the range before it, and those of the least key to the last range, so that every document meets its
+    successor without a global sort.  Of rows with equal keys the order is that of their texts.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    seen = rows.agg(F.count("*").alias("n"), F.min("k").alias("low")).first()
-    ranges = min(most_ranges, max(1, -(-seen["n"] // rows_per_range)))
-    bounds: list = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        found = rows.agg(F.percentile_approx("k", F.array(*map(F.lit, shares)), F.lit(min(10 * ranges, 1_000_000))).alias("b")).first()["b"]
-        bounds = sorted({b for b in found if b > seen["low"]})
-    listed = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    place = F.size(F.filter(listed, lambda b: b <= F.col("k")))
-    first = F.lit(seen["low"])
+    bounds = _bounds(rows, bytes_per_range, least_ranges)
+    least = rows.agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k")).alias("least")).first()["least"]
+    shipped = docs.sparkSession.sparkContext.broadcast(bounds)  # one key per range
+
+    @F.pandas_udf("int")
+    def place(k: pd.Series) -> pd.Series:
+        """Twice the range of a key, and one more if the key is a bound."""
+        listed = shipped.value
+        right = [bisect_right(listed, x) for x in k.tolist()]
+        return pd.Series([2 * r + (r > 0 and listed[r - 1] == x) for r, x in zip(right, k.tolist(), strict=True)], dtype="int32")
+
+    ensure_shipped(docs.sparkSession)
+    at, is_bound = F.shiftright("p", 1), F.col("p") % 2 == 1
+    own, ahead = F.struct(at.alias("at"), F.lit(0).alias("role")), F.struct((at - 1).alias("at"), F.lit(1).alias("role"))
     # at a bound: also the range before; the least key: also the last range, as the successor of the last document
-    spread = F.when(F.array_contains(listed, F.col("k")), F.array(F.struct(place.alias("at"), F.lit(0).alias("role")), F.struct((place - 1).alias("at"), F.lit(1).alias("role")))).otherwise(F.array(F.struct(place.alias("at"), F.lit(0).alias("role"))))
-    spread = F.when(F.col("k") == first, F.concat(spread, F.array(F.struct(F.lit(len(bounds)).alias("at"), F.lit(2).alias("role"))))).otherwise(spread)
+    spread = F.when(is_bound, F.array(own, ahead)).otherwise(F.array(own))
+    first = F.lit(None).cast(rows.schema["k"].dataType) if least is None or least["k"] is None else F.lit(least["k"])
+    spread = F.when(F.col("k").eqNullSafe(first), F.concat(spread, F.array(F.struct(F.lit(len(bounds)).alias("at"), F.lit(2).alias("role"))))).otherwise(spread)
+    rows, ranges = rows.withColumn("p", F.when(F.col("k").isNull(), 0).otherwise(place(F.coalesce("k", F.lit(bounds[0])))) if bounds else F.lit(0)), len(bounds) + 1
+    key_type = rows.schema["k"].dataType.simpleString()
     dealt = rows.select("k", "t", F.explode(spread).alias("x")).select(F.col("x.at").alias("at"), F.col("x.role").alias("role"), "k", "t")
     dealt = dealt.repartition(ranges, "at").sortWithinPartitions("at", "role", "k", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one range that wait for their successors
 
+        kind = None
+
         def done(ready: list[tuple], after: tuple | None) -> pa.RecordBatch:
             """ready: documents; after: the one behind the last of them."""
             texts = [r[3] for r in ready]
@@ -154,7 +179,7 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
             own, changed = every[: len(texts) + 1], every[len(texts) + 1 :]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[2] for r in ready], pa.int64()),
+                    pa.array([r[2] for r in ready], kind),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
                     pa.array(_written(own[:-1]), pa.string()),
@@ -173,7 +198,8 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
                 yield done(own, after)
 
         size = 0
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "t", _SLICE)):
+            kind = batch.column("k").type
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns, strict=True):
                 if held and row[0] != held[-1][0]:
@@ -188,7 +214,5 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
         if held:
             yield from closed(held)
 
-    out = mapped(dealt, work, "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = mapped(dealt, work, f"k {key_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("k", key)
-
-

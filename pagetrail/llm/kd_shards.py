@@ -3,161 +3,155 @@
 The tree splits all documents recursively at a weighted median along the
 dimension in which a node is widest, until each leaf is one shard.  Weights
 are bytes; a node that shall give s shards is split in the proportion of
-floor(s / 2) to the rest.  Medians are distributed: each round counts bytes in
-1024 bins per node over a 62-bit key (31 bits of the scaled dimension, then 31
-bits of a hash that breaks ties), and goes on between the least and the largest
-key of the bin that holds the median.  Only these bounded histograms reach the driver.  DataFrame functions
-only.
+floor(s / 2) to the rest.
+
+A row carries its node: the first of the node's shards and how many there are.
+All nodes of a level are split by the same jobs, and what is known of nodes stays
+in tables, so that neither the driver nor an expression grows with the tree.  The
+medians of large nodes are distributed: a pass sums bytes in 1024 bins per node
+over a 62-bit key (31 bits of the scaled dimension, then 31 bits of a hash that
+breaks ties), and goes on between the least and the largest key of the bin that
+holds the median.  Nodes of up to ``ROWS_PER_NODE`` rows are split to the end by
+running sums in the order of the dimension, all levels after one exchange.
+DataFrame functions only.
 
 Defined results: a null text has no bytes; null metadata sorts first; rows with
 equal metadata are split by the hash of their key and text; repeated rows that
-agree in all of these can't be separated by the tree and stay together; an
-empty table gives no rows.
+agree in all of these are split by their place; texts are measured whole, however
+long; keys of any type, text keys are ordered like sources; other columns may have
+any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrail.llm.shared import cut
+from pagetrail.llm.shared import by_position, cut
 
 _HALF = 31
-BINS_BITS = 10
-
-
-@dataclass
-class Node:
-    """A tree node: shards first to first + count - 1; below, the key's lower part goes left of the split."""
-
-    first: int
-    count: int
-    dimension: str | None = None
-    low: float = 0.0
-    scale: float = 0.0
-    split: int | None = None
-    left: Node | None = None
-    right: Node | None = None
-
-    def key(self) -> Column:
-        scaled = F.floor((F.col(self.dimension) - F.lit(self.low)) * F.lit(self.scale)).cast("long")
-        return F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("tie"))
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.left is None else self.left.leaves() + self.right.leaves()
-
-    def choose(self, of) -> Column:
-        """A column whose value is of(leaf) for the leaf that a row falls into."""
-        return of(self) if self.left is None else F.when(self.key() < F.lit(self.split), self.left.choose(of)).otherwise(self.right.choose(of))
-
-
-def text_ordinal(column: Column) -> Column:
-    """A number that orders strings by their first six bytes; null is -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-
-
-def _split_all(rows: DataFrame, root: Node, open_leaves: list[Node], dimensions: list[str], spans: dict[str, float]) -> None:
-    """Choose dimension and split of each open leaf, all of them in the same passes."""
-    ranges = {
-        r["leaf"]: r
-        for r in rows.groupBy(root.choose(lambda n: F.lit(n.first)).alias("leaf"))
-        .agg(F.sum("weight").alias("weight"), *(f(d).alias(f"{d}_{e}") for d in dimensions for e, f in (("low", F.min), ("high", F.max))))
-        .collect()
-    }
-    state = {}
-    for leaf in open_leaves:
-        r = ranges.get(leaf.first)
-        if r is None:
-            leaf.dimension, leaf.split = dimensions[0], 0
-            continue
-        leaf.dimension = max(dimensions, key=lambda d: (r[f"{d}_high"] - r[f"{d}_low"]) / spans[d])
-        leaf.low, width = r[f"{leaf.dimension}_low"], r[f"{leaf.dimension}_high"] - r[f"{leaf.dimension}_low"]
-        leaf.scale = ((1 << _HALF) - 1) / width if width > 0 else 0.0
-        goal = r["weight"] * (leaf.count // 2) / leaf.count
-        state[leaf.first] = {"leaf": leaf, "low": 0, "width": 1 << (2 * _HALF - BINS_BITS), "before": 0, "goal": goal, "near": r["weight"] / leaf.count / 1000}
-    while state:
-        hist = (
-            rows.select("weight", root.choose(lambda n: _bin(state.get(n.first))).alias("at"))
-            .where("at IS NOT NULL")
-            .groupBy("at.leaf", "at.bin")
-            .agg(F.sum("weight").alias("weight"), F.min("at.key").alias("low"), F.max("at.key").alias("high"))
-            .collect()
-        )
-        by_leaf: dict[int, list] = {}
-        for h in hist:
-            by_leaf.setdefault(h["leaf"], []).append((h["low"], h["high"], h["weight"]))
-        for first in list(state):
-            s = state[first]
-            total = s["before"]
-            for low, high, weight in sorted(by_leaf.get(first, [])):
-                if total + weight < s["goal"]:
-                    total += weight
-                elif high > low and weight > s["near"]:  # go on inside the keys that the bin really holds
-                    s |= {"low": low, "width": -(-(high - low + 1) >> BINS_BITS), "before": total}
-                    break
-                else:  # the bin goes to the nearer side
-                    inside = total + weight - s["goal"] < s["goal"] - total
-                    s["leaf"].split = high + 1 if inside else low
-                    del state[first]
-                    break
-            else:
-                s["leaf"].split = 1 << (2 * _HALF)
-                del state[first]
-    for leaf in open_leaves:
-        half = leaf.count // 2
-        leaf.left, leaf.right = Node(leaf.first, half), Node(leaf.first + half, leaf.count - half)
-
-
-def _bin(s: dict | None) -> Column:
-    kind = "struct<leaf:int,bin:long,key:long>"
-    if s is None:
-        return F.lit(None).cast(kind)
-    key = s["leaf"].key()
-    bin_ = F.floor((key - F.lit(s["low"])) / F.lit(s["width"])).cast("long")
-    value = F.struct(F.lit(s["leaf"].first).alias("leaf"), bin_.alias("bin"), key.alias("key")).cast(kind)
-    last = s["low"] + (s["width"] << BINS_BITS)
-    return F.when((key >= F.lit(s["low"])) & (key < F.lit(min(last, (1 << 63) - 1))), value)
-
-
-def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column, *, shards: int | None = None, target: int | None = None) -> DataFrame:
-    """The rows with a column ``shard`` from 0. shards: how many, or target: the weight that a shard shall reach."""
-    kept = rows.columns
-    rows = cut(rows.select("*", F.col(weight).alias("weight"), F.shiftrightunsigned(tie, 64 - _HALF).alias("tie")))
-    seen = rows.agg(F.sum("weight").alias("weight"), *(F.max(d).alias(f"{d}_high") for d in dimensions), *(F.min(d).alias(f"{d}_low") for d in dimensions)).first()
-    if seen["weight"] is None:
-        return rows.select(*kept, F.lit(0).alias("shard"))
-    count = shards or max(1, -(-seen["weight"] // target))
-    spans = {d: (seen[f"{d}_high"] - seen[f"{d}_low"]) or 1.0 for d in dimensions}
-    root = Node(0, count)
-    while open_leaves := [n for n in root.leaves() if n.count > 1]:
-        _split_all(rows, root, open_leaves, dimensions, spans)
-    return rows.select(*kept, root.choose(lambda n: F.lit(n.first)).alias("shard"))
+_BINS = 1024
+ROWS_PER_NODE = 10_000
+
+
+def text_ordinal(column: Column, skipped: int = 0) -> Column:
+    """A number that orders strings by six bytes, after those that all share; null is -1."""
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1 + skipped, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+
+
+def _widest(low: list[Column], high: list[Column], spans: list[float]) -> Column:
+    """The number of the dimension in which a node is widest."""
+    widths = [(h - lo) / F.lit(span) for lo, h, span in zip(low, high, spans, strict=True)]
+    return F.array_position(F.array(*widths), F.array_max(F.array(*widths))).cast("int") - 1
+
+
+def _value(dims: list[str]) -> Column:
+    return F.get(F.array(*(F.col(d) for d in dims)), F.col("d"))
+
+
+def _child(placed: DataFrame, left: Column) -> DataFrame:
+    """Rows of nodes of several shards go to the left half of these, or to the right one."""
+    half = F.floor(F.col("c") / 2).cast("long")
+    split = F.col("c") > 1
+    return placed.withColumns({"f": F.when(split & ~left, F.col("f") + half).otherwise(F.col("f")), "c": F.when(~split, F.col("c")).when(left, half).otherwise(F.col("c") - half)})
+
+
+def _median_splits(placed: DataFrame, nodes: DataFrame, dims: list[str]) -> DataFrame:
+    """nodes: f, d, low, scale, goal, near. Returns f, d, low, scale and the key ``split`` below which rows go left."""
+    scaled = F.floor((_value(dims) - F.col("low")) * F.col("scale")).cast("long")
+    key = F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("t"))
+    state = nodes.withColumns({"at": F.lit(0).cast("long"), "width": F.lit((1 << 2 * _HALF) // _BINS), "before": F.lit(0).cast("long")})
+    done = None
+    while True:
+        keyed = placed.select("f", "w", "t", *dims).join(state, "f").withColumn("key", key)
+        inside = keyed.withColumn("bin", F.floor((F.col("key") - F.col("at")) / F.col("width"))).where(F.col("bin").between(0, _BINS - 1))
+        bins = inside.groupBy("f", "bin").agg(F.sum("w").alias("own"), F.min("key").alias("least"), F.max("key").alias("most"))
+        ahead = F.coalesce(F.sum("own").over(Window.partitionBy("f").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = bins.withColumn("ahead", ahead).join(state, "f").withColumn("ahead", F.col("ahead") + F.col("before"))
+        found = found.where((F.col("ahead") < F.col("goal")) & (F.col("ahead") + F.col("own") >= F.col("goal")))
+        found = cut(found.withColumn("last", (F.col("least") == F.col("most")) | (F.col("own") <= F.col("near"))), small=True)
+        # the last bin goes to the nearer side
+        nearer = F.when(F.col("ahead") + F.col("own") - F.col("goal") < F.col("goal") - F.col("ahead"), F.col("most") + 1).otherwise(F.col("least"))
+        ends = found.where("last").select("f", "d", "low", "scale", nearer.alias("split"))
+        done = ends if done is None else done.unionByName(ends)
+        if found.where("NOT last").isEmpty():
+            return done
+        state = found.where("NOT last").select("f", "d", "low", "scale", "goal", "near", F.col("least").alias("at"), F.ceil((F.col("most") - F.col("least") + 1) / _BINS).cast("long").alias("width"), F.col("ahead").alias("before"))
+
+
+def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column, *, shards: int | None = None, target: int | None = None, rows_per_node: int = ROWS_PER_NODE) -> DataFrame:
+    """The rows with a column ``shard`` from 0. shards: how many, or target: the weight that a shard shall reach.
+    tie: a hash of what tells rows apart."""
+    names = rows.columns
+    place = F.xxhash64(F.monotonically_increasing_id())
+    # 21 bits of the tie, 10 bits of the place
+    ties = F.shiftleft(F.shiftrightunsigned(tie, 43), 10).bitwiseOR(F.shiftrightunsigned(place, 54))
+    rows, w, *dims = by_position(rows.withColumns({"_kd_tie": ties, "_kd_place": F.monotonically_increasing_id()}), weight, *dimensions)
+    rows = cut(rows.withColumnsRenamed({f"c{len(names)}": "t", f"c{len(names) + 1}": "u"}).withColumn("w", F.col(w).cast("long")))
+    lows, highs = [F.min(d).alias(f"low{i}") for i, d in enumerate(dims)], [F.max(d).alias(f"high{i}") for i, d in enumerate(dims)]
+    seen = rows.agg(F.sum("w").alias("w"), *lows, *highs).first()
+    kept = [f"c{i}" for i in range(len(names))]
+    if seen["w"] is None:
+        return rows.select(*kept, F.lit(0).cast("long").alias("shard")).toDF(*names, "shard")
+    count = shards or max(1, -(-seen["w"] // target))
+    spans = [(seen[f"high{i}"] - seen[f"low{i}"]) or 1.0 for i in range(len(dims))]
+    low, high = [F.col(f"low{i}") for i in range(len(dims))], [F.col(f"high{i}") for i in range(len(dims))]
+    goal = F.col("weight") * F.floor(F.col("c") / 2) / F.col("c")
+    placed = rows.withColumns({"f": F.lit(0).cast("long"), "c": F.lit(count).cast("long")})
+    while True:
+        nodes = placed.where("c > 1").groupBy("f", "c").agg(F.sum("w").alias("weight"), F.count("*").alias("n"), *lows, *highs).where(F.col("n") > rows_per_node)
+        nodes = nodes.withColumn("d", _widest(low, high, spans)).withColumns({"low": F.get(F.array(*low), F.col("d")), "high": F.get(F.array(*high), F.col("d"))})
+        scale = F.when(F.col("high") > F.col("low"), F.lit(float((1 << _HALF) - 1)) / (F.col("high") - F.col("low"))).otherwise(0.0)
+        nodes = cut(nodes.select("f", "d", "low", scale.alias("scale"), goal.alias("goal"), (F.col("weight") / F.col("c") / 1000).alias("near")), small=True)
+        if nodes.isEmpty():
+            break
+        splits = _median_splits(placed, nodes, dims)
+        scaled = F.floor((_value(dims) - F.col("low")) * F.col("scale")).cast("long")
+        key = F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("t"))
+        met = placed.join(splits, "f", "left")
+        large, small = _child(met.where("split IS NOT NULL"), key < F.col("split")), met.where("split IS NULL")
+        placed = cut(large.unionByName(small).select(*rows.columns, "f", "c"))
+    # the rest: each node's rows in one task, all levels after this exchange
+    most = placed.agg(F.max("c").alias("c")).first()["c"]
+    placed = placed.withColumn("top", F.col("f")).repartition("top")
+    node = Window.partitionBy("top", "f")
+    for _ in range((most - 1).bit_length()):
+        placed = placed.withColumns({f"low{i}": F.min(d).over(node) for i, d in enumerate(dims)} | {f"high{i}": F.max(d).over(node) for i, d in enumerate(dims)} | {"weight": F.sum("w").over(node)})
+        placed = placed.withColumn("d", _widest(low, high, spans)).withColumn("v", _value(dims))
+        running = F.sum("w").over(node.orderBy("v", "t", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = placed.withColumn("running", running)  # a row goes to the side on which its middle lies
+        placed = _child(placed, F.col("running") - F.col("w") / 2 < goal).select(*rows.columns, "f", "c", "top")
+    return placed.select(*kept, "f").toDF(*names, "shard")
 
 
 def with_slots(rows: DataFrame, group: str, order: list[str], *, rows_per_part: int = 20_000) -> DataFrame:
     """The rows with ``slot``: gapless numbers from 0 in each group, counted in parts so that no group meets in one task."""
-    rows = cut(rows)
+    rows = cut(rows.withColumn("place", F.monotonically_increasing_id()))
     parts = max(8, -(-rows.count() // rows_per_part))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order, "place"), F.lit(parts)))
     sizes = rows.groupBy(group, "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    number = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
+    number = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order, "place"))
     numbered = rows.withColumn("number", number)
-    return numbered.join(offsets, [group, "part"]).withColumn("slot", (F.col("offset") + F.col("number") - 1).cast("long")).drop("part", "number", "offset")
+    return numbered.join(offsets, [group, "part"]).withColumn("slot", (F.col("offset") + F.col("number") - 1).cast("long")).drop("part", "number", "offset", "place")
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents in shards of near equal bytes: size (UTF-8 bytes plus 16), text_crc32, shard, slot."""
     body = F.coalesce(F.col(text), F.lit(""))
     code = body.cast("binary")
-    dims = {"d_source": text_ordinal(F.col("source")), "d_lang": text_ordinal(F.col("lang")), "d_size": F.log1p(F.octet_length(code).cast("double")), "d_id": F.coalesce(F.col(key).cast("double"), F.lit(-1.0))}
-    dims = {d: c for d, c in dims.items() if d[2:] not in ("source", "lang") or d[2:] in docs.columns}
+    numbers = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+    words = {d: F.col(c).cast("string") for d, c in (("d_source", "source"), ("d_lang", "lang"), ("d_id", key)) if c in docs.columns and not (numbers and c == key)}
+    ends = docs.agg(*(f(c).alias(f"{d}_{n}") for d, c in words.items() for n, f in (("low", F.min), ("high", F.max)))).first() if words else {}
+    # the least and the largest string begin with what all have in common
+    shared = {d: len(commonprefix([(ends[f"{d}_{n}"] or "").encode() for n in ("low", "high")])) for d in words}
+    dims = {d: text_ordinal(c, shared[d]) for d, c in words.items()} | {"d_size": F.log1p(F.octet_length(code).cast("double"))}
+    if numbers:
+        dims["d_id"] = F.coalesce(F.col(key).cast("double"), F.lit(-1.0))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(code) + 16).cast("long").alias("size"), F.crc32(code).alias("text_crc32"), *(c.alias(d) for d, c in dims.items()))
     placed = kd_shards(rows, list(dims), "size", F.xxhash64("doc_id", "text_crc32", "size"), shards=shards)
     placed = placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
     return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"])
-
-

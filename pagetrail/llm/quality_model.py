@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word has a hashed vector and so has each of its byte n-grams; a word is
+Every word has a hashed vector and so has each of its character n-grams; a word is
 the mean of these.  Pairs of neighbouring words have hashed vectors, too.  A
 document is the mean of its words and pairs, and a softmax layer gives the
 class.  Vectors and layer are trained by stochastic gradient descent in
@@ -9,7 +9,10 @@ is one table of class scores per bucket, which is what tasks receive.
 
 Defined results: a null or wordless text scores by the prior of the labels
 alone; repeated rows score alike; with one class only, that class is certain;
-with no labelled row the score is 0.5.  Whole texts are read.
+with no labelled row the score is 0.5; of repeated labels of a key the least, of
+repeated texts the one that sorts first is learned; an empty table gives no rows;
+keys may be of any type, other columns don't matter.  Whole texts are read,
+however long.
 """
 
 from __future__ import annotations
@@ -39,18 +42,19 @@ def word_features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, n
     (word, bucket) features with the number of features of each distinct word."""
     hashes = words.hashes()
     _, pick, index = np.unique(hashes, return_index=True, return_inverse=True)
-    start, end = words.start[pick], words.end[pick]
-    owner, bucket = [np.arange(len(pick))], [hashes[pick]]
+    char = np.append(np.flatnonzero((words.data & 0xC0) != 0x80), len(words.data))  # where characters begin
+    head, tail = np.searchsorted(char, words.start[pick]), np.searchsorted(char, words.end[pick])
+    owner, begin, end = [np.arange(len(pick))], [], []
     for n in NGRAMS:
-        count = np.maximum(end - start - n + 1, 0)
+        count = np.maximum(tail - head - n + 1, 0)
         who = np.repeat(np.arange(len(pick)), count)
-        first = start[who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-        code = np.full(len(who), n, np.uint64)
-        for k in range(n):
-            code = (code << np.uint64(8)) | words.data[first + k].astype(np.uint64)
+        first = head[who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
         owner.append(who)
-        bucket.append(mix64(code))
-    owner, bucket = np.concatenate(owner), (np.concatenate(bucket) % np.uint64(buckets)).astype(np.int64)
+        begin.append(char[first])
+        end.append(char[first + n])
+    grams = mix64(words.span_hashes(np.concatenate(begin), np.concatenate(end)) + np.uint64(1))  # apart from the words' own
+    bucket = (np.concatenate([hashes[pick], grams]) % np.uint64(buckets)).astype(np.int64)
+    owner = np.concatenate(owner)
     return index, owner, bucket, np.bincount(owner, minlength=len(pick))
 
 
@@ -127,7 +131,7 @@ def fit(texts: list[str | None], labels: np.ndarray, priors: dict[int, float], *
 def train_labelled(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1000, seed: int = 23, **options) -> QualityModel:
     """Train on a bounded sample of labelled rows: ``per_class`` documents of each class are expected, drawn by a hash
     of the key.  Only the sample's texts leave the scan."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([], np.zeros(0, int), {})
@@ -136,7 +140,8 @@ def train_labelled(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
         share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
     drawn = known.where(uniform("k", seed=seed) < share)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    sample = texts.join(F.broadcast(drawn), "k").toPandas()  # per_class rows of each class
+    # per_class keys of each class, and one text of each
+    sample = texts.join(F.broadcast(drawn), "k").groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")).toPandas()
     sample = sample.sort_values(["k", "t"], kind="stable", na_position="first")
     total = sum(sizes.values())
     return fit(sample["t"].tolist(), sample["y"].to_numpy(int), {y: n / total for y, n in sizes.items()}, **options)

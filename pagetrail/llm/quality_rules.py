@@ -7,7 +7,10 @@ while it is precise there.  The list becomes an ordered Spark ``CASE WHEN``.
 Defined results: a null or empty text has zero statistics and fails the base
 rule for short texts; ratios over no words are 0; repeated rows get repeated
 verdicts; without labelled rows of both classes the list is empty, so that only
-the base rules decide.  Statistics cover whole texts.
+the base rules decide; of repeated labels of a key the least is learned, and one
+row of each key; ties of tests go to the feature that stands first; an empty table
+gives no rows.  Statistics cover whole texts, however long.  Columns whose names
+clash with those that are added are an error that asks for another prefix.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.shared import mapped, slices, uniform
+from pagetrail.llm.shared import by_position, mapped, slices, uniform
 from pagetrail.llm.words import Words, keyed, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_bytes")
@@ -198,7 +201,7 @@ def train_quality_rules(docs: DataFrame, labels: DataFrame, *, key: str = "doc_i
 
     Texts that fail the base rules already are left out.
     """
-    known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
     share = rows / max(known.count(), 1)
     drawn = known.where(uniform("k", seed=seed) < share) if share < 1 else known
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -206,7 +209,8 @@ def train_quality_rules(docs: DataFrame, labels: DataFrame, *, key: str = "doc_i
         texts = texts.where(uniform("k", seed=seed) < share)
     joined = texts.join(F.broadcast(drawn), "k")  # bounded by ``rows``
     stats = with_statistics(joined, text="t").where(~base_failed())
-    sample = stats.select("k", "y", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas().sort_values("k", kind="stable")
+    one = stats.groupBy("k").agg(F.min(F.struct("y", *COUNTS)).alias("one")).select("k", "one.*")  # of repeated rows
+    sample = one.select("k", "y", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas().sort_values("k", kind="stable")
     names = list(FEATURES)
     return learn_rules(sample[names].to_numpy(float), (sample["y"] == 0).to_numpy(), names, **options)
 
@@ -219,8 +223,24 @@ def rejected_by(rules: list[Rule], prefix: str = "") -> Column:
     return chain
 
 
+def _judged(docs: DataFrame, rules: list[Rule], text: str) -> tuple[DataFrame, list[str]]:
+    """The rows by position (c0, c1, ...), then counts, base_failed, rule and kept under names that no column has."""
+    rows, t = by_position(docs, text)
+    out = with_statistics(rows, text=t, prefix="x_")
+    out = out.withColumns({"x_base_failed": base_failed("x_"), "x_rule": rejected_by(rules, "x_")})
+    return out.withColumn("x_kept", ~F.col("x_base_failed") & F.col("x_rule").isNull()), [*COUNTS, "base_failed", "rule", "kept"]
+
+
 def judge(docs: DataFrame, rules: list[Rule], *, text: str = "text", prefix: str = "") -> DataFrame:
-    """The rows with counts, base_failed, rule (the first learned rule that rejects) and kept."""
-    out = with_statistics(docs, text=text, prefix=prefix)
-    out = out.withColumn(f"{prefix}base_failed", base_failed(prefix)).withColumn(f"{prefix}rule", rejected_by(rules, prefix))
-    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.col(f"{prefix}rule").isNull())
+    """The rows with counts, base_failed, rule (the first learned rule that rejects) and kept. A column of docs whose name
+    is one of these with the prefix is an error; choose another prefix."""
+    out, added = _judged(docs, rules, text)
+    if clash := sorted({c.lower() for c in docs.columns} & {f"{prefix}{c}".lower() for c in added}):
+        raise ValueError(f"columns {', '.join(clash)} are there already; choose another prefix")
+    return out.toDF(*docs.columns, *(f"{prefix}{c}" for c in added))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
+    """The rows that are kept, with the columns of docs, whatever their names."""
+    out, _ = _judged(docs, rules, text)
+    return out.where("x_kept").select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

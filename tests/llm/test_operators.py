@@ -81,15 +81,54 @@ def test_language_edges(spark, edge, empty):
     assert {r["lang_pred"] for r in rows(langid.identify(edge, none))} == {"und"}
 
 
-def test_language_probabilities_sum_to_one():
-    texts = ["abcab cab bca", "xyzzy xyx zyx"]
-    grams = [np.unique(langid._grams(langid.letter_stream([t])[0], 4), return_counts=True) for t in texts]
-    model = langid.LanguageModel.train(["a", "b"], np.repeat([0, 1], [len(g[0]) for g in grams]), np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
-    seen = sorted(set("abcxyz "))
-    for context in ("abc", " xy", "zzz"):
-        stream = np.array([[*map(ord, context), ord(c)] for c in seen], np.uint64)
-        p = sum(np.exp(model._log_probability(s, np.array([0]), 4)[0]) for s in stream)
-        assert (p < 1.0001).all() and (p > 0.8).all()  # the rest is for unseen characters
+def plain_kneser_ney(streams, letters, order=4):
+    """A function that gives the probability of a character after three others, from counts in dictionaries."""
+    counts = {order: Counter(s[i - 3 : i + 1] for s in streams for i in range(3, len(s)))}
+    for n in range(order - 1, 0, -1):  # distinct left neighbours
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / (letters + 1)
+        own = counts[len(gram)]
+        ones, twos = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        after = [v for g, v in own.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("wide", ["", "\U00010020\U00020020\U0001d400"])
+def test_language_model_is_kneser_ney(wide):
+    """Also with letters beyond 16 bits."""
+    texts = {"a": ["abcab cab bca" + wide, "bb cab, abc"], "b": ["xyzzy" + wide[::-1] + " xyx zyx", "Éxy 12 zy"]}
+    alphabet = langid.Alphabet(langid.letters_of(sum(texts.values(), []))[0])
+    grams = []
+    for own in texts.values():
+        stream, begin, _ = langid.letter_stream(own, alphabet)
+        inside = np.ones(len(stream), bool)
+        for k in range(3):
+            inside[begin + k] = False
+        grams.append(np.unique(langid._grams(stream, 4)[inside[3:]], return_counts=True))
+    model = langid.LanguageModel.train(["a", "b"], alphabet, np.repeat([0, 1], [len(g[0]) for g in grams]), np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
+    plain = lambda t: "   " + re.sub(r"[\W\d_]+", " ", t.lower())
+    asked = ["cab abx", "zy" + wide, "ünknown xyz", "1a"]
+    entropy, letters = model.cross_entropies(asked)
+    assert letters.tolist() == [sum(c.isalpha() for c in t) for t in asked]
+    for i, own in enumerate(texts.values()):
+        p = plain_kneser_ney([plain(t) for t in own], len({c for other in texts.values() for t in other for c in plain(t)[3:]}))
+        for t, got in zip(asked, entropy[:, i], strict=True):
+            s = plain(t)
+            assert got == pytest.approx(-np.mean([math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s))]), rel=1e-4)
+
+
+def test_letters_beyond_16_bits_are_letters(spark):
+    learned = spark.createDataFrame([(1, "hello world", "en", "s", 1), (2, "\U00010020\U00020020", "xx", "s", 1)], SCHEMA)
+    out = rows(langid.identify(learned, langid.train_language_model(learned)))
+    assert {r["lang_pred"] for r in out} <= {"en", "xx"} and all(r["score"] > 0 for r in out)
 
 
 # 2 secrets
@@ -357,6 +396,48 @@ def test_shards_edges(edge, empty):
     assert kd_shards.shard_documents(empty, shards=4).count() == 0
 
 
+def plain_tree(points, weights, count, spans):
+    """Leaves (lists of row numbers) by recursive weighted medians along the widest dimension, in plain Python."""
+
+    def split(own, c):
+        if c == 1:
+            return [own]
+        widths = [(max(points[i][d] for i in own) - min(points[i][d] for i in own)) / spans[d] for d in range(len(spans))] if own else [0]
+        d, total, left, right = widths.index(max(widths)), sum(weights[i] for i in own), [], []
+        goal, running = total * (c // 2) / c, 0
+        for i in sorted(own, key=lambda i: points[i][d]):
+            running += weights[i]
+            (left if running - weights[i] / 2 < goal else right).append(i)
+        return split(left, c // 2) + split(right, c - c // 2)
+
+    return split(list(range(len(points))), count)
+
+
+@pytest.mark.parametrize("per_node", [20, 10_000])
+def test_tree_against_a_plain_one(spark, per_node):
+    rng = np.random.default_rng(4)
+    points = rng.uniform(size=(600, 2)) * [1, 3]
+    weights = rng.integers(1, 50, 600)
+    data = spark.createDataFrame([(i, float(x), float(y), int(n), 0) for i, ((x, y), n) in enumerate(zip(points, weights, strict=True))], "id long, x double, y double, weight int, f int")
+    target = -(-int(weights.sum()) // 13)
+    out = rows(kd_shards.kd_shards(data, ["x", "y"], "weight", F.xxhash64("id"), target=target, rows_per_node=per_node))
+    leaves = plain_tree(points.tolist(), weights.tolist(), 13, np.ptp(points, axis=0).tolist())
+    found = defaultdict(set)
+    for r in out:
+        found[r["shard"]].add(r["id"])
+    assert len(out) == 600 and set(found) == set(range(13)) and set(out[0]) == {"id", "x", "y", "weight", "f", "shard"}
+    if per_node == 10_000:
+        assert [found[i] for i in range(13)] == [set(x) for x in leaves]
+    sizes = [sum(int(weights[i]) for i in found[k]) for k in range(13)]
+    assert max(sizes) - min(sizes) < 120
+
+
+def test_repeated_rows_are_divided(spark):
+    data = spark.createDataFrame([("id", "the same text", "en", "s", 13)] * 800, "doc_id string, text string, lang string, source string, n_chars long")
+    out = Counter(r["shard"] for r in rows(kd_shards.shard_documents(data, shards=8)))
+    assert set(out) == set(range(8)) and max(out.values()) - min(out.values()) <= 2
+
+
 # 5 licences
 
 
@@ -434,9 +515,9 @@ def test_fingerprints_are_unbiased():
     assert abs(errors.mean()) < 4 * expected / len(real) ** 0.5 and errors.std() == pytest.approx(expected, rel=0.1)
 
 
-@pytest.mark.parametrize("per_range", [1, 3, 1000])
-def test_fingerprint_edges(edge, empty, per_range):
-    out = sorted(rows(fingerprints.fingerprint_with_edits(edge, rows_per_range=per_range)), key=lambda r: (r["doc_id"], r["n_chars"]))
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_fingerprint_edges(edge, empty, ranges):
+    out = sorted(rows(fingerprints.fingerprint_with_edits(edge, least_ranges=ranges)), key=lambda r: (r["doc_id"], r["n_chars"]))
     assert len(out) == len(EDGE)
     texts = [t or "" for _, t, *_ in EDGE]
     for i, r in enumerate(out):
@@ -447,9 +528,66 @@ def test_fingerprint_edges(edge, empty, per_range):
     assert fingerprints.fingerprint_documents(edge).where("doc_id in (4, 5)").select("fingerprint").distinct().count() == 1
 
 
+def test_fingerprints_with_text_and_null_ids(spark):
+    data = [("b", "x y z w", 1), (None, "first of all", 2), ("a", "some words", 3), ("c", "last one here", 4)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, p int").withColumn("at", F.lit(1)).withColumn("k", F.lit(2))
+    out = {r["doc_id"]: r for r in rows(fingerprints.fingerprint_with_edits(docs, least_ranges=4))}
+    order = [None, "a", "b", "c"]
+    texts = {i: t for i, t, _ in data}
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(texts[i]) // 4
+        assert out[i]["edited_sha256"] == hashlib.sha256((texts[i][: len(texts[i]) - cut] + texts[after][:cut]).encode()).hexdigest()
+
+
 # 7 and 8 quality
 
 
+def test_quality_score_is_a_plain_forward_pass():
+    """Every word the mean of its vectors' scores (itself and its character n-grams), a text the mean of words and pairs."""
+    rng = np.random.default_rng(3)
+    model = quality_model.QualityModel(rng.normal(size=(1 << 12, 2)).astype(np.float32), np.array([0.1, -0.2]), [0, 1])
+    texts = ["é", "ab äöüß 漢字仮名交 ab", "", "one two  two", None, "naïve\ncafé x"]
+
+    def bucket(text, lower=None):
+        w = quality_model.Words.of(pa.array([text]))
+        return w.span_hashes(np.array([0]), np.array([len(text.encode())]))
+
+    for text, got in zip(texts, model.probabilities(pa.array(texts, pa.string())), strict=True):
+        words = WORD.findall(text or "")
+        parts = []
+        for w in words:
+            own = [int(bucket(w)[0] % np.uint64(1 << 12))]
+            own += [int(quality_model.mix64(bucket(w[i : i + n]) + np.uint64(1))[0] % np.uint64(1 << 12)) for n in quality_model.NGRAMS for i in range(len(w) - n + 1)]
+            parts.append(model.table[own].astype(float).mean(0))
+        if len(words) > 1:
+            pairs = quality_model.pair_buckets(quality_model.Words.of(pa.array([text])), 1 << 12)[0]
+            parts += [model.table[i].astype(float) for i in pairs]
+        score = (np.mean(parts, 0) if parts else 0) + model.bias
+        assert got == pytest.approx(np.exp(score) / np.exp(score).sum())
+
+
+def test_rules_are_applied_as_they_read(spark, docs):
+    """The verdict of each document by the rules as plain comparisons."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = quality_rules.train_quality_rules(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert rules
+    for r in rows(quality_rules.judge(table, rules)):
+        x = {"n_words": r["n_words"], "mean_word_chars": (r["word_chars"], "n_words"), "symbols_per_word": (r["n_symbols"], "n_words"), "duplicate_line_share": (r["n_dup_lines"], "n_lines")}
+        x |= {"repeated_word_share": (r["n_repeat_words"], "n_words"), "upper_share": (r["n_upper"], "word_chars"), "marks_per_word": (r["n_marks"], "n_words"), "words_per_line": (r["n_words"], "n_lines")}
+        x = {k: v if isinstance(v, int) else v[0] / r[v[1]] if r[v[1]] else 0.0 for k, v in x.items()}
+        hit = [i for i, rule in enumerate(rules, 1) if all(x[t.feature] > t.threshold if t.above else x[t.feature] <= t.threshold for t in rule)]
+        assert r["rule"] == (hit[0] if hit else None)
+        assert r["kept"] == (not hit and r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"])
+
+
+def test_clashing_names_in_rules(spark, edge):
+    wide = edge.withColumns({"q_n_words": F.lit("x"), "q_kept": F.lit(7), "x_kept": F.lit(8), "c0": F.lit(9), "s0": F.lit(1)})
+    kept = quality_rules.keep_good(wide, [])
+    assert kept.columns == wide.columns and {(r["q_kept"], r["x_kept"], r["c0"]) for r in rows(kept)} <= {(7, 8, 9)}
+    with pytest.raises(ValueError, match="q_kept, q_n_words"):
+        quality_rules.judge(wide, [], prefix="q_")
+
+
 def test_quality_model_held_out(spark):
     out = {r["doc_id"]: r for r in rows(queries.op7_subword_quality(spark, "/root/testdata/sf0.1"))}
     labels = {r["doc_id"]: r["quality"] for r in rows(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))}
