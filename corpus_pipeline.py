@@ -15,7 +15,7 @@ from pagetrail.llm.shared import documents, shared_folder
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or the learned decision list reject."""
     rules = quality_rules.train_quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules, prefix="q_").where("q_kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, rules)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
