@@ -15,8 +15,12 @@ and UTF-32.
 
 Defined results: a null text counts as empty; an empty text has no spans; what
 inflates beyond ``CHUNK_BYTES`` is read in chunks that overlap, each a layer of
-its own.  Positions are code points, ends are exclusive.  Repeated rows give
-repeated results.
+its own.  Bare deflate streams, which have no magic bytes, count where a base64
+run holds a whole one.  Positions are code points, ends are exclusive.  Of spans
+with one place and kind the shallowest is kept.  Repeated rows give repeated
+results; an empty table gives no rows; texts are read whole, however long; keys
+may be of any type and other columns may have any name.  Nested compression is
+followed 64 levels deep, a guard against archives that grow without end.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.shared import mapped
+from pagetrail.llm.shared import mapped, slices
 
 KINDS = ("assign", "access", "hex")
 CHUNK_BYTES = 1 << 22
@@ -47,7 +51,8 @@ _NAMES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_UNICODE = re.compile(rf"(?:{_ESCAPE.pattern})+")
 #: A line end inside a base64 run, also a written one, with quotes, indents and comment signs around it.
 _BREAK = r"""["'\x20\t]*(?:\\?\r*\n|\\?\r|(?:\\r)?\\n)["'\x20\t>\#*|]*"""
 _BREAKS = re.compile(_BREAK)
@@ -110,12 +115,11 @@ def _rewritten(layer: Layer, matches: list[re.Match], decode, via: str) -> Layer
         parts.append(layer.text[at : m.start()])
         begins.append(source_begin[at : m.start()])
         ends.append(source_end[at : m.start()])
-        pos = m.start()
-        for ch, width in decode(m):
-            parts.append(ch)
-            begins.append(source_begin[pos : pos + 1])
-            ends.append(source_end[pos + width - 1 : pos + width])
-            pos += width
+        chars, widths = zip(*decode(m), strict=True)
+        stop = m.start() + np.cumsum(widths)
+        parts += chars
+        begins.append(source_begin[stop - widths])
+        ends.append(source_end[stop - 1])
         at = m.end()
     parts.append(layer.text[at:])
     begins.append(source_begin[at:])
@@ -128,10 +132,11 @@ def _from_url(m: re.Match) -> Iterator[tuple[str, int]]:
         yield ch, 3 * n
 
 
-def _from_unicode(m: re.Match) -> Iterator[tuple[str, int]]:
-    digits = m[0].strip("\\uUx&#;{}")
-    code = int(digits, 10 if m[0][0] == "&" and m[0][2] != "x" else 16)
-    yield chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", len(m[0])
+def _from_unicode(run: re.Match) -> Iterator[tuple[str, int]]:
+    for m in _ESCAPE.finditer(run[0]):
+        digits = m[0].strip("\\uUx&#;{}")
+        code = int(digits, 10 if m[0][0] == "&" and m[0][2] != "x" else 16)
+        yield chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", len(m[0])
 
 
 def _opened(head: bytes):
@@ -286,6 +291,36 @@ def _of_bytes(layer: Layer, raw: bytes, at: np.ndarray, end: int) -> Iterator[La
 
     if _opened(raw[:8]) or _MAGIC.search(raw):
         yield _compressed(raw, place, via)
+    elif _is_deflated(raw):
+        yield _from_deflated(raw, place(0, len(raw)), (*via, "compressed"))
+
+
+def _deflated(raw: bytes) -> Iterator[bytes | bool]:
+    """What a bare deflate stream holds, in pieces, then whether it ends where the bytes do, less the bits that another
+    letter may have added."""
+    worker, left = zlib.decompressobj(-15), raw
+    try:
+        while left and not worker.eof:
+            yield worker.decompress(left, _PIECE)
+            left = worker.unconsumed_tail
+    except zlib.error:
+        pass
+    yield worker.eof and len(worker.unused_data) < 4
+
+
+def _is_deflated(raw: bytes) -> bool:
+    """Bare streams have no magic: only those that are whole count."""
+    if len(raw) < 12 or raw[0] & 6 == 6:
+        return False
+    last = False
+    for last in _deflated(raw):
+        pass
+    return last
+
+
+def _from_deflated(raw: bytes, span: tuple[int, int], via: tuple[str, ...]) -> Iterator[Layer]:
+    for chunk in _chunks(x for x in _deflated(raw) if isinstance(x, bytes)):
+        yield Layer(chunk.decode("latin-1"), np.broadcast_to(span[0], len(chunk)), np.broadcast_to(span[1], len(chunk)), via)
 
 
 def _without_nul(layer: Layer) -> Layer:
@@ -349,7 +384,7 @@ def find_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "t")):
             found = [[s._asdict() for s in scan(t)] for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, _SPANS)], ["k", "secrets"])
 
@@ -363,7 +398,7 @@ def mask_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, text)):
             clean = [t if t is None else redact(t, scan(t)) for t in batch.column(at).to_pylist()]
             lengths = [n if t is None or t == old else len(t) for t, old, n in zip(clean, batch.column(at).to_pylist(), batch.column(chars).to_pylist(), strict=True)]
             columns = [pa.array(clean, batch.schema.types[i]) if i == at else pa.array(lengths, batch.schema.types[i]) if i == chars else c for i, c in enumerate(batch.columns)]

@@ -13,7 +13,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ def test_language_model_is_kneser_ney(wide):
             inside[begin + k] = False
         grams.append(np.unique(langid._grams(stream, 4)[inside[3:]], return_counts=True))
     model = langid.LanguageModel.train(["a", "b"], alphabet, np.repeat([0, 1], [len(g[0]) for g in grams]), np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
-    plain = lambda t: "   " + re.sub(r"[\W\d_]+", " ", t.lower())
+    plain = lambda t: "   " + re.sub(r"[\W\d_]+", " ", t.lower()).lstrip()
     asked = ["cab abx", "zy" + wide, "ünknown xyz", "1a"]
     entropy, letters = model.cross_entropies(asked)
     assert letters.tolist() == [sum(c.isalpha() for c in t) for t in asked]
@@ -190,6 +190,7 @@ def test_secrets_inside_layers(wrap, via):
         gzip.compress(b"password = hun") + gzip.compress(b"ter2hunter2 "),
         bz2.compress(b"password = hunter2hunter2 "),
         lzma.compress(b"\xff password = hunter2hunter2 "),
+        zlib.compress(b"password = hunter2hunter2 and more words", wbits=-15),
         gzip.compress(b"0g " * (6 << 20) + b"password = hunter2hunter2"),
     ],
 )
@@ -228,6 +229,55 @@ def test_chunks_overlap(monkeypatch):
         assert [s.kind for s in decoded_secrets.scan(base64.b64encode(raw).decode()) if s.depth] == ["assign"]
 
 
+def plain_layers(text, depth=0):
+    """All texts inside a text, by plain recursion over a few codecs."""
+    yield text
+    if depth == 4:
+        return
+    for plain in {unquote(text), re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)} - {text}:
+        yield from plain_layers(plain, depth + 1)
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        try:
+            raw = base64.b64decode(m[0], validate=True)
+        except ValueError:
+            continue
+        for inflate in (bytes, gzip.decompress, zlib.decompress, bz2.decompress):
+            try:
+                yield from plain_layers(inflate(raw).decode(), depth + 1)
+            except (OSError, EOFError, ValueError, zlib.error):
+                pass
+
+
+def test_secrets_of_all_layers_against_plain_recursion(docs):
+    """Whatever kinds plain recursion finds in wrapped documents, the worklist finds."""
+    rng = np.random.default_rng(6)
+    wraps = [
+        lambda s: quote(s, safe=""),
+        lambda s: base64.b64encode(s.encode()).decode(),
+        lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
+        lambda s: "".join(f"\\u{ord(c):04x}" if ord(c) < 65536 else c for c in s),
+        lambda s: base64.b64encode(bz2.compress(s.encode())).decode(),
+    ]
+    texts = [t[:400] for t in docs.values() if t and base_spans(t[:400])][:12] + ["token: abcdef123456 é", "AKIA" + "B" * 16]
+    for text in texts:
+        for _ in range(4):
+            wrapped = text
+            for k in rng.integers(0, len(wraps), int(rng.integers(1, 4))):
+                wrapped = f"before {wraps[k](wrapped)} after"
+            held = {x.split(":")[0] for layer in plain_layers(wrapped) for x in base_spans(layer)}
+            assert held and held <= {s.kind for s in decoded_secrets.scan(wrapped)}
+
+
+def test_decoding_needs_little_memory():
+    import tracemalloc
+
+    text = "%41" * 700_000
+    tracemalloc.start()
+    decoded_secrets.scan(text)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 def test_secrets_edges(edge, empty):
     out = rows(decoded_secrets.digest(decoded_secrets.find_secrets(edge)))
     assert len(out) == len(EDGE)
