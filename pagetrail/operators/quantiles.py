@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrail.operators.ranking import ROWS_PER_BUCKET, bucket_sums, bucketed
+from pagetrail.operators.ranking import ROWS_PER_BUCKET, bounds_of, bucket_sums, with_bucket
 
 METHODS = ("linear", "averaged_inverted_cdf")
 
@@ -32,13 +32,15 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     known = rows.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     if not by:
         known = known.withColumn("_all", F.lit(0))
-    counts = bucketed(known.groupBy(*groups, "_v").agg(F.count("*").alias("_n")), groups, "_v", rows_per_bucket=rows_per_bucket)
+    bounds = bounds_of(known, groups, "_v", rows_per_bucket=rows_per_bucket)
+    counts = with_bucket(known.groupBy(*groups, "_v").agg(F.count("*").alias("_n")), bounds, groups, "_v")
     places = [_positions(share, F.col("total"), method) for share in shares.values()]
-    sums = bucket_sums(counts, groups, F.col("_n"))
-    ends = [p for low, high, _ in places for p in (low, high)]
-    holds = F.exists(F.array(*(p.cast("long") for p in ends)), lambda p: (F.col("offset") <= p) & (p < F.col("offset") + F.col("amount")))
+    ends = F.array(*(p.cast("long") for low, high, _ in places for p in (low, high)))
+    sums = bucket_sums(counts, groups, F.col("_n")).withColumn("_ends", F.array_distinct(ends))
+    holds = lambda ahead, own: F.exists("_ends", lambda p: (F.col(ahead) <= p) & (p < F.col(ahead) + F.col(own)))
     own = Window.partitionBy(*groups, "bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.join(sums.where(holds).drop("amount"), [*groups, "bucket"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("_n").over(own), F.lit(0)))
+    placed = counts.join(sums.where(holds("offset", "amount")).drop("amount"), [*groups, "bucket"])
+    placed = placed.withColumn("before", F.col("offset") + F.coalesce(F.sum("_n").over(own), F.lit(0))).where(holds("before", "_n"))
     covers = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("_n"))
     found, mixed = [], []
     for name, (low, high, part) in zip(shares, places, strict=True):

@@ -12,21 +12,26 @@ its own statistics several times over grows beyond use when operators are nested
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 250_000
 MOST_BUCKETS = 4096
 _CHUNK = 64
+_FEW = 256  # bounds that go into an expression; more are joined
 
 
 def bounds_of(rows: DataFrame, group: list[str], value: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame | None:
-    """One row per group that needs several buckets: ``bounds``, the values at which they begin, the first one left out,
-    and ``heads``, every 64th of these; None if no group needs them. Sketches are made of such groups only."""
+    """Rows with, per group that needs several buckets: ``bounds``, the values at which they begin, the first one left out,
+    and ``heads``, every 64th of these; None if no group needs them. Of such groups, some 200 rows per bucket are drawn:
+    bounds may lie anywhere without changing a result."""
     large = rows.groupBy(*group).agg(F.count(value).alias("bucket_rows")).where(F.col("bucket_rows") > rows_per_bucket)
     shares = ",".join(str(i / MOST_BUCKETS) for i in range(1, MOST_BUCKETS))  # a text, so that plans hold one literal
     sketch = F.expr(f"percentile_approx(cast(`{value}` as double), cast(split('{shares}', ',') as array<double>), {4 * MOST_BUCKETS})")
-    found = rows.select(*group, value).join(F.broadcast(large), group).groupBy(*group).agg(sketch.alias("p"), F.max("bucket_rows").alias("n"))
+    drawn = rows.select(*group, value).sample(min(1.0, 200 / rows_per_bucket), 7)
+    found = drawn.join(F.broadcast(large), group).groupBy(*group).agg(sketch.alias("p"), F.max("bucket_rows").alias("n"))
     every = F.ceil(MOST_BUCKETS / F.ceil(F.col("n") / rows_per_bucket))
     bounds = F.array_distinct(F.filter("p", lambda _, i: (i + 1) % F.greatest(every, F.lit(1)) == 0))
     out = found.select(*group, bounds.alias("bounds")).select("*", F.filter("bounds", lambda _, i: i % _CHUNK == 0).alias("heads"))
@@ -34,10 +39,29 @@ def bounds_of(rows: DataFrame, group: list[str], value: str, *, rows_per_bucket:
     return rows.sparkSession.createDataFrame(held, out.schema) if held else None
 
 
+def _searched(value: str, bounds: list[float]) -> str:
+    """SQL for the number of bounds that a value reaches, as a tree of comparisons."""
+
+    def below(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"if(cast(`{value}` as double) < {bounds[middle]!r}D, {below(low, middle)}, {below(middle + 1, high)})"
+
+    return below(0, len(bounds))
+
+
 def with_bucket(rows: DataFrame, bounds: DataFrame | None, group: list[str], value: str) -> DataFrame:
-    """Adds ``bucket``: how many bounds of the group the value reaches, found in two steps."""
+    """Adds ``bucket``: how many bounds of the group the value reaches."""
     if bounds is None:
         return rows.withColumn("bucket", F.lit(0))
+    held = bounds.collect()  # local
+    if sum(len(r["bounds"]) for r in held) <= _FEW:
+        bucket = F.lit(0)
+        for r in held:
+            own = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.lit(r[g])) for g in group))
+            bucket = F.when(own, F.expr(_searched(value, r["bounds"]))).otherwise(bucket)
+        return rows.withColumn("bucket", F.coalesce(bucket, F.lit(0)))
     v = F.col(value).cast("double")
     reached = lambda array: F.size(F.filter(array, lambda b: b <= v))
     chunk = reached(F.col("heads"))

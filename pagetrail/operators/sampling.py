@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrail.operators.candidates import candidate_bands
-from pagetrail.operators.ranking import ROWS_PER_BUCKET, bucket_sums, bucketed, row_numbers
+from pagetrail.operators.ranking import bucket_sums, row_numbers
+
+
+PARTS = 4096
 
 
 def random_bits(*cols: Column | str, seed: int) -> Column:
@@ -21,16 +24,16 @@ def hashed(*cols: Column | str, seed: int) -> Column:
     return F.shiftright(random_bits(*cols, seed=seed), 8) * F.lit(2.0**-52)
 
 
-def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0) -> DataFrame:
     """n pairs per trial, with replacement, uniform over all pairs (record, position in [start, stop)).
 
-    Returns trial_id, draw, key and e_idx.  Records, in the order of their keys, are ranges on the line of all pairs; a
-    draw is a point on it and finds its range by an as-of lookup: first among the sums of buckets of records, of which
-    there are few, then inside one bucket.  A trial without pairs gives none.
+    Returns trial_id, draw, key and e_idx.  Records are ranges on the line of all pairs, dealt to ``PARTS`` buckets by a
+    hash of their keys and ordered by key inside; a draw is a point on the line and finds its range by an as-of lookup:
+    first among the sums of the buckets, then inside one bucket.  A trial without pairs gives none.
     """
     width = F.greatest(F.col(stop) - F.col(start), F.lit(0))
     ranges = bands.select("trial_id", key, F.col(start).alias("start"), width.alias("n_pairs")).where("n_pairs > 0")
-    placed = bucketed(ranges, ["trial_id"], key, rows_per_bucket=rows_per_bucket)
+    placed = ranges.withColumn("bucket", random_bits(key, seed=0) % PARTS)
     sums = bucket_sums(placed, ["trial_id"], F.col("n_pairs"))
     # n draws for each trial: one total per trial meets the numbers of the draws
     totals = sums.where("offset = 0").select("trial_id", "total")

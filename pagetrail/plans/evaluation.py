@@ -375,7 +375,7 @@ def prefix_sum(spark, d):
 def event_rank(spark, d):
     t = orders_trace(spark, d)
     asked = t.access.select("trial_id", "page", F.col("ts").alias("x")).distinct().withColumn("side", F.explode(F.array(F.lit(candidates.BEFORE), F.lit(candidates.UP_TO))))
-    ranked = candidates.event_rank(asked, t.eviction)
+    ranked = candidates.event_rank(asked, t.eviction, spread=t.access.select("trial_id", F.col("ts").alias("x")))
     return ranked.groupBy("page", "x").agg(F.max(F.when(F.col("side") == candidates.BEFORE, F.col("rank"))).alias("n_before"), F.max(F.when(F.col("side") == candidates.UP_TO, F.col("rank"))).alias("n_up_to"))
 
 
@@ -405,7 +405,7 @@ def _drawn_sql(start: str, stop: str, n: int, seed: int, stream: int, label: str
     at = _bits(f"'{seed}'", f"'{stream}'", "trial_id", "draw")
     return f"""SELECT trial_id, draw, event_id, {start} + pt - ahead AS e_idx, {label} AS label FROM
   (SELECT trial_id, draw, {at} % total AS pt FROM (SELECT trial_id, sum({stop} - {start})::BIGINT AS total FROM bands GROUP BY trial_id HAVING sum({stop} - {start}) > 0), (SELECT unnest(range({n})) AS draw)) d
-  JOIN (SELECT *, sum({stop} - {start}) OVER (PARTITION BY trial_id ORDER BY event_id)::BIGINT - ({stop} - {start}) AS ahead FROM bands) b USING (trial_id) WHERE pt >= ahead AND pt < ahead + {stop} - {start}"""
+  JOIN (SELECT *, sum({stop} - {start}) OVER (PARTITION BY trial_id ORDER BY {_bits("'0'", "event_id")} % 4096, event_id)::BIGINT - ({stop} - {start}) AS ahead FROM bands) b USING (trial_id) WHERE pt >= ahead AND pt < ahead + {stop} - {start}"""
 
 
 def _sample_sql(part: str, drawn: str) -> str:
@@ -418,31 +418,36 @@ _LATE_SQL = "SELECT v.* FROM valid v JOIN halves USING (trial_id) WHERE n >= 2 A
 _BALANCED_SQL = _drawn_sql("pos_lo", "hi", 500, 42, 1, "1") + " UNION ALL " + _drawn_sql("lo", "pos_lo", 500, 42, 2, "0")
 
 
-def _draws(spark, d, late=False, balanced=False, seed=42):
+def _draws(spark, d, balanced=False):
+    t = events_trace(spark, d, trials=3)
+    return sampling.sample_candidates(t.access, t.eviction, horizon=6 * HOUR, cap=6 * HOUR, n=1000, balanced=balanced, key="event_id", seed=42, features=["value"])
+
+
+def _draws_of_part(spark, d, late, seed):
     t = events_trace(spark, d, trials=3)
     split = candidates.temporal_split(candidates.valid_evictions(t.access, t.eviction, 6 * HOUR), 0.2)
     part = split.where("is_eval" if late else "NOT is_eval").select("trial_id", "ts")
-    return sampling.sample_candidates(t.access, part, horizon=6 * HOUR, cap=6 * HOUR, n=1000, balanced=balanced, key="event_id", seed=seed, features=["value"])
+    return sampling.sample_candidates(t.access, part, horizon=6 * HOUR, cap=6 * HOUR, n=1000, balanced=False, key="event_id", seed=seed, features=["value"])
 
 
-@query(_sample_sql(_EARLY_SQL, _BALANCED_SQL), _TRIAL_SQL)
+@query(_sample_sql("SELECT * FROM eviction", _BALANCED_SQL), _TRIAL_SQL)
 def sample_balanced(spark, d):
     return _draws(spark, d, balanced=True)
 
 
-@query(_sample_sql(_EARLY_SQL, _drawn_sql("lo", "hi", 1000, 42, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
+@query(_sample_sql("SELECT * FROM eviction", _drawn_sql("lo", "hi", 1000, 42, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
 def sample_natural(spark, d):
     return _draws(spark, d)
 
 
 @query(_sample_sql(_EARLY_SQL, _drawn_sql("lo", "hi", 1000, 43, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
 def sample_discretizer(spark, d):
-    return _draws(spark, d, seed=43)
+    return _draws_of_part(spark, d, late=False, seed=43)
 
 
 @query(_sample_sql(_LATE_SQL, _drawn_sql("lo", "hi", 1000, 44, 3, "lo + pt - ahead >= pos_lo")), _TRIAL_SQL)
 def sample_holdout(spark, d):
-    return _draws(spark, d, late=True, seed=44)
+    return _draws_of_part(spark, d, late=True, seed=44)
 
 
 @query(
