@@ -86,14 +86,14 @@ def _spread(access: DataFrame, eviction: DataFrame) -> DataFrame:
 def candidate_totals(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None) -> DataFrame:
     """trial_id, n_pos, n_neg. Sums of ranks are enough, so that no access is put together again."""
     probes = _probes(next_access(access), horizon, cap, [])
-    ranked = event_rank(probes, eviction, rows_per_bucket=ROWS_PER_BUCKET // 3, spread=_spread(access, eviction))
+    ranked = event_rank(probes, eviction, rows_per_bucket=ROWS_PER_BUCKET // 12, spread=_spread(access, eviction))
     total = lambda name: F.sum(F.when(F.col("probe") == name, F.col("rank")).otherwise(0))
     return ranked.groupBy("trial_id").agg((total("hi") - total("pos_lo")).alias("n_pos"), (total("pos_lo") - total("lo")).alias("n_neg"))
 
 
 def candidate_bands(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, key: str) -> DataFrame:
     """Per access, named by key: lo, pos_lo and hi, as ranks among the evictions of its trial."""
-    ranked = event_rank(_probes(next_access(access), horizon, cap, [key]), eviction, rows_per_bucket=ROWS_PER_BUCKET // 3, spread=_spread(access, eviction))
+    ranked = event_rank(_probes(next_access(access), horizon, cap, [key]), eviction, rows_per_bucket=ROWS_PER_BUCKET // 12, spread=_spread(access, eviction))
     return ranked.groupBy("trial_id", key).agg(*(F.max(F.when(F.col("probe") == name, F.col("rank"))).alias(name) for name in ("lo", "pos_lo", "hi")))
 
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 1_000_000
 MOST_BUCKETS = 4096
 _CHUNK = 64
 _FEW = 256  # bounds that go into an expression; more are joined
