@@ -33,7 +33,7 @@ from pagetrail.llm.shared import by_position, cut
 
 _HALF = 31
 _BINS = 1024
-ROWS_PER_NODE = 10_000
+ROWS_PER_NODE = 40_000
 
 
 def text_ordinal(column: Column, skipped: int = 0) -> Column:
@@ -89,7 +89,8 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column,
     # 21 bits of the tie, 10 bits of the place
     ties = F.shiftleft(F.shiftrightunsigned(tie, 43), 10).bitwiseOR(F.shiftrightunsigned(place, 54))
     rows, w, *dims = by_position(rows.withColumns({"_kd_tie": ties, "_kd_place": F.monotonically_increasing_id()}), weight, *dimensions)
-    rows = cut(rows.withColumnsRenamed({f"c{len(names)}": "t", f"c{len(names) + 1}": "u"}).withColumn("w", F.col(w).cast("long")))
+    rows = rows.withColumnsRenamed({f"c{len(names)}": "t", f"c{len(names) + 1}": "u"})
+    rows = cut(rows.withColumns({"w": F.col(w).cast("long"), "f": F.lit(0).cast("long"), "c": F.lit(0).cast("long")}))
     lows, highs = [F.min(d).alias(f"low{i}") for i, d in enumerate(dims)], [F.max(d).alias(f"high{i}") for i, d in enumerate(dims)]
     seen = rows.agg(F.sum("w").alias("w"), *lows, *highs).first()
     kept = [f"c{i}" for i in range(len(names))]
@@ -99,7 +100,7 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column,
     spans = [(seen[f"high{i}"] - seen[f"low{i}"]) or 1.0 for i in range(len(dims))]
     low, high = [F.col(f"low{i}") for i in range(len(dims))], [F.col(f"high{i}") for i in range(len(dims))]
     goal = F.col("weight") * F.floor(F.col("c") / 2) / F.col("c")
-    placed = rows.withColumns({"f": F.lit(0).cast("long"), "c": F.lit(count).cast("long")})
+    placed = rows.withColumn("c", F.lit(count).cast("long"))
     while True:
         nodes = placed.where("c > 1").groupBy("f", "c").agg(F.sum("w").alias("weight"), F.count("*").alias("n"), *lows, *highs).where(F.col("n") > rows_per_node)
         nodes = nodes.withColumn("d", _widest(low, high, spans)).withColumns({"low": F.get(F.array(*low), F.col("d")), "high": F.get(F.array(*high), F.col("d"))})
@@ -112,7 +113,7 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column,
         key = F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("t"))
         met = placed.join(splits, "f", "left")
         large, small = _child(met.where("split IS NOT NULL"), key < F.col("split")), met.where("split IS NULL")
-        placed = cut(large.unionByName(small).select(*rows.columns, "f", "c"))
+        placed = cut(large.unionByName(small).select(*rows.columns))
     # the rest: each node's rows in one task, all levels after this exchange
     most = placed.agg(F.max("c").alias("c")).first()["c"]
     placed = placed.withColumn("top", F.col("f")).repartition("top")
@@ -122,7 +123,7 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column,
         placed = placed.withColumn("d", _widest(low, high, spans)).withColumn("v", _value(dims))
         running = F.sum("w").over(node.orderBy("v", "t", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         placed = placed.withColumn("running", running)  # a row goes to the side on which its middle lies
-        placed = _child(placed, F.col("running") - F.col("w") / 2 < goal).select(*rows.columns, "f", "c", "top")
+        placed = _child(placed, F.col("running") - F.col("w") / 2 < goal).select(*rows.columns, "top")
     return placed.select(*kept, "f").toDF(*names, "shard")
 
 

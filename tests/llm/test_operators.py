@@ -463,7 +463,7 @@ def plain_tree(points, weights, count, spans):
     return split(list(range(len(points))), count)
 
 
-@pytest.mark.parametrize("per_node", [20, 10_000])
+@pytest.mark.parametrize("per_node", [20, 40_000])
 def test_tree_against_a_plain_one(spark, per_node):
     rng = np.random.default_rng(4)
     points = rng.uniform(size=(600, 2)) * [1, 3]
@@ -476,7 +476,7 @@ def test_tree_against_a_plain_one(spark, per_node):
     for r in out:
         found[r["shard"]].add(r["id"])
     assert len(out) == 600 and set(found) == set(range(13)) and set(out[0]) == {"id", "x", "y", "weight", "f", "shard"}
-    if per_node == 10_000:
+    if per_node == 40_000:
         assert [found[i] for i in range(13)] == [set(x) for x in leaves]
     sizes = [sum(int(weights[i]) for i in found[k]) for k in range(13)]
     assert max(sizes) - min(sizes) < 120
