@@ -875,6 +875,35 @@ def test_mixing_budgets(spark):
         assert abs(sum(taken.values()) - sum(r["size"] for r in out)) <= len(target)
 
 
+def test_mixing_is_the_plain_sample(spark):
+    data = [(i % 40 if i % 7 else None, f"{'w ' * (1 + i % 5)}{'# ' * (i % 3)}", [None, "a", "b", "c"][(i * i) % 4]) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes, groups = Counter(), defaultdict(list)
+    for key, text, source in data:
+        n, symbols = len(text.split()), text.count("#")
+        digest = hashlib.md5(f"mix:{'' if key is None else key}".encode()).hexdigest()
+        es_key = -math.log((int(digest[:12], 16) + 0.5) / 2**48) / (1 - 0.75 * min(symbols / n, 1))
+        sizes[source] += n
+        groups[source].append(((round(es_key, 9), key is not None, key or 0, n), key, n))
+    want = Counter()
+    for source, target in mixing.targets_of(dict(sizes)).items():
+        epochs = min(int(target // sizes[source]), 3)
+        left = round(target) - epochs * sizes[source]
+        for _, key, n in sorted(groups[source]):
+            part = max(min(left, n), 0)
+            left -= n
+            want[key, n, epochs * n + part] += 1
+    for bins in (10, 20_000):
+        assert Counter((r["doc_id"], r["size"], r["taken"]) for r in rows(mixing.mix_documents(docs, rows_per_bin=bins))) == want
+    words = Counter()
+    for r in rows(mixing.mixed_texts(docs, rows_per_bin=10)):
+        words[r["doc_id"]] += len(r["text"].split())
+    plain = Counter()
+    for (key, _, taken), times in want.items():
+        plain[key] += taken * times
+    assert words == +plain
+
+
 def test_targets():
     assert mixing.targets_of({"a": 10, "b": 10, "c": 10}) == {"a": 5, "b": 10, "c": 15}
     assert mixing.targets_of({"a": 100, "b": 1, None: 1}) == {"a": pytest.approx(96), "b": 3, None: 3}
