@@ -17,7 +17,9 @@ whole text matches the template; of runs that overlap the best counts.
 
 Defined results: a null or empty text has no licence (count 0, null name); of
 templates with an equal best coefficient the name that sorts first is given;
-repeated lines count each time; repeated rows give repeated results.
+repeated lines count each time; repeated rows give repeated results, and rows of
+one key with different texts have their own; long texts are read whole; other
+columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -190,12 +192,14 @@ def license_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
 
 def document_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: n_matches (units by templates), license (of the best match), dice, licenses (all names)."""
-    found = license_lines(docs, key=key, text=text, threshold=threshold).withColumnRenamed(key, "k")
-    # repeated rows of one key each find the same lines: count by distinct unit
+    # rows of one key may hold different texts
+    rows = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h")).alias("k"), F.col(text).alias("t"))
+    found = license_lines(rows, key="k", text="t", threshold=threshold)
+    # repeated rows each find the same lines: count by distinct unit
     found = found.distinct().groupBy("k").agg(
         F.count("*").alias("n_matches"),
         F.min(F.struct((-F.col("dice")).alias("d"), F.col("license").alias("l"))).alias("best"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
     )
-    out = docs.select(F.col(key).alias("id")).join(found, F.col("id").eqNullSafe(F.col("k")), "left")
-    return out.select(F.col("id").alias(key), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("best.l").alias("license"), (-F.col("best.d")).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"))
+    out = rows.select(F.col("k").alias("own")).join(found, F.col("own.id").eqNullSafe(F.col("k.id")) & (F.col("own.h") == F.col("k.h")), "left")
+    return out.select(F.col("own.id").alias(key), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("best.l").alias("license"), (-F.col("best.d")).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"))

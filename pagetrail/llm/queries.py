@@ -75,20 +75,21 @@ def _licenses_sql() -> str:
     templates = " UNION ALL ".join(f"SELECT '{name}' AS license, [{', '.join(repr(b) for b in own)}] AS want" for name, own in sorted(license_match.template_bigrams().items()))
     return rf"""
 WITH templates AS ({templates}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 units AS (
-  SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(len(string_split(text, chr(10))))) AS unit FROM (SELECT row_number() OVER () AS rid, * FROM documents) WHERE text IS NOT NULL
-  UNION ALL SELECT 0, doc_id, text, -1 FROM documents WHERE contains(text, chr(10))),
-words AS (SELECT doc_id, unit, list_filter(string_split({twice}, ' '), lambda x: x <> '') AS w FROM units),
-own AS (SELECT DISTINCT doc_id, unit, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS b FROM words WHERE len(w) > 1),
+  SELECT rid, unnest(string_split(text, chr(10))) AS u, unnest(range(len(string_split(text, chr(10))))) AS unit FROM docs WHERE text IS NOT NULL
+  UNION ALL SELECT rid, text, -1 FROM docs WHERE contains(text, chr(10))),
+words AS (SELECT rid, unit, list_filter(string_split({twice}, ' '), lambda x: x <> '') AS w FROM units),
+own AS (SELECT rid, unit, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS b FROM words WHERE len(w) > 1),
 matches AS (
-  SELECT doc_id, unit, license, 2.0 * len(list_intersect(b, want)) / (len(b) + len(want)) AS dice
+  SELECT rid, unit, license, 2.0 * len(list_intersect(b, want)) / (len(b) + len(want)) AS dice
   FROM own, templates WHERE len(b) BETWEEN len(want) * 0.66 AND len(want) * 1.51),
 hits AS (SELECT * FROM matches WHERE dice >= {license_match.THRESHOLD}),
 best AS (
-  SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM hits GROUP BY doc_id),
-named AS (SELECT b.doc_id, min(h.license) AS license FROM best b JOIN hits h ON b.doc_id = h.doc_id AND b.dice = h.dice GROUP BY b.doc_id)
+  SELECT rid, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM hits GROUP BY rid),
+named AS (SELECT b.rid, min(h.license) AS license FROM best b JOIN hits h ON b.rid = h.rid AND b.dice = h.dice GROUP BY b.rid)
 SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, round(dice, 6) AS dice, coalesce(licenses, '') AS licenses
-FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN named USING (doc_id)
+FROM docs d LEFT JOIN best USING (rid) LEFT JOIN named USING (rid)
 """
 
 

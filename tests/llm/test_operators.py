@@ -507,6 +507,13 @@ def test_license_edges(spark, edge, empty):
     assert out[2]["license"] == "MIT-grant" and 0.9 < out[2]["dice"] < 1
 
 
+def test_licenses_of_one_key(spark):
+    mit = "Released under the MIT license"
+    docs = spark.createDataFrame([(1, mit, 5), (1, "a text without any", 6), (1, None, 7), (None, mit, 8), (None, "x", 9), (2, mit, 1), (2, mit, 1)], "doc_id long, text string, dice int")
+    out = Counter((r["doc_id"], r["license"], r["n_matches"]) for r in rows(license_match.document_licenses(docs)))
+    assert out == {(1, "MIT", 1): 1, (1, None, 0): 2, (None, "MIT", 1): 1, (None, None, 0): 1, (2, "MIT", 1): 2}
+
+
 def test_wrapped_licenses(spark):
     filler = "\n".join(f"line {i} of some other words about nothing at all" for i in range(40))
     names = ["MIT-grant", "BSD-grant", "ISC-grant", "GPL-3.0-header", "MPL-2.0-header", "Apache-2.0-header"]
