@@ -6,8 +6,9 @@ are bytes; a node that shall give s shards is split in the proportion of
 floor(s / 2) to the rest.
 
 A row carries its node: the first of the node's shards and how many there are.
-All nodes of a level are split by the same jobs, and what is known of nodes stays
-in tables, so that neither the driver nor an expression grows with the tree.  The
+All nodes of a level are split by the same jobs.  What is known of nodes is a table;
+rows look up to ``NODES_IN_LITERALS`` nodes up in literal arrays and join more than
+these, so that neither the driver nor an expression grows with the tree.  The
 medians of large nodes are distributed: a pass sums bytes in 1024 bins per node
 over a 62-bit key (31 bits of the scaled dimension, then 31 bits of a hash that
 breaks ties), and goes on between the least and the largest key of the bin that
@@ -28,12 +29,14 @@ from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from pagetrail.llm.shared import by_position, cut
 
 _HALF = 31
 _BINS = 1024
 ROWS_PER_NODE = 40_000
+NODES_IN_LITERALS = 64
 
 
 def text_ordinal(column: Column, skipped: int = 0) -> Column:
@@ -51,25 +54,40 @@ def _value(dims: list[str]) -> Column:
     return F.get(F.array(*(F.col(d) for d in dims)), F.col("d"))
 
 
-def _child(placed: DataFrame, left: Column) -> DataFrame:
-    """Rows of nodes of several shards go to the left half of these, or to the right one."""
+def _key(dims: list[str]) -> Column:
+    """The scaled value of a row in its node's dimension, then its tie."""
+    scaled = F.floor((_value(dims) - F.col("low")) * F.col("scale")).cast("long")
+    return F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("t"))
+
+
+def _child(placed: DataFrame, left: Column, split: Column) -> DataFrame:
+    """Rows of nodes that are split go to the left half of the shards, or to the right one."""
     half = F.floor(F.col("c") / 2).cast("long")
-    split = F.col("c") > 1
     return placed.withColumns({"f": F.when(split & ~left, F.col("f") + half).otherwise(F.col("f")), "c": F.when(~split, F.col("c")).when(left, half).otherwise(F.col("c") - half)})
 
 
-def _median_splits(placed: DataFrame, nodes: DataFrame, dims: list[str]) -> DataFrame:
+def _with_nodes(rows: DataFrame, nodes: DataFrame, columns: list[str], in_literals: int) -> DataFrame:
+    """The rows with these columns of their nodes, null for rows of other nodes. Few nodes are literals, many are joined."""
+    nodes = nodes.select("f", *columns)
+    few = nodes.limit(in_literals + 1).collect()
+    if len(few) > in_literals:
+        return rows.join(nodes, "f", "left")
+    values = {c: F.array(*(F.lit(node[c]) for node in few)).cast(ArrayType(nodes.schema[c].dataType)) for c in nodes.columns}
+    place = F.array_position(values["f"], F.col("f")).cast("int") - 1
+    return rows.withColumns({c: F.get(values[c], place) for c in columns})
+
+
+def _median_splits(placed: DataFrame, nodes: DataFrame, dims: list[str], in_literals: int) -> DataFrame:
     """nodes: f, d, low, scale, goal, near. Returns f, d, low, scale and the key ``split`` below which rows go left."""
-    scaled = F.floor((_value(dims) - F.col("low")) * F.col("scale")).cast("long")
-    key = F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("t"))
     state = nodes.withColumns({"at": F.lit(0).cast("long"), "width": F.lit((1 << 2 * _HALF) // _BINS), "before": F.lit(0).cast("long")})
     done = None
     while True:
-        keyed = placed.select("f", "w", "t", *dims).join(state, "f").withColumn("key", key)
+        met = _with_nodes(placed.select("f", "w", "t", *dims), state, ["d", "low", "scale", "at", "width"], in_literals)
+        keyed = met.where("d IS NOT NULL").withColumn("key", _key(dims))
         inside = keyed.withColumn("bin", F.floor((F.col("key") - F.col("at")) / F.col("width"))).where(F.col("bin").between(0, _BINS - 1))
         bins = inside.groupBy("f", "bin").agg(F.sum("w").alias("own"), F.min("key").alias("least"), F.max("key").alias("most"))
         ahead = F.coalesce(F.sum("own").over(Window.partitionBy("f").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        found = bins.withColumn("ahead", ahead).join(state, "f").withColumn("ahead", F.col("ahead") + F.col("before"))
+        found = _with_nodes(bins.withColumn("ahead", ahead), state, ["d", "low", "scale", "goal", "near", "before"], in_literals).withColumn("ahead", F.col("ahead") + F.col("before"))
         found = found.where((F.col("ahead") < F.col("goal")) & (F.col("ahead") + F.col("own") >= F.col("goal")))
         found = cut(found.withColumn("last", (F.col("least") == F.col("most")) | (F.col("own") <= F.col("near"))), small=True)
         # the last bin goes to the nearer side
@@ -81,7 +99,7 @@ def _median_splits(placed: DataFrame, nodes: DataFrame, dims: list[str]) -> Data
         state = found.where("NOT last").select("f", "d", "low", "scale", "goal", "near", F.col("least").alias("at"), F.ceil((F.col("most") - F.col("least") + 1) / _BINS).cast("long").alias("width"), F.col("ahead").alias("before"))
 
 
-def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column, *, shards: int | None = None, target: int | None = None, rows_per_node: int = ROWS_PER_NODE) -> DataFrame:
+def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column, *, shards: int | None = None, target: int | None = None, rows_per_node: int = ROWS_PER_NODE, nodes_in_literals: int = NODES_IN_LITERALS) -> DataFrame:
     """The rows with a column ``shard`` from 0. shards: how many, or target: the weight that a shard shall reach.
     tie: a hash of what tells rows apart."""
     names = rows.columns
@@ -108,12 +126,9 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column,
         nodes = cut(nodes.select("f", "d", "low", scale.alias("scale"), goal.alias("goal"), (F.col("weight") / F.col("c") / 1000).alias("near")), small=True)
         if nodes.isEmpty():
             break
-        splits = _median_splits(placed, nodes, dims)
-        scaled = F.floor((_value(dims) - F.col("low")) * F.col("scale")).cast("long")
-        key = F.shiftleft(F.least(F.greatest(scaled, F.lit(0)), F.lit((1 << _HALF) - 1)), _HALF).bitwiseOR(F.col("t"))
-        met = placed.join(splits, "f", "left")
-        large, small = _child(met.where("split IS NOT NULL"), key < F.col("split")), met.where("split IS NULL")
-        placed = cut(large.unionByName(small).select(*rows.columns))
+        splits = _median_splits(placed, nodes, dims, nodes_in_literals)
+        met = _with_nodes(placed, splits, ["d", "low", "scale", "split"], nodes_in_literals)
+        placed = cut(_child(met, _key(dims) < F.col("split"), F.col("split").isNotNull()).select(*rows.columns))
     # the rest: each node's rows in one task, all levels after this exchange
     most = placed.agg(F.max("c").alias("c")).first()["c"]
     placed = placed.withColumn("top", F.col("f")).repartition("top")
@@ -123,7 +138,7 @@ def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, tie: Column,
         placed = placed.withColumn("d", _widest(low, high, spans)).withColumn("v", _value(dims))
         running = F.sum("w").over(node.orderBy("v", "t", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         placed = placed.withColumn("running", running)  # a row goes to the side on which its middle lies
-        placed = _child(placed, F.col("running") - F.col("w") / 2 < goal).select(*rows.columns, "top")
+        placed = _child(placed, F.col("running") - F.col("w") / 2 < goal, F.col("c") > 1).select(*rows.columns, "top")
     return placed.select(*kept, "f").toDF(*names, "shard")
 
 

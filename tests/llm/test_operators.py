@@ -463,14 +463,14 @@ def plain_tree(points, weights, count, spans):
     return split(list(range(len(points))), count)
 
 
-@pytest.mark.parametrize("per_node", [20, 40_000])
-def test_tree_against_a_plain_one(spark, per_node):
+@pytest.mark.parametrize(("per_node", "in_literals"), [(20, 64), (20, 2), (40_000, 64)])
+def test_tree_against_a_plain_one(spark, per_node, in_literals):
     rng = np.random.default_rng(4)
     points = rng.uniform(size=(600, 2)) * [1, 3]
     weights = rng.integers(1, 50, 600)
     data = spark.createDataFrame([(i, float(x), float(y), int(n), 0) for i, ((x, y), n) in enumerate(zip(points, weights, strict=True))], "id long, x double, y double, weight int, f int")
     target = -(-int(weights.sum()) // 13)
-    out = rows(kd_shards.kd_shards(data, ["x", "y"], "weight", F.xxhash64("id"), target=target, rows_per_node=per_node))
+    out = rows(kd_shards.kd_shards(data, ["x", "y"], "weight", F.xxhash64("id"), target=target, rows_per_node=per_node, nodes_in_literals=in_literals))
     leaves = plain_tree(points.tolist(), weights.tolist(), 13, np.ptp(points, axis=0).tolist())
     found = defaultdict(set)
     for r in out:
