@@ -11,6 +11,7 @@ from __future__ import annotations
 import glob
 import os
 import re
+import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -163,6 +164,50 @@ def read_log(spark: SparkSession, path: str, kind: str, *, numbered: bool = Fals
     return (reader.option("numbered", "true") if numbered else reader).load(",".join(re.sub("^file:/*", "/", f.path) for f in files))
 
 
+def write_logs(rows: DataFrame, kind: str, path: str = "path", rest: bytes = b"") -> int:
+    """Writes logs and returns how many records they hold. rows: a column with the path of each record's log, which tasks
+    can open, and fields of the kind as numbers (missing fields and nulls are 0, -1 stands for 2**64 - 1).
+
+    A log is one file, written by one task in the order of ``ts`` and put in place when it is whole, so that a task that
+    runs again does no harm. rest: bytes behind the last record.
+    """
+    dtype, names = record_dtype(kind), [f for f in fields(kind) if f in rows.columns]
+    known = rows.select(F.regexp_replace(F.col(path), "^file:/*", "/").alias("path"), *(F.coalesce(F.col(f).cast("long"), F.lit(0)).alias(f) for f in names))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, draft, file, n = None, "", None, 0
+
+        def close() -> None:
+            if file is not None:
+                file.write(rest)
+                file.close()
+                os.replace(draft, current)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paths = np.array(batch.column("path").to_pylist(), object)
+            starts = np.flatnonzero(np.r_[True, paths[1:] != paths[:-1]]).tolist()
+            for a, b in zip(starts, [*starts[1:], len(paths)], strict=True):
+                if paths[a] != current:
+                    close()
+                    current = paths[a]
+                    os.makedirs(os.path.dirname(current), exist_ok=True)
+                    draft = f"{current}.{uuid.uuid4().hex}"
+                    file = open(draft, "wb")  # noqa: SIM115
+                records = np.zeros(b - a, dtype)
+                for f in names:
+                    records[f] = batch.column(f).to_numpy()[a:b].astype(np.uint64)
+                file.write(records.tobytes())
+                n += b - a
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    ensure_shipped(rows.sparkSession)
+    order = ["path", "ts"] if "ts" in names else ["path"]
+    return known.repartition("path").sortWithinPartitions(*order).mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def single_log(spark: SparkSession, folder: str, pattern: str) -> str:
     """The one file of a folder that fits the pattern."""
     found = matching(spark, f"{folder}/{pattern}")

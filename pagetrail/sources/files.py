@@ -5,6 +5,9 @@ Only names, sizes and small documents pass here; tables are read and written by
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -56,3 +59,12 @@ def write_small(spark: SparkSession, path: str, content: bytes) -> None:
 
 def read_small(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(str(path)).first()["content"])
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path for a new folder that the driver and all executors share: below ``spark.checkpoint.dir``, or, in a local
+    session without that setting, below the machine's own temporary folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='pagetrail-')}/files-{uuid.uuid4().hex}"

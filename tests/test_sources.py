@@ -52,6 +52,18 @@ def test_log_through_hadoop(spark, tmp_path, rest):
     assert binary_logs.single_log(spark, f"viewfs://{tmp_path.name}/in", "*.bin").endswith("/in/e.bin")
 
 
+def test_written_logs_come_back(spark, tmp_path):
+    """A file per path, in the order of time; nulls are 0, -1 is the largest number; rows that come again change nothing."""
+    rows = spark.createDataFrame([(f"{tmp_path}/{k % 2}/e.bin", 90 - k, -1 if k < 4 else None) for k in range(9)], "path string, ts long, in long")
+    for _ in range(2):
+        assert binary_logs.write_logs(rows, "insertion", rest=b"xy") == 9
+    for k in range(2):
+        assert [p.name for p in (tmp_path / str(k)).iterdir() if not p.name.startswith(".")] == ["e.bin"]
+        back = binary_logs.read_log(spark, tmp_path / str(k) / "e.bin", "insertion", numbered=True).orderBy("record").collect()
+        assert [(r["ts"], int(r["in"])) for r in back] == sorted((90 - i, 2**64 - 1 if i < 4 else 0) for i in range(k, 9, 2))
+    assert binary_logs.write_logs(rows.limit(0), "insertion") == 0
+
+
 def test_many_ranges(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "e.bin", "eviction", [{"ts": t} for t in range(1000)])
     monkeypatch.setattr(binary_logs, "_RANGE", 800)
