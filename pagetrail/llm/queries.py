@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.llm import decoded_secrets, fingerprints, kd_shards, langid, license_match, mixing, near_duplicates, packing, quality_model, quality_rules
+from pagetrail.llm import alignment, decoded_secrets, fingerprints, kd_shards, langid, license_match, mixing, near_duplicates, packing, pieces, quality_model, quality_rules, spelling
 from pagetrail.llm.shared import crc_of_id, documents
 
 
@@ -63,7 +63,19 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney_language, op2_decoded_secrets, op3_order_minhash, op4_kd_shards, op5_license_dice, op6_weighted_fingerprints, op7_subword_quality, op8_decision_list, op9_bm25_packing, op10_weighted_mix)}
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir))
+
+
+def op12_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encoded(documents(spark, sf_dir)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_language, op2_decoded_secrets, op3_order_minhash, op4_kd_shards, op5_license_dice, op6_weighted_fingerprints, op7_subword_quality, op8_decision_list, op9_bm25_packing, op10_weighted_mix, op11_cross_tokenizer_alignment, op12_sentencepiece_chunks, op13_spelling_variants)}
 
 
 def _licenses_sql() -> str:
