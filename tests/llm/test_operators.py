@@ -6,11 +6,13 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import itertools
 import lzma
 import math
 import re
 import textwrap
+import zipfile
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote, unquote
@@ -229,10 +231,32 @@ def test_chunks_overlap(monkeypatch):
         assert [s.kind for s in decoded_secrets.scan(base64.b64encode(raw).decode()) if s.depth] == ["assign"]
 
 
+def deflated(raw, window=-15, level=6):
+    worker = zlib.compressobj(level, zlib.DEFLATED, window)
+    return worker.compress(raw) + worker.flush()
+
+
+def zipped(raw):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("a.txt", b"nothing here, nothing at all")
+        archive.writestr("folder/b.txt", raw)
+    return held.getvalue()
+
+
+def members(raw):
+    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+        return b"\n".join(archive.read(n) for n in archive.namelist())
+
+
+PACKERS = [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda raw: lzma.compress(raw, lzma.FORMAT_ALONE), deflated, lambda raw: deflated(raw, 9), lambda raw: deflated(raw, 12), zipped]
+OPENERS = [bytes, gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda raw: zlib.decompress(raw, -15), members]
+
+
 def plain_layers(text, depth=0):
-    """All texts inside a text, by plain recursion over a few codecs."""
+    """All texts inside a text, by plain recursion over all codecs."""
     yield text
-    if depth == 4:
+    if depth == 5:
         return
     for plain in {unquote(text), re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)} - {text}:
         yield from plain_layers(plain, depth + 1)
@@ -241,26 +265,32 @@ def plain_layers(text, depth=0):
             raw = base64.b64decode(m[0], validate=True)
         except ValueError:
             continue
-        for inflate in (bytes, gzip.decompress, zlib.decompress, bz2.decompress):
-            try:
-                yield from plain_layers(inflate(raw).decode(), depth + 1)
-            except (OSError, EOFError, ValueError, zlib.error):
-                pass
+        yield from plain_bytes(raw, depth)
+
+
+def plain_bytes(raw, depth):
+    for inflate in OPENERS:
+        try:
+            inner = inflate(raw)
+        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zipfile.BadZipFile, NotImplementedError, RuntimeError):
+            continue
+        if inner != raw and depth < 5:
+            yield from plain_bytes(inner, depth + 1)
+        try:
+            yield from plain_layers(inner.decode(), depth + 1)
+        except ValueError:
+            pass
 
 
 def test_secrets_of_all_layers_against_plain_recursion(docs):
     """Whatever kinds plain recursion finds in wrapped documents, the worklist finds."""
     rng = np.random.default_rng(6)
-    wraps = [
-        lambda s: quote(s, safe=""),
-        lambda s: base64.b64encode(s.encode()).decode(),
-        lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
-        lambda s: "".join(f"\\u{ord(c):04x}" if ord(c) < 65536 else c for c in s),
-        lambda s: base64.b64encode(bz2.compress(s.encode())).decode(),
-    ]
+    wraps = [lambda s: quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" if ord(c) < 65536 else c for c in s)]
+    wraps += [lambda s, pack=pack: base64.b64encode(pack(s.encode())).decode() for pack in PACKERS]
+    wraps += [lambda s, pack=pack, other=other: base64.b64encode(pack(other(s.encode()))).decode() for pack, other in itertools.pairwise(PACKERS)]
     texts = [t[:400] for t in docs.values() if t and base_spans(t[:400])][:12] + ["token: abcdef123456 é", "AKIA" + "B" * 16]
     for text in texts:
-        for _ in range(4):
+        for _ in range(8):
             wrapped = text
             for k in rng.integers(0, len(wraps), int(rng.integers(1, 4))):
                 wrapped = f"before {wraps[k](wrapped)} after"
@@ -268,6 +298,71 @@ def test_secrets_of_all_layers_against_plain_recursion(docs):
             assert held and held <= {s.kind for s in decoded_secrets.scan(wrapped)}
 
 
+def prose(rng, size):
+    words = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(2, 9))))) for _ in range(2000)]
+    held = [words[i] for i in rng.integers(0, len(words), size // 6)]
+    held.insert(int(rng.integers(0, len(held))), "password = hunter2hunter2")
+    return " ".join(held).encode()
+
+
+@pytest.mark.parametrize(("size", "times"), [(1_000, 100), (5_000, 100), (20_000, 100), (60_000, 100), (1_000_000, 4)])
+def test_no_bare_deflate_is_lost(size, times):
+    rng = np.random.default_rng(size)
+    for _ in range(times):
+        raw = deflated(prose(rng, size), -15, 9)
+        found = decoded_secrets.scan(f"see {base64.b64encode(raw).decode()} end")
+        assert [s for s in found if s.kind == "assign" and s.via == "base64>compressed"]
+
+
+@pytest.mark.parametrize("pack", PACKERS[1:6] + PACKERS[7:])
+def test_secrets_in_compressed_data_behind_other_bytes(pack):
+    raw = b"HEADER" + pack(prose(np.random.default_rng(4), 3_000)) + b"tail"
+    text = f"x {base64.b64encode(raw).decode()} y"
+    assert [s for s in decoded_secrets.scan(text) if s.kind == "assign" and "compressed" in s.via]
+    assert [s for s in decoded_secrets.scan("".join(f"%{b:02x}" for b in raw)) if s.kind == "assign" and "compressed" in s.via]
+    assert [s for s in decoded_secrets.scan("".join(f"\\x{b:02x}" for b in raw)) if s.kind == "assign" and "compressed" in s.via]
+    masked = decoded_secrets.masked(text)
+    assert "[SECRET]" in masked and not [s for s in decoded_secrets.scan(masked) if s.kind == "assign"]
+
+
+@pytest.mark.parametrize("depth", [3, 64, 70, 150])
+def test_there_is_no_limit_of_depth(depth):
+    raw = b"password = hunter2hunter2"
+    for k in range(depth):
+        raw = (zlib.compress, gzip.compress, deflated)[k % 3 if k + 1 < depth and k % 3 < 2 else 0](raw)
+    assert [s.depth for s in decoded_secrets.scan(base64.b64encode(raw).decode()) if s.depth] == [depth + 1]
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, deflated])
+def test_runs_over_many_chunks(monkeypatch, pack):
+    """Compressed data in base64 runs that go on over chunks of a compressed layer, wrapped or not."""
+    monkeypatch.setattr(decoded_secrets, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(decoded_secrets, "_OVERLAP", 1_000)
+    rng = np.random.default_rng(3)
+    plain = rng.integers(0, 256, 40_000, np.uint8).tobytes() + b" password = hunter2hunter2 " + rng.integers(0, 256, 5_000, np.uint8).tobytes()
+    for wrap in (base64.b64encode, base64.encodebytes):
+        text = base64.b64encode(gzip.compress(b"words " * 3_500 + wrap(pack(plain)) + b" more")).decode()
+        assert "assign" in {s.kind for s in decoded_secrets.scan(text)}
+
+
+def test_compressed_data_over_many_chunks(monkeypatch):
+    monkeypatch.setattr(decoded_secrets, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(decoded_secrets, "_OVERLAP", 1_000)
+    rng = np.random.default_rng(8)
+    for before in (0, 100, 19_990, 30_000):
+        inner = gzip.compress(rng.integers(0, 256, 90_000, np.uint8).tobytes()[:90_000] + b" password = hunter2hunter2 ")
+        text = base64.b64encode(zlib.compress(b"." * before + inner)).decode()
+        assert "assign" in {s.kind for s in decoded_secrets.scan(text)}
+
+
+def test_archives_that_grow_without_end_are_reported(spark):
+    text = "see " + base64.b64encode(gzip.compress(b"\0" * 30_000_000)).decode() + " end"
+    assert decoded_secrets.scanned(text, 1 << 20) == ([], [(4, len(text) - 4)])
+    assert decoded_secrets.scanned(text)[1] == []
+    docs = spark.createDataFrame([(1, "plain password=abcdef1")], "doc_id long, text string")
+    assert not decoded_secrets.find_secrets(docs).first()["unfinished"]
+
+
 def test_decoding_needs_little_memory():
     import tracemalloc
 
