@@ -5,32 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrail.operators.pages import Paged, next_value
+from pagetrail.operators.ranking import ROWS_PER_BUCKET
+
 KEYS = ("trial_id", "page")
+_FAR = (1 << 63) - 1
 
 
-def _merged(access: DataFrame, insertion: DataFrame, key: str) -> DataFrame:
-    """Accesses (kind 0, with the next access of their page) and insertions (kind 1) in one table."""
-    following = F.lead("ts").over(Window.partitionBy(*KEYS).orderBy("ts"))
-    a = access.select(*KEYS, "ts", F.lit(0).alias("kind"), F.struct("ts", following.alias("then")).alias("hit"), F.lit(None).cast("long").alias(key))
-    i = insertion.select(*KEYS, "ts", F.lit(1).alias("kind"), F.lit(None).cast("struct<ts:long,then:long>").alias("hit"), F.col(key).cast("long").alias(key))
+def _merged(access: DataFrame, insertion: DataFrame, key: str, kind_of_access: int) -> DataFrame:
+    """Accesses, with the next access of their page, and insertions in one table; kind orders them at equal times."""
+    a = access.select(*KEYS, "ts", F.lit(kind_of_access).alias("kind"), F.struct("ts", F.coalesce("then", F.lit(_FAR)).alias("then")).alias("hit"), F.lit(None).cast("long").alias(key))
+    i = insertion.select(*KEYS, "ts", F.lit(1 - kind_of_access).alias("kind"), F.lit(None).cast("struct<ts:long,then:long>").alias("hit"), F.col(key).cast("long").alias(key))
     return a.unionByName(i)
 
 
-def accesses_after(access: DataFrame, insertion: DataFrame, key: str) -> DataFrame:
+def accesses_after(access: DataFrame, insertion: DataFrame, key: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Each insertion with the first and second access strictly after it; null where there is none."""
-    order = [F.desc("ts"), F.desc("kind"), F.desc_nulls_last("hit.then")]
-    # of accesses at one time, the one whose next access is latest stands last
-    order[2] = F.expr("hit.then").desc_nulls_first()
-    frame = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = _merged(access, insertion, key).withColumn("found", F.last("hit", ignorenulls=True).over(frame)).where("kind = 1")
-    return out.select(*KEYS, "ts", key, F.col("found.ts").alias("first_ts"), F.col("found.then").alias("second_ts"))
+    a = next_value(access.select(*KEYS, "ts"), list(KEYS), ["ts"], "ts", "then", rows_per_bucket=rows_per_bucket)
+    paged = Paged.of(_merged(a, insertion, key, 0), list(KEYS), ["ts", "kind"], rows_per_bucket)
+    # of accesses at one time, the one whose next access comes first is the first
+    behind = paged.window(F.desc("ts"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.coalesce(F.min("hit").over(behind), "_later") if paged.is_cut else F.min("hit").over(behind)
+    out = (paged.carrying(_later=(F.col("hit"), "after")) if paged.is_cut else paged.rows).withColumn("found", found).where(F.col("kind") == 1)
+    return out.select(*KEYS, "ts", key, F.col("found.ts").alias("first_ts"), F.nullif("found.then", F.lit(_FAR)).alias("second_ts"))
 
 
-def access_before(access: DataFrame, insertion: DataFrame, key: str) -> DataFrame:
+def access_before(access: DataFrame, insertion: DataFrame, key: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Each insertion with the latest access strictly before it, of the same page."""
-    frame = Window.partitionBy(*KEYS).orderBy("ts", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    out = _merged(access, insertion, key).withColumn("found", F.last("hit.ts", ignorenulls=True).over(frame)).where("kind = 1")
-    return out.select(*KEYS, "ts", key, F.col("found").alias("before_ts"))
+    paged = Paged.of(_merged(access.select(*KEYS, "ts", F.lit(None).cast("long").alias("then")), insertion, key, 1), list(KEYS), ["ts", "kind"], rows_per_bucket)
+    ahead = F.max("hit.ts").over(paged.window().rowsBetween(Window.unboundedPreceding, -1))
+    found = F.coalesce(ahead, "_earlier") if paged.is_cut else ahead
+    out = (paged.carrying(_earlier=(F.col("hit.ts"), "before")) if paged.is_cut else paged.rows).withColumn("before_ts", found).where(F.col("kind") == 0)
+    return out.select(*KEYS, "ts", key, "before_ts")
 
 
 def reaccessed(access: DataFrame, insertion: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 The interval join is never materialised.  Every access asks for three ranks
 among the sorted evictions of its trial: where its band begins (``lo``), where
 positives begin (``pos_lo``) and where it ends (``hi``).  Ranks are prefix sums:
-probes and events are put into buckets of time that hold about as many rows
-each, buckets are summed, and only the rows of one bucket are ordered.
+events of one time are counted, probes and events are put into buckets of time
+that hold about as many rows each, buckets are summed, and only the rows of one
+bucket are ordered.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetrail.operators.pages import next_value
 from pagetrail.operators.quantiles import quantiles
 from pagetrail.operators.ranking import ROWS_PER_BUCKET, bounds_of, with_bucket
 
 #: Order among equal times: a probe that counts events before it, the event, a probe that counts events up to it.
 BEFORE, EVENT, UP_TO = 0, 1, 2
+SALTS = 1024
 
 
-def next_access(access: DataFrame, keys: tuple[str, ...] = ("trial_id", "page")) -> DataFrame:
+def next_access(access: DataFrame, keys: tuple[str, ...] = ("trial_id", "page"), *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds next_ts, the next access of the same page; null if there is none."""
-    return access.withColumn("next_ts", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts")))
+    return next_value(access, list(keys), ["ts"], "ts", "next_ts", rows_per_bucket=rows_per_bucket)
 
 
 def valid_evictions(access: DataFrame, eviction: DataFrame, horizon: int) -> DataFrame:
@@ -37,6 +40,23 @@ def temporal_split(eviction: DataFrame, holdout: float) -> DataFrame:
     return eviction.join(cut, "trial_id").withColumn("is_eval", enough & (F.col("ts") >= F.col("cut"))).drop("cut", "n")
 
 
+def _ranked(rows: DataFrame, spread: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """rows: trial_id, x, side and n, the number of events in the row. Adds rank: the events of the trial that stand ahead.
+
+    A time with very many rows has a bucket of its own, whose rows need no order: those on side UP_TO have all its events
+    ahead, the others none of them.  A hash of the row deals them out.
+    """
+    both = with_bucket(rows, bounds_of(spread, ["trial_id"], "x", rows_per_bucket=rows_per_bucket), ["trial_id"], "x")
+    sizes = both.groupBy("trial_id", "bucket").agg(F.sum("n").alias("in_bucket"))
+    before = Window.partitionBy("trial_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("trial_id", "bucket", "in_bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("ahead"))
+    alone = F.col("bucket") % 2 == 1
+    dealt = both.withColumn("dealt", F.when(alone, F.pmod(F.xxhash64(*both.columns), F.lit(SALTS))).otherwise(0))
+    inside = F.sum("n").over(Window.partitionBy("trial_id", "bucket", "dealt").orderBy("x", "side"))
+    own = F.when(~alone, F.col("inside")).when(F.col("side") == UP_TO, F.col("in_bucket")).otherwise(0)
+    return dealt.withColumn("inside", inside).join(ahead, ["trial_id", "bucket"]).withColumn("rank", F.col("ahead") + own).drop("inside", "ahead", "in_bucket", "bucket", "dealt")
+
+
 def event_rank(probes: DataFrame, events: DataFrame, *, rows_per_bucket: int = ROWS_PER_BUCKET, spread: DataFrame | None = None) -> DataFrame:
     """probes: trial_id, x, side and more. Adds rank: events of the trial with ts < x, or <= x where side is UP_TO.
 
@@ -45,15 +65,11 @@ def event_rank(probes: DataFrame, events: DataFrame, *, rows_per_bucket: int = R
     """
     extra = [c for c in probes.columns if c not in ("trial_id", "x", "side")]
     kinds = {c: probes.schema[c].dataType for c in extra}
-    finite = probes.where("x IS NOT NULL").select("trial_id", "x", "side", *extra)
-    marks = events.select("trial_id", F.col("ts").alias("x"), F.lit(EVENT).alias("side"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    finite = probes.where("x IS NOT NULL").select("trial_id", "x", "side", F.lit(0).cast("long").alias("n"), *extra)
+    counted = events.groupBy("trial_id", F.col("ts").alias("x")).agg(F.count("*").alias("n"))
+    marks = counted.select("trial_id", "x", F.lit(EVENT).alias("side"), "n", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
     both = finite.unionByName(marks)
-    both = with_bucket(both, bounds_of(both if spread is None else spread, ["trial_id"], "x", rows_per_bucket=rows_per_bucket), ["trial_id"], "x")
-    sizes = both.groupBy("trial_id", "bucket").agg(F.count_if(F.col("side") == EVENT).alias("n"))
-    ahead = sizes.select("trial_id", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("trial_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = F.sum((F.col("side") == EVENT).cast("long")).over(Window.partitionBy("trial_id", "bucket").orderBy("x", "side"))
-    ranked = both.withColumn("inside", inside).where(F.col("side") != EVENT).join(ahead, ["trial_id", "bucket"])
-    ranked = ranked.select("trial_id", "x", "side", *extra, (F.col("ahead") + F.col("inside")).alias("rank"))
+    ranked = _ranked(both, both if spread is None else spread, rows_per_bucket).where(F.col("side") != EVENT).select("trial_id", "x", "side", *extra, "rank")
     totals = events.groupBy("trial_id").agg(F.count("*").alias("total"))
     rest = probes.where("x IS NULL").join(totals, "trial_id", "left").select("trial_id", "x", "side", *extra, F.coalesce("total", F.lit(0)).alias("rank"))
     return ranked.unionByName(rest)
@@ -83,17 +99,28 @@ def _spread(access: DataFrame, eviction: DataFrame) -> DataFrame:
     return access.select("trial_id", F.col("ts").alias("x")).unionByName(eviction.select("trial_id", F.col("ts").alias("x")))
 
 
-def candidate_totals(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None) -> DataFrame:
-    """trial_id, n_pos, n_neg. Sums of ranks are enough, so that no access is put together again."""
-    probes = _probes(next_access(access), horizon, cap, [])
-    ranked = event_rank(probes, eviction, rows_per_bucket=ROWS_PER_BUCKET // 12, spread=_spread(access, eviction))
-    total = lambda name: F.sum(F.when(F.col("probe") == name, F.col("rank")).otherwise(0))
-    return ranked.groupBy("trial_id").agg((total("hi") - total("pos_lo")).alias("n_pos"), (total("pos_lo") - total("lo")).alias("n_neg"))
-
-
-def candidate_bands(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, key: str) -> DataFrame:
+def candidate_totals(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """trial_id, n_pos, n_neg. Sums of ranks are enough, so that no access is put together again: probes of one time are
+    counted before they are ranked, and a rank is multiplied by how often hi, pos_lo and lo stand there."""
+    accesses = next_access(access, rows_per_bucket=rows_per_bucket)
+    probes = _probes(accesses, horizon, cap, [])
+    zero = F.lit(0).cast("long")
+    places = {name: F.count_if(F.col("probe") == name) for name in ("lo", "pos_lo", "hi")}
+    asked = probes.groupBy("trial_id", "x", "side").agg(*(n.alias(name) for name, n in places.items()))
+    finite = asked.where("x IS NOT NULL").withColumn("n", zero)
+    marks = eviction.groupBy("trial_id", F.col("ts").alias("x")).agg(F.count("*").alias("n")).withColumn("side", F.lit(EVENT)).withColumns({name: zero for name in places})
+    ranked = _ranked(finite.unionByName(marks), _spread(access, eviction), rows_per_bucket // 3)
+    totals = eviction.groupBy("trial_id").agg(F.count("*").alias("rank"))
+    endless = asked.where("x IS NULL").join(totals, "trial_id", "left").withColumn("rank", F.coalesce("rank", zero))
+    sums = ranked.select("trial_id", *places, "rank").unionByName(endless.select("trial_id", *places, "rank"))
+    total = lambda upper, lower: F.sum((F.col(upper) - F.col(lower)) * F.col("rank"))
+    return sums.groupBy("trial_id").agg(total("hi", "pos_lo").alias("n_pos"), total("pos_lo", "lo").alias("n_neg"))
+
+
+def candidate_bands(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per access, named by key: lo, pos_lo and hi, as ranks among the evictions of its trial."""
-    ranked = event_rank(_probes(next_access(access), horizon, cap, [key]), eviction, rows_per_bucket=ROWS_PER_BUCKET // 12, spread=_spread(access, eviction))
+    accesses = next_access(access, rows_per_bucket=rows_per_bucket)
+    ranked = event_rank(_probes(accesses, horizon, cap, [key]), eviction, rows_per_bucket=rows_per_bucket // 3, spread=_spread(access, eviction))
     return ranked.groupBy("trial_id", key).agg(*(F.max(F.when(F.col("probe") == name, F.col("rank"))).alias(name) for name in ("lo", "pos_lo", "hi")))
 
 

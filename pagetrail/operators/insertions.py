@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.operators.asof import KEYS
+from pagetrail.operators.pages import ordinals
 from pagetrail.operators.quantiles import quantiles
 
 PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -55,8 +56,7 @@ def ordering_anomalies(found: DataFrame, ordinals: DataFrame, key: str) -> DataF
 
 def insertion_ordinals(insertion: DataFrame, ties: list[str]) -> DataFrame:
     """Adds ordinal, from 1 per page, and gap, the time since the page's insertion before."""
-    order = Window.partitionBy(*KEYS).orderBy("ts", *ties)
-    return insertion.withColumn("ordinal", F.row_number().over(order).cast("long")).withColumn("gap", F.col("ts") - F.lag("ts").over(order))
+    return ordinals(insertion, list(KEYS), ["ts", *ties]).withColumn("gap", F.col("ts") - F.col("before")).drop("before")
 
 
 def reinsertion_stats(insertion: DataFrame) -> DataFrame:

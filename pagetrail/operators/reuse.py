@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrail.operators.pages import next_value
 from pagetrail.operators.quantiles import quantiles
 from pagetrail.operators.ranking import position_bin, row_numbers
 
@@ -33,7 +34,7 @@ def first_access(access: DataFrame) -> DataFrame:
 
 def next_reuse_delta(access: DataFrame, order: list[str], delta: str) -> DataFrame:
     """Adds y: the delta of the page's next row."""
-    return access.withColumn("y", F.lead(delta).over(Window.partitionBy(*PAGE).orderBy(*order)))
+    return next_value(access, PAGE, order, delta, "y")
 
 
 def reuse_label_coverage(labelled: DataFrame) -> DataFrame:

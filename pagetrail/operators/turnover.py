@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.operators.ranking import bucketed
+from pagetrail.operators.pages import ordinals
+from pagetrail.operators.ranking import ROWS_PER_BUCKET
 
 
-def insertion_gaps(insertion: DataFrame, *, rows_per_bucket: int = 100_000) -> DataFrame:
-    """The gap of each insertion to the one before it in its trial.
-
-    Rows are ordered inside buckets of time; the first row of a bucket looks back to the last of the one before.
-    """
-    placed = bucketed(insertion.select("trial_id", "ts"), ["trial_id"], "ts", rows_per_bucket=rows_per_bucket)
-    ends = placed.groupBy("trial_id", "bucket").agg(F.max("ts").alias("last"))
-    ends = ends.select("trial_id", "bucket", F.lag("last").over(Window.partitionBy("trial_id").orderBy("bucket")).alias("earlier"))
-    own = F.lag("ts").over(Window.partitionBy("trial_id", "bucket").orderBy("ts"))
-    return placed.withColumn("prev", own).join(ends, ["trial_id", "bucket"]).select("trial_id", "ts", (F.col("ts") - F.coalesce("prev", "earlier")).alias("gap"))
+def insertion_gaps(insertion: DataFrame, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The gap of each insertion to the one before it in its trial."""
+    return ordinals(insertion.select("trial_id", "ts"), ["trial_id"], ["ts"], rows_per_bucket=rows_per_bucket).select("trial_id", "ts", (F.col("ts") - F.col("before")).alias("gap"))
 
 
 def turnover_estimate(access: DataFrame, eviction: DataFrame, insertion: DataFrame, *, second: int, active_gap: float = 1.0, capacity: int | None = None, trials: DataFrame | None = None) -> DataFrame:
