@@ -85,24 +85,25 @@ def run_summaries(accesses: DataFrame, insertions: DataFrame) -> DataFrame:
     return out.withColumn("insertion_rate", F.when(F.col("accesses") > 0, F.col("insertions") / F.col("accesses")).otherwise(0.0))
 
 
-def paired_test(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
-    """One row: n, mean difference, its deviation, t, standard error, and the effect size (0 without deviation)."""
+def paired_test(pairs: DataFrame, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each group: n, mean difference, its deviation, t, standard error, and the effect size (0 without deviation)."""
     d = a - b
-    out = pairs.agg(F.count(d).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff"))
+    out = pairs.groupBy(*(by or [])).agg(F.count(d).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff"))
     se = F.col("sd_diff") / F.sqrt("n")
     return out.withColumn("se", se).withColumn("t", F.col("mean_diff") / F.nullif(F.col("se"), F.lit(0.0))).withColumn("effect_size", F.when(F.col("sd_diff") > 0, F.col("mean_diff") / F.col("sd_diff")).otherwise(0.0))
 
 
-def paired_verdict(test_row: dict, workload: str, alpha: float = 0.05) -> dict:
-    """The record of a paired comparison, from the row of :func:`paired_test`."""
-    n, t, d = test_row["n"], test_row["t"], test_row["effect_size"]
-    reach = student.t_quantile(1 - alpha / 2, n - 1) * test_row["se"]
-    p = student.t_two_sided(t, n - 1) if t is not None else None
-    return {
-        "workload": workload, "n_pairs": n, "mean_a": test_row["mean_a"], "mean_b": test_row["mean_b"], "mean_diff": test_row["mean_diff"], "sd_diff": test_row["sd_diff"],
-        "t": t, "p": p, "ci_low": test_row["mean_diff"] - reach, "ci_high": test_row["mean_diff"] + reach,
-        "effect_size": d, "effect_class": student.effect_class(d), "significant": p is not None and p < alpha, "power": student.t_test_power(d, n, alpha), "alpha": alpha,
+def paired_verdict(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The records of paired comparisons, from rows of :func:`paired_test` with any further columns. One pair, or equal
+    differences, have no t; one pair has no interval and no power either."""
+    df = F.col("n") - 1
+    reach = student.quantile(F.lit(1 - alpha / 2), df) * F.col("se")
+    known = tests.withColumns({"p": student.two_sided(F.col("t"), df), "reach": reach, "power": student.power(F.col("effect_size"), F.col("n"), alpha)})
+    more = {
+        "ci_low": F.col("mean_diff") - F.col("reach"), "ci_high": F.col("mean_diff") + F.col("reach"), "effect_class": student.effect_class(F.col("effect_size")),
+        "significant": F.coalesce(F.col("p") < alpha, F.lit(False)), "alpha": F.lit(alpha),
     }
+    return known.withColumns(more).drop("reach", "se").withColumnRenamed("n", "n_pairs")
 
 
 def independent_test(rows: DataFrame, value: str, policy: str, first: str, second: str) -> DataFrame:
@@ -122,14 +123,13 @@ def independent_test(rows: DataFrame, value: str, policy: str, first: str, secon
     return out.select("n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", F.sqrt("pop_a").alias("std_a"), F.sqrt("pop_b").alias("std_b"), t.alias("t"), (F.col("n_a") + F.col("n_b") - 2).alias("df"), (100 * (F.col("mean_a") - F.col("mean_b")) / F.col("mean_b")).alias("relative_percent"), d.alias("cohens_d"))
 
 
-def independent_verdict(test_row: dict, alpha: float = 0.05) -> dict:
-    """p, effect class and power, from the row of :func:`independent_test`.
+def independent_verdict(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds p, significant, effect class and power to rows of :func:`independent_test`.
 
     The power is that of a one-sample test with the size of the first sample, as the comparison reports it.
     """
-    p = student.t_two_sided(test_row["t"], test_row["df"])
-    d = test_row["cohens_d"]
-    return test_row | {"p": p, "significant": p < alpha, "effect_class": student.effect_class(d), "power": student.t_test_power(d, test_row["n_a"], alpha)}
+    known = tests.withColumns({"p": student.two_sided(F.col("t"), F.col("df")), "effect_class": student.effect_class(F.col("cohens_d")), "power": student.power(F.col("cohens_d"), F.col("n_a"), alpha)})
+    return known.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)))
 
 
 def linear_fit(rows: DataFrame, y: str, x: Column) -> DataFrame:

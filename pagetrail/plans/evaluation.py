@@ -128,10 +128,46 @@ def paired_ttest(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("mean_a", "mean_b", "mean_diff", "sd_diff", "se")} | {c: F.round(c, 6) for c in ("t", "effect_size")})
 
 
-@query()
+def _student_sql(edge: float = 0.975) -> str:
+    """CTEs that turn a table ``tst`` of one row (df, t, effect, n_power) into ``judged`` (p, edge, power): densities over their
+    gamma functions, the edge by bisection, the normal distribution as a second integral. Edge and power are those of n_power - 1."""
+    weight = lambda i, steps: f"(CASE WHEN {i} IN (0, {steps}) THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END)"
+    cosines = lambda a: f"exp((df - 1) * ln(greatest(cos({a}), 1e-300)))"
+    mass = "exp(lgamma(0.5) + lgamma(df / 2.0) - lgamma(df / 2.0 + 0.5)) / 2"
+    angle = "(low + high) / 2"
+    return f"""turned AS (SELECT df, {mass} AS mass, atan(abs(t) / sqrt(df)) AS a, least(pi() / 2, atan(abs(t) / sqrt(df)) + 16 / sqrt(df)) AS b FROM tst),
+tailed AS (SELECT sum({weight("i", 4000)} * {cosines("a + i * (b - a) / 4000")}) * any_value(b - a) / 12000 / any_value(mass) AS p FROM turned, range(4001) AS g(i)),
+own AS (SELECT n_power - 1 AS df, effect * sqrt(n_power) AS shift FROM tst),
+halved AS (SELECT df, {mass} * {2 * edge - 1} AS goal, 0.0::DOUBLE AS low, pi() / 2 AS high, 0 AS k FROM own
+  UNION ALL SELECT df, goal, CASE WHEN m < goal THEN {angle} ELSE low END, CASE WHEN m < goal THEN high ELSE {angle} END, k + 1
+  FROM (SELECT *, list_sum(list_transform(range(2001), lambda i: {weight("i", 2000)} * {cosines(f"{angle} * i / 2000")})) * {angle} / 6000 AS m FROM halved WHERE k < 55)),
+edges AS (SELECT df, shift, sqrt(df) * tan(low) AS edge, greatest(1e-9, 1 - 12 / sqrt(2.0 * df)) AS low_s, 1 + 12 / sqrt(2.0 * df) AS high_s FROM halved JOIN own USING (df) WHERE k = 55),
+points AS (SELECT *, low_s + i * (high_s - low_s) / 2000 AS s, {weight("i", 2000)} * (high_s - low_s) / 6000 AS w FROM edges, range(2001) AS g(i)),
+spans AS (SELECT *, least(greatest(-edge * s - shift, -9), 9) AS z0, least(greatest(edge * s - shift, -9), 9) AS z1 FROM points),
+parts AS (SELECT s, df, w, sum({weight("j", 800)} * exp(-pow(z0 + j * (z1 - z0) / 800, 2) / 2)) * any_value(z1 - z0) / 2400 / sqrt(2 * pi()) AS inside FROM spans, range(801) AS g(j) GROUP BY s, df, w),
+missed AS (SELECT 1 - sum(w * inside * exp(ln(2) + df / 2.0 * ln(df / 2.0) - lgamma(df / 2.0) + (df - 1) * ln(s) - df * s * s / 2)) AS power FROM parts),
+judged AS (SELECT p, edge, power FROM tailed, edges, missed)"""
+
+
+def _effect_sql(d: str) -> str:
+    return f"CASE WHEN abs({d}) < 0.2 THEN 'negligible' WHEN abs({d}) < 0.5 THEN 'small' WHEN abs({d}) < 0.8 THEN 'medium' ELSE 'large' END AS effect_class"
+
+
+@query(
+    f"""+ {_RUNS_SQL}, x AS (SELECT model_insertion_rate AS a, normal_insertion_rate AS b FROM pairs),
+f AS (SELECT count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd_diff FROM x),
+tst AS (SELECT n - 1 AS df, mean_diff / (sd_diff / sqrt(n)) AS t, mean_diff / sd_diff AS effect, n AS n_power FROM f),
+{_student_sql()}
+SELECT 'events' AS workload, n AS n_pairs, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(mean_diff, 9) AS mean_diff, round(sd_diff, 9) AS sd_diff, round(mean_diff / sd_diff * sqrt(n), 6) AS t, round(p, 7) AS p,
+       round(mean_diff - edge * sd_diff / sqrt(n), 7) AS ci_low, round(mean_diff + edge * sd_diff / sqrt(n), 7) AS ci_high, round(mean_diff / sd_diff, 6) AS effect_size, {_effect_sql("mean_diff / sd_diff")},
+       p < 0.05 AS significant, round(power, 7) AS power, 0.05::DOUBLE AS alpha FROM f, judged""",
+    EVENTS_SQL,
+    recursive=True,
+)
 def paired_verdict(spark, d):
-    row = statistics.paired_test(_pairs(spark, d), F.col("model_insertion_rate"), F.col("normal_insertion_rate")).first().asDict()
-    return spark.createDataFrame([statistics.paired_verdict(row, "events")])
+    tests = statistics.paired_test(_pairs(spark, d), F.col("model_insertion_rate"), F.col("normal_insertion_rate")).withColumn("workload", F.lit("events"))
+    digits = dict.fromkeys(("mean_a", "mean_b", "mean_diff", "sd_diff"), 9) | dict.fromkeys(("t", "effect_size"), 6) | dict.fromkeys(("p", "ci_low", "ci_high", "power"), 7)
+    return statistics.paired_verdict(tests).withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 _TWO = """WITH x AS (SELECT o_totalprice AS v, o_orderpriority = '1-URGENT' AS a, o_orderpriority = '5-LOW' AS b FROM orders),
@@ -148,10 +184,17 @@ def independent_ttest(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("mean_a", "mean_b", "median_a", "median_b", "std_a", "std_b")} | {c: F.round(c, 6) for c in ("t", "relative_percent", "cohens_d")})
 
 
-@query()
+@query(
+    f"""{_TWO.replace("WITH ", "WITH RECURSIVE ", 1)}, f AS (SELECT *, (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)) AS t, (mean_a - mean_b) / sqrt((pa + pb) / 2) AS d FROM m),
+tst AS (SELECT n_a + n_b - 2 AS df, t, d AS effect, n_a AS n_power FROM f),
+{_student_sql()}
+SELECT n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(t, 6) AS t, n_a + n_b - 2 AS df, round(d, 6) AS cohens_d, round(p, 7) AS p, p < 0.05 AS significant, {_effect_sql("d")}, round(power, 7) AS power FROM f, judged"""
+)
 def independent_verdict(spark, d):
-    row = statistics.independent_test(table(spark, d, "orders"), "o_totalprice", "o_orderpriority", "1-URGENT", "5-LOW").first().asDict()
-    return spark.createDataFrame([statistics.independent_verdict(row)])
+    tests = statistics.independent_test(table(spark, d, "orders"), "o_totalprice", "o_orderpriority", "1-URGENT", "5-LOW")
+    digits = dict.fromkeys(("mean_a", "mean_b"), 4) | dict.fromkeys(("t", "cohens_d"), 6) | dict.fromkeys(("p", "power"), 7)
+    out = statistics.independent_verdict(tests).withColumns({c: F.round(c, n) for c, n in digits.items()})
+    return out.select("n_a", "n_b", "mean_a", "mean_b", "t", "df", "cohens_d", "p", "significant", "effect_class", "power")
 
 
 # A supplier is a model; its support is its number of line items

@@ -25,11 +25,11 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(sql: str | None = None, views: str | None = None):
-    """Register a function under its name; views: table definitions that go before the SQL."""
+def query(sql: str | None = None, views: str | None = None, *, recursive: bool = False):
+    """Register a function under its name; views: table definitions that go before the SQL, recursive ones among them."""
 
     def put(f: Callable[[SparkSession, str], DataFrame]):
-        text = None if sql is None else sql if views is None else f"WITH {views}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
+        text = None if sql is None else sql if views is None else f"WITH {'RECURSIVE ' * recursive}{views}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
         QUERIES[f.__name__] = Query(f, text)
         return f
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+from statistics import NormalDist, fmean, stdev
 
 import numpy as np
 import pytest
@@ -95,18 +97,76 @@ def test_scalars(spark):
     assert (row["r"], row["t"], int(row["c"]), row["s"], row["l"], row["n"]) == (2, -1, 2**64 - 1, "20240102_030405", "10–20%", 1_500_000_000)
 
 
-def test_student():
-    assert student.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-7)
-    assert student.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
-    assert student.t_cdf(0.0, 5) == pytest.approx(0.5)
-    assert student.noncentral_t_cdf(1.3, 9, 0.0) == pytest.approx(student.t_cdf(1.3, 9), abs=1e-6)
-    assert student.t_test_power(0.5, 34) == pytest.approx(0.808, abs=0.002)
-    assert [student.effect_class(d) for d in (0.1, -0.3, 0.6, 2)] == ["negligible", "small", "medium", "large"]
+def plain_beta(a, b, x):
+    """The regularised incomplete beta function, by its power series on the side where it converges fast."""
+    if x > (a + 1) / (a + b + 2):
+        return 1 - plain_beta(b, a, 1 - x)
+    term = total = 1.0 / a
+    for k in range(1, 3000):
+        term *= (k - b) * x / k * (a + k - 1) / (a + k)
+        total += term
+    return total * math.exp(a * math.log(x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b))
+
+
+def plain_power(d, n, edge):
+    """By the definition of the noncentral t: the mean of the normal distribution over the chi scale."""
+    normal, df = NormalDist(), n - 1
+    grid = [max(1e-9, 1 - 12 / math.sqrt(2 * df)) + i * (1 + 12 / math.sqrt(2 * df)) / 20_000 for i in range(20_000)]
+    weights = [math.exp(math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * math.log(s) - df * s * s / 2) for s in grid]
+    inside = sum(w * (normal.cdf(edge * s - d * math.sqrt(n)) - normal.cdf(-edge * s - d * math.sqrt(n))) for w, s in zip(weights, grid, strict=True))
+    return 1 - inside * (grid[1] - grid[0])
+
+
+def test_student(spark):
+    cases = [(float(t), df) for t in (0.0, 0.3, -1.7, 2.0, 5.5, 40.0) for df in (1, 2, 3, 10, 49, 400)] + [(2.0, 60_000)]
+    rows = spark.createDataFrame(cases, "t double, df long").select("t", "df", student.two_sided(F.col("t"), F.col("df")).alias("p"), student.quantile(F.lit(0.975), F.col("df")).alias("edge")).collect()
+    for r in rows[:-1]:
+        x = r["df"] / (r["df"] + r["t"] ** 2)
+        assert r["p"] == pytest.approx(plain_beta(r["df"] / 2, 0.5, x) if x < 1 else 1.0, rel=1e-8, abs=1e-14)
+    edges = {r["df"]: r["edge"] for r in rows}
+    assert [edges[k] for k in (1, 2, 10, 49)] == pytest.approx([12.7062047, 4.3026527, 2.2281389, 2.0095752], abs=1e-6)
+    assert edges[60_000] == pytest.approx(1.9600, abs=1e-4) and rows[-1]["p"] == pytest.approx(0.045503, abs=3e-6)
+
+
+def test_normal_distribution(spark):
+    xs = [x / 7 for x in range(-270, 271)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(student.normal_cdf(F.col("x")).alias("p")).collect()
+    assert [r["p"] for r in got] == pytest.approx([NormalDist().cdf(x) for x in xs], rel=1e-11, abs=1e-15)
+
+
+def test_power(spark):
+    cases = [(0.5, 34), (0.1, 20), (-0.3, 12), (1.2, 5), (2.0, 2), (0.01, 5000), (0.0, 10)]
+    rows = spark.createDataFrame(cases, "d double, n long").select("d", "n", student.power(F.col("d"), F.col("n"), 0.05).alias("power"), student.quantile(F.lit(0.975), F.col("n") - 1).alias("edge")).collect()
+    for r in rows:
+        assert r["power"] == pytest.approx(plain_power(r["d"], r["n"], r["edge"]), abs=1e-5)
+    assert rows[0]["power"] == pytest.approx(0.808, abs=0.002) and rows[6]["power"] == pytest.approx(0.05, abs=1e-9)
+
+
+def test_effect_classes(spark):
+    rows = spark.createDataFrame([(0.1,), (-0.3,), (0.6,), (2.0,), (None,)], "d double").select(student.effect_class(F.col("d")).alias("c")).collect()
+    assert [r["c"] for r in rows] == ["negligible", "small", "medium", "large", None]
+
+
+def test_paired_verdicts_of_many_workloads(spark):
+    rng = random.Random(2)
+    rows = [(w, rng.gauss(w / 4, 1), rng.gauss(0, 1)) for w in range(4) for _ in range(20)] + [(7, 1.0, 0.5), (8, 2.0, 1.0), (8, 3.0, 2.0)]
+    pairs = spark.createDataFrame(rows, "workload long, a double, b double")
+    out = {r["workload"]: r for r in statistics.paired_verdict(statistics.paired_test(pairs, F.col("a"), F.col("b"), ["workload"])).collect()}
+    for w in range(4):
+        d = [a - b for k, a, b in rows if k == w]
+        mean, sd = fmean(d), stdev(d)
+        assert out[w]["t"] == pytest.approx(mean / (sd / math.sqrt(20)))
+        assert out[w]["p"] == pytest.approx(plain_beta(9.5, 0.5, 19 / (19 + out[w]["t"] ** 2)), rel=1e-7)
+        assert (out[w]["ci_low"], out[w]["ci_high"]) == pytest.approx((mean - 2.0930240544 * sd / math.sqrt(20), mean + 2.0930240544 * sd / math.sqrt(20)), abs=1e-7)
+        assert out[w]["significant"] == (out[w]["p"] < 0.05) and out[w]["power"] == pytest.approx(plain_power(mean / sd, 20, 2.0930240544), abs=1e-5)
+    one, equal = out[7], out[8]
+    assert [one[c] for c in ("t", "p", "ci_low", "ci_high", "power")] == [None] * 5 and not one["significant"] and one["n_pairs"] == 1
+    assert equal["t"] is None and equal["p"] is None and equal["ci_low"] == equal["ci_high"] == 1.0
 
 
 def test_independent_verdict(spark):
     rows = spark.createDataFrame([("a", float(x)) for x in range(10)] + [("b", float(x) + 3) for x in range(10)], "policy string, v double")
-    row = statistics.independent_verdict(statistics.independent_test(rows, "v", "policy", "a", "b").first().asDict())
+    row = statistics.independent_verdict(statistics.independent_test(rows, "v", "policy", "a", "b")).first()
     assert row["t"] == pytest.approx(-2.215647, abs=1e-5) and row["p"] == pytest.approx(0.039883, abs=1e-4) and row["effect_class"] == "large"
     scored = statistics.normal_scores(statistics.qq_points(rows.where("policy = 'a'"), "v", ["policy"], [])).orderBy("v").collect()
     assert scored[0]["theoretical"] == pytest.approx(-1.644854, abs=1e-5) and scored[9]["theoretical"] == pytest.approx(1.644854, abs=1e-5)
