@@ -19,7 +19,9 @@ from pagetrail.operators.ranking import ROWS_PER_BUCKET, bounds_of, with_bucket
 
 #: Order among equal times: a probe that counts events before it, the event, a probe that counts events up to it.
 BEFORE, EVENT, UP_TO = 0, 1, 2
+FAR = (1 << 63) - 1  # the time of a probe without an end
 SALTS = 1024
+LAST = (1 << 31) - 1
 
 
 def next_access(access: DataFrame, keys: tuple[str, ...] = ("trial_id", "page"), *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -40,21 +42,32 @@ def temporal_split(eviction: DataFrame, holdout: float) -> DataFrame:
     return eviction.join(cut, "trial_id").withColumn("is_eval", enough & (F.col("ts") >= F.col("cut"))).drop("cut", "n")
 
 
-def _ranked(rows: DataFrame, spread: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """rows: trial_id, x, side and n, the number of events in the row. Adds rank: the events of the trial that stand ahead.
+def _ranked(rows: DataFrame, events: DataFrame, spread: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """rows: trial_id, x, side and more; events: trial_id, x and n, how many stand at that time. Adds rank: the events of the
+    trial ahead of the row.
 
     A time with very many rows has a bucket of its own, whose rows need no order: those on side UP_TO have all its events
-    ahead, the others none of them.  A hash of the row deals them out.
+    ahead, the others none of them.  So have rows without an end.  A hash of the row deals these out.
     """
-    both = with_bucket(rows, bounds_of(spread, ["trial_id"], "x", rows_per_bucket=rows_per_bucket), ["trial_id"], "x")
-    sizes = both.groupBy("trial_id", "bucket").agg(F.sum("n").alias("in_bucket"))
+    bounds = bounds_of(spread, ["trial_id"], "x", rows_per_bucket=rows_per_bucket)
+    bucket = lambda df: with_bucket(df, bounds, ["trial_id"], "x").withColumn("bucket", F.when(F.col("x") == FAR, LAST).otherwise(F.col("bucket")))
+    extra = [c for c in rows.columns if c not in ("trial_id", "x", "side")]
+    marks = bucket(events)
+    # every bucket has a size, also one without events
+    empty = events.select("trial_id").distinct().select("trial_id", F.lit(LAST).alias("bucket"), F.lit(0).cast("long").alias("n"))
+    if bounds is not None:
+        empty = empty.unionByName(bounds.select("trial_id", F.explode(F.sequence(F.lit(0), 2 * F.size("bounds"))).alias("bucket"), F.lit(0).cast("long").alias("n")))
+    sizes = marks.select("trial_id", "bucket", "n").unionByName(empty).groupBy("trial_id", "bucket").agg(F.sum("n").alias("in_bucket"))
     before = Window.partitionBy("trial_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select("trial_id", "bucket", "in_bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("ahead"))
+    ahead = sizes.select("trial_id", "bucket", "in_bucket", F.sum("in_bucket").over(before).alias("ahead"))
+    marks = marks.select("trial_id", "x", F.lit(EVENT).alias("side"), "n", "bucket", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra))
+    both = bucket(rows).withColumn("n", F.lit(0).cast("long")).unionByName(marks)
     alone = F.col("bucket") % 2 == 1
     dealt = both.withColumn("dealt", F.when(alone, F.pmod(F.xxhash64(*both.columns), F.lit(SALTS))).otherwise(0))
     inside = F.sum("n").over(Window.partitionBy("trial_id", "bucket", "dealt").orderBy("x", "side"))
     own = F.when(~alone, F.col("inside")).when(F.col("side") == UP_TO, F.col("in_bucket")).otherwise(0)
-    return dealt.withColumn("inside", inside).join(ahead, ["trial_id", "bucket"]).withColumn("rank", F.col("ahead") + own).drop("inside", "ahead", "in_bucket", "bucket", "dealt")
+    ranked = dealt.withColumn("inside", inside).where(F.col("side") != EVENT).join(ahead, ["trial_id", "bucket"], "left")
+    return ranked.select(*rows.columns, (F.coalesce("ahead", F.lit(0)) + F.coalesce(own, F.lit(0))).alias("rank"))
 
 
 def event_rank(probes: DataFrame, events: DataFrame, *, rows_per_bucket: int = ROWS_PER_BUCKET, spread: DataFrame | None = None) -> DataFrame:
@@ -63,16 +76,10 @@ def event_rank(probes: DataFrame, events: DataFrame, *, rows_per_bucket: int = R
     A null x ranks behind all events.  spread: a cheaper table of trial_id and x, spread over time like the probes and
     events, from which the bounds of buckets are taken.
     """
-    extra = [c for c in probes.columns if c not in ("trial_id", "x", "side")]
-    kinds = {c: probes.schema[c].dataType for c in extra}
-    finite = probes.where("x IS NOT NULL").select("trial_id", "x", "side", F.lit(0).cast("long").alias("n"), *extra)
     counted = events.groupBy("trial_id", F.col("ts").alias("x")).agg(F.count("*").alias("n"))
-    marks = counted.select("trial_id", "x", F.lit(EVENT).alias("side"), "n", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
-    both = finite.unionByName(marks)
-    ranked = _ranked(both, both if spread is None else spread, rows_per_bucket).where(F.col("side") != EVENT).select("trial_id", "x", "side", *extra, "rank")
-    totals = events.groupBy("trial_id").agg(F.count("*").alias("total"))
-    rest = probes.where("x IS NULL").join(totals, "trial_id", "left").select("trial_id", "x", "side", *extra, F.coalesce("total", F.lit(0)).alias("rank"))
-    return ranked.unionByName(rest)
+    both = probes.select("trial_id", "x").unionByName(events.select("trial_id", F.col("ts").alias("x")))
+    ranked = _ranked(probes.withColumn("x", F.coalesce("x", F.lit(FAR))), counted, both if spread is None else spread, rows_per_bucket)
+    return ranked.withColumn("x", F.nullif("x", F.lit(FAR)))
 
 
 def band_points(horizon: int, cap: int | None) -> dict[str, Column]:
@@ -80,7 +87,7 @@ def band_points(horizon: int, cap: int | None) -> dict[str, Column]:
 
     Ranks grow with their probes, so that ordering the probes orders the ranks.  A null x comes last.
     """
-    far = F.lit((1 << 63) - 1)
+    far = F.lit(FAR)
     end = F.least("next_ts", F.col("ts") + cap) if cap is not None else F.col("next_ts")
     point = lambda x, side: F.struct(x.alias("x"), F.lit(side).alias("side"))
     lo = point(F.col("ts"), UP_TO)
@@ -102,25 +109,19 @@ def _spread(access: DataFrame, eviction: DataFrame) -> DataFrame:
 def candidate_totals(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """trial_id, n_pos, n_neg. Sums of ranks are enough, so that no access is put together again: probes of one time are
     counted before they are ranked, and a rank is multiplied by how often hi, pos_lo and lo stand there."""
-    accesses = next_access(access, rows_per_bucket=rows_per_bucket)
-    probes = _probes(accesses, horizon, cap, [])
-    zero = F.lit(0).cast("long")
+    probes = _probes(next_access(access, rows_per_bucket=rows_per_bucket), horizon, cap, [])
     places = {name: F.count_if(F.col("probe") == name) for name in ("lo", "pos_lo", "hi")}
-    asked = probes.groupBy("trial_id", "x", "side").agg(*(n.alias(name) for name, n in places.items()))
-    finite = asked.where("x IS NOT NULL").withColumn("n", zero)
-    marks = eviction.groupBy("trial_id", F.col("ts").alias("x")).agg(F.count("*").alias("n")).withColumn("side", F.lit(EVENT)).withColumns({name: zero for name in places})
-    ranked = _ranked(finite.unionByName(marks), _spread(access, eviction), rows_per_bucket // 3)
-    totals = eviction.groupBy("trial_id").agg(F.count("*").alias("rank"))
-    endless = asked.where("x IS NULL").join(totals, "trial_id", "left").withColumn("rank", F.coalesce("rank", zero))
-    sums = ranked.select("trial_id", *places, "rank").unionByName(endless.select("trial_id", *places, "rank"))
+    asked = probes.groupBy("trial_id", F.coalesce("x", F.lit(FAR)).alias("x"), "side").agg(*(n.alias(name) for name, n in places.items()))
+    counted = eviction.groupBy("trial_id", F.col("ts").alias("x")).agg(F.count("*").alias("n"))
+    ranked = _ranked(asked, counted, _spread(access, eviction), rows_per_bucket)
     total = lambda upper, lower: F.sum((F.col(upper) - F.col(lower)) * F.col("rank"))
-    return sums.groupBy("trial_id").agg(total("hi", "pos_lo").alias("n_pos"), total("pos_lo", "lo").alias("n_neg"))
+    return ranked.groupBy("trial_id").agg(total("hi", "pos_lo").alias("n_pos"), total("pos_lo", "lo").alias("n_neg"))
 
 
 def candidate_bands(access: DataFrame, eviction: DataFrame, *, horizon: int, cap: int | None, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per access, named by key: lo, pos_lo and hi, as ranks among the evictions of its trial."""
     accesses = next_access(access, rows_per_bucket=rows_per_bucket)
-    ranked = event_rank(_probes(accesses, horizon, cap, [key]), eviction, rows_per_bucket=rows_per_bucket // 3, spread=_spread(access, eviction))
+    ranked = event_rank(_probes(accesses, horizon, cap, [key]), eviction, rows_per_bucket=rows_per_bucket, spread=_spread(access, eviction))
     return ranked.groupBy("trial_id", key).agg(*(F.max(F.when(F.col("probe") == name, F.col("rank"))).alias(name) for name in ("lo", "pos_lo", "hi")))
 
 
