@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+_LONG_SPACE = re.compile("\\s{64}")
 _CUT = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
 
 
@@ -106,6 +107,15 @@ class ByteTokens:
         hard = iter(self.exact.encode_batch_fast([c for c, e in zip(chunks, easy, strict=True) if not e], add_special_tokens=False))
         return [self.fast.encode_ordinary(c) if e else next(hard).ids for c, e in zip(chunks, easy, strict=True)]
 
+    def of_text(self, text: str) -> list[int]:
+        """The ids of a whole text: at once where the fast reader may have it, else chunk by chunk."""
+        if self.fast is None:
+            return self.exact.encode(text, add_special_tokens=False).ids
+        if text.isascii() and not _LONG_SPACE.search(text) and not (self.added and self.added.search(text)):
+            return self.fast.encode_ordinary(text)
+        first, *rest = _CUT.split(text)
+        return [i for ids in self.ids([first, *(" " + c for c in rest)]) for i in ids]
+
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id; byte-level vocabularies write a byte as a printable character."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

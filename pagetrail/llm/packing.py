@@ -25,10 +25,8 @@ of any type, other columns don't matter; an empty table gives no rows.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,59 +34,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrail.llm.chunks import byte_tokens, default_byte_tokenizer
 from pagetrail.llm.shared import cut, mapped, slices
 from pagetrail.llm.words import mix64
 
 WINDOW, END = 1024, 0
+MOST_TASKS = 20_000
 RUN, PROBES = 8, 16
 K1, B = 1.2, 0.75
 _RANGES = np.arange(PROBES, dtype=np.uint64) * np.uint64((1 << 64) // PROBES)
 _PROBE_BITS, _MOST = 40, (1 << 20) - 1
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-@lru_cache(2)
-def _encoders(path: str):
-    """The tokenizer of the file and, if its ranks lie beside it, a faster reader of the same vocabulary."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    ranks_path = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks_path):
-        return exact, None
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return exact, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each text. Both readers give the same ids; the exact one takes what the fast one refuses."""
-    exact, fast = _encoders(path)
-    out = []
-    for text in texts:
-        ids = None
-        if fast is not None:
-            try:
-                ids = fast.encode_ordinary(text)
-            except BaseException as gave_up:  # noqa: BLE001  on very long runs of spaces it panics, which is no Exception
-                if isinstance(gave_up, KeyboardInterrupt | SystemExit | GeneratorExit):
-                    raise
-        if ids is None:
-            ids = exact.encode(text, add_special_tokens=False).ids
-        out.append(np.array(ids, np.uint32))
-    return out
+    """Token ids of each text, as the plain call of the tokenizer gives them: strings of special tokens are these tokens."""
+    of = byte_tokens(path, False)
+    return [np.array(of.of_text(t), np.uint32) for t in texts]
 
 
 def crc_of_ids(ids: np.ndarray) -> int:
@@ -96,7 +57,7 @@ def crc_of_ids(ids: np.ndarray) -> int:
 
 
 def vocabulary_of(path: str) -> int:
-    return _encoders(path)[0].get_vocab_size()
+    return byte_tokens(path, False).size
 
 
 def probes(ids: np.ndarray) -> np.ndarray:
@@ -123,7 +84,7 @@ def bag_of(rest: bytes, whole: bytes, width: type) -> tuple[np.ndarray, np.ndarr
 def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """Per row: key, hash of the text, number of tokens, checksums of whole windows, the ids of the rest, the ids and
     counts of the whole document where it is longer than its rest, and its probes."""
-    path = tokenizer or default_tokenizer()
+    path = tokenizer or default_byte_tokenizer()
     width = np.uint16 if vocabulary_of(path) <= 1 << 16 else np.uint32
 
     def row(text: str) -> tuple:
@@ -261,14 +222,14 @@ _SEQUENCE_BITS, _SHARD_BITS = 24, 40  # of a sequence id: the sequence in its sh
 
 def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_shard: int = 500, shards_per_task: int = 8) -> DataFrame:
     """One row per piece of a document in a sequence. The upper bits of sequence_id name the shard."""
-    vocabulary = vocabulary_of(tokenizer or default_tokenizer())
+    vocabulary = vocabulary_of(tokenizer or default_byte_tokenizer())
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     tokens = tokenised(docs, key=key, text=text, tokenizer=tokenizer, window=window)
     tokens = cut(tokens.withColumn("row", F.monotonically_increasing_id()))
     df, count, mean = document_frequencies(tokens, vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(df, count))  # one number per token id
     placed = _heaviest(tokens, shipped, mean, width).join(shard_keys(tokens, rows_per_shard), "row", "left")
-    tasks = max(1, -(-count // (rows_per_shard * shards_per_task)))
+    tasks = min(MOST_TASKS, max(1, -(-count // (rows_per_shard * shards_per_task))))  # beyond, a task works off more shards
     dealt = tokens.drop("keys").join(placed, "row").withColumn("salt", F.xxhash64("h", "row"))
     dealt = dealt.repartitionByRange(tasks, "shared", "own", "salt").sortWithinPartitions("shared", "own", "salt")
     key_type = docs.schema[key].dataType.simpleString()

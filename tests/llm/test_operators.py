@@ -15,12 +15,15 @@ import textwrap
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from urllib.parse import quote, unquote
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagetrail.llm import components, decoded_secrets, fingerprints, kd_shards, langid, license_match, mixing, near_duplicates, packing, quality_model, quality_rules, queries
 
@@ -847,9 +850,13 @@ def check_packing(out, texts, encode):
     return padding
 
 
+@cache
+def plain_tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def plain_encode(text):
-    exact, _ = packing._encoders(packing.default_tokenizer())
-    return exact.encode(text, add_special_tokens=False).ids
+    return plain_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs):
@@ -865,7 +872,13 @@ def test_packing_edges(edge, empty):
 
 @pytest.mark.parametrize("text", [" " * 5000, " " * 1_000_000, "a" * 3000, "\n \n\t x", "<|endoftext|> hi", "ñ€\U0001f600" * 50, "it's we'll I'd", "word " * 900_000, "\x00\x01 \x85\xa0  q"])
 def test_fast_and_exact_tokens_agree(text):
-    assert packing.encode([text], packing.default_tokenizer())[0].tolist() == plain_encode(text)
+    assert packing.encode([text], packing.default_byte_tokenizer())[0].tolist() == plain_encode(text)
+
+
+def test_special_tokens_in_documents(spark):
+    docs = [(1, "a <|endoftext|>"), (2, "<|endoftext|>é <|endoftext|>"), (3, "plain")]
+    assert plain_encode("a <|endoftext|>")[-1] == 50256
+    check_packing(rows(packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"))), docs, plain_encode)
 
 
 def test_neighbours_are_lexical():
@@ -902,7 +915,7 @@ def test_near_documents_share_a_shard(spark):
     folder = "/root/testdata/sf0.1"
     texts = {r["doc_id"]: r["text"] or "" for r in rows(spark.read.parquet(f"{folder}/documents.parquet"))}
     ids = sorted(texts)
-    path = packing.default_tokenizer()
+    path = packing.default_byte_tokenizer()
     bags = [np.unique(np.append(e, np.uint32(0)), return_counts=True) for e in packing.encode([texts[i] for i in ids], path)]
     df = np.bincount(np.concatenate([b[0] for b in bags]).astype(np.int64), minlength=packing.vocabulary_of(path))
     index = packing.Index(bags, packing.inverse_frequencies(df, len(bags)), np.mean([b[1].sum() for b in bags]))
