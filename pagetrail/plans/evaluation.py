@@ -527,30 +527,144 @@ def pair_balance(spark, d):
     return balance(random_pairs(spark, d)).withColumn("balance", F.round("balance", 9))
 
 
-@query()
+def _logit(features: int, bins: tuple[str, ...] = ("b",)) -> str:
+    """The sum of weights over the bins of a cell; with two kinds of bins the difference of the sums."""
+    sides = [" + ".join(f"w{f}[{kind}{f} + 1]" for f in range(features)) for kind in bins]
+    return f"1 / (1 + exp(-({' - ('.join(sides)}{')' * (len(sides) - 1)})))"
+
+
+def _fit_sql(features: int, n_bins: int, rounds: int, *, paired: bool = False) -> str:
+    """CTE ``fit``: the weights w0, w1, ... of a logistic model over one-hot bins, from a table ``cells`` (b0, b1, ..., or a0, b0,
+    ... for pairs; n1, n) by Newton steps on one feature's bins after another, with the ridge of the registered fits."""
+    turn = lambda what: "CASE k % " + str(features) + " " + " ".join(f"WHEN {f} THEN {what(f)}" for f in range(features)) + " END"
+    lists = [f"w{f}" for f in range(features)]
+    here = f"({turn(lambda f: f'c.a{f}')} = b) <> ({turn(lambda f: f'c.b{f}')} = b)" if paired else f"{turn(lambda f: f'c.b{f}')} = b"
+    sign = f"(CASE WHEN {turn(lambda f: f'c.a{f}')} = b THEN 1 ELSE -1 END)" if paired else "1"
+    p, damp, own = _logit(features, ("a", "b") if paired else ("b",)), 0.5 if paired else 1.0, turn(lambda f: f"w{f}[b + 1]")
+    return f"""total AS (SELECT sum(n) * 1e-6 AS ridge FROM cells),
+fit AS (SELECT 0 AS k, {", ".join(f"list_transform(range({n_bins}), lambda i: 0.0::DOUBLE) AS {w}" for w in lists)}
+  UNION ALL SELECT k + 1, {", ".join(f"CASE WHEN k % {features} = {f} THEN list_transform(new, lambda x: x - {'list_avg(new)' if paired else '0'}) ELSE {w} END AS {w}" for f, w in enumerate(lists))}
+  FROM (SELECT k, {", ".join(lists)}, list(wb + {damp} * greatest(-2, least(2, coalesce((g - ridge * wb) / nullif(h + ridge, 0), 0))) ORDER BY b) AS new
+    FROM (SELECT k, {", ".join(lists)}, b, any_value(ridge) AS ridge, {own} AS wb, coalesce(sum({sign} * (n1 - n * p)), 0) AS g, coalesce(sum(n * p * (1 - p)), 0) AS h
+      FROM (SELECT s.*, c.n1, c.n, {sign} AS sgn, {p} AS p{", " + ", ".join(f"c.a{f}, c.b{f}" for f in range(features)) if paired else ""} FROM (SELECT fit.*, unnest(range({n_bins})) AS b FROM fit WHERE k < {rounds}) s LEFT JOIN cells c ON {here}) c, total
+      GROUP BY k, {", ".join(lists)}, b) GROUP BY k, {", ".join(lists)})),
+fitted AS (SELECT * FROM fit WHERE k = {rounds})"""
+
+
+def _line_edges_sql(source: str, n_bins: int = 5) -> str:
+    """CTE ``edges``: per feature the interior edges of lines by averaged inverted quantiles."""
+    return f"""lf AS (SELECT 0 AS f, l_quantity AS v FROM {source} UNION ALL SELECT 1, l_discount FROM {source}),
+ln AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS k, count(*) OVER (PARTITION BY f) AS n FROM lf),
+le AS (SELECT f, s.i, (any_value(v) FILTER (k = greatest(1, (n * s.i + {n_bins - 1}) // {n_bins})) + any_value(v) FILTER (k = least(n, n * s.i // {n_bins} + 1))) / 2 AS edge FROM ln, (SELECT unnest(range({n_bins + 1})) AS i) s GROUP BY f, s.i),
+lm AS (SELECT f, i, edge, row_number() OVER (PARTITION BY f ORDER BY i) AS k, count(*) OVER (PARTITION BY f) AS n FROM (SELECT *, lag(edge) OVER (PARTITION BY f ORDER BY i) AS before FROM le) WHERE before IS NULL OR edge - before > 1e-8),
+edges AS (SELECT list(edge ORDER BY i) FILTER (f = 0 AND k > 1 AND k < n) AS e0, list(edge ORDER BY i) FILTER (f = 1 AND k > 1 AND k < n) AS e1 FROM lm)"""
+
+
+_BIN_0, _BIN_1 = "len(list_filter(e0, lambda e: e <= l_quantity))", "len(list_filter(e1, lambda e: e <= l_discount))"
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+_FIGURES = ("auc", "precision", "recall", "f1", "positive_rate")
+
+
+def _drawn_points_sql(name: str, bands: str, start: str, stop: str, n: int, seed: int, stream: int, label: str) -> str:
+    """As _drawn_sql for very many draws of one trial: each finds its range by an as-of join."""
+    at = _bits(f"'{seed}'", f"'{stream}'", "trial_id", "draw")
+    return f"""{name} AS (SELECT event_id, {start} + pt - ahead AS e_idx, {label} AS label FROM
+  (SELECT {at} % total AS pt FROM (SELECT trial_id, sum({stop} - {start})::BIGINT AS total FROM {bands} GROUP BY trial_id), (SELECT unnest(range({n})) AS draw))
+  ASOF JOIN (SELECT *, sum({stop} - {start}) OVER (ORDER BY {_bits("'0'", "event_id")} % 4096, event_id)::BIGINT - ({stop} - {start}) AS ahead FROM {bands} WHERE {stop} > {start}) ON pt >= ahead)"""
+
+
+def _looked_up(drawn: str, numbered: str) -> str:
+    return f"SELECT CAST(label AS INTEGER) AS label, value, event_id, CAST(e_ts - a.ts AS FLOAT)::DOUBLE AS tsa FROM {drawn} JOIN {numbered} USING (e_idx) JOIN access a USING (event_id)"
+
+
+def _parts_sql() -> str:
+    """The bands and numbered evictions of the earlier and of the later part."""
+    bands, numbered = (_SAMPLE_SQL[_SAMPLE_SQL.index(x) :] for x in ("bands AS", "numbered AS"))
+    bands = bands[: bands.index("numbered AS")].rstrip().rstrip(",")
+    named = lambda text, suffix: text.replace("bands AS", f"bands_{suffix} AS", 1).replace("numbered AS", f"numbered_{suffix} AS", 1).replace("part e", f"{suffix} e").replace("FROM part", f"FROM {suffix}")
+    head = _SAMPLE_SQL[: _SAMPLE_SQL.index("part AS")] + f"early AS ({_EARLY_SQL}), late AS ({_LATE_SQL}), " + _SAMPLE_SQL[_SAMPLE_SQL.index("nx AS") : _SAMPLE_SQL.index("bands AS")]
+    return head + ", ".join(named(x, part) for part in ("early", "late") for x in (bands, numbered))
+
+
+_TRIPLE = "len(list_filter(e0, lambda e: e <= value)) AS b0, len(list_filter(e1, lambda e: e <= event_id)) AS b1, len(list_filter(e2, lambda e: e <= tsa)) AS b2"
+_CLASSIFIER_SQL = f"""+ {_parts_sql()},
+{_drawn_points_sql("dp", "bands_early", "pos_lo", "hi", 1_000_000, 42, 1, "1")},
+{_drawn_points_sql("dn", "bands_early", "lo", "pos_lo", 1_000_000, 42, 2, "0")},
+{_drawn_points_sql("dd", "bands_early", "lo", "hi", 200_000, 43, 3, "0")},
+{_drawn_points_sql("dh", "bands_late", "lo", "hi", 300_000, 44, 3, "lo + pt - ahead >= pos_lo")},
+disc AS ({_looked_up("dd", "numbered_early")}),
+edges AS (SELECT quantile_cont(value, [{", ".join(str(i / 10) for i in range(1, 10))}]) AS e0, quantile_cont(event_id::DOUBLE, [{", ".join(str(i / 10) for i in range(1, 10))}]) AS e1, quantile_cont(tsa, [{", ".join(str(i / 10) for i in range(1, 10))}]) AS e2 FROM disc),
+learn AS ({_looked_up("dp", "numbered_early")} UNION ALL {_looked_up("dn", "numbered_early")}),
+cells AS (SELECT b0, b1, b2, sum(label)::DOUBLE AS n1, count(*)::DOUBLE AS n FROM (SELECT label, {_TRIPLE} FROM learn, edges) GROUP BY ALL),
+{_fit_sql(3, 10, 180)},
+held AS (SELECT label, b0, b1, b2, count(*) AS n FROM (SELECT label, {_TRIPLE} FROM ({_looked_up("dh", "numbered_late")}), edges) GROUP BY ALL),
+scored AS (SELECT label, n, {_logit(3)} AS p FROM held, fitted),
+ranks AS (SELECT sum(n)::DOUBLE AS n, sum(n * label)::DOUBLE AS pos, sum(sum(n)) OVER (ORDER BY p)::DOUBLE - sum(n) + (sum(n) + 1) / 2.0 AS r FROM scored GROUP BY p),
+areas AS (SELECT (sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (sum(n) - sum(pos))) AS auc FROM ranks),
+conf AS (SELECT coalesce(sum(n) FILTER (label = 0 AND p <= 0.5), 0)::BIGINT AS tn, coalesce(sum(n) FILTER (label = 0 AND p > 0.5), 0)::BIGINT AS fp, coalesce(sum(n) FILTER (label = 1 AND p <= 0.5), 0)::BIGINT AS fn, coalesce(sum(n) FILTER (label = 1 AND p > 0.5), 0)::BIGINT AS tp FROM scored),
+rates AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM conf)
+SELECT round(auc, 6) AS auc, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, tn, fp, fn, tp, tn + fp + fn + tp AS n_eval, round((tp + fn) / (tn + fp + fn + tp), 6) AS positive_rate, 0.5::DOUBLE AS prob_threshold FROM rates, areas"""
+
+
+@query(_CLASSIFIER_SQL, EVENTS_SQL, recursive=True)
 def reuse_classifier(spark, d):
     from pagetrail.plans.training import Options, collect_sample, evaluate, fit_classifier
 
     t = events_trace(spark, d)
-    options = Options(features=("value", "event_id"), horizon=6 * HOUR, residency_cap=6 * HOUR, random_state=42)
-    sample = collect_sample(t.access, t.eviction, options)
+    options = Options(features=("value", "event_id"), horizon=6 * HOUR, residency_cap=6 * HOUR, random_state=42, max_iterations=500)
+    sample = collect_sample(t.access.withColumn("access_key", F.col("event_id")), t.eviction, options)
     edges = features.quantile_edges(sample.discretizer, ["value", "event_id", "time_since_last_access_at_eviction"], 10)
     model = fit_classifier(features.discretise(sample.train, edges), edges, options)
     figures = evaluate(sample.evaluation, model, 0.0)
-    return spark.createDataFrame([figures | figures.pop("confusion")])
+    return spark.createDataFrame([figures | figures.pop("confusion")]).withColumns({c: F.round(c, 6) for c in _FIGURES})
 
 
-@query()
+def _line_pairs_sql(name: str, part: str, seed: int) -> str:
+    """CTE of random pairs of a part of the lines with their bins."""
+    return f"""{name}_n AS (SELECT row_number() OVER (ORDER BY {", ".join(_LINE_KEY)}) - 1 AS i, l_extendedprice AS t, {_BIN_0} AS q, {_BIN_1} AS d FROM {part}, edges),
+{name} AS (SELECT CAST(x.t < y.t AS INTEGER) AS label, x.q AS a0, x.d AS a1, y.q AS b0, y.d AS b1 FROM
+  (SELECT {_bits(f"'{seed}'", "id")} % m AS a, {_bits(f"'{seed + 1}'", "id")} % (m - 1) AS step, m FROM (SELECT unnest(range(m)) AS id, m FROM (SELECT count(*) AS m FROM {name}_n))) p
+  JOIN {name}_n x ON x.i = a JOIN {name}_n y ON y.i = (a + 1 + step) % m WHERE x.t <> y.t)"""
+
+
+_RANKER_SQL = f"""WITH RECURSIVE split AS (SELECT *, {_hash("'42'", *_LINE_KEY)} < 0.2 AS is_test FROM lineitem),
+learn AS (SELECT * FROM split WHERE NOT is_test), test AS (SELECT * FROM split WHERE is_test),
+{_line_edges_sql("learn")},
+{_line_pairs_sql("lp", "learn", 42)},
+{_line_pairs_sql("tp", "test", 123)},
+cells AS (SELECT a0, a1, b0, b1, sum(label)::DOUBLE AS n1, count(*)::DOUBLE AS n FROM lp GROUP BY ALL),
+{_fit_sql(2, 5, 160, paired=True)},
+scored AS (SELECT label, round({_logit(2, ("a", "b"))}, 9) AS p FROM tp, fitted),
+ranks AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (label = 1)::DOUBLE AS pos, sum(count(*)) OVER (ORDER BY p)::DOUBLE - count(*) + (count(*) + 1) / 2.0 AS r FROM scored GROUP BY p),
+areas AS (SELECT (sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (sum(n) - sum(pos))) AS auc FROM ranks),
+listed AS (SELECT 'l_quantity' AS feature, unnest(range(5)) AS bin, unnest(w0) AS weight FROM fitted UNION ALL SELECT 'l_discount', unnest(range(5)), unnest(w1) FROM fitted)
+SELECT feature, CAST(bin AS INTEGER) AS bin, round(weight, 4) AS weight, feature || '_' || bin AS label, CASE WHEN weight > 0 THEN 'keep' ELSE 'evict' END AS tag, round(auc, 6) AS auc,
+  (SELECT round(avg(CAST((p >= 0.5) = (label = 1) AS INTEGER)), 6) FROM scored) AS accuracy, (SELECT count(*) FROM lp) AS train_n_pairs, (SELECT round(avg(label), 6) FROM lp) AS train_balance, (SELECT count(*) FROM tp) AS test_n_pairs, (SELECT round(avg(label), 6) FROM tp) AS test_balance FROM listed, areas"""
+
+
+@query(_RANKER_SQL)
 def pairwise_ranker(spark, d):
     from pagetrail.plans.training import pairwise_ranker as ranker
 
-    model, figures = ranker(spark, table(spark, d, "lineitem").withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), ["l_quantity", "l_discount"], "l_extendedprice", order=["row_key"], multiplier=1)
-    return features.weight_table(spark, model).withColumns({k: F.lit(v) for k, v in figures.items()})
+    model, figures = ranker(spark, table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", order=_LINE_KEY, multiplier=1)
+    return features.weight_table(spark, model).withColumn("weight", F.round("weight", 4)).withColumns({k: F.lit(round(v, 6)) if isinstance(v, float) else F.lit(v).cast("long") for k, v in figures.items()})
+
 
+_MEDIAN_MODEL_SQL = f"""WITH RECURSIVE halves AS (SELECT *, CAST(l_extendedprice >= (SELECT quantile_cont(l_extendedprice, 0.5) FROM lineitem) AS INTEGER) AS label FROM lineitem),
+split AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash("'42'", *_LINE_KEY)}, {", ".join(_LINE_KEY)}) <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) AS is_test FROM halves),
+learn AS (SELECT * FROM split WHERE NOT is_test), test AS (SELECT * FROM split WHERE is_test),
+{_line_edges_sql("learn")},
+cells AS (SELECT {_BIN_0} AS b0, {_BIN_1} AS b1, sum(label)::DOUBLE AS n1, count(*)::DOUBLE AS n FROM learn, edges GROUP BY ALL),
+{_fit_sql(2, 5, 160)},
+binned AS (SELECT label, {_BIN_0} AS b0, {_BIN_1} AS b1 FROM test, edges),
+judged AS (SELECT label AS y, CAST({_logit(2)} > 0.5 AS INTEGER) AS p FROM binned, fitted),
+found AS (SELECT c.class, count(*) FILTER (y = c.class AND p = c.class) AS hit, count(*) FILTER (y = c.class) AS support, count(*) FILTER (p = c.class) AS claimed FROM judged, (SELECT unnest([0, 1]) AS class) c GROUP BY 1),
+rated AS (SELECT *, coalesce(hit / nullif(claimed, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall FROM found)
+SELECT CAST(class AS INTEGER) AS class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1, support FROM rated"""
 
-def _lines(spark, d):
-    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, d, "lineitem").withColumn("row_key", key)
+
+def _report(found):
+    return statistics.class_report(found, "label", "predicted").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 @query()
@@ -558,15 +672,15 @@ def reuse_class_model(spark, d):
     """Five classes of a target by quantiles, predicted by a multinomial model."""
     from pagetrail.plans.training import class_model, class_of_reuse
 
-    found = class_model(class_of_reuse(_lines(spark, d), "l_extendedprice"), ["l_quantity", "l_discount"], "reuse_class", key=["row_key"])
-    return statistics.class_report(found, "label", "predicted")
+    found = class_model(class_of_reuse(table(spark, d, "lineitem"), "l_extendedprice"), ["l_quantity", "l_discount"], "reuse_class", key=_LINE_KEY)
+    return _report(found)
 
 
-@query()
+@query(_MEDIAN_MODEL_SQL)
 def median_split_model(spark, d):
     """Two classes of a target by its median."""
     from pagetrail.operators.reuse import median_split
     from pagetrail.plans.training import class_model
 
-    rows = median_split(_lines(spark, d).withColumn("trial_id", F.lit(0)).withColumn("y", F.col("l_extendedprice")))
-    return statistics.class_report(class_model(rows, ["l_quantity", "l_discount"], "label", key=["row_key"]), "label", "predicted")
+    rows = median_split(table(spark, d, "lineitem").withColumn("trial_id", F.lit(0)).withColumn("y", F.col("l_extendedprice")))
+    return _report(class_model(rows, ["l_quantity", "l_discount"], "label", key=_LINE_KEY))

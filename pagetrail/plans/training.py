@@ -21,6 +21,7 @@ from pagetrail.sources.artifacts import edges_table, eval_report, write_json, wr
 from pagetrail.sources.binary_logs import discover, trial_logs
 
 NS = 1_000_000_000
+TOLERANCE = 1e-9  # fits run until the loss stands still, so that any other way to the optimum gives the same figures
 LOG_FEATURES = feats.FEATURE_ORDER[:-1]
 TSA = feats.FEATURE_ORDER[-1]
 
@@ -117,7 +118,7 @@ def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Op
     rows = feats.with_vectors(binned, n_bins)
     if class_weights:
         rows = rows.withColumn("w", F.when(F.col("label") == 1, F.lit(class_weights[1])).otherwise(F.lit(class_weights[0])))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=options.max_iterations, regParam=options.regularisation, standardization=False)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=options.max_iterations, regParam=options.regularisation, standardization=False, tol=TOLERANCE)
     if class_weights:
         lr = lr.setWeightCol("w")
     model = lr.fit(rows)
@@ -223,10 +224,11 @@ def pairwise_ranker(spark: SparkSession, rows: DataFrame, features: list[str], t
         return pairs.select("label", array_to_vector(F.array(*cells)).alias("features"))
 
     train_pairs, test_pairs = differences(learn, seed), differences(test, 123)
-    model = LogisticRegression(fitIntercept=False, regParam=1e-6, standardization=False).fit(train_pairs)
+    model = LogisticRegression(fitIntercept=False, maxIter=500, regParam=1e-6, standardization=False, tol=TOLERANCE).fit(train_pairs)
     flat, at, weights = model.coefficients.toArray().tolist(), 0, {}
     for f in features:
-        weights[f] = flat[at : at + n[f]]
+        own = flat[at : at + n[f]]
+        weights[f] = [w - sum(own) / n[f] for w in own]  # the same for all bins of a feature makes no difference
         at += n[f]
     scored = model.transform(test_pairs).withColumn("p", F.element_at(vector_to_array("probability"), 2))
     area = roc_auc(scored, "label", "p").first()
@@ -250,5 +252,5 @@ def class_model(rows: DataFrame, features: list[str], label: str, *, n_bins: int
     edges = feats.quantile_edges(learn, features, n_bins, method="averaged_inverted_cdf")
     n = feats.n_bins_of(edges)
     encode = lambda part: feats.with_vectors(feats.discretise(part, edges), n)
-    model = LogisticRegression(labelCol=label, regParam=1e-6, standardization=False).fit(encode(learn))
+    model = LogisticRegression(labelCol=label, maxIter=500, regParam=1e-6, standardization=False, tol=TOLERANCE).fit(encode(learn))
     return model.transform(encode(test)).select(*key, F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
