@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 
 _LONG_SPACE = re.compile("\\s{64}")
+#: ASCII, Latin letters and signs, dashes and quotes: all of them have been letters, digits, spaces or none of these in every
+#: version of Unicode, so that readers with different versions part them alike.
+_EASY = re.compile("[\\x00-\\x7e\\u00a1-\\u017f\\u2010-\\u2027]*")
 _CUT = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
 
 
@@ -78,8 +81,8 @@ def default_piece_model() -> str:
 
 
 class ByteTokens:
-    """Token ids by ``tokenizers``. Short ASCII chunks go through ``tiktoken`` where the file's ranks lie beside it: it reads
-    the same vocabulary faster, and on ASCII both know the same letters, digits and white space.
+    """Token ids by ``tokenizers``. Short chunks of ASCII, Latin letters and usual signs go through ``tiktoken`` where the file's
+    ranks lie beside it: it reads the same vocabulary faster, and on these both know the same letters, digits and white space.
 
     plain: strings of special tokens in a text are ordinary text.
     """
@@ -103,7 +106,7 @@ class ByteTokens:
     def ids(self, chunks: list[str]) -> list[list[int]]:
         if self.fast is None:
             return [e.ids for e in self.exact.encode_batch_fast(chunks, add_special_tokens=False)]
-        easy = [c.isascii() and len(c) <= self.SHORT and not (self.added and self.added.search(c)) for c in chunks]
+        easy = [len(c) <= self.SHORT and (c.isascii() or _EASY.fullmatch(c) is not None) and not (self.added and self.added.search(c)) for c in chunks]
         hard = iter(self.exact.encode_batch_fast([c for c, e in zip(chunks, easy, strict=True) if not e], add_special_tokens=False))
         return [self.fast.encode_ordinary(c) if e else next(hard).ids for c, e in zip(chunks, easy, strict=True)]
 
@@ -111,7 +114,7 @@ class ByteTokens:
         """The ids of a whole text: at once where the fast reader may have it, else chunk by chunk."""
         if self.fast is None:
             return self.exact.encode(text, add_special_tokens=False).ids
-        if text.isascii() and not _LONG_SPACE.search(text) and not (self.added and self.added.search(text)):
+        if (text.isascii() or _EASY.fullmatch(text)) and not _LONG_SPACE.search(text) and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         first, *rest = _CUT.split(text)
         return [i for ids in self.ids([first, *(" " + c for c in rest)]) for i in ids]

@@ -111,6 +111,16 @@ def test_byte_ids_of_chunks_equal_those_of_whole_texts():
             assert [i for x in of.ids([own[0], *(" " + c for c in own[1:])]) for i in x] == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_the_characters_that_the_fast_reader_gets():
+    from tokenizers import Tokenizer
+
+    whole, of, rng = Tokenizer.from_file(chunks.default_byte_tokenizer()), chunks.byte_tokens(chunks.default_byte_tokenizer(), False), random.Random(6)
+    every = [chr(c) for c in range(0x2100) if chunks._EASY.fullmatch(chr(c))]
+    assert len(every) == 127 + 0xDF + 24
+    for text in [*every, *("".join(rng.choice(every) for _ in range(rng.randrange(1, 50))) for _ in range(3000))]:
+        assert of.of_text(text) == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_token_bytes_join_to_the_text():
     of = chunks.byte_tokens(chunks.default_byte_tokenizer(), True)
     held = of.token_bytes()
