@@ -21,7 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-_LONG_SPACE = re.compile("\\s{64}")
+_SPACES = bytes(32 if chr(b).isspace() else b for b in range(256))
+_LONG_SPACE = b" " * 64
 #: ASCII, Latin letters and signs, dashes and quotes: all of them have been letters, digits, spaces or none of these in every
 #: version of Unicode, so that readers with different versions part them alike.
 _EASY = re.compile("[\\x00-\\x7e\\u00a1-\\u017f\\u2010-\\u2027]*")
@@ -114,7 +115,7 @@ class ByteTokens:
         """The ids of a whole text: at once where the fast reader may have it, else chunk by chunk."""
         if self.fast is None:
             return self.exact.encode(text, add_special_tokens=False).ids
-        if (text.isascii() or _EASY.fullmatch(text)) and not _LONG_SPACE.search(text) and not (self.added and self.added.search(text)):
+        if (text.isascii() or _EASY.fullmatch(text)) and _LONG_SPACE not in text.encode().translate(_SPACES) and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         first, *rest = _CUT.split(text)
         return [i for ids in self.ids([first, *(" " + c for c in rest)]) for i in ids]

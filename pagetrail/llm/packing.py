@@ -26,6 +26,7 @@ of any type, other columns don't matter; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,16 +41,15 @@ from pagetrail.llm.words import mix64
 
 WINDOW, END = 1024, 0
 MOST_TASKS = 20_000
-RUN, PROBES = 8, 16
+RUN, PROBES = 8, 16  # powers of two
 K1, B = 1.2, 0.75
-_RANGES = np.arange(PROBES, dtype=np.uint64) * np.uint64((1 << 64) // PROBES)
 _PROBE_BITS, _MOST = 40, (1 << 20) - 1
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Token ids of each text, as the plain call of the tokenizer gives them: strings of special tokens are these tokens."""
     of = byte_tokens(path, False)
-    return [np.array(of.of_text(t), np.uint32) for t in texts]
+    return [np.frombuffer(array("I", of.of_text(t)), np.uint32) for t in texts]
 
 
 def crc_of_ids(ids: np.ndarray) -> int:
@@ -68,9 +68,12 @@ def probes(ids: np.ndarray) -> np.ndarray:
     while run < RUN and len(code) > step:
         code = mix64(code[:-step]) * np.uint64(31) + code[step:]
         step, run = step * 2, run * 2
-    code = np.sort(mix64(code))
-    at = np.searchsorted(code, _RANGES)
-    return code[at[np.diff(at, append=len(code)) > 0]]
+    code = mix64(code)
+    part = (code >> np.uint64(64 - PROBES.bit_length() + 1)).astype(np.intp)
+    least, some = np.full(PROBES, np.iinfo(np.uint64).max, np.uint64), np.zeros(PROBES, bool)
+    np.minimum.at(least, part, code)
+    some[part] = True
+    return least[some]
 
 
 def bag_of(rest: bytes, whole: bytes, width: type) -> tuple[np.ndarray, np.ndarray]:
