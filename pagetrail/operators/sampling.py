@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrail.operators.candidates import candidate_bands
-from pagetrail.operators.ranking import bucket_sums, row_numbers
-
+from pagetrail.operators.pages import Paged
+from pagetrail.operators.ranking import ROWS_PER_BUCKET, bucket_sums, row_numbers
 
 PARTS = 4096
 
@@ -24,7 +24,7 @@ def hashed(*cols: Column | str, seed: int) -> Column:
     return F.shiftright(random_bits(*cols, seed=seed), 8) * F.lit(2.0**-52)
 
 
-def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0) -> DataFrame:
+def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int, stream: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """n pairs per trial, with replacement, uniform over all pairs (record, position in [start, stop)).
 
     Returns trial_id, draw, key and e_idx.  Records are ranges on the line of all pairs, dealt to ``PARTS`` buckets by a
@@ -42,7 +42,15 @@ def draw(bands: DataFrame, start: str, stop: str, n: int, *, key: str, seed: int
     marks = sums.select("trial_id", F.col("offset").alias("at"), F.lit(0).alias("kind"), "bucket", "offset")
     order = lambda *by: Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = marks.unionByName(points, allowMissingColumns=True)
-    found = both.select("trial_id", "draw", "at", "kind", *(F.last(c, ignorenulls=True).over(order("trial_id")).alias(c) for c in ("bucket", "offset")))
+    mark = F.when(F.col("bucket").isNotNull(), F.struct("offset", "bucket"))
+    # the points of a trial and its marks are put in order by several tasks where there are many
+    paged = Paged.of(both.withColumn("mark", mark), ["trial_id"], ["at", "kind"], rows_per_bucket) if n > rows_per_bucket else None
+    if paged is not None and paged.is_cut:
+        ahead = F.coalesce(F.max("mark").over(paged.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_earlier")
+        marked = paged.carrying(_earlier=(F.col("mark"), "before")).withColumn("last", ahead)
+    else:
+        marked = both.withColumn("last", F.last(mark, ignorenulls=True).over(order("trial_id")))
+    found = marked.select("trial_id", "draw", "at", "kind", "last.bucket", "last.offset")
     found = found.where("kind = 1").select("trial_id", "bucket", "draw", (F.col("at") - F.col("offset")).alias("at"), "kind")
     own = Window.partitionBy("trial_id", "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     spans = placed.withColumn("at", F.coalesce(F.sum("n_pairs").over(own), F.lit(0)))
@@ -76,6 +84,12 @@ def choose(rows: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
     return ranked.where(F.col("rn") <= n).select(*rows.columns)
 
 
+def shuffled(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """Adds place, from 0: a permutation of all rows by the hashes of their keys."""
+    ranked = row_numbers(rows.withColumns({"draw_hash": hashed(*key, seed=seed), "draw_all": F.lit(0)}), ["draw_all"], "draw_hash", key)
+    return ranked.withColumn("place", F.col("rn") - 1).drop("rn", "n_rows", "draw_hash", "draw_all")
+
+
 def random_split(rows: DataFrame, share: float, key: list[str], seed: int) -> DataFrame:
     """Adds is_test, true for about that share of the rows."""
     return rows.withColumn("is_test", hashed(*key, seed=seed) < share)

@@ -329,6 +329,43 @@ def quantile_edges_uniform(spark, d):
     return _edge_rows(spark, _edges(spark, d, strategy="uniform"))
 
 
+# Artefacts are written and read again
+
+
+@query(f"WITH {_EDGES_SQL} SELECT feature, CAST(i AS INTEGER) AS i, round(edge, 6) AS edge FROM kept")
+def stored_bin_edges(spark, d):
+    from pagetrail.sources.artifacts import edges_from, edges_table
+    from pagetrail.sources.files import new_folder
+
+    folder = new_folder(spark)
+    edges_table(spark, _edges(spark, d)).write.parquet(folder)
+    return _edge_rows(spark, edges_from(spark.read.parquet(folder)))
+
+
+_WEIGHT = "(((bin * 7 + place * 3) % 11 - 5) * 0.123::DOUBLE)"
+
+
+@query(
+    f"""WITH {_EDGES_SQL}, named AS (SELECT feature, i, n, edge, list_position({_FEATURES}, feature) - 1 AS place FROM kept),
+bins AS (SELECT DISTINCT feature, place, n, unnest(range(n - 1)) AS bin FROM named),
+cut AS (SELECT feature, string_agg(CAST(trunc(edge) AS BIGINT)::VARCHAR, ',' ORDER BY i) AS bin_edges FROM named WHERE i BETWEEN 1 AND n - 2 GROUP BY feature),
+weighed AS (SELECT feature, place, any_value(n) - 1 AS n_bins, string_agg(CAST(trunc({_WEIGHT} * 10000) AS BIGINT)::VARCHAR, ',' ORDER BY bin) AS weights_int FROM bins GROUP BY feature, place)
+SELECT 'binary_reuse_classifier' AS model_type, 4::BIGINT AS n_features, 4567::BIGINT AS bias_int, 2500::BIGINT AS threshold_int, place::BIGINT AS index, feature AS name, n_bins::BIGINT AS n_bins, bin_edges, weights_int FROM weighed JOIN cut USING (feature)"""
+)
+def exported_model(spark, d):
+    """The model file, feature by feature; weights follow from the places of feature and bin."""
+    from pagetrail.sources.artifacts import write_json
+    from pagetrail.sources.files import new_folder
+
+    edges = _edges(spark, d)
+    weights = {f: [((b * 7 + j * 3) % 11 - 5) * 0.123 for b in range(n)] for j, (f, n) in enumerate(features.n_bins_of(edges).items())}
+    document = features.export_document(features.LinearModel(tuple(_FEATURES), edges, weights, 0.4567), threshold=0.25)
+    path = f"{new_folder(spark)}/model_weights.json"
+    write_json(spark, path, document)
+    found = spark.read.json(path, multiLine=True).select("model_type", "n_features", "bias_int", "threshold_int", F.explode("features").alias("f"))
+    return found.select("model_type", "n_features", "bias_int", "threshold_int", "f.index", "f.name", "f.n_bins", F.array_join("f.bin_edges", ",").alias("bin_edges"), F.array_join("f.weights_int", ",").alias("weights_int"))
+
+
 _BINNED_SQL = f"""WITH {_EDGES_SQL}, b AS (SELECT l.feature, l.v, (SELECT count(*) FROM kept k WHERE k.feature = l.feature AND k.i BETWEEN 1 AND k.n - 2 AND k.edge <= l.v) AS bin FROM l)"""
 
 
@@ -507,6 +544,17 @@ def sample_choice(spark, d):
     return sampling.choose(table(spark, d, "orders"), 1000, ["o_orderkey"], 42).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_hash("'42'", "o_orderkey")}, o_orderkey) - 1 AS place FROM orders""")
+def row_shuffle(spark, d):
+    """All rows in random order: written to files by ranges of their places and read again in the order of files and lines."""
+    from pagetrail.sources.files import new_folder
+
+    folder = new_folder(spark)
+    rows = sampling.shuffled(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 42)
+    rows.repartitionByRange("place").sortWithinPartitions("place").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 @query(
     f"""WITH n AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice AS t, o_custkey AS c FROM orders), m AS (SELECT count(*) AS m FROM n),
 p AS (SELECT id AS pair, {_bits("'42'", "id")} % m AS a, {_bits("'43'", "id")} % (m - 1) AS step, m FROM (SELECT unnest(range(5000)) AS id), m)
@@ -676,6 +724,35 @@ def reuse_class_model(spark, d):
     return _report(found)
 
 
+_EPOCHS_SQL = _MEDIAN_MODEL_SQL[: _MEDIAN_MODEL_SQL.index("judged AS")].replace(_fit_sql(2, 5, 160), _fit_sql(2, 5, 40)) + f"""scored AS (SELECT k // 2 AS epoch, label, {_logit(2)} AS p FROM binned, fit WHERE k % 2 = 0 AND k > 0),
+ranks AS (SELECT epoch, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS pos, sum(count(*)) OVER (PARTITION BY epoch ORDER BY p)::DOUBLE - count(*) + (count(*) + 1) / 2.0 AS r FROM scored GROUP BY epoch, p),
+areas AS (SELECT epoch, round((sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (sum(n) - sum(pos))), 12) AS auc FROM ranks GROUP BY epoch),
+sofar AS (SELECT epoch, auc, arg_max(struct_pack(e := -epoch), struct_pack(a := auc, e := -epoch)) OVER (ORDER BY epoch).e AS best FROM areas),
+over AS (SELECT min(epoch) AS stop FROM (SELECT epoch FROM sofar WHERE epoch + best >= 5 UNION ALL SELECT 20))
+SELECT CAST(epoch AS INTEGER) AS epoch, round(auc, 9) AS auc, epoch = -(SELECT best FROM sofar, over WHERE epoch = stop) AS is_best FROM areas, over WHERE epoch <= stop"""
+
+
+def _halves_of_lines(spark, d):
+    from pagetrail.operators.reuse import median_split
+
+    rows = median_split(table(spark, d, "lineitem").withColumn("trial_id", F.lit(0)).withColumn("y", F.col("l_extendedprice")))
+    split = sampling.stratified_split(rows, 0.2, "label", _LINE_KEY, 42)
+    learn, test = split.where("NOT is_test"), split.where("is_test")
+    edges = features.quantile_edges(learn, ["l_quantity", "l_discount"], 5, method="averaged_inverted_cdf")
+    return features.discretise(learn, edges), features.discretise(test, edges), edges
+
+
+@query(_EPOCHS_SQL)
+def training_epochs(spark, d):
+    """The area over the holdout after each epoch, until five epochs bring no rise."""
+    from pagetrail.operators.epochs import best_of, fit_in_epochs
+
+    learn, test, edges = _halves_of_lines(spark, d)
+    found = fit_in_epochs(learn, test, features.n_bins_of(edges), max_epochs=20)
+    best = best_of(found).number
+    return spark.createDataFrame([(e.number, round(e.auc, 9), e.number == best) for e in found], "epoch int, auc double, is_best boolean")
+
+
 @query(_MEDIAN_MODEL_SQL)
 def median_split_model(spark, d):
     """Two classes of a target by its median."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.functions.scalars import clamp_u64, run_stamp
 from pagetrail.plans.adapters import EVENTS_SQL, events_trace, table
 from pagetrail.plans.registry import query
 from pagetrail.sources import artifacts, binary_logs, text_logs
@@ -15,9 +18,9 @@ ITERS = (2, 10, 11)
 _TRIAL_SQL = EVENTS_SQL.replace("0 AS trial_id", "CAST(event_id % 3 AS INTEGER) AS trial_id")
 
 
-def _trial_folder(spark: SparkSession, rows: DataFrame, kind: str, rest: bytes = b"") -> str:
+def _trial_folder(spark: SparkSession, rows: DataFrame, kind: str, rest: bytes = b"", base: str | None = None) -> str:
     """A data folder with the logs of one kind of a workload of three trials."""
-    base = new_folder(spark)
+    base = base or new_folder(spark)
     numbers = F.get(F.array(*(F.lit(i) for i in ITERS)), F.col("trial_id"))
     path = F.concat(F.lit(f"{base}/w/iter_"), numbers.cast("string"), F.lit(f"/t_{kind}_1.bin"))
     binary_logs.write_logs(rows.withColumn("path", path), kind, rest=rest)
@@ -60,6 +63,19 @@ def insertion_log_scan(spark, d):
     return found.select("trial_id", "ts", F.col("page.inode").cast("long").alias("inode"), F.col("page.index").cast("long").alias("event_id"))
 
 
+# S8
+
+
+@query("""SELECT 'access' AS kind, 0 AS trial_id, ts FROM access WHERE trial_id = 1 UNION ALL SELECT 'eviction', 0, ts FROM eviction WHERE trial_id = 1 UNION ALL SELECT 'insertion', 0, ts FROM insertion WHERE trial_id = 1""", _TRIAL_SQL)
+def first_trial_logs(spark, d):
+    """All three logs of the first trial by name."""
+    t, base = events_trace(spark, d, trials=3), None
+    for kind, rows in {"access": t.access, "eviction": t.eviction, "insertion": t.insertion}.items():
+        base = _trial_folder(spark, rows.select("trial_id", "ts"), kind, base=base)
+    found = binary_logs.first_trial(spark, base, "w")
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(kind).alias("kind"), "trial_id", "ts") for kind, rows in found.items()))
+
+
 # S9-S13, K7, X8
 
 _LINE = "concat('log ', 'event_id=', event_id, '  type=', event_type, ' value=', value, ' end')"
@@ -100,6 +116,25 @@ def csv_row_totals(spark, d):
     return counts.agg(F.sum("rows").alias("n_rows"), F.sum(F.when(F.contains("path", F.lit("/views/")), F.col("rows")).otherwise(0)).alias("n_views"))
 
 
+# S14, X2
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events UNION ALL SELECT -1 - event_id, NULL FROM events")
+def run_stamps(spark, d):
+    """The stamp in the names of files; names without one have none."""
+    e = table(spark, d, "events")
+    named = e.select("event_id", F.concat(F.lit("run_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_access.csv")).alias("name"))
+    plain = e.select((-1 - F.col("event_id")).alias("event_id"), F.concat(F.lit("run_2024_"), F.col("event_id").cast("string")).alias("name"))
+    return named.unionByName(plain).select("event_id", run_stamp(F.col("name")).alias("stamp"))
+
+
+@query("SELECT event_id, CAST(least(greatest((event_id - 300)::HUGEINT * 100000000000000000, 0::HUGEINT), 18446744073709551615::HUGEINT) AS VARCHAR) AS clamped FROM events")
+def clamped_edges(spark, d):
+    """Numbers as the unsigned 64-bit ones that a model file may hold."""
+    wide = (F.col("event_id") - 300).cast("decimal(30,0)") * F.lit("100000000000000000").cast("decimal(20,0)")
+    return table(spark, d, "events").select("event_id", clamp_u64(wide.cast("decimal(30,0)")).cast("string").alias("clamped"))
+
+
 # S15, O6, X7
 
 

@@ -166,7 +166,6 @@ pairs AS (
 
 
 def _totals(trace, horizon, cap):
-    # buckets of a day hold what one task can sort
     return candidates.candidate_totals(trace.access, trace.eviction, horizon=horizon, cap=cap)
 
 
@@ -232,6 +231,22 @@ def candidate_counts_by_trial(spark, d):
     return _totals(events_trace(spark, d, trials=3), 6 * HOUR, 6 * HOUR)
 
 
+@query(
+    _totals_sql(6 * HOUR, 6 * HOUR).replace(" SELECT trial_id, count(*) FILTER", ", n AS (SELECT trial_id, count(*) FILTER", 1)
+    + ") SELECT 'w' || trial_id AS workload, n_pos + n_neg AS n_train_rows, 21600.0::DOUBLE AS horizon_seconds, n_pos, n_neg, round(n_pos / (n_pos + n_neg), 9) AS true_positive_rate, NULL::DOUBLE AS auc, NULL::DOUBLE AS f1 FROM n",
+    _TRIALS_SQL,
+)
+def training_summary(spark, d):
+    """The summary of a run, one row per workload; workloads are trials here, which train on all their candidates."""
+    from pagetrail.plans.training import WorkloadSample, summary
+
+    results = {}
+    for r in _totals(events_trace(spark, d, trials=3), 6 * HOUR, 6 * HOUR).collect():  # one row per trial
+        share = WorkloadSample(None, None, None, r["n_pos"], r["n_neg"]).true_positive_rate
+        results[f"w{r['trial_id']}"] = {"n_train_rows": r["n_pos"] + r["n_neg"], "n_pos": r["n_pos"], "n_neg": r["n_neg"], "true_positive_rate": share, "metrics": {"horizon_ns": 6 * 3600 * 1_000_000_000}}
+    return summary(spark, results).withColumn("true_positive_rate", F.round("true_positive_rate", 9))
+
+
 @query(
     """+ v AS (SELECT e.* FROM eviction e JOIN (SELECT trial_id, max(ts) - 21600000000 AS last FROM access GROUP BY trial_id) USING (trial_id) WHERE ts <= last),
 c AS (SELECT trial_id, quantile_cont(ts, 0.8) AS cut, count(*) AS n FROM v GROUP BY trial_id)
@@ -272,6 +287,49 @@ def auto_horizon(spark, d):
     return out.withColumns({"mean_turnover": F.round("mean_turnover", 3), "horizon_seconds": F.round("horizon_seconds", 3)})
 
 
+_FIVE_SQL = EVENTS_SQL.replace("0 AS trial_id", "CAST(event_id % 5 AS INTEGER) AS trial_id")
+
+
+@query(
+    """+ evs AS (SELECT * FROM eviction WHERE trial_id <> 1), ins AS (SELECT * FROM insertion WHERE trial_id <> 2),
+f AS (SELECT trial_id, min(ts) AS first_eviction FROM evs GROUP BY trial_id),
+g AS (SELECT trial_id, ts, ts - lag(ts) OVER (PARTITION BY trial_id ORDER BY ts) AS gap FROM ins),
+n AS (SELECT trial_id, count(*) AS n, coalesce(sum(gap) FILTER (gap <= 86400000000), 0) AS active FROM g GROUP BY trial_id),
+b AS (SELECT trial_id, count(*) AS filled FROM ins JOIN f USING (trial_id) WHERE ts < first_eviction GROUP BY trial_id)
+SELECT t.trial_id, coalesce(n, 0) AS n_insertions, CASE WHEN coalesce(n, 0) < 2 THEN 'fewer than two insertions' WHEN first_eviction IS NULL THEN 'no eviction: the cache was never filled'
+  WHEN coalesce(filled, 0) <= 0 THEN 'no insertion before the first eviction' WHEN coalesce(active, 0) <= 0 THEN 'no active time' END AS problem
+FROM (SELECT DISTINCT trial_id FROM access) t LEFT JOIN n USING (trial_id) LEFT JOIN f USING (trial_id) LEFT JOIN b USING (trial_id)""",
+    _FIVE_SQL,
+)
+def turnover_problems(spark, d):
+    """Why trials have no estimate: one has no evictions, one no insertions, others were full before they began."""
+    t = events_trace(spark, d, trials=5)
+    out = turnover.turnover_estimate(t.access, t.eviction.where("trial_id <> 1"), t.insertion.where("trial_id <> 2"), second=SECOND, active_gap=86400)
+    return out.select("trial_id", "n_insertions", "problem")
+
+
+@query(
+    _TURNOVER
+    + """, a AS (SELECT *, capacity_pages / insertion_rate AS turnover_seconds FROM t), h AS (SELECT *, least(turnover_seconds, label_window / 2e6) AS horizon FROM a)
+SELECT 'auto' AS horizon_source, round(turnover_seconds * 1e9, 0) AS turnover_ns, horizon < turnover_seconds AS horizon_clamped, capacity_pages, false AS capacity_estimated, round(insertion_rate, 9) AS insertion_rate_per_s, round(active_seconds, 6) AS active_seconds,
+  n_insertions, label_window * 1000.0::DOUBLE AS label_window_ns, round(floor(horizon * 1e6) * 1e3, 0) AS horizon_ns, round(floor(horizon * 1e6) * 1e3, 0) AS residency_cap_ns FROM h""",
+    EVENTS_SQL,
+)
+def horizon_provenance(spark, d):
+    """Where an automatic horizon comes from, as the metrics file says it; without a cap of its own, residency ends there too."""
+    from pagetrail.plans.training import effective_cap, horizon_facts
+    from pagetrail.sources.artifacts import write_json
+    from pagetrail.sources.files import new_folder
+
+    estimate = _estimate(spark, d)
+    auto = turnover.auto_horizon(estimate, SECOND).first()
+    horizon = int(auto["horizon_seconds"] * SECOND) * (1_000_000_000 // SECOND)
+    path = f"{new_folder(spark)}/metrics.json"
+    write_json(spark, path, {"horizon_ns": float(horizon), "residency_cap_ns": float(effective_cap(None, horizon))} | horizon_facts(turnover.checked(estimate)[0], auto, SECOND))
+    digits = {"turnover_ns": 0, "insertion_rate_per_s": 9, "active_seconds": 6, "horizon_ns": 0, "residency_cap_ns": 0}
+    return spark.read.json(path, multiLine=True).withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 @query("SELECT trial_id, ts, ts - lag(ts) OVER (PARTITION BY trial_id ORDER BY ts) AS gap FROM insertion", EVENTS_SQL)
 def insertion_gaps(spark, d):
     return turnover.insertion_gaps(events_trace(spark, d).insertion)

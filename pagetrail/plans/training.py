@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.operators import features as feats
+from pagetrail.operators.epochs import Epoch, best_of, fit_in_epochs
 from pagetrail.operators.candidates import candidate_bands, temporal_split, valid_evictions
 from pagetrail.operators.ranking import row_numbers
 from pagetrail.operators.sampling import choose, random_pairs, random_split, sample_candidates, stratified_split
@@ -45,6 +46,9 @@ class Options:
     random_state: int = 42
     max_iterations: int = 100
     regularisation: float = 1e-6
+    early_stopping: bool = False
+    max_epochs: int = 50
+    patience: int = 5
     second: int = NS
 
 
@@ -131,6 +135,12 @@ def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Op
     return feats.LinearModel(tuple(edges), edges, weights, float(model.intercept))
 
 
+def fit_early_stopped(binned: DataFrame, held: DataFrame, edges: dict[str, list[float]], options: Options, class_weights: dict[int, float] | None = None) -> tuple[feats.LinearModel, list[Epoch]]:
+    """The weights of the epoch with the largest area over the holdout, and all epochs; it is over ``patience`` epochs later."""
+    found = fit_in_epochs(binned, held, feats.n_bins_of(edges), max_epochs=options.max_epochs, patience=options.patience, ridge=options.regularisation, class_weights=class_weights)
+    return feats.LinearModel(tuple(edges), edges, best_of(found).weights, 0.0), found
+
+
 def evaluate(rows: DataFrame, model: feats.LinearModel, threshold: float) -> dict:
     """Figures of the holdout, under the names of the metrics file; the area is null where only one class occurs."""
     scored = feats.float_score(rows, model).withColumn("predicted", feats.decide(F.col("probability"), threshold).cast("int"))
@@ -143,6 +153,11 @@ def evaluate(rows: DataFrame, model: feats.LinearModel, threshold: float) -> dic
     }
 
 
+def effective_cap(given: int | None, horizon: int) -> int | None:
+    """How long a page stays at most: the horizon where nothing is given, no limit where 0 or less is."""
+    return horizon if given is None else given if given > 0 else None
+
+
 def horizon_facts(first: Row, auto: Row, second: int) -> dict:
     """Where an automatic horizon comes from; capacity, rate and active time are those of the first trial."""
     turnover, horizon = auto["mean_turnover"], auto["horizon_seconds"]
@@ -167,14 +182,23 @@ def train_workload(spark: SparkSession, name: str, iters: list, output: str, opt
         auto = auto_horizon(estimate, options.second).first()
         horizon = int(auto["horizon_seconds"] * options.second)
         metrics = horizon_facts(first, auto, options.second)
-    cap = horizon if options.residency_cap is None else options.residency_cap if options.residency_cap > 0 else None
+    cap = effective_cap(options.residency_cap, horizon)
     options = Options(**asdict(options) | {"horizon": horizon, "residency_cap": cap})
     sample = collect_sample(access, eviction, options)
+    if sample.train.isEmpty():
+        sample.release()
+        raise ValueError(f"{name} leaves nothing to train on: no eviction lies between an access and the horizon's end")
     edges = feats.quantile_edges(sample.discretizer, [*options.features, TSA], options.n_bins)
-    model = fit_classifier(feats.discretise(sample.train, edges), edges, options, None if options.balanced else sample.class_weights, save_to=f"{out}/model")
+    weights = None if options.balanced else sample.class_weights
+    held = sample.evaluation is not None and not sample.evaluation.isEmpty()
+    epochs = None
+    if options.early_stopping and held:
+        model, epochs = fit_early_stopped(feats.discretise(sample.train, edges), feats.discretise(sample.evaluation, edges), edges, options, weights)
+    else:
+        model = fit_classifier(feats.discretise(sample.train, edges), edges, options, weights, save_to=f"{out}/model")
     unit = NS / options.second
     metrics = {"horizon_ns": horizon * unit, "residency_cap_ns": None if cap is None else cap * unit} | metrics
-    if sample.evaluation is not None and not sample.evaluation.isEmpty():
+    if held:
         metrics |= evaluate(sample.evaluation, model, options.threshold)
     document = feats.export_document(model, weight_scale=options.weight_scale, threshold=options.threshold)
     write_json(spark, f"{out}/model_weights.json", document)
@@ -185,6 +209,7 @@ def train_workload(spark: SparkSession, name: str, iters: list, output: str, opt
     result = {
         "workload": name, "output_dir": out, "n_train_rows": sample.train.count(), "n_encoded_features": sum(feats.n_bins_of(edges).values()),
         "n_pos": sample.n_pos, "n_neg": sample.n_neg, "true_positive_rate": sample.true_positive_rate, "metrics": metrics,
+        "epochs": None if epochs is None else [e.auc for e in epochs],
     }
     sample.release()
     return result

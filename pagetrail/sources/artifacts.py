@@ -31,7 +31,7 @@ def write_json(spark: SparkSession, path: str, document: dict) -> None:
 def eval_report(name: str, metrics: dict) -> str:
     """The report of a holdout, or one line that there was none."""
     if "confusion" not in metrics:
-        return f"{name}: no holdout set (single eviction event or empty).\n"
+        return f"{name}: nothing was held out to judge the model by.\n"
     cells = metrics["confusion"]
     # The labels of the report's lines
     lines = [

@@ -15,6 +15,7 @@ import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ class FileRange(InputPartition):
     path: str
     first: int
     count: int
+    place: int = 0
 
 
 def _unsigned_decimals(values: np.ndarray) -> pa.Array:
@@ -65,8 +67,8 @@ def _unsigned_decimals(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(20, 0), len(values), [None, pa.py_buffer(wide.tobytes())])
 
 
-def _batch(records: np.ndarray, kind: str, first: int | None = None) -> pa.RecordBatch:
-    """first: the number of the first record, where numbers are wanted."""
+def _batch(records: np.ndarray, kind: str, first: int | None = None, place: int | None = None) -> pa.RecordBatch:
+    """first: the number of the first record, where numbers are wanted; place: that of the file among the files."""
     columns, names = [], fields(kind)
     for name, code in LAYOUTS[kind]:
         if name.startswith("_"):
@@ -80,6 +82,8 @@ def _batch(records: np.ndarray, kind: str, first: int | None = None) -> pa.Recor
             columns.append(pa.array(values.astype(np.int64)) if code == "u4" else _unsigned_decimals(values))
     if first is not None:
         columns, names = [*columns, pa.array(np.arange(first, first + len(records), dtype=np.int64))], [*names, "record"]
+    if place is not None:
+        columns, names = [*columns, pa.array(np.full(len(records), place, np.int32))], [*names, "trial_id"]
     return pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -89,16 +93,16 @@ def _warn_of_rest(path: str, size: int, kind: str) -> None:
 
 
 class LogReader(DataSourceReader):
-    def __init__(self, paths: list[str], kind: str, numbered: bool = False):
-        self.paths, self.kind, self.numbered = paths, kind, numbered
+    def __init__(self, paths: list[str], kind: str, numbered: bool = False, placed: bool = False):
+        self.paths, self.kind, self.numbered, self.placed = paths, kind, numbered, placed
 
     def partitions(self) -> list[FileRange]:
         size, out = record_dtype(self.kind).itemsize, []
-        for path in self.paths:
+        for place, path in enumerate(self.paths):
             held = os.path.getsize(path)
             _warn_of_rest(path, held, self.kind)
             step = max(1, _RANGE // size)
-            out += [FileRange(path, k, min(step, held // size - k)) for k in range(0, held // size, step)]
+            out += [FileRange(path, k, min(step, held // size - k), place) for k in range(0, held // size, step)]
         return out or [FileRange("", 0, 0)]
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
@@ -106,7 +110,7 @@ class LogReader(DataSourceReader):
         for at in range(0, partition.count, 1 << 16):
             n = min(1 << 16, partition.count - at)
             records = np.fromfile(partition.path, dtype, n, offset=(partition.first + at) * dtype.itemsize)
-            yield _batch(records, self.kind, partition.first + at if self.numbered else None)
+            yield _batch(records, self.kind, partition.first + at if self.numbered else None, partition.place if self.placed else None)
 
 
 class TraceLog(DataSource):
@@ -115,13 +119,13 @@ class TraceLog(DataSource):
         return "trace_log"
 
     def schema(self) -> str:
-        return ddl(self.options.get("kind", "access")) + (", record bigint" if "numbered" in self.options else "")
+        return ddl(self.options.get("kind", "access")) + ", record bigint" * ("numbered" in self.options) + ", trial_id int" * ("placed" in self.options)
 
     def reader(self, schema: StructType) -> LogReader:
         found = [p for part in self.options["path"].split(",") for p in (sorted(glob.glob(part)) if glob.has_magic(part) else [part])]
         if missing := [p for p in found if not os.path.exists(p)] or ([] if found else [self.options["path"]]):
             raise FileNotFoundError(f"no such log: {missing[0]}")
-        return LogReader(found, self.options.get("kind", "access"), "numbered" in self.options)
+        return LogReader(found, self.options.get("kind", "access"), "numbered" in self.options, "placed" in self.options)
 
 
 def _by_hadoop(spark: SparkSession, files: list[Entry], kind: str) -> DataFrame:
@@ -159,9 +163,17 @@ def read_log(spark: SparkSession, path: str, kind: str, *, numbered: bool = Fals
         for f in files:
             _warn_of_rest(f.path, f.size, kind)
         return _by_hadoop(spark, files, kind)
+    return _local(spark, [f.path for f in files], kind, numbered=numbered)
+
+
+def _local(spark: SparkSession, paths: list[str], kind: str, *, numbered: bool = False, placed: bool = False) -> DataFrame:
+    """One scan over files that tasks open. placed: add ``trial_id``, the place of the file in the list."""
+    ensure_shipped(spark)
     spark.dataSource.register(TraceLog)
     reader = spark.read.format("trace_log").option("kind", kind)
-    return (reader.option("numbered", "true") if numbered else reader).load(",".join(re.sub("^file:/*", "/", f.path) for f in files))
+    for name in ["numbered"] * numbered + ["placed"] * placed:
+        reader = reader.option(name, "true")
+    return reader.load(",".join(re.sub("^file:/*", "/", p) for p in paths))
 
 
 def write_logs(rows: DataFrame, kind: str, path: str = "path", rest: bytes = b"") -> int:
@@ -240,11 +252,13 @@ PAGE_FIELDS = {"access": ("dm", "dn", "in", "of"), "insertion": ("dm", "dn", "in
 def trial_logs(spark: SparkSession, iters: list[str], kind: str, prefix: str = "*") -> DataFrame:
     """The logs of all trials in one table with trial_id, the position in the list; page keys become a struct ``page``,
     and accesses have ``access_key``, their place in the log, where records are numbered."""
-    out = None
-    for trial, folder in enumerate(iters):
-        part = read_log(spark, single_log(spark, folder, f"{prefix}_{kind}_*.bin"), kind, numbered=kind == "access")
-        part = part.withColumnRenamed("record", "access_key").withColumn("trial_id", F.lit(trial))
-        out = part if out is None else out.unionByName(part)
+    files = [single_log(spark, folder, f"{prefix}_{kind}_*.bin") for folder in iters]
+    if all(f.startswith("file:") for f in files):
+        out = _local(spark, files, kind, numbered=kind == "access", placed=True)
+    else:
+        parts = [read_log(spark, f, kind, numbered=kind == "access").withColumn("trial_id", F.lit(trial)) for trial, f in enumerate(files)]
+        out = reduce(DataFrame.unionByName, parts)
+    out = out.withColumnRenamed("record", "access_key")
     if kind in PAGE_FIELDS:
         out = out.withColumn("page", F.struct(*(F.col(f"`{c}`").alias(a) for c, a in zip(PAGE_FIELDS[kind], ("dm", "dn", "inode", "index"), strict=True))))
     return out

@@ -60,8 +60,8 @@ def read_csv_trials(spark: SparkSession, pattern: str, schema: str) -> DataFrame
     if not (found := _paths(spark, pattern)):
         raise FileNotFoundError(f"no CSV file fits {pattern}")
     rows = spark.read.schema(schema).option("header", True).csv(found).withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), _LOCAL, "/"))
-    places = F.create_map(*(F.lit(x) for i, p in enumerate(found) for x in (p, i)))
-    return rows.withColumn("trial_id", F.element_at(places, F.col("path"))).drop("path")
+    places = spark.createDataFrame(list(enumerate(found)), "trial_id int, path string")  # one row per file
+    return rows.join(F.broadcast(places), "path").select(*(c for c in rows.columns if c != "path"), "trial_id")
 
 
 def csv_row_counts(spark: SparkSession, pattern: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.cli import parser
 from pagetrail.functions import scalars, student
-from pagetrail.operators import features, statistics, turnover
+from pagetrail.operators import epochs, features, statistics, turnover
 from pagetrail.plans import training
 from pagetrail.sources.binary_logs import first_trial, trial_logs
 from pagetrail.streaming.active_time import active_sessions
@@ -217,6 +217,64 @@ def test_training_end_to_end(spark, tmp_path):
     assert training.summary(spark, {"w": result}).count() == 1
 
 
+def test_nothing_to_train_on(spark, tmp_path):
+    """Evictions that no access precedes leave no candidates."""
+    folder = tmp_path / "data" / "w" / "iter_0"
+    folder.mkdir(parents=True)
+    write(folder / "t_access_x.bin", "access", [{"ts": t, "in": t} for t in range(100, 110)])
+    write(folder / "t_eviction_x.bin", "eviction", [{"ts": t} for t in range(1, 9)])
+    with pytest.raises(ValueError, match="nothing to train on"):
+        training.train(spark, str(tmp_path / "data"), str(tmp_path / "out"), options=training.Options(horizon=5, n_bins=4, target_rows=40, disc_sample_size=30, eval_rows=20))
+
+
+def test_early_stopping_gives_the_best_epoch_back(spark):
+    """A feature that speaks for the label in the training rows and against it in the holdout: each epoch that learns more of it
+    makes the holdout worse, so that the best epoch is not the last."""
+    rng = random.Random(5)
+    rows = lambda n, turn: [(a, b, int(rng.random() < (0.8 if a else 0.2)) if b == 0 else int(rng.random() < (0.5 + turn * (0.02 * b)))) for a, b in ((rng.randint(0, 1), rng.choice([0, 0, 1, 5, 9])) for _ in range(n))]
+    train, held = (spark.createDataFrame(rows(3000, t), "a_bin int, b_bin int, label int") for t in (1, -4))
+    found = epochs.fit_in_epochs(train, held, {"b": 10, "a": 2}, max_epochs=30, patience=5)
+    best = epochs.best_of(found)
+    assert best.auc == max(e.auc for e in found) and best.number < found[-1].number
+    assert found[-1].number in (30, best.number + 5) and len(found) == found[-1].number
+    again = epochs.fit_in_epochs(train, held, {"b": 10, "a": 2}, max_epochs=best.number, patience=5)
+    assert all(again[-1].weights[f] == pytest.approx(own) for f, own in best.weights.items())
+
+
+def test_epochs_reach_the_fit(spark):
+    """Run to its end, the epochs find what the logistic regression finds."""
+    rng = random.Random(8)
+    data = [(a, b, int(rng.random() < 1 / (1 + math.exp(1 - a + 0.7 * b)))) for a, b in ((rng.randint(0, 3), rng.randint(0, 2)) for _ in range(4000))]
+    rows = spark.createDataFrame(data, "a_bin int, b_bin int, label int")
+    last = epochs.fit_in_epochs(rows, rows, {"a": 4, "b": 3}, max_epochs=25, patience=25, class_weights={0: 1.0, 1: 2.0})[-1]
+    edges = {"a": [0.0, 0.5, 1.5, 2.5, 3.5], "b": [0.0, 0.5, 1.5, 2.5]}
+    model = training.fit_classifier(rows, edges, training.Options(max_iterations=500), {0: 1.0, 1: 2.0})
+    for a in range(4):
+        for b in range(3):
+            assert last.weights["a"][a] + last.weights["b"][b] == pytest.approx(model.bias + model.weights["a"][a] + model.weights["b"][b], abs=1e-4)
+
+
+def test_effective_cap():
+    assert [training.effective_cap(x, 5) for x in (None, 0, -1, 9)] == [5, None, None, 9]
+
+
+def test_rules_of_stopping():
+    assert epochs.stopped([0.5], 5) == (0, False)
+    assert epochs.stopped([0.5, 0.7, 0.7, 0.6], 2) == (1, True)
+    assert epochs.stopped([None, None, 0.2], 5) == (2, False)
+    assert epochs.stopped([None] * 6, 5) == (0, True)
+
+
+def test_training_in_epochs(spark, tmp_path):
+    trial(tmp_path / "data" / "w" / "iter_0", spark)
+    options = training.Options(horizon=5, n_bins=4, target_rows=400, disc_sample_size=300, eval_rows=200, early_stopping=True, max_epochs=3)
+    result = training.train(spark, str(tmp_path / "data"), str(tmp_path / "out"), options=options)["w"]
+    areas = [a for a in result["epochs"] if a is not None]  # none where the holdout has one class
+    assert 1 <= len(result["epochs"]) <= 3 and result["metrics"]["auc"] == (pytest.approx(max(areas)) if areas else None)
+    assert json.loads((tmp_path / "out" / "w" / "model_weights.json").read_text())["bias"] == 0.0
+    assert parser().parse_args(["train", "a", "b", "--early-stopping", "--max-epochs", "7"]).max_epochs == 7
+
+
 def test_automatic_horizon(spark, tmp_path):
     trial(tmp_path / "data" / "w" / "iter_0", spark, insertions=[0, 1, 2, 3, 4, *range(20, 620)])
     iters = [str(tmp_path / "data" / "w" / "iter_0")]

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pagetrail.operators import asof, candidates, insertions, pages, ranking, statistics
+from pagetrail.operators import asof, candidates, insertions, pages, ranking, sampling, statistics
 
 KEYS = ["trial_id", "page"]
 
@@ -157,3 +157,20 @@ def test_any_type_orders(spark, kind):
     got = {r["id"]: r["rn"] for r in ranking.row_numbers(rows, ["g"], "w", ["id"], rows_per_bucket=9).collect()}
     want = sorted(range(400), key=lambda i: (values[i] is not None, values[i] or 0, i))
     assert got == {i: k for k, i in enumerate(want, 1)}
+
+
+def test_many_points_of_one_trial(spark):
+    """Draws are the same whether one task or many order them."""
+    bands = spark.range(500).select(F.lit(0).alias("trial_id"), F.col("id").alias("key"), (F.col("id") * 3).alias("a"), (F.col("id") * 3 + F.col("id") % 4).alias("b"))
+    plain = sampling.draw(bands, "a", "b", 20_000, key="key", seed=1)
+    split = sampling.draw(bands, "a", "b", 20_000, key="key", seed=1, rows_per_bucket=1_000)
+    assert plain.count() == 20_000 and plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
+    assert split.where("e_idx < key * 3 OR e_idx >= key * 3 + key % 4").isEmpty()
+
+
+def test_shuffles(spark):
+    rows = spark.range(3000).withColumn("v", F.col("id") * 2)
+    one, other = (sampling.shuffled(rows, ["id"], seed) for seed in (1, 2))
+    assert one.columns == ["id", "v", "place"] and sorted(r["place"] for r in one.collect()) == list(range(3000))
+    moved = one.withColumnRenamed("place", "p").join(other, "id")
+    assert abs(moved.stat.corr("p", "place")) < 0.1 and abs(moved.stat.corr("p", "id")) < 0.1

@@ -128,3 +128,26 @@ def test_artifacts(spark, tmp_path):
     assert artifacts.edges_from(artifacts.edges_table(spark, edges)) == edges
     artifacts.write_csv(spark.range(3).withColumn("x", F.lit("a")), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+
+
+def test_trials_are_one_scan(spark, tmp_path):
+    """The plan of many trials is no larger than that of one; each row knows its trial and its place in the log."""
+    for k in range(60):
+        folder = tmp_path / f"iter_{k}"
+        folder.mkdir()
+        write(folder / "t_access_x.bin", "access", [{"ts": 10 * k + j, "in": k} for j in range(k % 4)])
+    folders = [str(tmp_path / f"iter_{k}") for k in range(60)]
+    rows = binary_logs.trial_logs(spark, folders, "access")
+    assert sorted((r["trial_id"], r["access_key"], r["ts"]) for r in rows.collect()) == sorted((k, j, 10 * k + j) for k in range(60) for j in range(k % 4))
+    size = lambda df: len(df._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert size(rows) == size(binary_logs.trial_logs(spark, folders[:2], "access"))
+
+
+def test_csv_trials_are_one_scan(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"f{k:02}.csv").write_text("a,b\n" + "".join(f"{k},{j}\n" for j in range(k % 3)))
+    rows = text_logs.read_csv_trials(spark, f"{tmp_path}/*.csv", "a int, b int")
+    assert rows.columns == ["a", "b", "trial_id"]
+    assert sorted(map(tuple, rows.collect())) == sorted((k, j, k) for k in range(40) for j in range(k % 3))
+    with pytest.raises(FileNotFoundError):
+        text_logs.read_csv_trials(spark, f"{tmp_path}/*.none", "a int")
