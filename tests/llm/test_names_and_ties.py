@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,8 +104,3 @@ def test_ties_of_neighbours():
     bag = (np.array([1, 2, 3]), np.array([5, 5, 5]))
     groups = packing.pack([15, 6, 6, 6], [bag] * 4, np.ones(50), 10.0, window=21)
     assert [p[0] for p in groups[0]] == [0, 1]
-
-
-def test_empty_arrays_of_words():
-    model = quality_model.fit([], np.zeros(0, int), {})
-    assert model.probabilities(pa.array(["a", None], pa.string())).shape[0] == 2
