@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions.scalars import sigmoid
+from pagetrail.operators.features import cells_of
 from pagetrail.operators.statistics import roc_auc
 
 _LONGEST_STEP = 2.0
@@ -46,7 +47,7 @@ def fit_in_epochs(train: DataFrame, holdout: DataFrame, n_bins: dict[str, int],
     bins = [f"{f}_bin" for f in n_bins]
     weight = F.when(F.col("label") == 1, F.lit(float(class_weights[1]))).otherwise(F.lit(float(class_weights[0]))) if class_weights else F.lit(1.0)
     cells = train.groupBy(*bins).agg(F.sum(weight * F.col("label")).alias("n1"), F.sum(weight).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    held = holdout.select("label", *bins).persist(StorageLevel.MEMORY_AND_DISK)
+    held = cells_of(holdout, ["label", *bins]).persist(StorageLevel.MEMORY_AND_DISK)
     pull = ridge * (cells.agg(F.sum("n")).first()[0] or 0.0)
     weights, epochs = {f: [0.0] * n for f, n in n_bins.items()}, []
     try:
@@ -59,7 +60,7 @@ def fit_in_epochs(train: DataFrame, holdout: DataFrame, n_bins: dict[str, int],
                     step = (r["g"] - pull * own[r[f"{f}_bin"]]) / (r["h"] + pull) if r["h"] + pull > 0 else 0.0
                     own[r[f"{f}_bin"]] += max(-_LONGEST_STEP, min(_LONGEST_STEP, step))
                 weights = weights | {f: own}
-            area = roc_auc(held.withColumn("p", _probability(weights)), "label", "p").first()["auc"]
+            area = roc_auc(held.withColumn("p", _probability(weights)), "label", "p", "n").first()["auc"]
             epochs.append(Epoch(number, area, weights))
             if stopped([e.auc for e in epochs], patience)[1]:
                 break

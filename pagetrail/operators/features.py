@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from pagetrail.operators.quantiles import METHODS, quantiles
 #: The features of the deployed classifier, in the order that its consumer expects.
 FEATURE_ORDER = ("pd", "sz", "fq", "sd", "p2", "id", "i2", "ie", "time_since_last_access_at_eviction")
 MERGE_BELOW = 1e-8
+MOST_NESTED = 32  # interior edges that go into nested conditions; more are counted in an array
 #: Fixed value: the name by which the deployment's loader knows this kind of model.
 MODEL_TYPE = "binary_reuse_classifier"
 
@@ -25,15 +27,20 @@ def quantile_edges(rows: DataFrame, features: list[str], n_bins: int = 10, *, me
     if not 2 <= n_bins <= 127:
         raise ValueError("n_bins must be 2 to 127, so that a bin index fits a signed byte")
     shares = [i / n_bins for i in range(n_bins + 1)]
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)))).alias("x")).select("x.*")
     if strategy == "uniform":
-        spans = {r["feature"]: r for r in long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+        spans = {features[r["feature"]]: r for r in long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()}
         found = {f: [r["low"] + (r["high"] - r["low"]) * s for s in shares] for f, r in spans.items() if r["low"] is not None}
     elif strategy == "quantile":
         if method not in METHODS:
             raise ValueError(f"unknown quantile method {method}")
         names = {f"q{i}": s for i, s in enumerate(shares)}
-        found = {r["feature"]: [r[n] for n in names] for r in quantiles(long, ["feature"], "v", names, method=method).collect()}
+        # the rows are read once; buckets are made of their distinct values
+        counted = long.groupBy("feature", "v").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = {features[r["feature"]]: [r[n] for n in names] for r in quantiles(counted, ["feature"], "v", names, method=method, count="n").collect()}
+        finally:
+            counted.unpersist()
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return {f: merged(found.get(f, [])) for f in features}
@@ -53,11 +60,18 @@ def n_bins_of(edges: dict[str, list[float]]) -> dict[str, int]:
 
 def bin_index(value: Column, edges: list[float]) -> Column:
     """How many interior edges the value reaches."""
-    inner = edges[1:-1]
-    total = F.lit(0)
-    for e in inner:
-        total = total + (value.cast("double") >= F.lit(float(e))).cast("int")
-    return F.when(value.isNotNull(), total)
+    inner, v = [float(e) for e in edges[1:-1]], value.cast("double")
+    if len(inner) > MOST_NESTED:
+        return F.when(value.isNotNull(), F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= v)))
+
+    def reached(low: int, high: int) -> Column:
+        """By halving; a sum over all edges makes methods that the JVM doesn't compile where several features are binned."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.call_function("if", v < inner[middle], reached(low, middle), reached(middle + 1, high))
+
+    return F.when(value.isNotNull(), reached(0, len(inner)))
 
 
 def discretise(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
@@ -67,6 +81,11 @@ def discretise(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     return rows.withColumns({f"{f}_bin": bin_index(F.col(f), e) for f, e in edges.items()})
 
 
+def cells_of(binned: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that are equal in bins and label, with their number ``n``: all that a fit or an area needs of them."""
+    return binned.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def one_hot_positions(binned: DataFrame, n_bins: dict[str, int]) -> DataFrame:
     """Adds ``hot``: the positions that are 1 in the one-hot vector, one per feature, blocks in feature order."""
     if not n_bins:

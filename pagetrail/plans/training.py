@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.operators import features as feats
@@ -23,6 +23,7 @@ from pagetrail.sources.binary_logs import discover, trial_logs
 
 NS = 1_000_000_000
 TOLERANCE = 1e-9  # fits run until the loss stands still, so that any other way to the optimum gives the same figures
+CELLS_PER_TASK = 10_000
 LOG_FEATURES = feats.FEATURE_ORDER[:-1]
 TSA = feats.FEATURE_ORDER[-1]
 
@@ -115,17 +116,25 @@ def collect_sample(access: DataFrame, eviction: DataFrame, options: Options) ->
     return WorkloadSample(train, evaluation, disc, n_pos, n_neg, weights, held)
 
 
+def weighted_cells(binned: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells with ``w``, their weight in a fit, over which the passes of the fit run, in few tasks where they are few; and
+    what is persisted of them."""
+    held = feats.cells_of(binned, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = held.coalesce(max(1, -(-held.count() // CELLS_PER_TASK)))
+    return cells.withColumn("w", F.col("n").cast("double") if weight is None else weight), held
+
+
 def fit_classifier(binned: DataFrame, edges: dict[str, list[float]], options: Options, class_weights: dict[int, float] | None = None, save_to: str | None = None) -> feats.LinearModel:
     """Logistic regression over one-hot bins, to convergence; features of one bin get weight 0. save_to: a folder for
     the fitted Spark ML model."""
     n_bins = feats.n_bins_of(edges)
-    rows = feats.with_vectors(binned, n_bins)
+    weight = F.col("n").cast("double")
     if class_weights:
-        rows = rows.withColumn("w", F.when(F.col("label") == 1, F.lit(class_weights[1])).otherwise(F.lit(class_weights[0])))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=options.max_iterations, regParam=options.regularisation, standardization=False, tol=TOLERANCE)
-    if class_weights:
-        lr = lr.setWeightCol("w")
-    model = lr.fit(rows)
+        weight = weight * F.when(F.col("label") == 1, F.lit(class_weights[1])).otherwise(F.lit(class_weights[0]))
+    cells, held = weighted_cells(binned, ["label", *(f"{f}_bin" for f in n_bins)], weight)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=options.max_iterations, regParam=options.regularisation, standardization=False, tol=TOLERANCE)
+    model = lr.fit(feats.with_vectors(cells, n_bins))
+    held.unpersist()
     if save_to:
         model.write().overwrite().save(save_to)
     flat, at, weights = model.coefficients.toArray().tolist(), 0, {}
@@ -226,9 +235,11 @@ def summary(spark: SparkSession, results: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "workload string, n_train_rows long, horizon_seconds double, n_pos long, n_neg long, true_positive_rate double, auc double, f1 double")
 
 
-def pair_balance(pairs: DataFrame) -> DataFrame:
-    """One row: how many labelled pairs there are, and the share whose first row has the lower target."""
-    return pairs.agg(F.count("*").alias("n_pairs"), F.avg("label").alias("balance"))
+def pair_balance(pairs: DataFrame, count: str | None = None) -> DataFrame:
+    """One row: how many labelled pairs there are, and the share whose first row has the lower target. count: how many pairs
+    a row stands for."""
+    own = F.lit(1) if count is None else F.col(count)
+    return pairs.agg(F.coalesce(F.sum(own), F.lit(0)).alias("n_pairs"), (F.sum(F.col("label") * own) / F.sum(own)).alias("balance"))
 
 
 def pairwise_ranker(spark: SparkSession, rows: DataFrame, features: list[str], target: str, *, order: list[str], n_bins: int = 5, multiplier: int = 5, seed: int = 42) -> tuple[feats.LinearModel, dict]:
@@ -236,29 +247,36 @@ def pairwise_ranker(spark: SparkSession, rows: DataFrame, features: list[str], t
 
     Rows are split 80 to 20 first; edges come from the training rows by averaged inverted quantiles.
     """
-    split = random_split(rows.where(F.col(target).isNotNull()), 0.2, order, seed)
+    used = list(dict.fromkeys([*order, target, *features]))
+    # read several times below; pairs are counted by bins and label, so that each part is drawn once
+    split = random_split(rows.where(F.col(target).isNotNull()).select(*used), 0.2, order, seed).persist(StorageLevel.MEMORY_AND_DISK)
     learn, test = split.where("NOT is_test"), split.where("is_test")
     edges = feats.quantile_edges(learn, features, n_bins, method="averaged_inverted_cdf")
     n = feats.n_bins_of(edges)
+    bins = [f"{f}_bin" for f in features]
+    sides = [f"{b}_{s}" for b in bins for s in ("a", "b")]
 
-    def differences(part: DataFrame, s: int) -> DataFrame:
+    def differences(part: DataFrame, s: int) -> tuple[DataFrame, DataFrame]:
         binned = feats.discretise(part, edges)
-        bins = [f"{f}_bin" for f in features]
         pairs = random_pairs(spark, binned, target, bins, max(1, multiplier * part.count()), order=order, seed=s)
+        counted, held = weighted_cells(pairs, ["label", *sides])
         cells = [((F.col(f"{f}_bin_a") == b).cast("double") - (F.col(f"{f}_bin_b") == b).cast("double")) for f in features for b in range(n[f])]
-        return pairs.select("label", array_to_vector(F.array(*cells)).alias("features"))
+        return counted.select("label", "n", "w", array_to_vector(F.array(*cells)).alias("features")), held
 
-    train_pairs, test_pairs = differences(learn, seed), differences(test, 123)
-    model = LogisticRegression(fitIntercept=False, maxIter=500, regParam=1e-6, standardization=False, tol=TOLERANCE).fit(train_pairs)
+    (train_pairs, held_train), (test_pairs, held_test) = differences(learn, seed), differences(test, 123)
+    model = LogisticRegression(fitIntercept=False, weightCol="w", maxIter=500, regParam=1e-6, standardization=False, tol=TOLERANCE).fit(train_pairs)
     flat, at, weights = model.coefficients.toArray().tolist(), 0, {}
     for f in features:
         own = flat[at : at + n[f]]
         weights[f] = [w - sum(own) / n[f] for w in own]  # the same for all bins of a feature makes no difference
         at += n[f]
     scored = model.transform(test_pairs).withColumn("p", F.element_at(vector_to_array("probability"), 2))
-    area = roc_auc(scored, "label", "p").first()
-    balance = {f"{name}_{k}": v for name, part in (("train", train_pairs), ("test", test_pairs)) for k, v in pair_balance(part).first().asDict().items()}
-    right = scored.agg(F.avg((feats.decide_at_half(F.col("p")).cast("int") == F.col("label")).cast("int")).alias("a")).first()["a"]
+    area = roc_auc(scored, "label", "p", "n").first()
+    balance = {f"{name}_{k}": v for name, part in (("train", train_pairs), ("test", test_pairs)) for k, v in pair_balance(part, "n").first().asDict().items()}
+    hit = F.when(feats.decide_at_half(F.col("p")).cast("int") == F.col("label"), F.col("n")).otherwise(0)
+    right = scored.agg((F.sum(hit) / F.sum("n")).alias("a")).first()["a"]
+    for rows in (held_train, held_test, split):
+        rows.unpersist()
     return feats.LinearModel(tuple(features), edges, weights, 0.0), {"auc": area["auc"], "accuracy": right} | balance
 
 
@@ -268,14 +286,15 @@ def class_of_reuse(rows: DataFrame, target: str, n_classes: int = 5) -> DataFram
     return rows.withColumn("reuse_class", feats.bin_index(F.col(target), edges))
 
 
-
 def class_model(rows: DataFrame, features: list[str], label: str, *, n_bins: int = 5, key: list[str], seed: int = 42) -> DataFrame:
     """A linear model of any number of classes over one-hot bins: the test rows (a fifth of each class) with their
     ``predicted`` class. Edges come from the training rows."""
-    split = stratified_split(rows.where(F.col(label).isNotNull()), 0.2, label, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    used = list(dict.fromkeys([*key, label, *features]))
+    split = stratified_split(rows.where(F.col(label).isNotNull()).select(*used), 0.2, label, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
     learn, test = split.where("NOT is_test"), split.where("is_test")
     edges = feats.quantile_edges(learn, features, n_bins, method="averaged_inverted_cdf")
     n = feats.n_bins_of(edges)
-    encode = lambda part: feats.with_vectors(feats.discretise(part, edges), n)
-    model = LogisticRegression(labelCol=label, maxIter=500, regParam=1e-6, standardization=False, tol=TOLERANCE).fit(encode(learn))
-    return model.transform(encode(test)).select(*key, F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+    cells, held = weighted_cells(feats.discretise(learn, edges), [label, *(f"{f}_bin" for f in features)])
+    model = LogisticRegression(labelCol=label, weightCol="w", maxIter=500, regParam=1e-6, standardization=False, tol=TOLERANCE).fit(feats.with_vectors(cells, n))
+    held.unpersist()
+    return model.transform(feats.with_vectors(feats.discretise(test, edges), n)).select(*key, F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
