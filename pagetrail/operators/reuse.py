@@ -45,7 +45,8 @@ def median_split(labelled: DataFrame, fill: float = 1e15) -> DataFrame:
     """Adds label: whether y, unknown ones filled, reaches the median of its trial."""
     filled = labelled.withColumn("y", F.coalesce(F.col("y").cast("double"), F.lit(fill)))
     middle = quantiles(filled, ["trial_id"], "y", {"middle": 0.5})
-    return filled.join(middle, "trial_id").withColumn("label", (F.col("y") >= F.col("middle")).cast("int"))
+    # one row per trial, which would else gather all rows of a trial in one task
+    return filled.join(F.broadcast(middle), "trial_id").withColumn("label", (F.col("y") >= F.col("middle")).cast("int"))
 
 
 def reaccess_by_position(rows: DataFrame, bins: int, ties: list[str]) -> DataFrame:

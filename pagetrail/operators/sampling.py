@@ -11,6 +11,7 @@ from pagetrail.operators.pages import Paged
 from pagetrail.operators.ranking import ROWS_PER_BUCKET, bucket_sums, row_numbers
 
 PARTS = 4096
+SPLIT_PARTS = 1 << 16
 
 
 def random_bits(*cols: Column | str, seed: int) -> Column:
@@ -95,10 +96,29 @@ def random_split(rows: DataFrame, share: float, key: list[str], seed: int) -> Da
     return rows.withColumn("is_test", hashed(*key, seed=seed) < share)
 
 
-def stratified_split(rows: DataFrame, share: float, by: str, key: list[str], seed: int) -> DataFrame:
-    """Adds is_test, true for that share of each class, exactly up to rounding."""
-    ranked = row_numbers(rows.withColumn("split_hash", hashed(*key, seed=seed)), [by], "split_hash", key)
-    return ranked.withColumn("is_test", F.col("rn") <= F.floor(F.col("n_rows") * share + 0.5)).drop("rn", "n_rows", "split_hash")
+def stratified_split(rows: DataFrame, share: float, by: str, key: list[str], seed: int, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds is_test, true for that share of each class (null is one), exactly up to rounding.
+
+    Rows are counted by ranges of their hash while the plan is built; only the range in which the share ends is put in order.
+    """
+    placed = rows.withColumn("split_hash", hashed(*key, seed=seed)).withColumn("split_part", F.floor(F.col("split_hash") * SPLIT_PARTS).cast("int"))
+    counts = placed.groupBy(F.col(by).alias("split_by"), "split_part").agg(F.count("*").alias("split_n"))
+    own = Window.partitionBy("split_by").orderBy("split_part")
+    summed = counts.withColumns({"split_upto": F.sum("split_n").over(own), "split_all": F.sum("split_n").over(Window.partitionBy("split_by"))})
+    left = F.floor(F.col("split_all") * share + 0.5) - F.col("split_upto") + F.col("split_n")
+    ends = summed.withColumn("split_left", left).where("split_left >= 0 AND split_left < split_n").select("split_by", F.col("split_part").alias("split_end"), "split_left", "split_n")
+    found = ends.collect()  # one row per class; none where the whole class is drawn
+    ends = rows.sparkSession.createDataFrame(found, ends.schema)
+    met = placed.join(F.broadcast(ends), F.col(by).eqNullSafe(F.col("split_by")), "left").drop("split_by")
+    inside = F.coalesce(F.col("split_part") == F.col("split_end"), F.lit(False))
+    # classes by name, as a null class is one too
+    within = met.where(inside).withColumn("split_class", F.to_json(F.struct(by)))
+    if any(r["split_n"] > rows_per_bucket for r in found):
+        within = row_numbers(within, ["split_class"], "split_hash", key, rows_per_bucket=rows_per_bucket)
+    else:
+        within = within.withColumn("rn", F.row_number().over(Window.partitionBy("split_class").orderBy("split_hash", *key)))
+    clear = met.where(~inside).select(*rows.columns, F.coalesce(F.col("split_part") < F.col("split_end"), F.lit(True)).alias("is_test"))
+    return clear.unionByName(within.select(*rows.columns, (F.col("rn") <= F.col("split_left")).alias("is_test")))
 
 
 def random_pairs(spark: SparkSession, rows: DataFrame, target: str, features: list[str], n: int, *, order: list[str], seed: int) -> DataFrame:
@@ -108,7 +128,7 @@ def random_pairs(spark: SparkSession, rows: DataFrame, target: str, features: li
     row never meets itself.
     """
     numbered = row_numbers(rows.withColumn("all", F.lit(0)), ["all"], order[0], order[1:]).select((F.col("rn") - 1).alias("i"), target, *features)
-    total = numbered.count()
+    total = rows.count()
     if total < 2:
         raise ValueError("pairs need two rows at least")
     pairs = spark.range(n).select(F.col("id").alias("pair"), (random_bits("id", seed=seed) % total).alias("a"), (random_bits("id", seed=seed + 1) % (total - 1)).alias("step"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from pagetrail.operators import features, statistics
+from pyspark.sql import functions as F
+
+from pagetrail.operators import features, sampling, statistics
 from pagetrail.plans import training
 
 
@@ -14,3 +16,11 @@ def test_cells_stand_for_rows(spark):
     cells = features.cells_of(rows, ["label", "p"])
     assert cells.count() == 10 and statistics.roc_auc(cells, "label", "p", "n").first() == statistics.roc_auc(rows, "label", "p").first()
     assert training.pair_balance(cells, "n").first() == training.pair_balance(rows).first()
+
+
+def test_split_counts_each_class_also_null(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3) for i in range(300)], "id long, c int")
+    for share, n in ((0.2, 20), (0.0, 0), (1.0, 100)):
+        for per in (1_000_000, 0):
+            got = sampling.stratified_split(rows, share, "c", ["id"], 1, **({"rows_per_bucket": 1} if per == 0 else {}))
+            assert got.count() == 300 and {r["c"]: r["n"] for r in got.groupBy("c").agg(F.count_if("is_test").alias("n")).collect()} == {None: n, 1: n, 2: n}
