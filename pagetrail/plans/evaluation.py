@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pagetrail.functions import scalars
@@ -736,10 +737,10 @@ def _halves_of_lines(spark, d):
     from pagetrail.operators.reuse import median_split
 
     rows = median_split(table(spark, d, "lineitem").withColumn("trial_id", F.lit(0)).withColumn("y", F.col("l_extendedprice")))
-    split = sampling.stratified_split(rows, 0.2, "label", _LINE_KEY, 42)
+    split = sampling.stratified_split(rows.select(*_LINE_KEY, "l_discount", "label"), 0.2, "label", _LINE_KEY, 42).persist(StorageLevel.MEMORY_AND_DISK)
     learn, test = split.where("NOT is_test"), split.where("is_test")
     edges = features.quantile_edges(learn, ["l_quantity", "l_discount"], 5, method="averaged_inverted_cdf")
-    return features.discretise(learn, edges), features.discretise(test, edges), edges
+    return features.discretise(learn, edges), features.discretise(test, edges), edges, split
 
 
 @query(_EPOCHS_SQL)
@@ -747,8 +748,9 @@ def training_epochs(spark, d):
     """The area over the holdout after each epoch, until five epochs bring no rise."""
     from pagetrail.operators.epochs import best_of, fit_in_epochs
 
-    learn, test, edges = _halves_of_lines(spark, d)
+    learn, test, edges, split = _halves_of_lines(spark, d)
     found = fit_in_epochs(learn, test, features.n_bins_of(edges), max_epochs=20)
+    split.unpersist()
     best = best_of(found).number
     return spark.createDataFrame([(e.number, round(e.auc, 9), e.number == best) for e in found], "epoch int, auc double, is_best boolean")
 
