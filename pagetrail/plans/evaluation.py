@@ -385,8 +385,10 @@ SELECT CAST(start + bin AS INTEGER) AS position, count(*) AS n FROM b JOIN o USI
 )
 def one_hot_counts(spark, d):
     edges = _edges(spark, d)
-    hot = features.one_hot_positions(features.discretise(table(spark, d, "lineitem"), edges), features.n_bins_of(edges))
-    return hot.select(F.explode("hot").alias("position")).groupBy("position").agg(F.count("*").alias("n"))
+    # rows of equal bins are encoded once; encoding inlines the bins of each feature several times
+    cells = features.cells_of(features.discretise(table(spark, d, "lineitem"), edges), [f"{f}_bin" for f in edges])
+    hot = features.one_hot_positions(cells, features.n_bins_of(edges))
+    return hot.select(F.explode("hot").alias("position"), "n").groupBy("position").agg(F.sum("n").alias("n"))
 
 
 def _fixed_model(edges):

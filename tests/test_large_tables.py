@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagetrail.operators import features, sampling, statistics
@@ -24,3 +25,12 @@ def test_split_counts_each_class_also_null(spark):
         for per in (1_000_000, 0):
             got = sampling.stratified_split(rows, share, "c", ["id"], 1, **({"rows_per_bucket": 1} if per == 0 else {}))
             assert got.count() == 300 and {r["c"]: r["n"] for r in got.groupBy("c").agg(F.count_if("is_test").alias("n")).collect()} == {None: n, 1: n, 2: n}
+
+
+def test_many_edges(spark):
+    x = [float(i) / 3 for i in range(300)] + [float("nan")]
+    rows = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double")
+    for n in (2, 10, 60):
+        edges = np.linspace(0, 90, n + 1).tolist()
+        got = [r["x_bin"] for r in features.discretise(rows, {"x": edges}).collect()]
+        assert got == [*np.searchsorted(edges[1:-1], x, side="right").tolist(), None]
