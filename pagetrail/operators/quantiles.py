@@ -26,14 +26,15 @@ def _positions(share: float, total: Column, method: str) -> tuple[Column, Column
     raise ValueError(f"unknown quantile method {method}")
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], *, method: str = "linear", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """One row per group with a double for each named share. Nulls don't count; a group of nulls alone has no row."""
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], *, method: str = "linear", count: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """One row per group with a double for each named share. Nulls don't count; a group of nulls alone has no row. count: a
+    column that tells how many rows a row stands for."""
     groups = by or ["_all"]
     known = rows.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     if not by:
         known = known.withColumn("_all", F.lit(0))
     bounds = bounds_of(known, groups, "_v", rows_per_bucket=rows_per_bucket)
-    counts = with_bucket(known.groupBy(*groups, "_v").agg(F.count("*").alias("_n")), bounds, groups, "_v")
+    counts = with_bucket(known.groupBy(*groups, "_v").agg((F.count("*") if count is None else F.sum(count)).alias("_n")), bounds, groups, "_v")
     places = [_positions(share, F.col("total"), method) for share in shares.values()]
     ends = F.array(*(p.cast("long") for low, high, _ in places for p in (low, high)))
     sums = bucket_sums(counts, groups, F.col("_n")).withColumn("_ends", F.array_distinct(ends))
