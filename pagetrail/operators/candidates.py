@@ -33,14 +33,15 @@ def next_access(access: DataFrame, keys: tuple[str, ...] = ("trial_id", "page"),
 def valid_evictions(access: DataFrame, eviction: DataFrame, horizon: int) -> DataFrame:
     """Right-censoring: evictions that leave a whole horizon before the last access of their trial."""
     last = access.groupBy("trial_id").agg(F.max("ts").alias("last_ts"))
-    return eviction.join(last, "trial_id").where(F.col("ts") <= F.col("last_ts") - horizon).drop("last_ts")
+    return eviction.join(F.broadcast(last), "trial_id").where(F.col("ts") <= F.col("last_ts") - horizon).drop("last_ts")
 
 
 def temporal_split(eviction: DataFrame, holdout: float) -> DataFrame:
     """Adds is_eval: the trial's evictions from the (1 - holdout) quantile on; never with holdout 0 or under two events."""
     cut = quantiles(eviction, ["trial_id"], "ts", {"cut": 1.0 - holdout}).join(eviction.groupBy("trial_id").agg(F.count("*").alias("n")), "trial_id")
     enough = (F.lit(holdout) > 0) & (F.col("n") >= 2)
-    return eviction.join(cut, "trial_id").withColumn("is_eval", enough & (F.col("ts") >= F.col("cut"))).drop("cut", "n")
+    # one row per trial, which would else gather all events of a trial in one task
+    return eviction.join(F.broadcast(cut), "trial_id").withColumn("is_eval", enough & (F.col("ts") >= F.col("cut"))).drop("cut", "n")
 
 
 def _ranked(rows: DataFrame, events: DataFrame, spread: DataFrame, rows_per_bucket: int) -> DataFrame:

@@ -7,16 +7,25 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagetrail.operators import features, sampling, statistics
+from pagetrail.operators import candidates, features, sampling, statistics
 from pagetrail.plans import training
 
 
-def test_cells_stand_for_rows(spark):
-    rng = random.Random(6)
-    rows = spark.createDataFrame([(rng.randint(0, 1), float(rng.randint(0, 4))) for _ in range(500)], "label int, p double")
-    cells = features.cells_of(rows, ["label", "p"])
-    assert cells.count() == 10 and statistics.roc_auc(cells, "label", "p", "n").first() == statistics.roc_auc(rows, "label", "p").first()
-    assert training.pair_balance(cells, "n").first() == training.pair_balance(rows).first()
+def test_pairs_through_small_arrays_and_parts(spark, monkeypatch):
+    for name, value in (("TIMES_PER_ARRAY", 3), ("ACCESSES_PER_PART", 2), ("PAIRS_PER_TASK", 10)):
+        monkeypatch.setattr(candidates, name, value)
+    rng = random.Random(4)
+    access = [(t, f"p{rng.randint(0, 3)}", rng.randint(0, 99)) for t in (0, 1) for _ in range(20)]
+    events = [(t, rng.choice([rng.randint(0, 99), 50])) for t in (0, 1) for _ in range(30)]
+    a, e = spark.createDataFrame(access, "trial_id int, page string, ts long"), spark.createDataFrame(events, "trial_id int, ts long")
+    for cap in (15, None):
+        want = []
+        for page in {x[:2] for x in access}:
+            times = sorted(x[2] for x in access if x[:2] == page)
+            for t, after in zip(times, [*times[1:], None], strict=True):
+                want += [(*page, t, x, int(after is not None and after - x < 8)) for k, x in events if k == page[0] and t < x and (after is None or x < after) and (cap is None or x < t + cap)]
+        got = candidates.candidate_pairs(a, e, horizon=8, cap=cap, slot=10)
+        assert sorted(tuple(r) for r in got.select("trial_id", "page", "ts", "e_ts", "label").collect()) == sorted(want)
 
 
 def test_split_counts_each_class_also_null(spark):
@@ -27,6 +36,14 @@ def test_split_counts_each_class_also_null(spark):
             assert got.count() == 300 and {r["c"]: r["n"] for r in got.groupBy("c").agg(F.count_if("is_test").alias("n")).collect()} == {None: n, 1: n, 2: n}
 
 
+def test_cells_stand_for_rows(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(rng.randint(0, 1), float(rng.randint(0, 4))) for _ in range(500)], "label int, p double")
+    cells = features.cells_of(rows, ["label", "p"])
+    assert cells.count() == 10 and statistics.roc_auc(cells, "label", "p", "n").first() == statistics.roc_auc(rows, "label", "p").first()
+    assert training.pair_balance(cells, "n").first() == training.pair_balance(rows).first()
+
+
 def test_many_edges(spark):
     x = [float(i) / 3 for i in range(300)] + [float("nan")]
     rows = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double")
@@ -34,3 +51,11 @@ def test_many_edges(spark):
         edges = np.linspace(0, 90, n + 1).tolist()
         got = [r["x_bin"] for r in features.discretise(rows, {"x": edges}).collect()]
         assert got == [*np.searchsorted(edges[1:-1], x, side="right").tolist(), None]
+
+
+def test_rows_of_a_trial_are_not_gathered(spark):
+    a = spark.createDataFrame([(0, "p", t) for t in range(9)], "trial_id int, page string, ts long")
+    e = spark.createDataFrame([(0, t) for t in range(9)], "trial_id int, ts long")
+    for rows in (candidates.valid_evictions(a, e, 2), candidates.temporal_split(e, 0.2)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.splitlines()[0] and "strategy=broadcast" in plan
