@@ -15,14 +15,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 _SPACES = bytes(32 if chr(b).isspace() else b for b in range(256))
 _LONG_SPACE = b" " * 64
+_BLANK, _OTHER, _LETTER, _SIGN = range(4)
+#: Kinds of bytes in texts that have no white space but ASCII's.
+_KIND = bytes(_BLANK if b in b" \t\n\v\f\r" else _OTHER if b > 126 or b < 32 or chr(b).isdigit() else _LETTER if chr(b).isalpha() else _SIGN for b in range(256))
 #: ASCII, Latin letters and signs, dashes and quotes: all of them have been letters, digits, spaces or none of these in every
 #: version of Unicode, so that readers with different versions part them alike.
 _EASY = re.compile("[\\x00-\\x7e\\u00a1-\\u017f\\u2010-\\u2027]*")
@@ -115,11 +119,70 @@ class ByteTokens:
         """The ids of a whole text: at once where the fast reader may have it, else chunk by chunk."""
         if self.fast is None:
             return self.exact.encode(text, add_special_tokens=False).ids
-        if (text.isascii() or _EASY.fullmatch(text)) and _LONG_SPACE not in text.encode().translate(_SPACES) and not (self.added and self.added.search(text)):
+        if self._is_easy(text):
             return self.fast.encode_ordinary(text)
         first, *rest = _CUT.split(text)
         return [i for ids in self.ids([first, *(" " + c for c in rest)]) for i in ids]
 
+    def _is_easy(self, text: str) -> bool:
+        """Whether the fast reader may have the whole text."""
+        return (text.isascii() or _EASY.fullmatch(text) is not None) and _LONG_SPACE not in text.encode().translate(_SPACES) and not (self.added and self.added.search(text))
+
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts, as :meth:`of_text` gives them. Texts that the fast reader may have are cut into chunks, and
+        each distinct chunk of them all is read once."""
+        easy = [self.fast is not None and self._is_easy(t) for t in texts]
+        together = iter(self._by_distinct_chunks([t.encode() for t, e in zip(texts, easy, strict=True) if e]))
+        return [next(together) if e else np.frombuffer(array("I", self.of_text(t)), np.uint32) for t, e in zip(texts, easy, strict=True)]
+
+    def _by_distinct_chunks(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b"".join(texts)
+        if not data:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        text_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        kind = np.frombuffer(data.translate(_KIND), np.uint8)
+        begins = np.zeros(len(data), bool)
+        # a token with a letter ends with its letters, one with any character but white space has white space only in front
+        begins[1:] = ((kind[1:] == _BLANK) & (kind[:-1] != _BLANK)) | ((kind[1:] == _SIGN) & (kind[:-1] == _LETTER))
+        begins[text_at[:-1][text_at[:-1] < len(data)]] = True
+        at = np.append(np.flatnonzero(begins), len(data))
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        ids, id_at = self._of_chunks(held.dictionary)
+        chunk = held.indices.to_numpy(zero_copy_only=False)
+        # ids of all chunks in a row, and where each text begins among them
+        flat = pa.LargeListArray.from_arrays(pa.array(id_at), pa.array(ids)).take(held.indices).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum((id_at[1:] - id_at[:-1])[chunk])])[np.searchsorted(at, text_at)]
+        return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
+    def _of_chunks(self, chunks: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the chunks in a row, and where each begins. Chunks that begin with a space before another character and end
+        with none are read as one text, as no token reaches over such a place; the bytes of its tokens tell them apart."""
+        at = np.frombuffer(chunks.buffers()[1], np.int64)[: len(chunks) + 1]
+        data = chunks.buffers()[2].to_pybytes()
+        solid = np.frombuffer(data.translate(_KIND), np.uint8) != _BLANK
+        inner = (at[1:] - at[:-1] > 1) & (np.frombuffer(data, np.uint8)[at[:-1]] == 32) & solid[np.minimum(at[:-1] + 1, at[-1] - 1)] & solid[at[1:] - 1]
+        row = chunks.filter(pa.array(inner))
+        row_at = np.frombuffer(row.buffers()[1], np.int64)[: len(row) + 1] if len(row) else np.zeros(1, np.int64)
+        text = row.buffers()[2].to_pybytes()[: row_at[-1]].decode() if len(row) else ""
+        ids = np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
+        ends = np.concatenate([[0], np.cumsum(self.token_sizes[ids])])
+        cut = np.searchsorted(ends, row_at)
+        assert np.array_equal(ends[cut], row_at), "a token reaches over the end of a chunk"
+        alone = [self.fast.encode_ordinary(c.decode()) for c in chunks.filter(pa.array(~inner)).to_pylist()]
+        sizes, order = np.zeros(len(chunks), np.int64), np.argsort(~inner, kind="stable")
+        sizes[inner], sizes[~inner] = cut[1:] - cut[:-1], np.fromiter(map(len, alone), np.int64, len(alone))
+        held = np.concatenate([ids, np.fromiter((i for a in alone for i in a), np.uint32)])
+        # back into the order of the chunks
+        begin = np.empty(len(chunks), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        id_at = np.concatenate([[0], np.cumsum(sizes)])
+        return held[np.arange(id_at[-1]) + np.repeat(begin - id_at[:-1], sizes)], id_at
+
+    @cached_property
+    def token_sizes(self) -> np.ndarray:
+        """How many bytes each id has."""
+        return np.fromiter(map(len, self.token_bytes()), np.int64, self.size)
+
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id; byte-level vocabularies write a byte as a printable character."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -26,7 +26,6 @@ of any type, other columns don't matter; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +47,7 @@ _PROBE_BITS, _MOST = 40, (1 << 20) - 1
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Token ids of each text, as the plain call of the tokenizer gives them: strings of special tokens are these tokens."""
-    of = byte_tokens(path, False)
-    return [np.frombuffer(array("I", of.of_text(t)), np.uint32) for t in texts]
+    return byte_tokens(path, False).of_texts(texts)
 
 
 def crc_of_ids(ids: np.ndarray) -> int:
@@ -90,8 +88,8 @@ def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
     path = tokenizer or default_byte_tokenizer()
     width = np.uint16 if vocabulary_of(path) <= 1 << 16 else np.uint32
 
-    def row(text: str) -> tuple:
-        ids = np.append(encode([text], path)[0], np.uint32(END))
+    def row(ids: np.ndarray) -> tuple:
+        ids = np.append(ids, np.uint32(END))
         whole = len(ids) // window * window
         crcs = [crc_of_ids(ids[k : k + window]) for k in range(0, whole, window)]
         bag = b""
@@ -101,8 +99,8 @@ def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
         return len(ids), crcs, ids[whole:].astype(width).tobytes(), bag, probes(ids).view(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "t")):
-            total, crcs, rests, bags, keys = zip(*map(row, batch.column("t").to_pylist()), strict=True)
+        for batch in (s for b in batches for s in slices(b, "t", 8 << 20)):
+            total, crcs, rests, bags, keys = zip(*map(row, encode(batch.column("t").to_pylist(), path)), strict=True)
             columns = [batch.column("k"), batch.column("h"), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(bags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "h", "tokens", "crcs", "rest", "bag", "keys"])
 

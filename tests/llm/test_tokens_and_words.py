@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pagetrail.llm import alignment, chunks, pieces, spelling
+from pagetrail.llm import alignment, chunks, packing, pieces, spelling
 from pagetrail.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -121,6 +121,33 @@ def test_ids_of_the_characters_that_the_fast_reader_gets():
         assert of.of_text(text) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_repeated_words_are_read_once(monkeypatch):
+    of = chunks.byte_tokens(chunks.default_byte_tokenizer(), False)
+    plain, read = of.fast, []
+
+    class Counted:
+        def encode_ordinary(self, text: str) -> list[int]:
+            read.append(len(text))
+            return plain.encode_ordinary(text)
+
+    texts = ["Many of the same words, again and again (always);\nthe  same ones.\n"] * 500
+    monkeypatch.setattr(of, "fast", Counted())
+    got = packing.encode(texts, chunks.default_byte_tokenizer())
+    assert {tuple(i) for i in got} == {tuple(plain.encode_ordinary(texts[0]))} and len(got) == 500
+    assert sum(read) < len(texts[0]) * 2
+
+
+def test_ids_of_many_texts_at_once():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(chunks.default_byte_tokenizer()), random.Random(8)
+    parts = [*"ab Z9.,'-_\n\t\r\x0b\x0c\x1c\x1f\x00~", "  ", " ", "é", "×", "–", "'s", "'ll", "12", "¡"]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)), *wild_texts(300, 5), "a" * 5000, " " * 500, ""]
+    got = packing.encode(texts, chunks.default_byte_tokenizer())
+    assert [i.tolist() for i in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encode([], chunks.default_byte_tokenizer()) == [] and [len(i) for i in packing.encode(["", ""], chunks.default_byte_tokenizer())] == [0, 0]
+
+
 def test_token_bytes_join_to_the_text():
     of = chunks.byte_tokens(chunks.default_byte_tokenizer(), True)
     held = of.token_bytes()
