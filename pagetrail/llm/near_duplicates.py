@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.llm.components import connected_components
-from pagetrail.llm.shared import by_position, cut, mapped, slices, uniform
+from pagetrail.llm.shared import SMALL_SLICE, by_position, cut, mapped, slices, uniform
 from pagetrail.llm.words import Words, keyed, mix64, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -145,7 +145,7 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, node (of the text's bytes), n (shingles), keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "t")):
+        for batch in (s for b in batches for s in slices(b, "t", SMALL_SLICE)):
             shingles, at = labelled_shingles(batch.column("t"))
             keys, full = sketch_keys(shingles, at), np.diff(at) > 0
             ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
@@ -177,7 +177,7 @@ def _compared(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lead_sorted, lead_order = None, None, None
-        for batch in (s for b in batches for s in slices(b, "t")):
+        for batch in (s for b in batches for s in slices(b, "t", SMALL_SLICE)):
             shingles, at = labelled_shingles(batch.column("t"))
             a, b, sim = [], [], []
             heads = zip(*(batch.column(c).to_pylist() for c in ("lead", "part", "role", "node")), strict=True)
@@ -205,7 +205,7 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SLOTS, np.int64)
-        for batch in (s for b in batches for s in slices(b, "t")):
+        for batch in (s for b in batches for s in slices(b, "t", SMALL_SLICE)):
             total += np.bincount(_slot(labelled_shingles(batch.column("t"))[0]), minlength=_SLOTS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], ["slot", "n"])
@@ -226,7 +226,7 @@ def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
     often = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))  # _SLOTS numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "t")):
+        for batch in (s for b in batches for s in slices(b, "t", SMALL_SLICE)):
             shingles, at = labelled_shingles(batch.column("t"))
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)

@@ -99,7 +99,7 @@ def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
         return len(ids), crcs, ids[whole:].astype(width).tobytes(), bag, probes(ids).view(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "t", 8 << 20)):
+        for batch in (s for b in batches for s in slices(b, "t", 2 << 20)):
             total, crcs, rests, bags, keys = zip(*map(row, encode(batch.column("t").to_pylist(), path)), strict=True)
             columns = [batch.column("k"), batch.column("h"), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(bags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "h", "tokens", "crcs", "rest", "bag", "keys"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.shared import by_position, mapped, slices, uniform
+from pagetrail.llm.shared import SMALL_SLICE, by_position, mapped, slices, uniform
 from pagetrail.llm.words import Words, keyed, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_bytes")
@@ -90,7 +90,7 @@ def with_statistics(docs: DataFrame, *, text: str = "text", prefix: str = "") ->
     rows = docs.toDF(*(f"c{i}" for i in range(width)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, f"c{at}")):
+        for batch in (s for b in batches for s in slices(b, f"c{at}", SMALL_SLICE)):
             found = text_statistics(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], pa.int64()) for c in COUNTS)], [*batch.schema.names, *(f"s{i}" for i in range(len(COUNTS)))])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -42,10 +43,26 @@ def cut(df: DataFrame, *, small: bool = False) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps Python workers for later tasks and stages, and allocators keep what a
+    task has freed, so that an executor would hold the largest need of each worker beside its heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def mapped(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
+    """mapInArrow with this package at hand in the workers, which give freed memory back at the end of a task."""
     ensure_shipped(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(work, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,6 +89,10 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: Bytes of texts in a slice for steps that make several 64-bit numbers of each byte.
+SMALL_SLICE = 1 << 18
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes, so that working memory is bounded."""
     if not batch.num_rows:
