@@ -72,11 +72,10 @@ def labelled_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(own) else np.zeros(0, bool)
     begin = np.flatnonzero(first)
     times = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
-    if times.any():
-        occurrence = np.zeros(len(own), np.uint64)
-        occurrence[order] = times.astype(np.uint64)
-        grams = mix64(grams + occurrence * np.uint64(0x9FB21C651E98DF25))
-    return grams, at
+    occurrence = np.zeros(len(own), np.uint64)
+    occurrence[order] = times.astype(np.uint64)
+    # also where no text of the slice repeats a shingle: a label tells nothing of the texts beside it
+    return mix64(grams + occurrence * np.uint64(0x9FB21C651E98DF25)), at
 
 
 def sketch_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
