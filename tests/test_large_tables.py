@@ -28,6 +28,31 @@ def test_pairs_through_small_arrays_and_parts(spark, monkeypatch):
         assert sorted(tuple(r) for r in got.select("trial_id", "page", "ts", "e_ts", "label").collect()) == sorted(want)
 
 
+def test_slots_are_counted_once_and_columns_not_asked_for_stay_behind(spark):
+    a = spark.createDataFrame([(0, f"p{t % 3}", t, float(t)) for t in range(40)], "trial_id int, page string, ts long, unused double")
+    e = spark.createDataFrame([(0, t) for t in range(40)], "trial_id int, ts long")
+    pairs = candidates.candidate_pairs(a, e, horizon=8, cap=15, slot=10).select("page", "ts", "e_ts")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # one window for the next access; none for a second count of the slots, or for numbers of evictions that fit one array
+    assert sum("Window [" in line for line in plan) == 1
+    assert not any("unused" in line for line in plan if "Project" in line or "xxhash64" in line)
+
+
+def test_pairs_of_tied_accesses_through_parts(spark, monkeypatch):
+    for name, value in (("ACCESSES_PER_PART", 2), ("PAIRS_PER_TASK", 10)):
+        monkeypatch.setattr(candidates, name, value)
+    rng = random.Random(5)
+    times = {p: sorted(rng.choice([7, 7, 21, rng.randint(0, 60)]) for _ in range(15)) for p in ("p", "q", "r")}
+    events = [rng.choice([8, 22, rng.randint(0, 99)]) for _ in range(40)]
+    a = spark.createDataFrame([(0, p, t) for p, of in times.items() for t in of], "trial_id int, page string, ts long")
+    e = spark.createDataFrame([(0, t) for t in events], "trial_id int, ts long")
+    for cap in (15, None):
+        want = [(p, t, x) for p, of in times.items() for t, after in zip(of, [*of[1:], 1000], strict=True) for x in events if t < x < after and (cap is None or x < t + cap)]
+        got = candidates.candidate_pairs(a, e, horizon=8, cap=cap, slot=10)
+        assert sorted(tuple(r) for r in got.select("page", "ts", "e_ts").collect()) == sorted(want)
+        assert candidates.candidate_pairs(a, e.limit(0), horizon=8, cap=cap, slot=10).count() == candidates.candidate_pairs(a.limit(0), e, horizon=8, cap=cap, slot=10).count() == 0
+
+
 def test_split_counts_each_class_also_null(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3) for i in range(300)], "id long, c int")
     for share, n in ((0.2, 20), (0.0, 0), (1.0, 100)):
